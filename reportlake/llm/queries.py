@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, warc
+from . import mixing, secrets, sharding, spotsigs, warc
 from .common import read, shared_dir
 
 
@@ -29,9 +29,30 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archive(read(spark, sf_dir, "pages"), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; base kinds counted and hashed, all spans listed."""
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    found = secrets.scan_secrets(read(spark, sf_dir, "documents"), rules)
+    n = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
+    base = secrets.spans_text(F.col("found"), rules, ("assign", "access", "hex"))
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("found"), rules).alias("spans"))
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    found = spotsigs.fingerprint_edits(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", spotsigs.fingerprint_text(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint_text(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
+    "op8_spotsigs": op8_spotsigs,
     "op10_warc_revisits": op10_warc_revisits,
 }
 
