@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding, spotsigs, warc
+from . import mixing, nbsvm, secrets, sharding, spotsigs, tiling, warc
 from .common import read, shared_dir
 
 
@@ -23,12 +23,26 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from four fifths of the labelled ones."""
+    docs = read(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = nbsvm.train(docs, read(spark, sf_dir, "labels").filter(~held))
+    scored = nbsvm.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages with revisit records, read back."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return warc.dedup_archive(read(spark, sf_dir, "pages"), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that they contain."""
+    return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; base kinds counted and hashed, all spans listed."""
     rules = secrets.BASE_RULES + secrets.MORE_RULES
@@ -49,10 +63,12 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
     "op8_spotsigs": op8_spotsigs,
+    "op9_quality": op9_quality,
     "op10_warc_revisits": op10_warc_revisits,
 }
 
