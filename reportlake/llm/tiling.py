@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import stage
-from .textnum import Words, chunks, mix, prefix, signed, spans
+from .textnum import Words, chunks, prefix, signed, spans
 
 MIN_RUN = 5
 COVERAGE = 0.6
@@ -74,24 +75,12 @@ def _seed_rows(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(ids), pa.array(sizes, pa.int64())], names=["seed", "item_id", "item_words"])
 
 
-def _bits(seeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [((h >> np.uint64(6)) % np.uint64(SLOTS), h & np.uint64(63)) for h in (mix(seeds), mix(seeds ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-
-
-def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for slot, bit in _bits(np.asarray(b.column(0)).view(np.uint64)):
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(signed(np.uint64(1) << bit))], names=["slot", "bits"])
-
-
 def _with_seeds(k: int, mask: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in chunks(batches):
         w = Words(data, offsets, lower=True)
         at = w.windows(k)
         seeds = spans(prefix(w.hash), at, at + k)
-        hit = np.ones(len(seeds), bool)
-        for slot, bit in _bits(seeds):
-            hit &= (mask[slot.astype(np.int64)] >> bit) & np.uint64(1) == 1
+        hit = bloom.test(mask, seeds)
         of = w.text[at][hit]
         if not len(of):
             continue
@@ -126,9 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN,
     """
     spark = docs.sparkSession
     seeds = stage(benchmark.select("item_id", "text").mapInArrow(partial(_seed_rows, min_run), "seed long, item_id long, item_words long").distinct())
-    slots = seeds.select("seed").mapInArrow(_bit_rows, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    mask = np.zeros(SLOTS, np.uint64)
-    mask[np.asarray(slots.column(0))] = np.asarray(slots.column(1)).view(np.uint64)
+    mask = bloom.build(seeds.select("seed"), SLOTS)
     held = spark.sparkContext.broadcast(mask)
     near = stage(docs.select("doc_id", "text").mapInArrow(_masked(min_run, held), "doc_id long, text string, seeds array<long>"))
     pairs = near.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("item_words").alias("m"))
