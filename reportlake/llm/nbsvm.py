@@ -163,3 +163,13 @@ def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score in [0, 1] of every document from its text alone; null and empty texts are scored by the intercept."""
     return docs.select("doc_id", "text").mapInArrow(partial(_score, model), "doc_id long, score double")
+
+
+def _keep(model: Model, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in chunks(batches, limit=1 << 20):
+        yield rows.filter(pa.array(model.score(data, offsets) >= threshold))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; nothing is shuffled."""
+    return docs.mapInArrow(partial(_keep, model, threshold), docs.schema)

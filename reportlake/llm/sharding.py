@@ -16,6 +16,7 @@ from .common import stage
 N_SHARDS = 40
 #: Rows that one window of :func:`numbered` holds, about.
 BUCKET = 20_000
+KEY = ["doc_id", "copy"]
 
 
 def numbered(df: DataFrame, part: list[str], name: str, order: Column | None = None, rows: int = BUCKET) -> DataFrame:
@@ -25,12 +26,12 @@ def numbered(df: DataFrame, part: list[str], name: str, order: Column | None = N
     so that a part of any size is spread over tasks. ``order`` is a long in [0, 2^31): buckets are its ranges.
     """
     n = df.groupBy(*part).agg(F.count("*").alias("_n"))
-    key = order if order is not None else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    key = order if order is not None else F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1 << 31))
     d = df.withColumn("_k", key).join(n, part).withColumn("_b", F.floor(F.col("_k") * F.ceil(F.col("_n") / F.lit(rows)) / F.lit(1 << 31)))
     per = d.groupBy(*part, "_b").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = Window.partitionBy(*part, "_b").orderBy("_k", "doc_id")
+    inside = Window.partitionBy(*part, "_b").orderBy("_k", "doc_id", "copy")
     d = d.withColumn("_r", F.row_number().over(inside)).join(offsets, [*part, "_b"])
     return d.withColumn(name, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_k", "_n", "_b", "_o", "_r")
 
@@ -44,17 +45,19 @@ def _room(df: DataFrame, spark, shards: int, cap: Column) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = N_SHARDS, rounds: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, gid, shard and slot of every document; shard counts differ by one at most.
 
-    ``docs``: doc_id (unique), text; other columns are ignored. A null text counts as an empty one, and all empty texts
+    ``docs``: doc_id (not null), text; other columns are ignored. Rows that repeat a doc_id are told apart by ``copy``. A null text counts as an empty one, and all empty texts
     are one group. A group larger than a shard fills as many shards as it needs. Ties go to the lower
     shard; an empty table gives no rows.
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = stage(docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.md5(raw)).alias("gid")))
+    base = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.md5(raw)).alias("gid"))
+    # repeated rows of one doc_id are rows of their own
+    base = stage(base.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("gid"))))
     total = base.count()
     cap = -(-total // shards)
     linked = base.groupBy("gid").agg(F.count("*").alias("g")).filter("g > 1")
-    state = base.join(linked, "gid").select("doc_id", "gid", "g", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    state = base.join(linked, "gid").select("doc_id", "copy", "gid", "g", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("int").alias("shard"))
     state = stage(state)
     for _ in range(rounds):
         free = _room(state, spark, shards, F.lit(cap))
@@ -65,21 +68,21 @@ def shard_documents(docs: DataFrame, shards: int = N_SHARDS, rounds: int = 3) ->
         wish = state.join(best, "gid")
         movers = wish.filter("shard <> to")
         # large groups first, whole groups together: the order of the queue in front of each shard
-        place = F.lit((1 << 31) - 1) - F.least(F.col("g"), F.lit(65535)) * F.lit(32768) + F.pmod("gid", F.lit(16384)) - F.lit(16384) + F.lit(0)
+        place = F.lit((1 << 31) - 1) - F.least(F.col("g"), F.lit(65535)) * F.lit(32768) + F.pmod("gid", F.lit(16384)) - F.lit(16384)
         queue = numbered(movers, ["to"], "place", F.greatest(F.lit(0).cast("long"), place.cast("long")))
-        admitted = queue.join(F.broadcast(free.select(F.col("shard").alias("to"), "free")), "to").filter("place < free").select("doc_id", F.col("to").alias("new"))
-        state = stage(state.join(admitted, "doc_id", "left").withColumn("shard", F.coalesce("new", "shard")).drop("new"))
+        admitted = queue.join(F.broadcast(free.select(F.col("shard").alias("to"), "free")), "to").filter("place < free").select("doc_id", "copy", F.col("to").alias("new"))
+        state = stage(state.join(admitted, KEY, "left").withColumn("shard", F.coalesce("new", "shard")).drop("new"))
     # exact quotas: the first total % shards shards hold one row more
     quota = F.when(F.col("shard") < total % shards, total // shards + 1).otherwise(total // shards)
     room = _room(state, spark, shards, F.lit(0)).select("shard", (F.col("free") + quota).alias("free"))
     surplus = room.filter("free < 0").select("shard", (-F.col("free")).alias("extra"))
     ranked = numbered(state, ["shard"], "place")
-    out = ranked.join(F.broadcast(surplus), "shard").filter("place < extra").select("doc_id")
-    fixed = state.join(out, "doc_id", "left_anti").select("doc_id", "shard")
-    loose = base.select("doc_id").join(fixed, "doc_id", "left_anti").withColumn("all", F.lit(0))
+    out = ranked.join(F.broadcast(surplus), "shard").filter("place < extra").select(*KEY)
+    fixed = state.join(out, KEY, "left_anti").select(*KEY, "shard")
+    loose = base.select(*KEY).join(fixed, KEY, "left_anti").withColumn("all", F.lit(0))
     # places that are free, laid end to end over the shards: one row a shard
     w = Window.orderBy("shard")
     gaps = room.filter("free > 0").withColumn("upto", F.sum("free").over(w)).withColumn("from", F.col("upto") - F.col("free"))
-    filled = numbered(loose, ["all"], "n").join(F.broadcast(gaps), (F.col("n") >= F.col("from")) & (F.col("n") < F.col("upto"))).select("doc_id", "shard")
+    filled = numbered(loose, ["all"], "n").join(F.broadcast(gaps), (F.col("n") >= F.col("from")) & (F.col("n") < F.col("upto"))).select(*KEY, "shard")
     placed = stage(fixed.unionByName(filled))
-    return base.join(numbered(placed, ["shard"], "slot"), "doc_id")
+    return base.join(numbered(placed, ["shard"], "slot"), KEY)
