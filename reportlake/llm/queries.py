@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, nbsvm, secrets, sharding, spotsigs, tiling, warc
+from . import jaccard, mixing, nbsvm, phrases, secrets, sharding, spotsigs, tiling, warc
 from .common import read, shared_dir
 
 
@@ -38,6 +38,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archive(read(spark, sf_dir, "pages"), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document when recurring 35-word windows are removed."""
+    return phrases.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by Jaccard >= 0.85 of their 4-word shingles."""
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -68,6 +73,7 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
