@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, nbsvm, phrases, secrets, sharding, spotsigs, tiling, warc
+from . import ctxmix, jaccard, mixing, nbsvm, phrases, secrets, sharding, spotsigs, tiling, warc
 from .common import read, shared_dir
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learnt from six sevenths of them."""
+    docs = read(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = ctxmix.score_documents(docs, docs.filter(~held))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document so that sources meet their target weights."""
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op5_lm_score": op5_lm_score,
     "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
     "op8_spotsigs": op8_spotsigs,
