@@ -1,0 +1 @@
+"""Column functions on text, JSON, vectors, identifiers; all built-in expressions."""

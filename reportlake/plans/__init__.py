@@ -1,4 +1,6 @@
 """Registered queries over the test tables."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import queries_extract, queries_objects, queries_runs  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1 @@
+"""Readers and writers of reports, bundles and taxonomies."""

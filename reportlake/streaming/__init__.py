@@ -1,0 +1 @@
+"""Structured Streaming: intake of reports and keyed state."""
