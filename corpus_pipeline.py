@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mixing.mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    return docs.join(copies, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows with a key; the others cannot be named in a result and are left out by every operator."""
+    return df.filter(F.col(key).isNotNull())
+
+
 def lower_ascii(text):
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, uniform, word_count
+from .common import keyed, stage, uniform, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -106,18 +106,19 @@ def pivotal_round(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFr
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken words of each document.
 
-    ``docs``: doc_id (unique), text, source. A null text has size 0, a null source is a source of its own
+    ``docs``: doc_id (null: left out; repeated rows are rounded one by one), text, source. A null text has size 0, a null source is a source of its own
     that comes last; empty texts are taken with their source's rate but add no words. Documents of a
     source all have the same expected number of copies, at most ``cap``; reruns give the same copies.
     """
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = stage(keyed(docs).select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = source_targets(sized, weights, cap)
     f = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     t = targets.select(F.struct("source").alias("s"), "source_size", "target", f.alias("f"))
     t = t.withColumn("whole", F.floor(F.col("f") + F.lit(1e-12))).withColumn("p", F.greatest(F.lit(0.0), F.col("f") - F.col("whole")))
     wanted = sized.withColumn("s", F.struct("source")).join(t, "s")
     units = wanted.filter("p > 1e-12").select(F.col("doc_id").alias("id"), F.col("source").alias("stratum"), "size", "p")
-    up = pivotal_round(units, seed=seed).select(F.col("id").alias("doc_id"), F.lit(1).alias("up"))
-    out = wanted.join(up, "doc_id", "left")
-    copies = (F.col("whole") + F.coalesce(F.col("up"), F.lit(0))).cast("long")
+    up = pivotal_round(units, seed=seed).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("up"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
+    out = wanted.join(up, "doc_id", "left").withColumn("nth", nth)
+    copies = (F.col("whole") + F.coalesce((F.col("nth") <= F.col("up")).cast("long"), F.lit(0))).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

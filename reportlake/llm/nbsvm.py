@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed
 from .textnum import Words, chunks, mix
 
 DIM = 1 << 17
@@ -162,7 +163,7 @@ def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score in [0, 1] of every document from its text alone; null and empty texts are scored by the intercept."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_score, model), "doc_id long, score double")
+    return keyed(docs).select("doc_id", "text").mapInArrow(partial(_score, model), "doc_id long, score double")
 
 
 def _keep(model: Model, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

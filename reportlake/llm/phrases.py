@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import stage
+from .common import keyed, stage
 from .textnum import Words, chunks, prefix, signed, sliding_min, spans
 
 WIDTH = 35
@@ -246,9 +246,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED)
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every document without its recurring passages.
 
     A word goes if a window of ``width`` words that covers it also starts elsewhere, in the same or another document.
-    ``docs``: doc_id (unique), text; other columns are ignored. Null and empty texts have no words; kept words are joined by one space.
+    ``docs``: doc_id (null: left out; repeated rows are copies), text; other columns are ignored. Null and empty texts have no words; kept words are joined by one space.
     Texts of fewer than ``width`` words lose nothing. Exact copies lose everything.
     """
+    docs = keyed(docs)
     spots = stage(occurrences(docs, width, seed_words))
     joined = docs.select("doc_id", "text").join(spots, "doc_id", "left")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

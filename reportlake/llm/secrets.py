@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stage
+from .common import keyed, lower_ascii, stage
 
 
 @dataclass(frozen=True)
@@ -153,10 +153,11 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """doc_id, found: every document with its matches as an array of (start, kind number, end), sorted.
 
-    ``docs``: doc_id (unique), text; other columns are ignored. A null or empty text has no matches.
+    ``docs``: doc_id (null: left out; repeated: a row each), text; other columns are ignored. A null or empty text has no matches.
     Matches of one rule don't overlap, those of different rules may. Spans that tie in start come in the order
     of ``rules``. Documents of any length are scanned whole.
     """
+    docs = keyed(docs)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     number = {r.kind: i for i, r in enumerate(rules)}
     indexed = [r for r in rules if trigram_query(r.pattern)]
@@ -173,7 +174,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    found = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return docs.select("doc_id").join(found, "doc_id", "left").withColumn("found", F.coalesce("found", none))
 

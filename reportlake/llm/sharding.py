@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import keyed, stage
 
 N_SHARDS = 40
 #: Rows that one window of :func:`numbered` holds, about.
@@ -45,11 +45,11 @@ def _room(df: DataFrame, spark, shards: int, cap: Column) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = N_SHARDS, rounds: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, gid, shard and slot of every document; shard counts differ by one at most.
 
-    ``docs``: doc_id (not null), text; other columns are ignored. Rows that repeat a doc_id are told apart by ``copy``. A null text counts as an empty one, and all empty texts
+    ``docs``: doc_id (null: left out), text; other columns are ignored. Rows that repeat a doc_id are told apart by ``copy``. A null text counts as an empty one, and all empty texts
     are one group. A group larger than a shard fills as many shards as it needs. Ties go to the lower
     shard; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, keyed(docs)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.md5(raw)).alias("gid"))
     # repeated rows of one doc_id are rows of their own

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import stage
+from .common import keyed, stage
 from .textnum import Words, chunks, prefix, signed, spans
 
 MIN_RUN = 5
@@ -70,9 +70,9 @@ def _seed_rows(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         w = Words(data, offsets, lower=True)
         at = w.windows(k)
         seeds = spans(prefix(w.hash), at, at + k)
-        ids = np.asarray(rows.column(0))[w.text[at]]
+        ids = rows.column(0).take(pa.array(w.text[at]))
         sizes = w.counts[w.text[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(ids), pa.array(sizes, pa.int64())], names=["seed", "item_id", "item_words"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), ids, pa.array(sizes, pa.int64())], names=["seed", "item_id", "item_words"])
 
 
 def _with_seeds(k: int, mask: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +111,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN,
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Words are lower-cased (A-Z) and compared
     whole. Null texts have no words; items of fewer than ``min_run`` words match nothing. Repeated item texts
-    are items of their own. Either table may be empty.
+    are items of their own. Rows without doc_id or item_id are left out, repeated documents are found as often. Either table may be empty.
     """
-    spark = docs.sparkSession
+    spark, docs, benchmark = docs.sparkSession, keyed(docs), keyed(benchmark, "item_id")
     seeds = stage(benchmark.select("item_id", "text").mapInArrow(partial(_seed_rows, min_run), "seed long, item_id long, item_words long").distinct())
     mask = bloom.build(seeds.select("seed"), SLOTS)
     held = spark.sparkContext.broadcast(mask)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import keyed, stage
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -128,8 +128,9 @@ def revisit_table(records: DataFrame) -> DataFrame:
 def dedup_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Write deduplicated archives of ``pages`` to ``path`` and return the table read back from them.
 
-    An empty table gives no rows; repeated page_ids are not expected (the key of the table).
+    An empty table gives no rows; rows without page_id are left out, repeated rows are archived as often.
     """
-    resolved = resolve_revisits(payload_headers(pages), min_bytes)
+    pages = keyed(pages, "page_id")
+    resolved = resolve_revisits(payload_headers(pages), min_bytes).dropDuplicates(["page_id"])
     write_warc(warc_records(pages, resolved), path)
     return revisit_table(stage(read_warc(pages.sparkSession, path, bodies=False).drop("body", "url")))
