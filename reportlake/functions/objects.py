@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CVE, slug
+from .text import CVE, slug, strip
 
 #: Namespace of deterministic ids: the URL namespace of RFC 4122.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -33,7 +33,7 @@ def valid_stix_id(kind: Column, value: Column) -> Column:
 
 def salvage_json(raw: Column) -> Column:
     """The JSON text of a model's answer: fences off; as it is, else its first object, else with a closing brace; null if none parses."""
-    bare = F.trim(F.regexp_replace(raw, r"(?m)^\s*```(?:json)?\s*|```\s*$", ""))
+    bare = strip(F.regexp_replace(raw, r"(?m)^\s*```(?:json)?\s*|```\s*$", ""))
     block = F.regexp_extract(bare, r"(?s)\{(?:[^{}]|\{[^{}]*\})*\}", 0)
     closed = F.when((F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit(""))) == 1) & ~F.contains(bare, F.lit("}")), F.concat(bare, F.lit("}")))
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull() & (c != ""), c)
