@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii, stage
+from .common import keyed, stage
 
 #: Fixed list: common words of English, German, French and Spanish.
 ANCHORS = (
@@ -21,23 +21,25 @@ ANCHORS = (
     "au aux avec dans de du en est et la le les par pas pour qui que un une "
     "con del el las los no por se su y"
 ).split()
+#: After so many common words in a row the next word counts as a content word.
+MAX_GAP = 40
 #: doc_id range of one block in :func:`next_documents`.
 BLOCK = 64
 
 
-def normal_text(text: Column) -> Column:
-    """Lower-case words without punctuation at their ends, blanks between and around."""
-    words = F.regexp_replace(lower_ascii(text), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*[\x20\x09-\x0D]+[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*", " ")
-    return F.concat(F.lit(" "), words, F.lit(" "))
+def marked_text(text: Column, anchors: list[str] = ANCHORS) -> Column:
+    """Lower-case words without punctuation at their ends, a blank after each; common words start with a mark."""
+    edge = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*"
+    words = F.split(F.regexp_replace(F.lower(text), rf"{edge}[\x01\x20\x09-\x0D]+{edge}", " "), " ")
+    return F.concat(F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " "), F.lit(" "))
 
 
 def signature_set(text: Column, anchors: list[str] = ANCHORS) -> Column:
     """Sorted distinct 32-bit hashes of the signatures; of the whole text if it has none."""
-    stop = "(?:" + "|".join(sorted(set(anchors), key=lambda w: (-len(w), w))) + ")"
-    chain = rf"(?<= )(?=({stop} (?:{stop} )*+[^ ]+ (?:{stop} )*+[^ ]+ ))"
-    found = F.regexp_extract_all(normal_text(text), F.lit(chain), F.lit(1))
+    gap = rf"(?:\x01[^ ]+ ){{0,{MAX_GAP}}}+"
+    found = F.regexp_extract_all(marked_text(text, anchors), F.lit(rf"\x01(?=([^ ]+ {gap}[^ ]+ {gap}[^ ]+ ))"), F.lit(1))
     # the anchor stays, common words after it go
-    bare = F.transform(found, lambda x: F.regexp_replace(x, rf"(?<= )(?:{stop} )+", ""))
+    bare = F.transform(found, lambda x: F.regexp_replace(x, "\x01[^ ]+ ", ""))
     digest = lambda x: (F.crc32(x.cast("binary")) - F.lit(1 << 31)).cast("int")
     sigs = F.array_sort(F.array_distinct(F.transform(bare, digest)))
     return F.when(F.size(sigs) > 0, sigs).otherwise(F.array(digest(text)))
@@ -108,11 +110,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness.
 
     The edited text has its last third of code points replaced by as many first ones of the next document
-    in descending doc_id. ``docs``: doc_id (unique), text; null texts count as empty. The only document of a table is its
+    in descending doc_id. ``docs``: doc_id (null: left out), text; null texts count as empty. The only document of a table is its
     own next one. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), signature_set(text).alias("sigs"))
+    base = keyed(docs).select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), signature_set(text).alias("sigs"))
     j = next_documents(base, ["text", "sigs"])
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third))
