@@ -119,7 +119,11 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id and the kinds whose trigram query holds in it: postings intersected by document."""
     indexed = [(r, q) for r in rules if (q := trigram_query(r.pattern))]
     by_doc = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("t"))
-    holds = lambda clause: F.greatest(*tests) if len(tests := [F.size(F.array_intersect("t", F.array(*map(F.lit, sorted(a))))) == len(a) for a in clause]) > 1 else tests[0]
+
+    def holds(clause: list[frozenset[str]]) -> Column:
+        tests = [F.size(F.array_intersect("t", F.array(*map(F.lit, sorted(a))))) == len(a) for a in clause]
+        return F.greatest(*tests) if len(tests) > 1 else tests[0]
+
     kinds = []
     for rule, query in indexed:
         test = holds(query[0])
