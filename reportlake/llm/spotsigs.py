@@ -24,7 +24,9 @@ ANCHORS = (
 #: After so many common words in a row the next word counts as a content word.
 MAX_GAP = 40
 #: doc_id range of one block in :func:`next_documents`.
-BLOCK = 64
+BLOCK = 256
+#: Bits of the filter that holds back rows before the join of :func:`next_documents`; its size is fixed.
+FILTER_BITS = 1 << 18
 
 
 def marked_text(text: Column, anchors: list[str] = ANCHORS) -> Column:
@@ -57,6 +59,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(1.0)).cast("double")
 
 
+def _maybe_in(keys: DataFrame, column: str) -> Column:
+    """True for the keys of ``keys`` and few others, by a bitmap of fixed size; at most FILTER_BITS / 64 rows reach the driver."""
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    slot, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    words = [0] * (FILTER_BITS // 64)
+    for r in keys.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({column}), {FILTER_BITS}L), 64) as int))")).alias("bits")).collect():
+        words[r.slot] = r.bits
+    held = F.from_json(F.lit(str(words)), "array<bigint>")
+    return F.get(held, slot).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
+
+
 def next_documents(docs: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
     """Each row with ``next_<column>`` of the row with the next smaller doc_id (after the smallest: the largest).
 
@@ -68,7 +81,8 @@ def next_documents(docs: DataFrame, columns: list[str], block: int = BLOCK) -> D
     tops = d.groupBy("_b").agg(F.max("doc_id").alias("doc_id"))
     above = Window.orderBy("_b")
     to = tops.withColumn("_to", F.coalesce(F.lead("_b").over(above), F.first("_b").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    guests = d.join(to.select("doc_id", "_to"), "doc_id").withColumn("_b", F.col("_to")).drop("_to").withColumn("_guest", F.lit(True))
+    to = stage(to)
+    guests = d.filter(_maybe_in(to, "doc_id")).join(to.select("doc_id", "_to"), "doc_id").withColumn("_b", F.col("_to")).drop("_to").withColumn("_guest", F.lit(True))
     both = d.withColumn("_guest", F.lit(False)).unionByName(guests)
     w = Window.partitionBy("_b").orderBy(F.col("_guest"), F.col("doc_id").desc())
     out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
