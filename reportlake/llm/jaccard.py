@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import stage
+from .common import keyed, stage
 from .graph import components
 from .textnum import Words, chunks, mix, prefix, signed, spans
 
@@ -28,6 +28,8 @@ from .textnum import Words, chunks, mix, prefix, signed, spans
 RARE = 24
 ROUNDS = 3
 K = 2
+#: First places of a prefix that the rounds look at; the last search takes all.
+ROUND_PLACES = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +110,25 @@ def _possible(num: int, den: int):
     return (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
 
 
+def _enough(rare, num: int, den: int):
+    """Shared shingles of the prefixes and what is left of the longer rest can reach the overlap that a link needs.
+
+    Shared shingles beyond both prefixes lie beyond the one that ends first, so they are at most the rest of one set.
+    """
+    rest = lambda n: n - F.least(n, n - F.ceil(F.lit(num) * n / F.lit(den)) + K)
+    most = rare + F.least("f_a", "f_b") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")))
+    return most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every document.
 
     Two documents link when den * intersection >= num * union of their sets of k-word shingles, A-Z in lower case. class_id is
     the smallest doc_id with the same set, component_id the smallest reachable by links. ``docs``: doc_id
-    (unique), text; other columns are ignored. Null and empty texts have no shingles and are alone. Sets are compared by
+    (null: left out; repeated: a row each), text; other columns are ignored. Null and empty texts have no shingles and are alone. Sets are compared by
     128-bit sums of their hashes and shingles by 64-bit hashes. Copies of a set are one class from the start.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, keyed(docs)
     sets = stage(docs.select("doc_id", "text").mapInArrow(partial(_prefixes, k, num, den), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
     alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"))
     classes = sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
@@ -127,16 +139,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     shared = stage(reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     held = spark.sparkContext.broadcast(bloom.build(shared.select("token")))
     index = stage(reps.mapInArrow(partial(_postings, held), "token long, id long, n long, pos int").join(shared, "token"))
-    held_ids = spark.sparkContext.broadcast(bloom.build(index.select("id").distinct()))
-    texts = docs.select("doc_id", "text").mapInArrow(partial(_masked_texts, held_ids), "doc_id long, text string")
-    texts = stage(texts.join(index.select(F.col("id").alias("doc_id")).distinct(), "doc_id"))
+
+    def texts_of(ids: DataFrame, name: str, text: str) -> DataFrame:
+        """Texts of a column of pairs; the others are held back before the shuffle."""
+        mask = spark.sparkContext.broadcast(bloom.build(ids.distinct()))
+        return docs.select("doc_id", "text").mapInArrow(partial(_masked_texts, mask), "doc_id long, text string").select(F.col("doc_id").alias(name), F.col("text").alias(text))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+        pairs = stage(pairs)
+        x, y = texts_of(pairs.select("a"), "a", "x"), texts_of(pairs.select("b"), "b", "y")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verify, k, num, den), "a long, b long")
 
     links, label = None, None
-    open_index = index.withColumn("c", F.col("id"))
+    few = stage(index.filter(F.col("pos") < ROUND_PLACES))
+    open_index = few.withColumn("c", F.col("id"))
     for r in range(ROUNDS):
         # the hub of a posting is the set with the smallest hash of this round: groups share their hubs
         rank = F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "pos", "c")
@@ -147,19 +163,28 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         found = stage(verified(pairs))
         links = found if links is None else links.unionByName(found)
         label = components(links)
-        open_index = _open(index, label)
-        if found.isEmpty():
+        if found.isEmpty() or r == ROUNDS - 1:
             break
-    rest = stage(open_index)
+        open_index = _open(few, label)
+    rest = _open(index, label)
+    many = rest.filter(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("f"))
+    rest = stage(rest.join(many, "id", "left").fillna(0, ["f"]))
     rare = rest.filter(F.col("df") <= RARE).withColumn("key", F.col("token"))
-    frequent = rest.filter(F.col("df") > RARE)
-    held_by = frequent.groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    held_by = rest.filter(F.col("df") > RARE).groupBy("id", "n", "c", "f").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as key, x.pos as pos))))")
-    combos = held_by.select("id", "n", "c", F.explode(two).alias("p")).select(F.col("p.key").alias("key"), "id", "n", F.col("p.pos").alias("pos"), "c")
-    keyed = rare.select("key", "id", "n", "pos", "c").unionByName(combos)
-    left = keyed.select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "pos", "c")])
-    right = keyed.select("key", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "pos", "c")])
-    pairs = left.join(right, "key").filter("c_a < c_b").filter(_possible(num, den)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    combos = held_by.select("id", "n", "c", "f", F.explode(two).alias("p")).select(F.col("p.key").alias("key"), "id", "n", F.col("p.pos").alias("pos"), "c", "f")
+
+    def met(listed: DataFrame) -> DataFrame:
+        """Pairs of different components under one key whose sizes and places allow a link."""
+        left = listed.select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "pos", "c", "f")])
+        right = listed.select("key", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "pos", "c", "f")])
+        return left.join(right, "key").filter("c_a < c_b").filter(_possible(num, den))
+
+    # shingles that a pair shares in its prefixes: rare ones are counted, frequent ones are at most those of either set
+    both = ["id_a", "id_b", "n_a", "n_b", "f_a", "f_b"]
+    by_rare = met(rare).groupBy(*both).agg(F.count("*").alias("r")).filter(_enough(F.col("r"), num, den))
+    by_two = met(combos).filter(_enough(F.lit(0), num, den)).select(*both)
+    pairs = by_rare.select(*both).unionByName(by_two).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     last = stage(verified(pairs))
     label = components(links.unionByName(last))
     joined = members.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
