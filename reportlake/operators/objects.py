@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.objects import stix_id, valid_stix_id
+from ..sources.bundles import ID_SOURCE
 
 #: Fixed list of object types that a bundle may hold.
 ALLOWED_TYPES = (
@@ -105,7 +106,7 @@ def bundle_documents(objects: DataFrame, model: str, provider: str) -> DataFrame
 
 def bundle_technique_ids(objects: DataFrame) -> DataFrame:
     """bundle_id, ids: sorted distinct ids that start with T of an ATT&CK source in any case. ``objects``: bundle_id, refs."""
-    refs = objects.select("bundle_id", F.explode("refs").alias("r")).filter((F.lower("r.source_name") == "mitre-attack") & F.startswith("r.external_id", F.lit("T")))
+    refs = objects.select("bundle_id", F.explode("refs").alias("r")).filter((F.lower("r.source_name") == ID_SOURCE) & F.startswith("r.external_id", F.lit("T")))
     return refs.groupBy("bundle_id").agg(F.array_sort(F.collect_set("r.external_id")).alias("ids"))
 
 

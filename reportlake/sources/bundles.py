@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the public taxonomy format: source name of technique ids, object types and extension keys.
+ID_SOURCE = "mitre-attack"
+MATRIX, TACTIC = "x-mitre-matrix", "x-mitre-tactic"
+PLATFORMS, SHORT_NAME = "$.x_mitre_platforms", "$.x_mitre_shortname"
+
 REFS = "array<struct<source_name:string,external_id:string>>"
 
 
@@ -44,12 +49,12 @@ def taxonomy_tables(objects: DataFrame) -> dict[str, DataFrame]:
     if objects.isEmpty():
         raise ValueError("the taxonomy holds no objects")
     arr = lambda p: F.coalesce(F.from_json(F.get_json_object("obj", p), "array<string>"), F.array().cast("array<string>"))
-    attack = F.filter("refs", lambda r: F.lower(r["source_name"]) == "mitre-attack")
+    attack = F.filter("refs", lambda r: F.lower(r["source_name"]) == ID_SOURCE)
     technique = objects.filter("type = 'attack-pattern'").select(
-        F.get(attack, F.lit(0))["external_id"].alias("technique_id"), "id", "name", "description", F.transform(arr("$.x_mitre_platforms"), lambda p: F.lower(p)).alias("platforms"),
+        F.get(attack, F.lit(0))["external_id"].alias("technique_id"), "id", "name", "description", F.transform(arr(PLATFORMS), lambda p: F.lower(p)).alias("platforms"),
         F.from_json(F.get_json_object("obj", "$.kill_chain_phases[*].phase_name"), "array<string>").alias("phases"), F.coalesce(F.get_json_object("obj", "$.revoked") == "true", F.lit(False)).alias("revoked"), "pos")
-    tactic = objects.filter("type = 'x-mitre-tactic'").select(F.col("id").alias("ref"), F.get_json_object("obj", "$.x_mitre_shortname").alias("phase"))
-    refs = objects.filter("type = 'x-mitre-matrix'").select(F.posexplode(arr("$.tactic_refs")).alias("place", "ref"))
+    tactic = objects.filter(F.col("type") == TACTIC).select(F.col("id").alias("ref"), F.get_json_object("obj", SHORT_NAME).alias("phase"))
+    refs = objects.filter(F.col("type") == MATRIX).select(F.posexplode(arr("$.tactic_refs")).alias("place", "ref"))
     kill_chain = refs.join(tactic, "ref").groupBy("phase").agg(F.min("place").alias("rank"))
     rel = objects.filter("type = 'relationship'").select(F.col("source_ref").alias("src"), F.col("relationship_type").alias("rel_type"), F.col("target_ref").alias("dst"))
     return {"technique": technique, "kill_chain": kill_chain, "relationship": rel}
