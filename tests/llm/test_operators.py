@@ -262,6 +262,38 @@ def test_sharding_splits_a_group_larger_than_a_shard(spark):
     assert len(got) == 300 and max(n.values()) - min(n.values()) <= 1
 
 
+def spread(got):
+    """Number of shards of each text."""
+    shards = {}
+    for r in got:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    return {t: len(s) for t, s in shards.items()}
+
+
+def test_sharding_gives_each_group_no_more_shards_than_it_needs(spark):
+    # "same" is a third of all rows; the others are in groups of 2 to 9; no row is without links
+    sizes = [400, *(2 + i % 8 for i in range(145))]
+    sizes.append(1200 - sum(sizes))
+    texts = [f"t{i}" for i, g in enumerate(sizes) for _ in range(g)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for shards in (7, 40):
+        got = sharding.shard_documents(df, shards).collect()
+        n, quota = Counter(r.shard for r in got), len(texts) // shards
+        assert len(got) == len(texts) and set(n.values()) <= {quota, quota + 1}
+        per, need = spread(got), {zlib.crc32(f"t{i}".encode()): -(-g // quota) for i, g in enumerate(sizes)}
+        assert per[zlib.crc32(b"t0")] <= need[zlib.crc32(b"t0")] + 1
+        # only a group that meets the end of a shard may be split further
+        assert sum(per[t] > need[t] for t in per) < shards
+
+
+def test_sharding_of_groups_queued_at_shard_ends(spark):
+    # groups of two in shards of 51 and 50 rows: all small, nearly all rows linked
+    df = spark.range(2021).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 2).cast("string").alias("text"))
+    got = sharding.shard_documents(df, 40).collect()
+    assert len(got) == 2021 and set(Counter(r.shard for r in got).values()) == {50, 51}
+    assert sum(n > 1 for n in spread(got).values()) <= 11
+
+
 def test_spotsigs(docs, empty, rows):
     got = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs).collect()}
     text = {r[0]: r[1] or "" for r in rows}
