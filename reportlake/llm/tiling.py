@@ -37,55 +37,71 @@ def tiles(a: np.ndarray, b: np.ndarray, min_run: int = MIN_RUN) -> list[tuple[in
     order = np.argsort(keys_b, kind="stable")
     ranked = keys_b[order]
     left, right = np.searchsorted(ranked, keys_a, "left"), np.searchsorted(ranked, keys_a, "right")
-    pairs = [(i, int(order[k])) for i in np.flatnonzero(right > left).tolist() for k in range(left[i], right[i])]
+    per = right - left
+    i = np.repeat(np.arange(len(keys_a)), per)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(left, per)]
+    # neighbours on a diagonal belong to one match: a run's length is the way to the end of its match
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    ends = np.ones(len(i), bool)
+    ends[:-1] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    last = np.flatnonzero(ends)
+    size = last[np.searchsorted(last, np.arange(len(i)))] - np.arange(len(i)) + min_run
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    while pairs:
-        best, lives = (0, 0, 0, 0), []
-        for i, j in pairs:
-            if not (free_a[i] and free_b[j]):
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            if n >= min_run:
-                lives.append((i, j))
-                best = max(best, (n, -j, -i, 0))
-        if not best[0]:
-            break
-        n, j, i, _ = best
-        found.append((-i, -j, n))
-        free_a[-i : -i + n] = False
-        free_b[-j : -j + n] = False
-        pairs = lives
+    while len(i):
+        best = int(size.max())
+        first = np.flatnonzero(size == best)
+        at = first[np.lexsort((i[first], j[first]))[0]]
+        s, t = int(i[at]), int(j[at])
+        found.append((s, t, best))
+        free_a[s : s + best] = False
+        free_b[t : t + best] = False
+        size = np.minimum(size, np.minimum(_free(free_a)[i], _free(free_b)[j]))
+        lives = size >= min_run
+        i, j, size = i[lives], j[lives], size[lives]
     return found
 
 
+def _free(free: np.ndarray) -> np.ndarray:
+    """Number of free places from each one on to the next that is taken."""
+    taken = np.append(np.flatnonzero(~free), len(free))
+    at = np.arange(len(free))
+    return taken[np.searchsorted(taken, at)] - at
+
+
 def _runs(x: np.ndarray, k: int) -> np.ndarray:
     at = np.arange(len(x) - k + 1)
     return spans(prefix(x), at, at + k)
 
 
 def _seed_rows(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of each item, one row a position; an item of fewer than ``k`` words is its only seed."""
     for rows, data, offsets in chunks(batches):
         w = Words(data, offsets, lower=True)
-        at = w.windows(k)
-        seeds = spans(prefix(w.hash), at, at + k)
-        ids = rows.column(0).take(pa.array(w.text[at]))
-        sizes = w.counts[w.text[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), ids, pa.array(sizes, pa.int64())], names=["seed", "item_id", "item_words"])
+        sums = prefix(w.hash)
+        for size in range(1, k + 1):
+            at = w.windows(size)
+            n = w.counts[w.text[at]]
+            at, n = (at, n) if size == k else (at[n == size], n[n == size])
+            seeds = spans(sums, at, at + size)
+            ids = rows.column(0).take(pa.array(w.text[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), ids, pa.array(n, pa.int64()), pa.array(np.full(len(at), size), pa.int32())], names=["seed", "item_id", "item_words", "width"])
 
 
-def _with_seeds(k: int, mask: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_seeds(widths: list[int], mask: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in chunks(batches):
         w = Words(data, offsets, lower=True)
-        at = w.windows(k)
-        seeds = spans(prefix(w.hash), at, at + k)
+        sums = prefix(w.hash)
+        at = [w.windows(k) for k in widths]
+        seeds = np.concatenate([spans(sums, x, x + k) for x, k in zip(at, widths, strict=True)])
+        of = w.text[np.concatenate(at)]
         hit = bloom.test(mask, seeds)
-        of = w.text[at][hit]
+        seeds, of = signed(seeds[hit]), of[hit]
         if not len(of):
             continue
-        docs = np.unique(of)
-        lists = [np.unique(signed(seeds[hit])[of == d]) for d in docs]
+        order = np.argsort(of, kind="stable")
+        docs, first = np.unique(of[order], return_index=True)
+        lists = [np.unique(x) for x in np.split(seeds[order], first[1:])]
         yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(docs)), rows.column(1).take(pa.array(docs)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "text", "seeds"])
 
 
@@ -99,7 +115,7 @@ def _tile_rows(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for i in range(0, len(b), 64):
             part = b.slice(i, 64)
             docs, items = hashes(part.column(2).to_pylist()), hashes(part.column(3).to_pylist())
-            found = [tiles(d, x, k) for d, x in zip(docs, items, strict=True)]
+            found = [tiles(d, x, max(1, min(k, len(x)))) for d, x in zip(docs, items, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(f) for f in found], pa.int32()), pa.array([max((n for _, _, n in f), default=0) for f in found], pa.int32()), pa.array([sum(n for _, _, n in f) / max(1, len(x)) for f, x in zip(found, items, strict=True)], pa.float64())],
                 names=["doc_id", "item_id", "n_tiles", "longest", "coverage"],
@@ -110,20 +126,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN,
     """doc_id, item_id, n_tiles, longest and coverage of each pair whose tiles cover ``coverage`` of the item.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Words are lower-cased (A-Z) and compared
-    whole. Null texts have no words; items of fewer than ``min_run`` words match nothing. Repeated item texts
+    whole. Null texts have no words; items of fewer than ``min_run`` words match where all their words stand in a row. Repeated item texts
     are items of their own. Rows without doc_id or item_id are left out, repeated documents are found as often. Either table may be empty.
     """
     spark, docs, benchmark = docs.sparkSession, keyed(docs), keyed(benchmark, "item_id")
-    seeds = stage(benchmark.select("item_id", "text").mapInArrow(partial(_seed_rows, min_run), "seed long, item_id long, item_words long").distinct())
+    found = benchmark.select("item_id", "text").mapInArrow(partial(_seed_rows, min_run), "seed long, item_id long, item_words long, width int")
+    seeds = stage(found.groupBy("seed", "item_id").agg(F.count("*").alias("places"), F.min("item_words").alias("item_words"), F.min("width").alias("width")))
     mask = bloom.build(seeds.select("seed"), SLOTS)
+    widths = sorted(r.width for r in seeds.select("width").distinct().collect()) or [min_run]
     held = spark.sparkContext.broadcast(mask)
-    near = stage(docs.select("doc_id", "text").mapInArrow(_masked(min_run, held), "doc_id long, text string, seeds array<long>"))
-    pairs = near.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("item_words").alias("m"))
-    # every tile of l words holds l - min_run + 1 seeds, so covered words are at most min_run times the seeds
+    near = stage(docs.select("doc_id", "text").mapInArrow(_masked(widths, held), "doc_id long, text string, seeds array<long>"))
+    pairs = near.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("n"), F.min("item_words").alias("m"))
+    # every tile of l words holds l - min_run + 1 seed positions of the item, so covered words are at most min_run times the positions of shared seeds
     pairs = pairs.filter(F.col("n") * min_run >= F.col("m") * coverage)
     full = pairs.join(near.select("doc_id", "text"), "doc_id").join(benchmark.select("item_id", F.col("text").alias("item_text")), "item_id").select("doc_id", "item_id", "text", "item_text")
     return full.mapInArrow(partial(_tile_rows, min_run), "doc_id long, item_id long, n_tiles int, longest int, coverage double").filter(F.col("coverage") >= coverage)
 
 
-def _masked(k: int, held):
-    return lambda batches: _with_seeds(k, held.value, batches)
+def _masked(widths: list[int], held):
+    return lambda batches: _with_seeds(widths, held.value, batches)

@@ -156,6 +156,21 @@ def test_decontamination(spark, docs, empty):
     assert tiling.contaminated(empty, bench).count() == 0 and tiling.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_with_repeats_and_of_short_items(spark):
+    repeats = "alpha beta gamma " * 20
+    texts = [(1, "x " + repeats + "y"), (2, "see Two Words here"), (3, "two x words"), (4, "words two"), (5, "alpha beta gamma " * 11), (6, "two")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, repeats), (2, "two words"), (3, ""), (4, "a b c d")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_tiles, r.longest, round(r.coverage, 3)) for r in tiling.contaminated(d, bench).collect())
+    # document 5 holds 33 of 60 words once
+    assert got == [(1, 1, 1, 60, 1.0), (2, 2, 1, 2, 1.0)]
+
+
+def test_tiling_of_long_repeats():
+    a, b = np.tile(np.arange(3, dtype=np.uint64), 1000), np.tile(np.arange(3, dtype=np.uint64), 20)
+    assert tiling.tiles(a, b) == [(0, 0, 60)]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]+") == []
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
