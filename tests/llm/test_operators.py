@@ -227,6 +227,22 @@ def test_lm_bits_are_a_code():
     assert len(seen) == 256 and not any(a != b and b.startswith(a) for a in seen for b in seen)
 
 
+def test_lm_learns_within_short_texts():
+    """A text of few bits that go against the model costs less a bit the longer it is, whatever is scored beside it."""
+    flat = ctxmix._squash((np.arange(33) - 16) / 2)
+    model = ctxmix.Model([np.full(4, 1.0, np.float32)] * ctxmix.CONTEXTS, np.full((ctxmix.GATES, ctxmix.CONTEXTS), 0.4, np.float32), np.tile(flat, ctxmix.GATES))
+
+    def cost(sizes):
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(text)
+        return model.bits(ctxmix.Events(np.zeros(n, np.uint8), [np.zeros(n, np.int32)] * ctxmix.CONTEXTS, np.zeros(n, np.int64), text, np.zeros(len(sizes))), len(sizes))
+
+    short, double = cost([64])[0], cost([128])[0]
+    assert double < 1.9 * short
+    many = cost([64, 128] * 400)
+    assert np.allclose(many[::2], short) and np.allclose(many[1::2], double)
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 100), ("c", 100), (None, 40)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
