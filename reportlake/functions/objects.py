@@ -31,18 +31,29 @@ def valid_stix_id(kind: Column, value: Column) -> Column:
     return F.coalesce(value.startswith(F.concat(kind, F.lit("--"))) & bare.rlike("^[0-9a-fA-F]{32}$"), F.lit(False))
 
 
+# Fixed value: the first object of an answer, with one level of objects inside.
+FIRST_OBJECT = r"\{(?:[^{}]|\{[^{}]*\})*\}"
+
+
+def valid_json(x: Column) -> Column:
+    """Whether the text is one JSON value and nothing else; null counts as not."""
+    # the parser stops after the first value: text behind it fails inside a list or inside an object
+    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), x, F.lit(b))).isNotNull()
+    return F.coalesce((strip(x) != "") & inside("[", "]") & inside('{"v":', "}"), F.lit(False))
+
+
 def salvage_json(raw: Column) -> Column:
     """The JSON text of a model's answer: fences off; as it is, else its first object, else with a closing brace; null if none parses."""
-    bare = strip(F.regexp_replace(raw, r"(?m)^\s*```(?:json)?\s*|```\s*$", ""))
-    block = F.regexp_extract(bare, r"(?s)\{(?:[^{}]|\{[^{}]*\})*\}", 0)
+    bare = strip(F.replace(F.replace(raw, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+    block = F.regexp_extract(bare, FIRST_OBJECT, 0)
     closed = F.when((F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit(""))) == 1) & ~F.contains(bare, F.lit("}")), F.concat(bare, F.lit("}")))
-    ok = lambda c: F.when(F.try_parse_json(c).isNotNull() & (c != ""), c)
+    ok = lambda c: F.when(valid_json(c), c)
     return F.coalesce(ok(bare), ok(block), ok(closed))
 
 
 def canonical_json(x: Column) -> Column:
     """JSON with sorted keys; arrays keep their order; null if it doesn't parse."""
-    return F.to_json(F.try_parse_json(x))
+    return F.when(valid_json(x), F.to_json(F.try_parse_json(x)))
 
 
 def object_key(kind: Column, technique: Column, cve: Column, cpe: Column, vendor: Column, name: Column, version: Column, object_id: Column, raw: Column) -> Column:

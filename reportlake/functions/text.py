@@ -27,11 +27,30 @@ EXTENSION = r"(?i)(?:append(?:ed)?\s+with|renamed?\s+to|suffix(?:ed)?\s+with|ext
 SECRET = r"\bsk-[A-Za-z0-9_-]{8,}\b"
 OUTPUT_MARKER = r"\[\[\s*##\s*\w+\s*(?:##\s*)?\]\]"
 SECRET_KEY = r"(?i)(api[-_]?key|authorization|bearer|(?<!max_)token|secret|password|passwd|credential)"
+# Host names in lists, what is no host, no account and no tool.
+LISTED_HOST = r"(?m)(?:^\s*[\*\-]\s+|\"|\`)([a-zA-Z][a-zA-Z0-9-]{2,30})(?:\"|\`)?\s*$"
+HOST_WORD = r"(?i)\b(host|hostname|computer|machine|target)s?\b"
+HOST_ENDINGS = ("mon", "srv", "server", "dc", "host", "box")
+NO_HOSTS = ("http", "https", "tcp", "udp")
+NO_LISTED_HOSTS = ("the", "next", "also", "step", "phase", "all")
+NO_ACCOUNTS = ("username", "user", "password", "credential")
+NO_PROSE_ACCOUNTS = (
+    "rdp", "ssh", "smb", "kerberos", "ldap", "bitsadmin", "powershell", "exmatter", "infostealer", "blackcat", "windows", "linux", "the", "and",
+)
+NO_TOOLS = (
+    "powershell", "command", "credentials", "domain", "registry", "task", "windows", "linux", "remote", "downloads", "office", "edge", "firefox", "chrome", "files", "extension",
+)
+#: Fixed list: verbs of a report's author, not of an actor.
+REPORTER_VERBS = ("report", "describe", "note", "observe", "identify", "analyze", "assess", "document", "publish", "state")
+#: Fixed list: words that say nothing about a technique.
+REPORT_WORDS = ("analyze", "observe", "identify", "report", "highlight", "find")
 #: Fixed list: extensions that are no markers.
 EXTENSION_STOPLIST = (
-    "com net org gov edu io html htm php asp aspx jsp json xml txt log md pdf png jpg jpeg gif svg yml yaml csv exe dll ps1 py sh bat cmd ini conf cfg iso zip tar gz "
-    "bz2 xz rar msi lnk dat rs go js ts java cs cpp c h hpp rb pl swift kt manifest doc docx xls xlsx ppt pptx rtf tex name type url ref key val id tag"
-).split()
+    "com", "net", "org", "gov", "edu", "io", "html", "htm", "php", "asp", "aspx", "jsp", "json", "xml", "txt", "log", "md", "pdf", "png", "jpg",
+    "jpeg", "gif", "svg", "yml", "yaml", "csv", "exe", "dll", "ps1", "py", "sh", "bat", "cmd", "ini", "conf", "cfg", "iso", "zip", "tar", "gz", "bz2",
+    "xz", "rar", "msi", "lnk", "dat", "rs", "go", "js", "ts", "java", "cs", "cpp", "c", "h", "hpp", "rb", "pl", "swift", "kt", "manifest", "doc",
+    "docx", "xls", "xlsx", "ppt", "pptx", "rtf", "tex", "name", "type", "url", "ref", "key", "val", "id", "tag",
+)
 #: Fixed pairs: a phrase and what stands for any text that contains it.
 CANONICAL_PHRASES = (
     ("tampering with group policy objects", "modify domain policy configuration"),
@@ -139,7 +158,7 @@ def registry_keys(x: Column) -> Column:
 def marker_extensions(x: Column) -> Column:
     """Appended or renamed-to extensions, with their dot, without common ones."""
     ext = F.transform(matches(x, EXTENSION, 1), lambda v: F.lower(v))
-    kept = F.filter(ext, lambda v: (F.length(v) >= 3) & ~v.isin(EXTENSION_STOPLIST))
+    kept = F.filter(ext, lambda v: (F.length(v) >= 3) & ~v.isin(*EXTENSION_STOPLIST))
     return sorted_set(F.transform(kept, lambda v: F.concat(F.lit("."), v)))
 
 
@@ -171,6 +190,20 @@ def without_secrets(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: ~secret_key(k))
 
 
+def without_secrets_deep(m: Column, levels: int = 3) -> Column:
+    """A map of names to JSON values without secret names, inside nested objects too, down to ``levels`` of them; values keep their JSON."""
+    m = without_secrets(m)
+    if levels <= 0:
+        return m
+    inner = lambda v: F.from_json(v, "map<string,string>")
+
+    def clean(k, v):
+        nested = F.startswith(F.coalesce(v, F.lit("")), F.lit("{"))
+        return F.when(nested, F.to_json(without_secrets_deep(inner(v), levels - 1))).otherwise(v)
+
+    return F.transform_values(m, clean)
+
+
 def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"(?<=[.?!])\s+"), lambda s: strip(s)), lambda s: s != "")
 
@@ -206,10 +239,28 @@ def iso_utc(ts: Column) -> Column:
 
 
 def light_html(x: Column) -> Column:
-    """Escape markup, then ``**bold**`` and ``- item`` lines as HTML."""
-    safe = F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    bold = F.regexp_replace(safe, r"\*\*([^*\n]+)\*\*", "<b>$1</b>")
-    return F.regexp_replace(bold, r"(?m)^\s*[-*] (.*)$", "<li>$1</li>")
+    """Markup as HTML: text is escaped, ``**bold**`` becomes strong, ``- item`` and ``• item`` lines become nested lists, two blanks a level, other lines paragraphs; a blank line ends lists.
+
+    The tags of a line follow from its depth and that of the line before, so all are written side by side.
+    """
+    safe = x
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        safe = F.replace(safe, F.lit(a), F.lit(b))
+    bold = F.regexp_replace(safe, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    lines = F.split(bold, r"\r?\n")
+    item = r"^(\s*)[-•]\s+(.*)$"
+    depth = lambda s: F.when(s.rlike(item), F.greatest(F.lit(1), F.floor(F.length(F.regexp_extract(s, item, 1)) / 2).cast("int") + 1)).otherwise(F.lit(0))
+    with_depth = F.transform(lines, lambda s: F.struct(s.alias("s"), depth(s).alias("d")))
+    up, down = lambda n: F.repeat(F.lit("<ul>"), n), lambda n: F.repeat(F.lit("</li></ul>"), n)
+
+    def written(line, i):
+        d, last = line["d"], F.when(i > 0, F.get(with_depth, i - 1)["d"]).otherwise(0)
+        tags = F.when(d == 0, down(last)).when(d > last, up(d - last)).otherwise(F.concat(down(last - d), F.lit("</li>")))
+        body = F.when(d > 0, F.concat(F.lit("<li>"), F.regexp_extract(line["s"], item, 2))).when(strip(line["s"]) != "", F.concat(F.lit("<p>"), strip(line["s"]), F.lit("</p>"))).otherwise("")
+        return F.concat(tags, body)
+
+    ends = down(F.element_at(with_depth, -1)["d"])
+    return F.when(F.coalesce(x, F.lit("")) == "", "").otherwise(F.concat(F.array_join(F.transform(with_depth, written), ""), ends))
 
 
 def preview(values: Column, k: int) -> Column:

@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.objects import valid_json
 
 ENTROPY_LIMIT = 4.8
-TEXT, HTML, IMAGE, PDF = (".txt", ".md"), (".html", ".htm"), (".png", ".jpg", ".jpeg", ".gif", ".svg"), (".pdf",)
+TEXT, HTML, IMAGE, PDF = (".txt", ".md"), (".html", ".htm"), (".png", ".jpg", ".jpeg", ".gif"), (".pdf",)
 #: A small lexicon stands in for a tagger: verbs of reports in four languages.
 VERBS = "is are was were be has have had uses used est sont a ont ist sind wird hat es son fue tiene".split()
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for an empty text. One pass a distinct character, inside the row."""
+    """Shannon entropy of the characters in bits; 0 for an empty text. The sorted characters are passed once, inside the row."""
     n = F.length(text)
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", 0).otherwise(n - F.length(F.replace(text, c, F.lit("")))).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+    weight = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+
+    def step(s, c):
+        same = s["c"] == c
+        return F.struct(c.alias("c"), F.when(same, s["n"] + 1.0).otherwise(F.lit(1.0)).alias("n"), F.when(same, s["total"]).otherwise(s["total"] + weight(s["n"])).alias("total"))
+
+    total = F.aggregate(F.sort_array(F.split(text, "")), zero, step, lambda s: s["total"] + weight(s["n"]))
     return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
 
 
@@ -25,28 +32,41 @@ def code_blob(text: Column) -> Column:
     return entropy(text) > ENTROPY_LIMIT
 
 
+def prose_counts(text: Column) -> Column:
+    """Struct of sentences, tokens, alphabetic tokens and verbs of a text."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    n = lambda keep: F.size(F.filter(words, keep))
+    return F.struct(F.regexp_count(text, F.lit(r"[.!?](\s|$)")).alias("n_sentences"), F.size(words).alias("n_tokens"), n(lambda w: w.rlike(r"^\p{L}+$")).alias("n_alpha"), n(lambda w: w.isin(VERBS)).alias("n_verbs"))
+
+
+def dominant(counts: Column) -> Column:
+    """Prose: two sentences, two verbs and a quarter of alphabetic tokens, by :func:`prose_counts`."""
+    return (counts["n_sentences"] >= 2) & (counts["n_verbs"] >= 2) & (counts["n_tokens"] > 0) & (counts["n_alpha"] >= 0.25 * counts["n_tokens"])
+
+
 def prose_columns(df: DataFrame, column: str = "text") -> DataFrame:
-    """n_sentences, n_tokens, n_alpha, n_verbs and ``dominant``: two sentences, two verbs and a quarter of alphabetic tokens."""
-    t = F.col(column)
-    words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
-    out = df.withColumn("n_sentences", F.regexp_count(t, F.lit(r"[.!?](\s|$)")))
-    out = out.withColumn("_w", words).withColumn("n_tokens", F.size("_w"))
-    out = out.withColumn("n_alpha", F.size(F.filter("_w", lambda w: w.rlike(r"^\p{L}+$")))).withColumn("n_verbs", F.size(F.filter("_w", lambda w: w.isin(VERBS)))).drop("_w")
-    ratio = F.when(F.col("n_tokens") > 0, F.col("n_alpha") / F.col("n_tokens")).otherwise(0.0)
-    return out.withColumn("dominant", (F.col("n_sentences") >= 2) & (F.col("n_verbs") >= 2) & (ratio >= 0.25))
+    """Add the counts of :func:`prose_counts` and ``dominant``."""
+    out = df.withColumn("_p", prose_counts(F.col(column))).withColumn("dominant", dominant(F.col("_p")))
+    return out.select(*[c for c in out.columns if c not in ("_p", "dominant")], "_p.*", "dominant")
 
 
 def route(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
-    """stem, status and skip_reason of each file by extension and content; gates apply in the order empty, code, name."""
+    """stem, status and skip_reason of each file by extension and content; gates apply in the order empty, code, name.
+
+    Text is code if its entropy is high and prose doesn't dominate. A name without three letters in a row before its extension is
+    no document's. A PDF whose text could not be read (null) is an error.
+    """
     ext, t = tx.extension(F.col(name)), tx.strip(F.coalesce(F.col(text), F.lit("")))
+    stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     skip = (
         F.when(ext.isin(*TEXT) & (t == ""), "empty")
-        .when(ext.isin(*TEXT) & code_blob(F.col(text)), "code")
-        .when(ext.isin(*TEXT) & ~F.col(name).rlike("[a-zA-Z]{3,}"), "filename")
+        .when(ext.isin(*TEXT) & code_blob(F.col(text)) & ~dominant(prose_counts(F.col(text))), "code")
+        .when(ext.isin(*TEXT) & ~stem.rlike("[a-zA-Z]{3,}"), "filename")
+        .when(ext.isin(*PDF) & F.col(text).isNull(), None)
         .when(ext.isin(*HTML, *PDF) & (t == ""), "empty")
         .when(~ext.isin(*TEXT, *HTML, *PDF, *IMAGE), "extension")
     )
-    kind = F.when(ext.isin(*IMAGE), "[IMG]").when(ext.isin(*HTML), "[HTML]").when(ext.isin(*PDF), "[PDF]").otherwise("[TEXT]")
+    kind = F.when(ext.isin(*PDF) & F.col(text).isNull(), "[ERR]").when(ext.isin(*IMAGE), "[IMG]").when(ext.isin(*HTML), "[HTML]").when(ext.isin(*PDF), "[PDF]").otherwise("[TEXT]")
     return df.withColumn("stem", tx.clean_stem(F.col(name))).withColumn("skip_reason", skip).withColumn("status", F.when(F.col("skip_reason").isNotNull(), "[SKIP]").otherwise(kind))
 
 
@@ -78,10 +98,13 @@ def changed(current: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame
 
 
 def accepted_uploads(files: DataFrame, suffixes: tuple[str, ...], stamp: Column) -> DataFrame:
-    """Uploads with an allowed extension; a name taken before gets a stamp before its extension. ``files``: upload_id, name."""
+    """Uploads with an allowed extension; a name taken before gets a stamp before its extension. ``files``: upload_id, name, and
+    optionally content, where JSON files must hold one JSON value."""
     from pyspark.sql import Window
 
     ok = files.filter(tx.extension(F.col("name")).isin(*suffixes))
+    if "content" in files.columns:
+        ok = ok.filter((tx.extension(F.col("name")) != ".json") | valid_json(F.col("content")))
     n = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("upload_id"))
     renamed = F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("_"), stamp, F.lit("_"), n.cast("string"), tx.extension(F.col("name")))
     return ok.withColumn("_n", n).withColumn("stored_name", F.when(F.col("_n") == 1, F.col("name")).otherwise(renamed)).drop("_n")

@@ -10,33 +10,58 @@ from ..functions.objects import cosine
 from .extract import top_per
 
 
+def held_by(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of ``inner`` and ``outer`` where text ``a`` (not empty) stands inside text ``b``.
+
+    The first three characters of ``a``, or all of a shorter one, are looked up among the parts of that length of ``b`` by a hash join, so no pair without a common part is built.
+    """
+    size = F.least(F.lit(3), F.length(a))
+    parts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - k + 1, F.lit(1))), lambda i: F.substring(F.col(b), i, F.lit(k)))
+    left = inner.filter(F.length(a) > 0).withColumn("_part", F.substring(F.col(a), F.lit(1), size))
+    right = outer.withColumn("_part", F.explode(F.array_distinct(F.concat(parts(1), parts(2), parts(3)))))
+    return left.join(right, "_part").filter(F.contains(b, F.col(a))).drop("_part")
+
+
 def resolve_fragments(fragments: DataFrame, techniques: DataFrame) -> DataFrame:
     """fragment, technique_id: the best technique whose name holds the fragment.
 
     Not revoked before revoked, then equal before suffix before substring, then the shorter name, sub-technique
     before parent, id.
     """
-    f, t = F.lower("fragment"), F.lower("name")
-    hit = techniques.join(F.broadcast(fragments.select("fragment").distinct()), F.contains(t, f))
-    rank = F.when(t == f, 0).when(F.endswith(t, f), 1).otherwise(2)
+    wanted = fragments.select("fragment").distinct().withColumn("_f", F.lower("fragment"))
+    hit = held_by(wanted, techniques.withColumn("_t", F.lower("name")), "_f", "_t")
+    rank = F.when(F.col("_t") == F.col("_f"), 0).when(F.endswith("_t", F.col("_f")), 1).otherwise(2)
     order = [F.col("revoked").cast("int"), rank, F.length("name"), (~F.contains("technique_id", F.lit("."))).cast("int"), F.col("technique_id")]
     return top_per(hit, ["fragment"], order, 1).select("fragment", "technique_id")
 
 
+#: Patterns of a taxonomy's anchors, at most; they become expressions of the plan.
+MOST_ANCHORS = 1000
+
+
 def anchor_hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """doc_id, anchor_id, fragment, confidence, evidence: first match of each anchor (anchor_id, pattern, fragment, confidence).
 
-    ``anchors`` is a dimension of tens of patterns: it is broadcast, and the text is scanned where it is.
+    ``anchors`` is a dimension of at most ``MOST_ANCHORS`` rows, more are an error: each pattern is compiled once, and a text is scanned where it is.
     """
-    j = docs.join(F.broadcast(anchors), F.expr("text rlike pattern"))
-    found = F.expr("regexp_extract(text, pattern, 0)")
-    at = F.expr("regexp_instr(text, pattern)")
-    return j.select("doc_id", "anchor_id", "fragment", "confidence", tx.evidence_window(F.col("text"), at, F.length(found)).alias("evidence"))
+    rows = anchors.select("anchor_id", "pattern", "fragment", "confidence").limit(MOST_ANCHORS + 1).collect()
+    if len(rows) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    t = F.col("text")
+
+    def hit(r):
+        length = F.length(F.regexp_extract(t, r.pattern, 0))
+        found = F.struct(F.lit(r.anchor_id).alias("anchor_id"), F.lit(r.fragment).alias("fragment"), F.lit(r.confidence).cast("double").alias("confidence"), tx.evidence_window(t, F.regexp_instr(t, F.lit(r.pattern)), length).alias("evidence"))
+        return F.when(t.rlike(r.pattern), found)
+
+    if not rows:
+        return docs.select("doc_id").limit(0).join(anchors.select("anchor_id", "fragment", "confidence").limit(0)).withColumn("evidence", F.lit(""))
+    return docs.select("doc_id", F.inline(F.filter(F.array(*map(hit, rows)), lambda h: h.isNotNull())))
 
 
 def grounded(hits: DataFrame, resolved: DataFrame) -> DataFrame:
     """One row a document and technique: confidence of the first anchor plus 0.05 for each further one, at most 1; evidence of the first."""
-    j = hits.join(F.broadcast(resolved), "fragment")
+    j = hits.join(resolved, "fragment")
     first = F.min_by(F.struct("confidence", "evidence", "anchor_id"), "anchor_id")
     g = j.groupBy("doc_id", "technique_id").agg(first.alias("f"), F.count("*").alias("n"))
     return g.select("doc_id", "technique_id", F.round(F.least(F.lit(1.0), F.col("f.confidence") + 0.05 * (F.col("n") - 1)), 3).alias("confidence"), F.col("f.evidence").alias("evidence"), F.col("f.anchor_id").alias("anchor_id"))
@@ -61,7 +86,7 @@ def collapse_parents(found: DataFrame) -> DataFrame:
 def attested_platforms(docs: DataFrame, techniques: DataFrame) -> DataFrame:
     """doc_id, attested: platforms of the taxonomy that stand in the text as whole words, sorted."""
     words = techniques.select(F.explode("platforms").alias("p")).select(F.lower("p").alias("p")).distinct()
-    j = docs.select("doc_id", "text").join(F.broadcast(words), F.expr(r"lower(text) rlike concat('\\b\\Q', p, '\\E\\b')"), "left")
+    j = docs.select("doc_id", "text").join(words, F.expr(r"lower(text) rlike concat('\\b\\Q', p, '\\E\\b')"), "left")
     return j.groupBy("doc_id").agg(F.array_sort(F.collect_set("p")).alias("attested"))
 
 
@@ -76,13 +101,33 @@ def single_platform_ok(platforms: Column, text: Column) -> Column:
     return ~((F.size(platforms) == 1) & (F.instr(F.lower(text), F.lower(F.get(platforms, F.lit(0)))) == 0))
 
 
-def behaviour_quality(behaviours: DataFrame, stop_words: list[str]) -> DataFrame:
-    """Add tokens and reject_reason: missing text, fewer than 4 tokens, or three quarters of stop words."""
-    t = tx.tokens(F.coalesce("text", F.lit("")))
-    out = behaviours.withColumn("tokens", t)
+def has_object(tokens: Column, verbs: list[str], stop_words: list[str]) -> Column:
+    """A verb with a word after it that is neither a verb nor a stop word: the lexical stand-in for a verb and its object."""
+    at = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: F.coalesce(F.get(tokens, i).isin(verbs), F.lit(False)))
+    after = F.slice(tokens, F.coalesce(F.get(at, F.lit(0)), F.lit(0)) + 2, F.greatest(F.size(tokens), F.lit(1)))
+    return (F.size(at) > 0) & F.exists(after, lambda w: ~w.isin([*verbs, *stop_words]))
+
+
+def behaviour_quality(behaviours: DataFrame, stop_words: list[str], verbs: list[str] | None = None) -> DataFrame:
+    """Add tokens and reject_reason: missing text, no verb with an object (if ``verbs`` are given), fewer than 4 tokens, or three quarters of stop words."""
+    out = behaviours.withColumn("tokens", tx.tokens(F.coalesce("text", F.lit(""))))
     stops = F.size(F.filter("tokens", lambda w: w.isin(stop_words)))
-    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "missing").when(F.size("tokens") < 4, "short").when(stops / F.size("tokens") >= 0.75, "stop-words")
-    return out.withColumn("reject_reason", reason)
+    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "missing")
+    if verbs is not None:
+        reason = reason.when(~has_object(F.col("tokens"), verbs, stop_words), "no-object")
+    return out.withColumn("reject_reason", reason.when(F.size("tokens") < 4, "short").when(stops / F.size("tokens") >= 0.75, "stop-words"))
+
+
+def acting(behaviours: DataFrame, verb: str) -> DataFrame:
+    """Behaviours whose main verb (column ``verb``) isn't one of a report's author."""
+    return behaviours.filter(~F.coalesce(F.lower(verb).isin(*tx.REPORTER_VERBS), F.lit(False)))
+
+
+def distinct_behaviours(behaviours: DataFrame, key: str, order: list[str], text: str, most: int = 20) -> DataFrame:
+    """key, text, n: distinct texts of each key, any case, first spelling kept; the first ``most`` in order."""
+    first = behaviours.groupBy(key, F.lower(text).alias("_k")).agg(F.min(F.struct(*order, text)).alias("f"), F.count("*").alias("n"))
+    rows = first.select(key, F.col(f"f.{text}").alias(text), "n", *[F.col(f"f.{o}").alias(f"_{o}") for o in order])
+    return top_per(rows, [key], [F.col(f"_{o}") for o in order], most).select(key, text, "n")
 
 
 def similarity_term(sim: Column) -> Column:
@@ -99,34 +144,50 @@ def technique_score(name_tokens: Column, behaviour_tokens: Column, document_toke
     return score if sim is None else score + similarity_term(sim)
 
 
-def infer(behaviours: DataFrame, techniques: DataFrame, least: float = 3.0, per_behaviour: int = 2, per_document: int = 15) -> DataFrame:
-    """Best techniques of each behaviour, then of each document.
+def infer(behaviours: DataFrame, docs: DataFrame, techniques: DataFrame, verbs: list[str], stop_words: list[str], least: float = 3.0, per_behaviour: int = 2, per_document: int = 15) -> DataFrame:
+    """doc_id, seq, technique_id, score: best techniques of each qualified behaviour, then of each document.
 
-    ``behaviours``: doc_id, seq, tokens, doc_tokens, vector; ``techniques``: technique_id, tokens, vector. Candidates share a name
+    ``behaviours``: doc_id, seq, text, phase (null if unknown), vector (null if none); ``docs``: doc_id, text; ``techniques``: technique_id, tokens, platforms, phases, vector.
+    Behaviours with a reject reason go, words that only report are not compared, a technique of one platform that the document doesn't name goes.
+    The score is halved if none of the document's known phases is one of the technique's, and multiplied by the text's specificity. Candidates share a name
     token: both sides are exploded and joined on it, so no pair is built without one.
     """
-    b = behaviours.select("doc_id", "seq", F.explode(F.array_distinct("tokens")).alias("tok"))
+    ok = behaviour_quality(behaviours, stop_words, verbs).filter("reject_reason IS NULL").withColumn("specificity", specificity(F.col("tokens"), verbs, stop_words))
+    ok = ok.withColumn("words", F.array_distinct(F.filter("tokens", lambda w: ~w.isin(*tx.REPORT_WORDS))))
+    phases = behaviours.groupBy("doc_id").agg(F.collect_set(F.lower("phase")).alias("doc_phases"))
+    b = ok.select("doc_id", "seq", F.explode("words").alias("tok"))
     t = techniques.select("technique_id", F.explode(F.array_distinct("tokens")).alias("tok"))
     pairs = b.join(t, "tok").select("doc_id", "seq", "technique_id").distinct()
-    full = pairs.join(behaviours, ["doc_id", "seq"]).join(techniques.select("technique_id", F.col("tokens").alias("name_tokens"), F.col("vector").alias("t_vector")), "technique_id")
-    score = F.round(technique_score(F.col("name_tokens"), F.col("tokens"), F.col("doc_tokens"), cosine(F.col("vector"), F.col("t_vector"))), 6)
+    tech = techniques.select("technique_id", F.col("tokens").alias("name_tokens"), F.col("vector").alias("t_vector"), "platforms", F.col("phases").alias("t_phases"))
+    full = pairs.join(ok.select("doc_id", "seq", "words", "vector", "specificity"), ["doc_id", "seq"]).join(tech, "technique_id")
+    full = full.join(docs.select("doc_id", "text"), "doc_id").filter(single_platform_ok(F.col("platforms"), F.col("text"))).join(phases, "doc_id")
+    implausible = (F.size("doc_phases") > 0) & (F.size("t_phases") > 0) & ~F.exists("doc_phases", lambda p: F.exists("t_phases", lambda x: F.contains(F.lower(x), p)))
+    raw = technique_score(F.col("name_tokens"), F.col("words"), tx.tokens(F.col("text")), cosine(F.col("vector"), F.col("t_vector")))
+    score = F.round(raw * F.when(implausible, 0.5).otherwise(1.0) * F.col("specificity"), 6)
     scored = full.select("doc_id", "seq", "technique_id", score.alias("score")).filter(F.col("score") >= least)
     best = top_per(scored, ["doc_id", "seq"], [F.desc("score"), "technique_id"], per_behaviour)
     return top_per(best, ["doc_id"], [F.desc("score"), "seq", "technique_id"], per_document)
 
 
-def specificity(tokens: Column, abstract: list[str], verbs: list[str]) -> Column:
-    """1, less 0.25 without any token but verbs, 0.15 if half are abstract, 0.15 for one bare verb; 0.6 at least."""
-    n = F.size(tokens)
-    v = F.size(F.filter(tokens, lambda w: w.isin(verbs)))
-    a = F.size(F.filter(tokens, lambda w: w.isin(abstract)))
-    loss = F.when(v == n, 0.25).otherwise(0.0) + F.when((n > 0) & (a * 2 >= n), 0.15).otherwise(0.0) + F.when((n == 1) & (v == 1), 0.15).otherwise(0.0)
+#: Fixed list: endings of abstract nouns.
+ABSTRACT_ENDINGS = ("ity", "ness", "tion", "ment")
+
+
+def specificity(tokens: Column, verbs: list[str], stop_words: list[str]) -> Column:
+    """1, less 0.25 without a verb with an object, 0.15 if half of the nouns are abstract by their ending, 0.15 for one verb without object; 0.6 at least.
+
+    Nouns are words that are neither verbs nor stop words.
+    """
+    nouns = F.filter(tokens, lambda w: ~w.isin([*verbs, *stop_words]))
+    abstract = F.size(F.filter(nouns, lambda w: w.rlike("(" + "|".join(ABSTRACT_ENDINGS) + ")$")))
+    n_verbs, has = F.size(F.filter(tokens, lambda w: w.isin(verbs))), has_object(tokens, verbs, stop_words)
+    loss = F.when(~has, 0.25).otherwise(0.0) + F.when((abstract > 0) & (abstract * 2 >= F.size(nouns)), 0.15).otherwise(0.0) + F.when((n_verbs == 1) & ~has, 0.15).otherwise(0.0)
     return F.greatest(F.lit(0.6), 1.0 - loss)
 
 
 def kill_chain_rank(ids: DataFrame, techniques: DataFrame, order: DataFrame, column: str = "technique_id") -> DataFrame:
     """Add rank: earliest phase of the technique; of an unknown id its parent's; last if there is none. ``order``: phase, rank."""
-    by_id = techniques.select("technique_id", F.explode_outer("phases").alias("phase")).join(F.broadcast(order), "phase", "left").groupBy("technique_id").agg(F.min("rank").alias("r"))
+    by_id = techniques.select("technique_id", F.explode_outer("phases").alias("phase")).join(order, "phase", "left").groupBy("technique_id").agg(F.min("rank").alias("r"))
     own = by_id.select(F.col("technique_id").alias(column), F.col("r").alias("own"), F.lit(True).alias("known"))
     parent = by_id.select(F.col("technique_id").alias("_p"), F.col("r").alias("up"))
     j = ids.withColumn("_p", F.substring_index(column, ".", 1)).join(own, column, "left").join(parent, "_p", "left")
@@ -141,15 +202,33 @@ def id_variants(techniques: DataFrame) -> DataFrame:
     return techniques.select("pos", "technique_id", F.explode(keys).alias("key")).groupBy("key").agg(F.max_by("technique_id", "pos").alias("technique_id"))
 
 
+def name_variants(techniques: DataFrame) -> DataFrame:
+    """key, technique_id: lower-case name, and its letters and digits with single blanks; the last row (``pos``) wins a key."""
+    keys = F.array_distinct(F.array(F.lower(F.trim("name")), tx.spaced(F.col("name"))))
+    return techniques.select("pos", "technique_id", F.explode(keys).alias("key")).filter("key <> ''").groupBy("key").agg(F.max_by("technique_id", "pos").alias("technique_id"))
+
+
 def fuzzy_lookup(needles: DataFrame, listing: DataFrame) -> DataFrame:
     """needle, name: the first name in listing order (pos, name) that equals, holds or is held by the needle, letters and digits only."""
-    n, h = tx.squash(F.col("needle")), tx.squash(F.col("name"))
-    names = listing.withColumn("_h", h).filter("_h <> ''")
-    wanted = needles.withColumn("_n", n).filter("_n <> ''")
-    hit = wanted.join(F.broadcast(names), F.expr("instr(_h, _n) > 0 OR instr(_n, _h) > 0"))
+    names = listing.withColumn("_h", tx.squash(F.col("name"))).filter("_h <> ''").select("pos", "name", "_h")
+    wanted = needles.select("needle").distinct().withColumn("_n", tx.squash(F.col("needle"))).filter("_n <> ''")
+    hit = held_by(wanted, names, "_n", "_h").select("needle", "pos", "name").unionByName(held_by(names, wanted, "_h", "_n").select("needle", "pos", "name"))
     return hit.groupBy("needle").agg(F.min_by("name", "pos").alias("name"))
 
 
+def canonical_actors(records: DataFrame, column: str = "raw") -> DataFrame:
+    """doc_id, pos, name, canonical, confidence, source of the valid actors of a JSON list of objects with a name, or of bare names.
+
+    Bare names become rows of confidence 0.5 with the source ``recovered-string``; objects keep theirs. Names are normalised; ``canonical`` has lower-case letters and digits with single blanks.
+    """
+    each = records.select("doc_id", F.posexplode(F.from_json(column, "array<string>")).alias("pos", "x"))
+    is_object = F.startswith("x", F.lit("{"))
+    field = lambda n: F.when(is_object, F.get_json_object("x", f"$.{n}"))
+    rows = each.select("doc_id", "pos", F.coalesce(field("name"), F.when(~is_object, tx.strip(F.col("x")))).alias("name"), field("confidence").cast("double").alias("confidence"), field("source").alias("source"), is_object.alias("o"))
+    ok = rows.filter((F.coalesce("name", F.lit("")) != "") & tx.valid_actor(F.col("name"))).withColumn("name", tx.normal_actor(F.col("name")))
+    return ok.select("doc_id", "pos", "name", tx.spaced(F.col("name")).alias("canonical"), F.when(F.col("o"), F.col("confidence")).otherwise(0.5).alias("confidence"), F.when(F.col("o"), F.col("source")).otherwise("recovered-string").alias("source"))
+
+
 def first_kind(names: DataFrame, wanted: DataFrame, kinds: tuple[str, ...] = ("attack-pattern", "malware", "tool", "intrusion-set")) -> DataFrame:
     """wanted_name, kind, entity_id: the entity of a normalised name, kinds in order of precedence."""
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.objects import stix_id, valid_stix_id
-from ..sources.bundles import ID_SOURCE
+from ..functions.objects import stix_id, valid_json, valid_stix_id
+from ..functions.text import strip
+from ..sources.storage import stage_rows
 
 #: Fixed list of object types that a bundle may hold.
 ALLOWED_TYPES = (
-    "attack-pattern campaign course-of-action grouping identity indicator infrastructure intrusion-set location malware malware-analysis note observed-data "
-    "opinion report threat-actor tool vulnerability relationship sighting file bundle software"
+    "attack-pattern campaign course-of-action identity indicator intrusion-set infrastructure location malware note observed-data "
+    "report threat-actor tool user-account vulnerability relationship"
 ).split()
 
 
@@ -43,48 +44,131 @@ def validate(objects: DataFrame, relationships: DataFrame) -> DataFrame:
     """bundle_id, pos, rule, message of each structural error.
 
     ``objects``: bundle_id, pos, type, id; ``relationships``: bundle_id, pos, rel_type, src, dst. An object
-    without type or id has that error only; only the second and later rows of an id are repeats.
+    without type or id has that error only; only the second and later rows of an id are repeats. Ends are known if an object with type and id has them.
     """
-    o = objects.withColumn("_n", F.when(F.col("id").isNotNull(), F.row_number().over(Window.partitionBy("bundle_id", "id").orderBy("pos"))))
-    pos = F.col("pos").cast("string")
     typed, named = F.coalesce("type", F.lit("")) != "", F.coalesce("id", F.lit("")) != ""
+    # objects without a type are no repeats and known by no relationship
+    o = objects.withColumn("_n", F.when(typed & named, F.row_number().over(Window.partitionBy("bundle_id", "id", typed).orderBy("pos"))))
+    text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)])
     rules = [
-        (1, ~typed, F.concat(F.lit("Object "), pos, F.lit(" missing type"))),
-        (2, typed & ~named, F.concat(F.lit("Object "), pos, F.lit(" missing id"))),
-        (3, typed & named & ~valid_stix_id(F.col("type"), F.col("id")), F.concat(F.lit("Bad id "), "id")),
-        (4, typed & named & (F.col("_n") > 1), F.concat(F.lit("Duplicate id "), "id")),
-        (5, typed & named & ~F.col("type").isin(ALLOWED_TYPES), F.concat(F.lit("Unknown type "), "type")),
+        (1, ~typed, text("Object ", "pos", " missing 'type'.")),
+        (2, typed & ~named, text("Object ", "pos", " of type '", "type", "' missing 'id'.")),
+        (3, typed & named & ~valid_stix_id(F.col("type"), F.col("id")), text("Object ", "pos", " ID '", "id", "' does not match ", "type", "--<uuid4>.")),
+        (4, F.col("_n") > 1, text("Duplicate STIX ID detected: ", "id")),
+        (5, typed & named & ~F.col("type").isin(ALLOWED_TYPES), text("Unknown STIX type '", "type", "' in object ", "pos", ".")),
     ]
-    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(n).alias("rule"), text.alias("message"))) for n, test, text in rules]), lambda r: r.isNotNull())
+    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(n).alias("rule"), message.alias("message"))) for n, test, message in rules]), lambda r: r.isNotNull())
     own = o.select("bundle_id", "pos", F.inline(found))
-    ids = objects.filter("id IS NOT NULL AND type IS NOT NULL").select("bundle_id", "id").distinct()
-    ends = relationships.select("bundle_id", "pos", F.inline(F.array(F.struct(F.lit(6).alias("rule"), F.lit("source_ref").alias("end"), F.col("src").alias("id")), F.struct(F.lit(7).alias("rule"), F.lit("target_ref").alias("end"), F.col("dst").alias("id")))))
-    missing = ends.filter("coalesce(id, '') = ''").select("bundle_id", "pos", "rule", F.concat(F.lit("Relationship missing "), "end").alias("message"))
-    dangling = ends.filter("coalesce(id, '') <> ''").join(ids, ["bundle_id", "id"], "left_anti").select("bundle_id", "pos", "rule", F.concat("end", F.lit(" "), "id", F.lit(" does not exist")).alias("message"))
-    return own.unionByName(missing).unionByName(dangling)
+    ids = objects.filter(typed & named).select("bundle_id", "id").distinct()
+    untyped = relationships.filter(F.coalesce("rel_type", F.lit("")) == "").select("bundle_id", "pos", F.lit(6).alias("rule"), text("Relationship ", "pos", " missing 'relationship_type'.").alias("message"))
+    side = lambda n, name, c: F.struct(F.lit(n).alias("rule"), F.lit(name).alias("side"), F.col(c).alias("id"))
+    ends = relationships.select("bundle_id", "pos", F.inline(F.array(side(7, "source_ref", "src"), side(8, "target_ref", "dst"))))
+    missing = ends.filter(~named).select("bundle_id", "pos", "rule", text("Relationship ", "pos", " missing '", "side", "'.").alias("message"))
+    dangling = ends.filter(named).join(ids, ["bundle_id", "id"], "left_anti").select("bundle_id", "pos", (F.col("rule") + 2).alias("rule"), text("Relationship ", "pos", " ", "side", " '", "id", "' does not exist.").alias("message"))
+    return own.unionByName(untyped).unionByName(missing).unionByName(dangling)
+
+
+def validate_bundles(bundles: DataFrame) -> DataFrame:
+    """bundle_id, errors: ordered messages of each bundle document (bundle_id, value: JSON text); an empty list if it is valid.
+
+    Errors of the bundle itself come first, then those of objects, then those of relationships, each by place and rule. Objects are not looked at
+    if they are no list or an empty one. Text that is no JSON object has one error.
+    """
+    value = F.when(valid_json(F.col("value")) & F.startswith(strip(F.col("value")), F.lit("{")), F.try_parse_json("value"))
+    b = bundles.select("bundle_id", value.alias("v"))
+    field = lambda path, kind: F.try_variant_get("v", path, kind)
+    bid, objs = F.to_json(F.try_variant_get("v", "$.id", "variant")), F.to_json(F.try_variant_get("v", "$.objects", "variant"))
+    bad_id = F.when(bid.isNull(), 'Bundle missing required field "id".').when(~valid_stix_id(F.lit("bundle"), field("$.id", "string")), F.concat(F.lit('Bundle id "'), field("$.id", "string"), F.lit('" is not a valid bundle--<uuid4>.')))
+    shape = F.when(F.coalesce(objs, F.lit("[]")) == "[]", "Bundle contains zero STIX objects.").when(~F.startswith(objs, F.lit("[")), '"objects" must be a list.')
+    own = F.when(F.col("v").isNull(), F.array(F.lit("Bundle is not a JSON object."))).otherwise(
+        F.filter(F.array(F.when(F.coalesce(field("$.type", "string"), F.lit("")) != "bundle", 'Bundle "type" must be "bundle".'), bad_id, shape), lambda m: m.isNotNull()))
+    heads = b.select("bundle_id", own.alias("own"))
+    listed = b.filter(F.startswith(objs, F.lit("["))).select("bundle_id", F.posexplode(F.from_json(objs, "array<string>")).alias("pos", "obj"))
+    is_object = F.startswith(F.coalesce("obj", F.lit("")), F.lit("{"))
+    get = lambda n, alias: F.get_json_object("obj", f"$.{n}").alias(alias)
+    each = listed.filter(is_object).select("bundle_id", "pos", get("type", "type"), get("id", "id"), get("relationship_type", "rel_type"), get("source_ref", "src"), get("target_ref", "dst"))
+    strange = listed.filter(~is_object).select("bundle_id", "pos", F.lit(0).alias("rule"), F.concat(F.lit("Object "), F.col("pos").cast("string"), F.lit(" is not a JSON object.")).alias("message"))
+    found = validate(each.select("bundle_id", "pos", "type", "id"), each.filter("type = 'relationship'").select("bundle_id", "pos", "rel_type", "src", "dst")).unionByName(strange)
+    order = F.struct((F.col("rule") > 5).alias("late"), "pos", F.when(F.col("rule") > 8, F.col("rule") + 2).otherwise(F.col("rule")).alias("rule"), "message")
+    rolled = found.groupBy("bundle_id").agg(F.array_sort(F.collect_list(order)).alias("e"))
+    errors = F.concat("own", F.coalesce(F.transform("e", lambda x: x["message"]), F.array().cast("array<string>")))
+    return heads.join(rolled, "bundle_id", "left").select("bundle_id", errors.alias("errors"))
 
 
 def fuse(objects: DataFrame, scalars: list[str], lists: list[str], order: list[str] | None = None) -> DataFrame:
     """One row a canonical key (``key``): id of the first object, first non-empty value of each scalar, items of the lists in order
-    of appearance without repeats, number of objects and their distinct ids if several merged.
+    of appearance without repeats, number of objects and, if several merged, their distinct ids in order of appearance.
 
-    Objects are in order of ``order`` (bundle_id, pos). Empty is null or an empty string; zero and false are values. Everything is a
-    built-in aggregate, so copies are merged before the shuffle as far as they can be.
+    Objects are in order of ``order`` (bundle_id, pos). Empty is null or an empty string; zero and false are values. For objects with open keys see :func:`fuse_documents`.
     """
     at = F.struct(*(order or ["bundle_id", "pos"]))
-    aggs = [F.min_by("id", at).alias("id"), F.count("*").alias("n_objects")]
+    # the smallest place of each item and id is found before anything is collected, so what is collected has no repeats
+    aggs = [F.min(F.struct(at.alias("at"), "id"))["id"].alias("id"), F.count("*").alias("n_objects")]
     for c in scalars:
         empty = F.col(c).isNull() | (F.col(c).cast("string") == "")
         aggs.append(F.min_by(F.when(~empty, F.col(c)), F.when(~empty, at)).alias(c))
-    for c in lists:
-        # an item's place is its first one: partial aggregates keep one row an item
-        aggs.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(c).alias("v")))), lambda s: F.coalesce(s["v"], F.array().cast("array<string>")))).alias(c))
-    out = objects.groupBy("key").agg(*aggs, F.array_sort(F.collect_set("id")).alias("fused_from"))
-    for c in lists:
-        out = out.withColumn(c, F.array_distinct(c))
+    out = objects.groupBy("key").agg(*aggs)
+    items = [(c, objects.select("key", at.alias("at"), F.posexplode(c).alias("place", "v"))) for c in lists]
+    items.append(("fused_from", objects.select("key", at.alias("at"), F.lit(0).alias("place"), F.col("id").alias("v")).filter("coalesce(v, '') <> ''")))
+    for c, rows in items:
+        first = rows.groupBy("key", "v").agg(F.min(F.struct("at", "place")).alias("first"))
+        listed = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "v"))), lambda s: s["v"]).alias(c))
+        out = out.join(listed, "key", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     return out.withColumn("fused_from", F.when(F.col("n_objects") > 1, F.col("fused_from")))
 
 
+def fuse_documents(objects: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """key, id, n_objects, fused_from, obj: JSON objects of one ``key`` merged in depth, in order of ``order`` (bundle_id, pos).
+
+    ``objects``: key, the order columns, obj (JSON text; null or no object: left out). Key by key: of values that aren't empty (null, "", [], {}) the first counts;
+    if it is a list, items of later lists follow that are not there yet, told apart by their canonical JSON; if it is an object, the objects
+    merge in the same way; values of another kind than the first are left out. If all are empty the last one stays. The id is
+    that of the first object. ``fused_from`` has the distinct ids of objects that merged, in order; null for a single object. Keys of the result are sorted.
+
+    One pass a level of nesting: each level's values are rows, so nothing but a merged list is ever collected.
+    """
+    at = F.struct(*(order or ["bundle_id", "pos"])).alias("at")
+    base = objects.filter(valid_json(F.col("obj")) & F.startswith(strip(F.col("obj")), F.lit("{"))).select("key", at, "obj")
+    spark = objects.sparkSession
+    ids = base.select("key", "at", F.get_json_object("obj", "$.id").alias("id"))
+    heads = ids.groupBy("key").agg(F.min(F.struct("at", "id"))["id"].alias("id"), F.count("*").alias("n_objects"))
+    first = ids.filter("coalesce(id, '') <> ''").groupBy("key", "id").agg(F.min("at").alias("at"))
+    heads = heads.join(first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda s: s["id"]).alias("fused_from")), "key", "left")
+    open_rows = base.select("key", F.array().cast("array<string>").alias("path"), "at", "obj")
+    levels = []
+    while True:
+        values = spark.sql("SELECT o.key, concat(o.path, array(e.key)) AS path, o.at, to_json(e.value) AS json FROM {o} o, LATERAL variant_explode(parse_json(o.obj)) e", o=open_rows)
+        kind = F.when(F.coalesce("json", F.lit("null")).isin("null", '""', "[]", "{}"), 0).when(F.startswith("json", F.lit("[")), 2).when(F.startswith("json", F.lit("{")), 3).otherwise(1)
+        values = values.filter(~((F.size("path") == 1) & (F.get("path", F.lit(0)) == "id"))).withColumn("kind", kind)
+        full = F.col("kind") > 0
+        lead = values.groupBy("key", "path").agg(
+            F.min(F.when(full, F.struct("at", "kind", "json"))).alias("first"), F.max(F.struct("at", "json"))["json"].alias("last"))
+        lead = stage_rows(lead)
+        ready = lead.filter("first.kind IS NULL OR first.kind = 1").select("key", "path", F.coalesce("first.json", "last", F.lit("null")).alias("json"))
+        lists = values.filter("kind = 2").join(lead.filter("first.kind = 2").select("key", "path", F.col("first.at").alias("start")), ["key", "path"])
+        items = lists.select("key", "path", "at", (F.col("at") == F.col("start")).alias("own"), F.posexplode(F.transform(F.variant_get(F.parse_json("json"), "$", "array<variant>"), lambda x: F.to_json(x))).alias("place", "v"))
+        # repeats inside the first list stay, later ones go
+        later = items.filter("NOT own").join(items.filter("own").select("key", "path", "v").distinct(), ["key", "path", "v"], "left_anti").groupBy("key", "path", "v").agg(F.min(F.struct("at", "place")).alias("first"))
+        kept = items.filter("own").select("key", "path", "v", F.struct("at", "place").alias("first")).unionByName(later)
+        ready = ready.unionByName(kept.groupBy("key", "path").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "v"))), lambda s: s["v"]), ","), F.lit("]")).alias("json")))
+        deeper = values.filter("kind = 3").join(lead.filter("first.kind = 3").select("key", "path"), ["key", "path"]).select("key", "path", "at", F.col("json").alias("obj"))
+        levels.append(ready)
+        deeper = stage_rows(deeper)
+        if deeper.isEmpty():
+            break
+        open_rows = deeper
+    below = None
+    for ready in reversed(levels):
+        rows = ready if below is None else ready.unionByName(below)
+        name = F.to_json(F.array(F.element_at("path", -1)))
+        entry = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), "json")
+        up = F.slice("path", F.lit(1), F.size("path") - 1)
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("k"), entry.alias("e")))), lambda s: s["e"]), ",")
+        below = rows.groupBy("key", up.alias("path")).agg(F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
+    out = heads.join(below.select("key", F.col("json").alias("obj")), "key", "left")
+    return out.select("key", "id", "n_objects", F.when(F.col("n_objects") > 1, F.col("fused_from")).alias("fused_from"), F.coalesce("obj", F.lit("{}")).alias("obj"))
+
+
 def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:
     """src, rel_type, dst, n: edges between surviving ids, equal ones merged; edges with an unknown end go.
 
@@ -104,10 +188,74 @@ def bundle_documents(objects: DataFrame, model: str, provider: str) -> DataFrame
     return g.select("bundle_id", bid.alias("id"), "n_objects", doc.alias("document"))
 
 
-def bundle_technique_ids(objects: DataFrame) -> DataFrame:
-    """bundle_id, ids: sorted distinct ids that start with T of an ATT&CK source in any case. ``objects``: bundle_id, refs."""
-    refs = objects.select("bundle_id", F.explode("refs").alias("r")).filter((F.lower("r.source_name") == ID_SOURCE) & F.startswith("r.external_id", F.lit("T")))
-    return refs.groupBy("bundle_id").agg(F.array_sort(F.collect_set("r.external_id")).alias("ids"))
+def bundle_technique_ids(objects: DataFrame, id_source: str) -> DataFrame:
+    """bundle_id, ids: sorted distinct ids of attack patterns that start with T, of the source ``id_source`` in any case. ``objects``: bundle_id, type, refs."""
+    refs = objects.filter("type = 'attack-pattern'").select("bundle_id", F.explode("refs").alias("r")).select("bundle_id", F.lower("r.source_name").alias("s"), F.trim("r.external_id").alias("id"))
+    return refs.filter((F.col("s") == id_source.lower()) & F.startswith("id", F.lit("T"))).groupBy("bundle_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def bundle_names(objects: DataFrame, stems: DataFrame) -> DataFrame:
+    """bundle_id, title: name of the first actor or intrusion set (``objects``: bundle_id, pos, type, name), else the stem (``stems``: bundle_id, stem)."""
+    actors = objects.filter("type IN ('threat-actor', 'intrusion-set') AND coalesce(name, '') <> ''")
+    first = actors.groupBy("bundle_id").agg(F.min_by("name", "pos").alias("actor"))
+    return stems.join(first, "bundle_id", "left").select("bundle_id", F.coalesce("actor", "stem").alias("title"))
+
+
+def enrich_actors(actors: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Actor objects enriched from intrusion sets, else from actors, of the taxonomy by lower-case name.
+
+    ``actors``: key, name, aliases, refs (null where the report says nothing) and ``extra``, a map of further keys, which become ``x_<key>``;
+    without a name they are left out. ``taxonomy``: kind, name_key, object_id, aliases, own_aliases, refs. What the report says stays; aliases are the taxonomy's,
+    else its own list without the actor's name. ``enriched_from`` is the object that was found. Of several objects of a name the smallest id counts.
+    """
+    rank = F.when(F.col("kind") == "intrusion-set", 0).otherwise(1)
+    known = taxonomy.filter("kind IN ('intrusion-set', 'threat-actor')").groupBy("name_key").agg(
+        F.min_by(F.struct(F.col("object_id").alias("id"), F.col("aliases").alias("aliases"), F.col("own_aliases").alias("own"), F.col("refs").alias("refs")), F.struct(rank, "object_id")).alias("t"))
+    a = actors.filter("coalesce(name, '') <> ''").withColumn("name_key", F.lower(F.trim("name"))).join(known, "name_key", "left")
+    rest = F.filter("t.own", lambda x: F.lower(F.trim(x)) != F.col("name_key"))
+    aliases = F.coalesce("aliases", "t.aliases", F.when(F.size(rest) > 0, rest))
+    extra = F.transform_keys(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: F.concat(F.lit("x_"), k))
+    return a.select("key", "name", aliases.alias("aliases"), F.col("t.own").alias("own_aliases"), F.coalesce(a["refs"], F.col("t.refs")).alias("refs"), F.col("t.id").alias("enriched_from"), extra.alias("extra"))
+
+
+#: Object types that say how somebody behaves, and what a context calls them.
+INTEL_KINDS = {"attack-pattern": "technique", "threat-actor": "actor"}
+
+
+def intel_objects(objects: DataFrame, id_source: str) -> DataFrame:
+    """bundle_id, pos, kind, technique_id, name, description, evidence of the behavioural objects that have a name or a description.
+
+    ``objects``: bundle_id, pos, type, name, description, evidence, refs. The source of ids is compared as written.
+    """
+    kind = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in INTEL_KINDS.items() for x in kv]), lambda k, v: k == F.col("type"))), F.lit(0))
+    text = lambda c: strip(F.coalesce(c, F.lit(""))).alias(c)
+    tid = F.get(F.filter("refs", lambda r: (r["source_name"] == id_source) & (F.coalesce(r["external_id"], F.lit("")) != "")), F.lit(0))["external_id"]
+    o = objects.filter(F.col("type").isin(*INTEL_KINDS)).select("bundle_id", "pos", kind.alias("kind"), strip(F.coalesce(tid, F.lit(""))).alias("technique_id"), text("name"), text("description"), text("evidence"))
+    return o.filter("name <> '' OR description <> ''")
+
+
+def intel_block(kind: Column, technique_id: Column, name: Column, description: Column, evidence: Column) -> Column:
+    """An object as a block of text: heading, what the report says, description."""
+    heading = F.array_join(F.filter(F.array(technique_id, name), lambda x: x != ""), " ")
+    said = F.when(evidence != "", F.concat(F.lit("Observed in report: "), evidence))
+    return F.concat_ws("\n", F.concat(F.lit("### "), F.when(heading != "", heading).otherwise(kind)), said, F.nullif(description, F.lit("")))
+
+
+def object_report(objects: DataFrame, stamp: Column) -> DataFrame:
+    """bundle_id, report: a bundle's malware, tools, actors, infrastructure, techniques and relationships as sections of text; ``(none)`` for an empty one.
+
+    ``objects``: bundle_id, pos, type, id, name, source_ref, target_ref, relationship_type.
+    """
+    sections = {"malware": "Malware", "tool": "Tools", "threat-actor": "Threat Actors", "infrastructure": "Infrastructure", "attack-pattern": "Attack Patterns (TTPs)", "relationship": "Relationships"}
+    none = lambda c: F.coalesce(c, F.lit("None"))
+    line = F.when(F.col("type") == "relationship", F.concat(none("source_ref"), F.lit(" --["), none("relationship_type"), F.lit("]→ "), none("target_ref"))).otherwise(F.concat(none("name"), F.lit("  ("), none("id"), F.lit(")")))
+    rows = objects.select("bundle_id", "pos", "type", line.alias("line"))
+    lines = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == t, F.struct("pos", "line")))), lambda s: F.concat(F.lit("  - "), s["line"]))
+    g = rows.groupBy("bundle_id").agg(F.count("*").alias("n"), *[lines(t).alias(t) for t in sections])
+    body = [F.concat(F.lit(f"{title}:\n"), F.when(F.size(f"`{t}`") > 0, F.array_join(f"`{t}`", "\n")).otherwise("  (none)"), F.lit("\n")) for t, title in sections.items()]
+    bar = F.lit("=" * 72)
+    head = [bar, F.lit("CONVERSION REPORT"), bar, F.concat(F.lit("Generated: "), stamp), F.concat(F.lit("Bundle: "), F.col("bundle_id").cast("string")), F.concat(F.lit("Objects: "), F.col("n").cast("string")), F.lit("")]
+    return g.select("bundle_id", F.concat_ws("\n", *head, *body, bar, F.lit("END OF REPORT"), bar).alias("report"))
 
 
 def bundle_metrics(objects: DataFrame) -> DataFrame:

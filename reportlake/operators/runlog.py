@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.objects import valid_json
 from .extract import top_per
 
 
@@ -19,6 +23,55 @@ def context_within(blocks: DataFrame, budget: int, key: str = "conv_id", order:
     return b.groupBy(key).agg(F.count("*").alias("n")).join(kept, key).select(key, "n_kept", "used", (F.col("n") - F.col("n_kept")).alias("omitted"))
 
 
+@dataclass(frozen=True)
+class Enricher:
+    """A named step that adds the columns ``fields`` to prompts; ``enrich`` takes the prompts and its settings and returns them with these columns."""
+
+    name: str
+    fields: tuple[str, ...]
+    enrich: Callable[[DataFrame, dict], DataFrame]
+
+
+def enriched(prompts: DataFrame, enrichers: list[Enricher], settings: dict[str, dict]) -> DataFrame:
+    """``prompts`` with the columns of the enrichers that ``settings`` names, in order. An unknown name, or an enricher that doesn't add what it declares, is an error."""
+    known = {e.name for e in enrichers}
+    if missing := sorted(set(settings) - known):
+        raise ValueError(f"unknown enrichers: {missing}")
+    for e in enrichers:
+        if e.name in settings:
+            prompts = e.enrich(prompts, settings[e.name])
+            if lost := [f for f in e.fields if f not in prompts.columns]:
+                raise ValueError(f"{e.name} does not add {lost}")
+    return prompts
+
+
+def intel_context(blocks: DataFrame, budget: int, key: str = "bundle_id", order: str = "pos", text: str = "block") -> DataFrame:
+    """key, context: blocks of each key in order while the token budget lasts, the first always, then a note on the number left out."""
+    w = Window.partitionBy(key).orderBy(order)
+    cost = tx.estimate_tokens(F.col(text))
+    b = blocks.withColumn("_cum", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(w))
+    keep = (F.col("_rn") == 1) | (F.col("_cum") <= budget)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(order, text)))), lambda s: s[text]), "\n\n")
+    left = F.count_if(~keep)
+    note = F.when(left > 0, F.concat(F.lit("\n\n["), left.cast("string"), F.lit(" further object(s) omitted to stay within the context budget.]"))).otherwise("")
+    return b.groupBy(key).agg(F.concat(body, note).alias("context"))
+
+
+def intel_enricher(blocks: DataFrame, budget: int) -> Enricher:
+    """The enricher that adds the context of the bundles attached to a prompt. ``blocks``: bundle_id, pos, block.
+
+    Prompts have bundle_ids, an array; without any the context is null. An attached bundle without blocks is an error of the job: nothing is skipped silently.
+    """
+    def enrich(prompts: DataFrame, settings: dict) -> DataFrame:
+        each = prompts.select("prompt_id", F.posexplode("bundle_ids").alias("place", "bundle_id"))
+        rows = each.join(blocks, "bundle_id", "left")
+        checked = F.when(F.col("block").isNull(), F.raise_error(F.concat(F.lit("nothing to ground on in bundle "), F.col("bundle_id").cast("string")))).otherwise(F.col("block"))
+        rows = rows.select("prompt_id", F.struct("place", "pos").alias("at"), checked.alias("block"))
+        return prompts.join(intel_context(rows, settings.get("budget", budget), "prompt_id", "at", "block").withColumnRenamed("context", "intel_context"), "prompt_id", "left")
+
+    return Enricher("intel", ("intel_context",), enrich)
+
+
 def last_turns(turns: DataFrame, k: int = 8) -> DataFrame:
     return top_per(turns, ["conv_id"], [F.desc("turn")], k)
 
@@ -47,9 +100,9 @@ def time_to_threshold(events: DataFrame, key: str, entity: str, ts: str, n: int,
 
 
 def latest_stage(events: DataFrame, key: str, stage: str, ts: str, terminal: tuple[str, ...], tie: str) -> DataFrame:
-    """Last stage of each run; one after a terminal stage doesn't replace it."""
-    best = F.struct(F.col(stage).isin(*terminal).alias("t"), F.col(ts).alias("ts"), F.col(tie).alias("tie"))
-    return events.groupBy(key).agg(F.max_by(stage, best).alias("stage"))
+    """Last stage of each run; the first terminal stage stays, whatever comes after it."""
+    at, ended = F.struct(F.col(ts), F.col(tie)), F.col(stage).isin(*terminal)
+    return events.groupBy(key).agg(F.coalesce(F.min_by(F.when(ended, F.col(stage)), F.when(ended, at)), F.max_by(stage, at)).alias("stage"))
 
 
 def orphans(runs: DataFrame, live: DataFrame) -> DataFrame:
@@ -75,9 +128,11 @@ def search(runs: DataFrame, query: str, columns: list[str]) -> DataFrame:
 
 
 def page(runs: DataFrame, group: str, start: str, tie: str, offset: int = 0, limit: int = 100, per_group: int = 1000) -> DataFrame:
-    """Newest first, at most ``per_group`` of each group, then offset and limit."""
+    """Newest first, at most ``per_group`` of each group, then offset and limit; ``total`` is the number of rows before these two."""
     kept = top_per(runs, [group], [F.desc(start), tie], per_group)
-    return kept.orderBy(F.desc(start), tie).offset(offset).limit(limit)
+    total = kept.agg(F.count("*").alias("total"))
+    # one row beside a page
+    return kept.orderBy(F.desc(start), tie).offset(offset).limit(limit).join(F.broadcast(total)).orderBy(F.desc(start), tie)
 
 
 def steps(runs: DataFrame) -> DataFrame:
@@ -87,6 +142,64 @@ def steps(runs: DataFrame) -> DataFrame:
     return each.groupBy("run_id", "idx").pivot("field", ["thought", "tool_name", "tool_args", "observation"]).agg(F.first("v"))
 
 
+def created_entity(runs: DataFrame, tool: str, id_key: str) -> DataFrame:
+    """run_id, name, entity_id, members: what the first call of ``tool`` made, from its arguments and observation; runs without such a call, or whose
+    arguments hold no list ``atomic_ordering``, have no row. Members are ids in order."""
+    s = steps(runs).filter(F.col("tool_name") == tool)
+    first = s.groupBy("run_id").agg(F.min_by(F.struct("tool_args", "observation"), "idx").alias("c")).select("run_id", "c.*")
+    order = F.get_json_object("tool_args", "$.atomic_ordering")
+    ok = valid_json(F.col("tool_args")) & F.startswith(order, F.lit("["))
+    name = F.coalesce(F.nullif(F.get_json_object("tool_args", "$.name"), F.lit("")), F.lit("Unnamed"))
+    made = F.coalesce(F.when(valid_json(F.col("observation")), F.get_json_object("observation", f"$.{id_key}")), F.lit("unknown"))
+    return first.filter(F.coalesce(ok, F.lit(False))).select("run_id", name.alias("name"), made.alias("entity_id"), F.from_json(order, "array<string>").alias("members"))
+
+
+def observed_names(runs: DataFrame, id_key: str) -> DataFrame:
+    """run_id, id, name: entities named in observations, single objects, lists of objects or of JSON texts; the last of an id counts."""
+    o = steps(runs).filter(valid_json(F.col("observation"))).select("run_id", "idx", "observation")
+    many = F.when(F.startswith(F.trim("observation"), F.lit("[")), F.from_json("observation", "array<string>")).otherwise(F.array("observation"))
+    each = o.select("run_id", "idx", F.posexplode(many).alias("place", "x")).select("run_id", "idx", "place", F.get_json_object("x", f"$.{id_key}").alias("id"), F.get_json_object("x", "$.name").alias("name"))
+    return each.filter("id <> '' AND name <> ''").groupBy("run_id", "id").agg(F.max_by("name", F.struct("idx", "place")).alias("name"))
+
+
+def entity_members(created: DataFrame, names: DataFrame) -> DataFrame:
+    """run_id, names: names of a created entity's members in its order; unknown ids go."""
+    each = created.select("run_id", F.posexplode("members").alias("pos", "id")).join(names, ["run_id", "id"])
+    return each.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
+
+
+#: What a sentence that only repeats a panel beside it holds.
+BOILERPLATE = ("I have successfully created", ("abilities", "adversary"))
+
+
+def spoken_sentences(x: Column) -> Column:
+    """Sentences of a thought without those that only announce what was created."""
+    head, parts = BOILERPLATE
+    announced = lambda s: F.contains(s, F.lit(head)) & (F.contains(s, F.lit(parts[0])) | F.contains(s, F.lit(parts[1])))
+    return F.filter(tx.sentences(x), lambda s: ~announced(s))
+
+
+def batch_outcome(files: DataFrame, batch: str, failed: Column) -> DataFrame:
+    """n_done, n_failed and all_failed of each batch: a batch fails only if nothing in it succeeded."""
+    n = F.count_if(failed)
+    return files.groupBy(batch).agg(F.count("*").alias("n_done"), n.alias("n_failed"), (F.count("*") == n).alias("all_failed"))
+
+
+def readiness(agents: DataFrame, group: str, agent: str, platform: str, least: int) -> DataFrame:
+    """Sorted platforms, number of rows with an id, and whether these are enough."""
+    return agents.groupBy(group).agg(F.array_sort(F.collect_set(platform)).alias("platforms"), F.count(agent).alias("n"), (F.count(agent) >= least).alias("ready"))
+
+
+def profiles_by_name(profiles: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """Profiles whose ``column`` is exactly one of ``names`` (same column)."""
+    return profiles.join(names.select(column).distinct(), column, "left_semi")
+
+
+def credit(rows: DataFrame, extractor: Column, model: Column) -> DataFrame:
+    """Add extractor (llm, offline or none) and model, which is credited only for rows that the model made."""
+    return rows.withColumn("extractor", extractor).withColumn("model", F.when(F.col("extractor") == "llm", model))
+
+
 def call_log(events: DataFrame, endpoint: str, code: str) -> DataFrame:
     return events.groupBy(endpoint, code).agg(F.count("*").alias("n"))
 

@@ -1,42 +1,77 @@
-"""Near-duplicate vectors inside groups."""
+"""Near-duplicate vectors inside groups, compared in blocks of bounded size."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.objects import cosine
+from ..sources.storage import stage_rows
+
+#: Vectors of one block, about; two blocks are compared at a time.
+BLOCK = 512
+
+
+def _blocks(vectors: DataFrame, group: str) -> DataFrame:
+    """Vectors of a group and length in blocks by hash, so that a hot group is spread over as many as it needs."""
+    v = vectors.filter(F.size("embedding") > 0).select(group, "vec_id", "embedding", F.size("embedding").alias("dim"))
+    v = v.withColumnRenamed(group, "g")
+    n = v.groupBy("g", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).toDF("n_g", "n_dim", "blocks")
+    placed = v.join(n, F.col("g").eqNullSafe(F.col("n_g")) & (F.col("dim") == F.col("n_dim"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    return placed.groupBy("g", "dim", "block").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("values"))
+
+
+def _compared(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the left block with a smaller id of the right block at the threshold or more."""
+    def unit(values, dim: int) -> np.ndarray:
+        x = np.asarray(values.values, np.float64).reshape(-1, dim)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        # a zero vector is near nothing
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    for b in batches:
+        for dim, ids, values, others, other_values in zip(*(b.column(i) for i in range(5)), strict=True):
+            a, c = np.asarray(ids.values), np.asarray(others.values)
+            near = (unit(values, dim.as_py()) @ unit(other_values, dim.as_py()).T >= threshold) & (c[None, :] < a[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(a[near.any(axis=1)], pa.int64())], names=["vec_id"])
+
+
+def with_earlier(vectors: DataFrame, others: DataFrame, group: str, threshold: float) -> DataFrame:
+    """vec_id of the ``vectors`` that have a row of ``others`` of their group with a smaller vec_id at cosine ``threshold`` or more.
+
+    Only ids leave a comparison, never pairs. Threshold above 0.
+    """
+    a, b = _blocks(vectors, group), _blocks(others, group)
+    b = b.select(F.col("g").alias("g2"), F.col("dim").alias("dim2"), F.col("ids").alias("others"), F.col("values").alias("other_values"))
+    met = a.join(b, F.col("g").eqNullSafe(F.col("g2")) & (F.col("dim") == F.col("dim2"))).select("dim", "ids", "values", "others", "other_values")
+    return met.repartition("dim", F.xxhash64(F.get("ids", F.lit(0)), F.get("others", F.lit(0)))).mapInArrow(partial(_compared, threshold), "vec_id long").distinct()
 
 
 def first_kept(vectors: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:
-    """Rows without an earlier row of the same group at cosine ``threshold`` or more. ``vectors``: group, vec_id, embedding.
+    """Rows without an earlier row of the same group at cosine ``threshold`` or more. ``vectors``: group, vec_id (unique), embedding.
 
-    The keep-smallest-id form of the greedy rule: a row also goes if the earlier one it resembles goes itself.
-    Groups are bounded by their document; across documents use a blocking key as ``group``.
+    The keep-smallest-id form of the greedy rule: a row also goes if the earlier one it resembles goes itself. Null, empty and zero vectors stay.
     """
     a = vectors.select(group, "vec_id", "embedding")
-    b = vectors.select(group, F.col("vec_id").alias("other"), F.col("embedding").alias("other_embedding"))
-    near = a.join(b, group).filter("other < vec_id").filter(cosine(F.col("embedding"), F.col("other_embedding")) >= threshold).select("vec_id").distinct()
-    return a.join(near, "vec_id", "left_anti")
+    return a.join(with_earlier(a, a, group, threshold), "vec_id", "left_anti")
 
 
 def greedy_kept(vectors: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:
-    """The greedy rule itself: a row stays unless it resembles an earlier row that stayed; one task a group."""
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("vec_id")
-        kept, rows = [], []
-        for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-            x = np.asarray(v, float)
-            n = np.linalg.norm(x)
-            if not kept or n == 0 or max(float(x @ k) / n for k in kept) < threshold:
-                rows.append(i)
-                if n:
-                    kept.append(x / n)
-        return pdf[pdf["vec_id"].isin(rows)][[group, "vec_id"]]
-
-    kind = vectors.schema[group].dataType.simpleString()
-    return vectors.select(group, "vec_id", "embedding").groupBy(group).applyInPandas(keep, f"{group} {kind}, vec_id long")
+    """The greedy rule itself: a row stays unless it resembles an earlier row that stayed. Columns: group, vec_id.
+
+    Rounds settle it: rows without an earlier open row that they resemble stay, rows that resemble one that stays go; the others are open for the next round.
+    """
+    open_rows = stage_rows(vectors.select(group, "vec_id", "embedding"))
+    kept = None
+    while True:
+        waiting = stage_rows(with_earlier(open_rows, open_rows, group, threshold))
+        stays = stage_rows(open_rows.join(waiting, "vec_id", "left_anti"))
+        kept = stays if kept is None else kept.unionByName(stays)
+        if waiting.isEmpty():
+            return kept.select(group, "vec_id")
+        rest = stage_rows(open_rows.join(waiting, "vec_id", "left_semi"))
+        open_rows = stage_rows(rest.join(with_earlier(rest, stays, group, threshold), "vec_id", "left_anti"))

@@ -18,10 +18,13 @@ def observables_by_source(t):
     return extract.observables(t("documents").select("doc_id", "source", "text")).groupBy("source", "kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id, value, trim(min_by(line, i)) AS evidence FROM (SELECT doc_id, line, i, unnest(list_transform(regexp_extract_all(line, '\b[a-fA-F0-9]{40}\b'), lambda v: lower(v))) AS value
- FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b) c GROUP BY doc_id, value""")
+_LINE_HASHES = " UNION ALL ".join(rf"SELECT doc_id, '{k}' AS kind, line, i, unnest(list_transform(regexp_extract_all(line, '{_HEX % n}'), lambda v: lower(v))) AS value FROM l" for k, n in (("MD5", 32), ("SHA1", 40), ("SHA256", 64), ("SHA512", 128)))
+_EVIDENCE = f"""SELECT doc_id, kind, value, trim(min_by(line, i)) AS evidence FROM (WITH l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) {_LINE_HASHES}) c GROUP BY doc_id, kind, value"""
+
+
+@query(_EVIDENCE)
 def hash_evidence(t):
-    return extract.hash_evidence(t("documents")).filter("kind = 'SHA1'").select("doc_id", "value", "evidence")
+    return extract.hash_evidence(t("documents")).select("doc_id", "kind", "value", "evidence")
 
 
 @query("""SELECT doc_id, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) > 4.8 AS code FROM
@@ -34,22 +37,23 @@ def entropy_gate(t):
 _EXT = r"lower(regexp_extract(name, '(\.[^.]*)$', 1))"
 
 
+_VERBS = ",".join(f"'{v}'" for v in clean.VERBS)
+_PROSE = rf"""SELECT doc_id, n_sentences, n_tokens, n_alpha, n_verbs, n_sentences >= 2 AND n_verbs >= 2 AND n_tokens > 0 AND n_alpha >= 0.25 * n_tokens AS dominant FROM (
+ SELECT doc_id, len(regexp_extract_all(text, '[.!?](\s|$)')) AS n_sentences, len(w) AS n_tokens, len(list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}+'))) AS n_alpha, len(list_filter(w, lambda x: x IN ({_VERBS}))) AS n_verbs
+ FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM %s) a) b"""
+
+
 @query(rf"""SELECT doc_id, CASE WHEN regexp_extract(name, '\.([^.]*)$', 1) <> '' THEN regexp_replace(name, '\.[^.]*$', '') || '_' || lower(regexp_extract(name, '\.([^.]*)$', 1)) ELSE name END AS stem,
- CASE WHEN reason IS NOT NULL THEN '[SKIP]' WHEN ext = '.png' THEN '[IMG]' WHEN ext = '.html' THEN '[HTML]' WHEN ext = '.pdf' THEN '[PDF]' ELSE '[TEXT]' END AS status, reason AS skip_reason FROM (
- SELECT r.*, CASE WHEN ext IN ('.txt', '.md') AND blank THEN 'empty' WHEN ext IN ('.txt', '.md') AND code THEN 'code' WHEN ext IN ('.txt', '.md') AND NOT regexp_matches(name, '[a-zA-Z]{{3,}}') THEN 'filename'
- WHEN ext IN ('.html', '.pdf') AND blank THEN 'empty' WHEN ext NOT IN ('.txt', '.md', '.html', '.pdf', '.png') THEN 'extension' END AS reason FROM (
- SELECT reports.*, {_EXT} AS ext, NOT regexp_matches(text, '[^\s]') AS blank, coalesce(e.entropy > 4.8, false) AS code FROM reports LEFT JOIN (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM
+ CASE WHEN reason IS NOT NULL THEN '[SKIP]' WHEN ext = '.pdf' AND text IS NULL THEN '[ERR]' WHEN ext = '.png' THEN '[IMG]' WHEN ext = '.html' THEN '[HTML]' WHEN ext = '.pdf' THEN '[PDF]' ELSE '[TEXT]' END AS status, reason AS skip_reason FROM (
+ SELECT r.*, CASE WHEN ext IN ('.txt', '.md') AND blank THEN 'empty' WHEN ext IN ('.txt', '.md') AND code AND NOT prose THEN 'code' WHEN ext IN ('.txt', '.md') AND NOT regexp_matches(regexp_replace(name, '\.[^.]*$', ''), '[a-zA-Z]{{3,}}') THEN 'filename'
+ WHEN ext IN ('.html', '.pdf') AND blank AND (ext = '.html' OR text IS NOT NULL) THEN 'empty' WHEN ext NOT IN ('.txt', '.md', '.html', '.pdf', '.png') THEN 'extension' END AS reason FROM (
+ SELECT reports.*, {_EXT} AS ext, NOT regexp_matches(coalesce(text, ''), '[^\s]') AS blank, coalesce(e.entropy > 4.8, false) AS code, coalesce(p.dominant, false) AS prose FROM reports LEFT JOIN ({_PROSE % "reports"}) p USING (doc_id) LEFT JOIN (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM
  (SELECT doc_id, ch, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM reports) a WHERE ch <> '' GROUP BY doc_id, ch) b GROUP BY doc_id) e USING (doc_id)) r) q""", ("reports",))
 def route_status(t):
     return clean.route(t("reports")).select("doc_id", "stem", "status", "skip_reason")
 
 
-_VERBS = ",".join(f"'{v}'" for v in clean.VERBS)
-
-
-@query(rf"""SELECT doc_id, n_sentences, n_tokens, n_alpha, n_verbs, n_sentences >= 2 AND n_verbs >= 2 AND n_alpha >= 0.25 * n_tokens AND n_tokens > 0 AS dominant FROM (
- SELECT doc_id, len(regexp_extract_all(text, '[.!?](\s|$)')) AS n_sentences, len(w) AS n_tokens, len(list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}+'))) AS n_alpha, len(list_filter(w, lambda x: x IN ({_VERBS}))) AS n_verbs
- FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents) a) b""")
+@query(_PROSE % "documents")
 def prose_gate(t):
     return clean.prose_columns(t("documents")).select("doc_id", "n_sentences", "n_tokens", "n_alpha", "n_verbs", "dominant")
 
@@ -112,12 +116,13 @@ def written_ids(t):
     return t("intel").select("doc_id", F.array_join(tx.sorted_set(tx.matches(F.col("text"), tx.TECHNIQUE_ID)), ",").alias("ids"))
 
 
-_ANCHORS = "SELECT p_partkey AS anchor_id, '(?i)' || substr(p_name, 1, 3) AS pattern, CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, 3) ELSE substr(p_name, 2, 2) END AS fragment, 0.7 + (p_partkey % 4) * 0.05 AS confidence FROM part WHERE p_partkey <= 40"
+_ANCHORS = "SELECT anchor_id, pattern, CASE anchor_id % 3 WHEN 0 THEN substr(p, 1, 3) ELSE substr(p, 2, 2) END AS fragment, 0.7 + (anchor_id % 4) * 0.05 AS confidence, substr(p, 1, 3) AS word FROM (SELECT min(p_partkey) AS anchor_id, '(?i)' || substr(p_name, 1, 3) AS pattern, min(p_name) AS p FROM part GROUP BY substr(p_name, 1, 3)) x"
 
 
 def _anchors(t):
-    """Forty anchors: a dimension, whatever the size of the corpus."""
-    return t("part").filter("p_partkey <= 40").select(F.col("p_partkey").alias("anchor_id"), F.concat(F.lit("(?i)"), F.substring("p_name", 1, 3)).alias("pattern"), F.when(F.col("p_partkey") % 3 == 0, F.substring("p_name", 1, 3)).otherwise(F.substring("p_name", 2, 2)).alias("fragment"), (F.lit(0.7) + (F.col("p_partkey") % 4) * 0.05).alias("confidence"))
+    """An anchor for each beginning of a part's name: a dimension, whatever the size of the corpus."""
+    g = t("part").groupBy(F.substring("p_name", 1, 3).alias("s")).agg(F.min("p_partkey").alias("anchor_id"), F.min("p_name").alias("p"))
+    return g.select("anchor_id", F.concat(F.lit("(?i)"), F.col("s")).alias("pattern"), F.when(F.col("anchor_id") % 3 == 0, F.substring("p", 1, 3)).otherwise(F.substring("p", 2, 2)).alias("fragment"), (F.lit(0.7) + (F.col("anchor_id") % 4) * 0.05).alias("confidence"))
 
 
 @query(f"SELECT doc_id, count(*) AS n, min(anchor_id) AS first_anchor, round(sum(confidence), 4) AS total FROM documents JOIN ({_ANCHORS}) a ON regexp_matches(text, pattern) GROUP BY doc_id")
@@ -130,11 +135,11 @@ _RESOLVED = f"""SELECT fragment, technique_id FROM (SELECT f.fragment, technique
  FROM (SELECT DISTINCT fragment FROM ({_ANCHORS}) a) f JOIN technique ON contains(lower(name), lower(f.fragment))) q WHERE r = 1"""
 
 
-@query(f"""SELECT doc_id, technique_id, round(least(1.0, min_by(confidence, anchor_id) + 0.05 * (count(*) - 1)), 3) AS confidence, min(anchor_id) AS anchor_id FROM documents JOIN ({_ANCHORS}) a ON regexp_matches(text, pattern) JOIN ({_RESOLVED}) r USING (fragment) GROUP BY doc_id, technique_id""", ("technique",))
+@query(f"""SELECT doc_id, technique_id, round(least(1.0, min_by(confidence, anchor_id) + 0.05 * (count(*) - 1)), 3) AS confidence, min(anchor_id) AS anchor_id, min_by(regexp_replace(replace(substr(text, greatest(1, instr(lower(text), lower(word)) - 100), instr(lower(text), lower(word)) + 3 + 100 - greatest(1, instr(lower(text), lower(word)) - 100)), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), anchor_id) AS evidence FROM documents JOIN ({_ANCHORS}) a ON regexp_matches(text, pattern) JOIN ({_RESOLVED}) r USING (fragment) GROUP BY doc_id, technique_id""", ("technique",))
 def grounded_techniques(t):
     anchors = _anchors(t)
     hits = ground.anchor_hits(t("documents").select("doc_id", "text"), anchors)
-    return ground.grounded(hits, ground.resolve_fragments(anchors, t("technique"))).select("doc_id", "technique_id", "confidence", "anchor_id")
+    return ground.grounded(hits, ground.resolve_fragments(anchors, t("technique"))).select("doc_id", "technique_id", "confidence", "anchor_id", "evidence")
 
 
 _NAMES = "SELECT 'amber group' AS name_key, 'G1' AS entity_id UNION ALL SELECT 'blue team', 'G2' UNION ALL SELECT 'carbon', 'G3' UNION ALL SELECT lower(n_name), 'N' || CAST(n_nationkey AS STRING) FROM nation"
@@ -196,32 +201,43 @@ def parent_collapse(t):
     return ground.collapse_parents(extract.explicit_techniques(t("intel"), t("technique")).select("doc_id", "technique_id").distinct())
 
 
-_DOT = "list_sum(list_transform(list_zip(x, y), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-_SCORED = r"""SELECT item_id, technique_id, round(6.0 + 2.0 * CAST(list_has_any(n, w) AS INT) + 0.5 * CAST(len(list_filter(n, lambda a: len(list_filter(w, lambda b: starts_with(b, substr(a, 1, 4)))) > 0)) > 0 AS INT), 6) AS score
- FROM (SELECT item_id, regexp_extract_all(lower(text || ' ' || p), '[a-z0-9]+') AS w FROM (SELECT item_id, text, (SELECT min(p_name) FROM part WHERE p_partkey % 40 = item_id % 40) AS p FROM benchmark) z) b JOIN (SELECT technique_id, regexp_extract_all(lower(name), '[a-z0-9]+') AS n FROM technique) t ON list_has_any(n, w)"""
-
-
-@query(f"SELECT item_id, technique_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, technique_id) AS r FROM ({_SCORED}) s WHERE score >= 3.0) q WHERE r <= 2", ("technique",))
+_STOPS = "the a of to in and is it".split()
+_ACTS = "is was are in on at to".split()
+_Q = lambda words: ",".join(repr(w) for w in words)
+# a verb, then a word that is neither a verb nor a stop word
+_HAS_OBJECT = f"(len(list_filter(w, lambda x: x IN ({_Q(_ACTS)}))) > 0 AND len(list_filter(w[list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ({_Q(_ACTS)})), lambda i: i)) + 1:], lambda x: x NOT IN ({_Q([*_ACTS, *_STOPS])}))) > 0)"
+_NOUNS = f"list_filter(w, lambda x: x NOT IN ({_Q([*_ACTS, *_STOPS])}))"
+_ABSTRACT = f"len(list_filter({_NOUNS}, lambda x: regexp_matches(x, '(ity|ness|tion|ment)$')))"
+_SPECIFIC = f"greatest(0.6, 1.0 - CASE WHEN NOT {_HAS_OBJECT} THEN 0.25 ELSE 0 END - CASE WHEN {_ABSTRACT} > 0 AND {_ABSTRACT} * 2 >= len({_NOUNS}) THEN 0.15 ELSE 0 END - CASE WHEN len(list_filter(w, lambda x: x IN ({_Q(_ACTS)}))) = 1 AND NOT {_HAS_OBJECT} THEN 0.15 ELSE 0 END)::DOUBLE"
+_REASON = f"CASE WHEN trim(text) = '' THEN 'missing' WHEN NOT {_HAS_OBJECT} THEN 'no-object' WHEN len(w) < 4 THEN 'short' WHEN len(list_filter(w, lambda x: x IN ({_Q(_STOPS)}))) >= 0.75 * len(w) THEN 'stop-words' END"
+_BEHAVIOURS = f"""SELECT *, {_REASON} AS reason, {_SPECIFIC} AS specificity, list_distinct(list_filter(w, lambda x: x NOT IN ({_Q(tx.REPORT_WORDS)}))) AS words FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (
+ SELECT conv_id AS doc_id, turn AS seq, c.text || ' it was identify ' || coalesce(p, '') || CASE WHEN conv_id % 2 = 0 THEN ' windows' ELSE '' END AS text, CASE WHEN conv_id % 3 = 0 THEN 'impact' END AS phase, e.embedding AS vector
+ FROM conversations c LEFT JOIN (SELECT p_partkey % 40 AS m, min(p_name) AS p FROM part GROUP BY 1) q ON q.m = (conv_id + turn) % 40 LEFT JOIN embeddings e ON e.vec_id = conv_id + turn) z) y"""
+_SIM = "coalesce(list_cosine_similarity(b.vector::DOUBLE[], t.vector::DOUBLE[]), 0.0)"
+_SCORED = f"""SELECT doc_id, seq, technique_id, round((6.0 + 2.0 * CAST(list_has_any(n, d) AS INT) + 0.5 * CAST(len(list_filter(n, lambda a: len(list_filter(words, lambda b: starts_with(b, substr(a, 1, 4)))) > 0)) > 0 AS INT) + sim * 3 * CASE WHEN sim >= 0.65 THEN 1.0 WHEN sim >= 0.45 THEN 0.7 WHEN sim >= 0.30 THEN 0.4 ELSE 0.1 END)
+ * CASE WHEN known AND phase_list <> '' AND NOT contains(phase_list, 'impact') THEN 0.5 ELSE 1.0 END * specificity, 6) AS score FROM (SELECT b.*, t.technique_id, t.n, t.phase_list, t.platform_list, {_SIM} AS sim, d.d, d.whole, d.known FROM b JOIN t ON list_has_any(n, words) JOIN d ON d.doc_id = b.doc_id WHERE reason IS NULL) x
+ WHERE NOT (platform_list <> '' AND NOT contains(platform_list, ',') AND NOT contains(whole, platform_list))"""
+
+
+@query(f"""SELECT doc_id, seq, technique_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq, technique_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY score DESC, technique_id) AS r FROM (
+ WITH b AS ({_BEHAVIOURS}), t AS (SELECT technique_id, regexp_extract_all(lower(name), '[a-z0-9]+') AS n, phase_list, platform_list, embedding AS vector FROM technique LEFT JOIN embeddings ON vec_id = pos), d AS (SELECT doc_id, regexp_extract_all(string_agg(lower(text), ' '), '[a-z0-9]+') AS d, string_agg(lower(text), ' ') AS whole, bool_or(phase IS NOT NULL) AS known FROM b GROUP BY doc_id)
+ {_SCORED}) s WHERE score >= 3.0) q WHERE r <= 2) p WHERE k <= 15""", ("technique",))
 def technique_inference(t):
-    """Benchmark items, each with a part name in it, as behaviours of documents of their own."""
+    """Turns of a conversation, each with a part name in it, as behaviours of one document; vectors from the embeddings."""
     part = t("part").groupBy((F.col("p_partkey") % 40).alias("m")).agg(F.min("p_name").alias("p"))
-    items = t("benchmark").withColumn("m", F.col("item_id") % 40).join(F.broadcast(part), "m")
-    toks = tx.tokens(F.concat_ws(" ", "text", "p"))
-    none = F.lit(None).cast("array<float>")
-    behaviours = items.select(F.col("item_id").alias("doc_id"), F.lit(0).alias("seq"), toks.alias("tokens"), toks.alias("doc_tokens"), none.alias("vector"))
-    techniques = t("technique").select("technique_id", tx.tokens(F.col("name")).alias("tokens"), none.alias("vector"))
-    return ground.infer(behaviours, techniques).select(F.col("doc_id").alias("item_id"), "technique_id", "score")
-
-
-_STOPS = "the a of to in and is it".split()
+    vectors = t("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    c = t("conversations").withColumn("m", (F.col("conv_id") + F.col("turn")) % 40).join(part, "m", "left").join(vectors, F.col("vec_id") == F.col("conv_id") + F.col("turn"), "left")
+    text = F.concat("text", F.lit(" it was identify "), F.coalesce("p", F.lit("")), F.when(F.col("conv_id") % 2 == 0, " windows").otherwise(""))
+    behaviours = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), text.alias("text"), F.when(F.col("conv_id") % 3 == 0, "impact").alias("phase"), "vector")
+    docs = behaviours.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    techniques = _techniques(t).join(vectors, F.col("vec_id") == F.col("pos"), "left").select("technique_id", tx.tokens(F.col("name")).alias("tokens"), "platforms", "phases", "vector")
+    return ground.infer(behaviours, docs, techniques, _ACTS, _STOPS).select("doc_id", "seq", "technique_id", "score")
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'missing' WHEN len(w) < 4 THEN 'short' WHEN len(list_filter(w, lambda x: x IN ({','.join(repr(s) for s in _STOPS)}))) >= 0.75 * len(w) THEN 'stop-words' END AS reject_reason, len(w) AS n_tokens,
- greatest(0.6, 1.0 - CASE WHEN len(list_filter(w, lambda x: x IN ('is', 'was', 'are'))) = len(w) THEN 0.25 ELSE 0 END - CASE WHEN len(w) > 0 AND 2 * len(list_filter(w, lambda x: x IN ('the', 'of', 'a', 'to'))) >= len(w) THEN 0.15 ELSE 0 END - CASE WHEN len(w) = 1 AND w[1] IN ('is', 'was', 'are') THEN 0.15 ELSE 0 END)::DOUBLE AS specificity
- FROM (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations) c""")
+@query(f"SELECT conv_id, turn, {_REASON} AS reject_reason, len(w) AS n_tokens, {_SPECIFIC} AS specificity FROM (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations) c")
 def behaviour_quality(t):
-    q = ground.behaviour_quality(t("conversations"), _STOPS)
-    return q.select("conv_id", "turn", "reject_reason", F.size("tokens").alias("n_tokens"), ground.specificity(F.col("tokens"), ["the", "of", "a", "to"], ["is", "was", "are"]).cast("double").alias("specificity"))
+    q = ground.behaviour_quality(t("conversations"), _STOPS, _ACTS)
+    return q.select("conv_id", "turn", "reject_reason", F.size("tokens").alias("n_tokens"), ground.specificity(F.col("tokens"), _ACTS, _STOPS).cast("double").alias("specificity"))
 
 
 @query(r"""SELECT doc_id, h AS host, coalesce(nullif(t_ip, ''), i_ip) AS ip FROM (SELECT doc_id, lower(regexp_extract(text, '(?i)(srv\d)`?\s*\(\s*((?:\d{1,3}\.){3}\d{1,3})\s*\)', 1)) AS h, regexp_extract(text, '(?i)(srv\d)`?\s*\(\s*((?:\d{1,3}\.){3}\d{1,3})\s*\)', 2) AS i_ip FROM intel) a
@@ -231,17 +247,46 @@ def host_inventory(t):
     return extract.merge_hosts(listed, extract.hosts(t("intel")))
 
 
-@query("SELECT doc_id, 'ACME' AS domain, 'user' || CAST(doc_id % 8 AS STRING) AS account FROM documents")
+@query(r"""SELECT doc_id, min_by(name, k) AS name FROM (SELECT doc_id, unnest(a) AS name, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '\b([A-Z][A-Z0-9_-]{1,30})\\([A-Za-z][A-Za-z0-9._-]+)\b', 1), lambda d: NOT starts_with(d, 'HK') AND length(d) > 2 AND d <> 'TEMP') AS a FROM intel) x
+ UNION ALL SELECT doc_id, 'corp' || (doc_id % 3), 1000 FROM documents) y GROUP BY doc_id, lower(name)""", ("intel",))
 def domains_accounts(t):
-    pairs = extract.named_pairs(t("intel"), tx.DOMAIN_USER, "domain", "account")
-    return pairs.filter("domain = 'ACME'").select("doc_id", "domain", "account")
+    docs = t("intel").select("doc_id", F.concat("text", F.lit("\n**Primary Domain**: `corp"), (F.col("doc_id") % 3).cast("string"), F.lit("` and more")).alias("text"))
+    return extract.domains(docs, ["Primary Domain"])
+
+
+@query("SELECT c_nationkey AS doc_id, replace(c_name, '#', '_') AS username, CASE c_custkey % 3 WHEN 0 THEN 'ACME' WHEN 1 THEN '.' ELSE '' END AS domain, c_custkey % 2 = 0 AS has_password FROM customer UNION ALL SELECT n_nationkey, 'svc_' || lower(replace(n_name, ' ', '_')), '', false FROM nation")
+def account_tables(t):
+    """Customers as rows of account tables, one table a nation, and an account in prose."""
+    k = F.col("c_custkey") % 3
+    user = F.concat(F.when(k == 0, "ACME\\").when(k == 1, ".\\").otherwise(""), F.replace("c_name", F.lit("#"), F.lit("_")))
+    row = F.concat(F.lit("> | `"), user, F.lit("` | "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(""), F.lit(" | x |"))
+    rows = t("customer").groupBy("c_nationkey").agg(F.array_join(F.collect_list(row), "\n").alias("rows"))
+    name = F.lower(F.replace("n_name", F.lit(" "), F.lit("_")))
+    docs = t("nation").join(rows, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("The service account `svc_"), name, F.lit("` and user `RDP`.\n\n> | **User** | `Secret` | Note |\n> | --- | :-: | --- |\n"), F.coalesce("rows", F.lit(""))).alias("text"))
+    aliases = rp.alias_table(docs.sparkSession, {"username": ["user", "login"], "password": ["secret"]})
+    return extract.accounts(docs, aliases)
 
 
-@query(r"""SELECT doc_id, 'tool' || CAST(doc_id % 6 AS STRING) || '.exe' AS name, CASE WHEN doc_id % 6 < 2 THEN 'malware' ELSE 'tool' END AS kind FROM documents UNION ALL SELECT doc_id, 'Rclone', 'tool' FROM documents""")
+_KNOWN = "SELECT DISTINCT CASE WHEN doc_id % 6 < 2 THEN 'malware' ELSE 'tool' END AS kind, 'tool' || (doc_id % 6) || CASE WHEN doc_id % 6 = 0 THEN '.exe' ELSE '' END AS name_key FROM documents WHERE doc_id % 6 < 3"
+_NO_TOOLS = ",".join(f"'{w}'" for w in tx.NO_TOOLS)
+_SOFTWARE = rf"""SELECT DISTINCT doc_id, name, how FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{tx.FILENAME}')) AS name, 'file' AS how FROM intel UNION ALL SELECT doc_id, name, CASE WHEN contains(name, '.') THEN 'file' ELSE 'trigger' END FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{tx.TOOL_TRIGGER}', 1)) AS name FROM intel) a
+ WHERE contains(name, '.') OR (lower(name) NOT IN ({_NO_TOOLS}) AND (regexp_matches(name, '^[A-Z].*[A-Z]') OR (upper(name) = name AND regexp_matches(name, '[A-Za-z]')) OR lower(name) IN (SELECT 'rclone' AS k)))) b"""
+
+
+@query(f"""SELECT doc_id, name, how, CASE WHEN EXISTS (SELECT 1 FROM ({_KNOWN}) k WHERE kind = 'malware' AND name_key IN (lower(name), lower(regexp_replace(name, '\\.[A-Za-z0-9]+$', '')))) THEN 'malware' ELSE 'tool' END AS kind FROM ({_SOFTWARE}) f""", ("intel",))
 def software_split(t):
-    found = extract.software_tokens(t("intel")).filter("how = 'file' OR name = 'Rclone'").filter("name like 'tool%.exe' OR name = 'Rclone'").select("doc_id", "name").distinct()
-    known = t("documents").select("doc_id").filter("doc_id % 6 < 3").select(F.when(F.col("doc_id") % 6 < 2, "malware").otherwise("tool").alias("kind"), F.concat(F.lit("tool"), (F.col("doc_id") % 6).cast("string"), F.when(F.col("doc_id") % 6 == 0, ".exe").otherwise("")).alias("name_key")).distinct()
-    return extract.split_software(found, known).select("doc_id", "name", "kind")
+    d = t("documents").select(F.col("doc_id") % 6).distinct().toDF("k").filter("k < 3")
+    known = d.select(F.when(F.col("k") < 2, "malware").otherwise("tool").alias("kind"), F.concat(F.lit("tool"), F.col("k").cast("string"), F.when(F.col("k") == 0, ".exe").otherwise("")).alias("name_key"))
+    names = d.limit(1).select(F.lit("rclone").alias("name_key"))
+    return extract.split_software(extract.software_tokens(t("intel"), names), known).select("doc_id", "name", "how", "kind")
+
+
+@query(rf"""SELECT doc_id, min_by(name, p || name) AS name, max(version) AS version, min_by(how, p || name) AS how FROM (SELECT doc_id, name, how, NULL AS version, CASE how WHEN 'file' THEN '0' ELSE '2' END AS p FROM ({_SOFTWARE}) f UNION ALL
+ SELECT doc_id, min_by(n, i), 'version', min_by(v, i), '1' FROM (SELECT doc_id, unnest(a) AS n, unnest(b) AS v, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{tx.NAME_VERSION}', 1) AS a, regexp_extract_all(text, '{tx.NAME_VERSION}', 2) AS b FROM intel) x) y GROUP BY doc_id, lower(n)) z
+ WHERE length(trim(name, '`*.')) BETWEEN 3 AND 40 GROUP BY doc_id, lower(trim(name, '`*.'))""", ("intel",))
+def software_rows(t):
+    names = t("documents").limit(1).select(F.lit("rclone").alias("name_key"))
+    return extract.software_rows(t("intel"), names)
 
 
 @query(r"SELECT doc_id, '.lock' || CAST(doc_id % 4 AS STRING) AS ext FROM documents WHERE doc_id % 4 <> 3")
@@ -251,11 +296,11 @@ def marker_extensions(t):
     return t("intel").select("doc_id", F.explode(tx.marker_extensions(F.col("text"))).alias("ext")).join(stop, "ext", "left_anti").select("doc_id", "ext")
 
 
-@query(r"""SELECT plan, part, arg_max(url, struct_pack(a := length(html), b := url)) IS NOT NULL AS found, max(length(html)) AS size, count(*) AS n FROM (SELECT *, regexp_extract(lower(url), '^[a-z]+://([^/]+)/', 1) AS plan,
+@query(r"""SELECT plan, part, arg_min(url, struct_pack(a := -length(html), b := url)) AS path, max(length(html)) AS size, count(*) AS n FROM (SELECT *, regexp_extract(lower(url), '^[a-z]+://([^/]+)/', 1) AS plan,
  CASE WHEN regexp_matches(lower(url), 'infra') THEN 'infrastructure' WHEN regexp_matches(lower(url), 'overview|summary|readme|intro') THEN 'overview' ELSE 'plan' END AS part FROM pages) p WHERE plan <> '' AND NOT regexp_matches(lower(url), '/(?:\.git|node_modules|archive)/') GROUP BY plan, part""")
 def corpus_discovery(t):
     listed = rp.classify_paths(t("pages").select(F.col("url").alias("path"), F.length("html").alias("size")))
-    return rp.largest_candidates(listed).select("plan", "part", F.col("path").isNotNull().alias("found"), "size", "n")
+    return rp.largest_candidates(listed).select("plan", "part", "path", "size", "n")
 
 
 @query(r"""SELECT n_nationkey, actor, valid FROM (SELECT n_nationkey, trim(replace(replace(regexp_replace(raw, '''s$', ''), 'operator', ''), 'team', '')) AS actor, len(string_split(raw, ' ')) <= 5 AND (regexp_matches(lower(raw), 'group|apt|team|gang|operator|raas') OR (length(raw) <= 25 AND regexp_matches(raw, '^[\p{L}\p{N}\s-]+$'))) AS valid
@@ -266,11 +311,14 @@ def actor_cleanup(t):
     return t("nation").select("n_nationkey", raw.alias("raw")).select("n_nationkey", tx.normal_actor(F.col("raw")).alias("actor"), tx.valid_actor(F.col("raw")).alias("valid"))
 
 
-@query(r"""SELECT conv_id, lower(p) AS key, min_by(p, turn * 100000 + i) AS phrase, count(*) AS n FROM (SELECT conv_id, turn, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(13) || chr(9))), lambda s: s <> '') AS a FROM conversations) x) y GROUP BY conv_id, lower(p)""")
+_SENTENCES = r"SELECT conv_id, turn, unnest(a) AS p, generate_subscripts(a, 1) - 1 AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(13) || chr(9))), lambda s: s <> '') AS a FROM conversations) x"
+
+
+@query(f"SELECT conv_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS r FROM (SELECT conv_id, min_by(p, turn * 100000 + i) AS phrase, min(turn * 100000 + i) AS k, count(*) AS n FROM ({_SENTENCES}) y WHERE lower(split_part(p, ' ', 1)) NOT IN ({_Q(tx.REPORTER_VERBS)}) GROUP BY conv_id, lower(p)) z) q WHERE r <= 20")
 def behaviour_cleanup(t):
-    """Distinct sentences of a conversation, any case, first spelling kept."""
-    each = t("conversations").select("conv_id", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("i", "p"))
-    return each.groupBy("conv_id", F.lower("p").alias("key")).agg(F.min_by("p", F.struct("turn", "i")).alias("phrase"), F.count("*").alias("n"))
+    """Distinct sentences of a conversation that don't begin with a reporter's verb, any case, first spelling kept, twenty at most."""
+    each = t("conversations").select("conv_id", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("i", "phrase")).withColumn("verb", F.substring_index("phrase", " ", 1))
+    return ground.distinct_behaviours(ground.acting(each, "verb"), "conv_id", ["turn", "i"], "phrase").select("conv_id", "phrase", "n")
 
 
 @query(r"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '\b(?:and|then|but|before|after)\b', chr(1), 'gi'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 3), '/') AS clauses, CASE WHEN contains(x, 'weaken organizational security posture') THEN 'degrade security controls' ELSE x END AS canonical

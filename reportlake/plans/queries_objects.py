@@ -34,12 +34,36 @@ def _keyed(t):
     return o.withColumn("key", key).withColumn("labels", F.array("label"))
 
 
-@query(rf"""SELECT key, arg_min(id, pos + bundle_id * 10000000) FILTER (WHERE id IS NOT NULL) AS id, count(*) AS n_objects, arg_min(name, pos + bundle_id * 10000000) FILTER (WHERE name <> '') AS name, arg_min(description, pos + bundle_id * 10000000) FILTER (WHERE description <> '') AS description,
- CASE WHEN count(*) > 1 THEN count(DISTINCT id) END AS n_sources, count(DISTINCT label) AS n_labels FROM (SELECT *, {_KEY} AS key FROM stix_object) o GROUP BY key""", ("stix_object",))
+_AT = "pos + bundle_id * 10000000"
+
+
+@query(rf"""SELECT g.key, id, n_objects, name, description, CASE WHEN n_objects > 1 THEN coalesce(ids, '') END AS fused_from, labels FROM (SELECT key, (list(id ORDER BY {_AT}))[1] AS id, count(*) AS n_objects, arg_min(name, {_AT}) FILTER (WHERE name <> '') AS name, arg_min(description, {_AT}) FILTER (WHERE description <> '') AS description
+ FROM (SELECT *, {_KEY} AS key FROM stix_object) o GROUP BY key) g LEFT JOIN (SELECT key, string_agg(id, ',' ORDER BY a) AS ids FROM (SELECT {_KEY} AS key, id, min({_AT}) AS a FROM stix_object WHERE id IS NOT NULL GROUP BY 1, 2) x GROUP BY key) i ON i.key = g.key
+ JOIN (SELECT key, string_agg(label, ',' ORDER BY a) AS labels FROM (SELECT {_KEY} AS key, label, min({_AT}) AS a FROM stix_object GROUP BY 1, 2) x GROUP BY key) l ON l.key = g.key""", ("stix_object",))
 def fuse_objects(t):
-    f = objects.fuse(_keyed(t).filter("id IS NOT NULL").unionByName(_keyed(t).filter("id IS NULL")), ["name", "description"], ["labels"])
-    first = _keyed(t).filter("id IS NOT NULL").groupBy("key").agg(F.min_by("id", F.struct("bundle_id", "pos")).alias("id"))
-    return f.drop("id").join(first, "key", "left").select("key", "id", "n_objects", "name", "description", F.size("fused_from").alias("n_sources"), F.size("labels").alias("n_labels")).withColumn("n_sources", F.when(F.col("n_objects") > 1, F.col("n_sources")))
+    f = objects.fuse(_keyed(t), ["name", "description"], ["labels"])
+    return f.select("key", "id", "n_objects", "name", "description", F.array_join("fused_from", ",").alias("fused_from"), F.array_join("labels", ",").alias("labels"))
+
+
+@query("""WITH d AS (SELECT doc_id % 301 AS key, doc_id AS p, lang FROM documents), f AS (SELECT key, min(p) AS f, count(*) AS n FROM d GROUP BY key),
+ i AS (SELECT key, p, 0 AS place, 'l' || (p % 4) AS v FROM d UNION ALL SELECT key, p, 1, 'l' || (p % 5) FROM d), own AS (SELECT i.* FROM i JOIN f ON i.key = f.key AND p = f),
+ later AS (SELECT key, v, min(p * 2 + place) AS o FROM i WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.key = i.key AND own.v = i.v) GROUP BY key, v),
+ labels AS (SELECT key, string_agg('"' || v || '"', ',' ORDER BY o) AS labels FROM (SELECT key, v, p * 2 + place AS o FROM own UNION ALL SELECT key, v, o FROM later) x GROUP BY key),
+ a AS (SELECT key, string_agg('{"v":' || m || '}', ',' ORDER BY o) AS a FROM (SELECT key, p % 2 AS m, min(p) AS o FROM d GROUP BY 1, 2) x GROUP BY key),
+ k AS (SELECT key, string_agg('"k' || m || '":1', ',' ORDER BY m) AS k FROM (SELECT DISTINCT key, p % 3 AS m FROM d) x GROUP BY key),
+ g AS (SELECT key, arg_min('n' || p, p) FILTER (WHERE p % 3 <> 0) AS name, arg_min(p, p) FILTER (WHERE p % 5 <> 0) AS num, arg_min(lang, p) AS lang FROM d GROUP BY key),
+ ids AS (SELECT key, string_agg(id, ',' ORDER BY o) AS ids FROM (SELECT key, 'x' || (p % 500) AS id, min(p) AS o FROM d GROUP BY 1, 2) x GROUP BY key)
+ SELECT f.key, 'x' || (f % 500) AS id, n AS n_objects, CASE WHEN n > 1 THEN ids END AS fused_from, '{"flag":' || CASE WHEN f % 2 = 0 THEN '0' ELSE '"x"' END || ',"labels":[' || labels || '],"meta":{"deep":{"a":[' || a || '],' || k || '},"lang":"' || lang || '","n":' || coalesce(CAST(num AS STRING), 'null') || '},"name":"' || coalesce(name, '') || '"}' AS obj
+ FROM f JOIN labels USING (key) JOIN a USING (key) JOIN k USING (key) JOIN g USING (key) JOIN ids USING (key)""".replace("AS STRING", "AS VARCHAR"))
+def fuse_deep(t):
+    """Documents as JSON objects with nested values, fused by a key of several."""
+    at = F.col("doc_id")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    obj = F.concat(
+        text('{"name": "'), F.when(at % 3 == 0, "").otherwise(text("n", at)), text('", "id": "x', at % 500, '", "labels": ["l', at % 4, '", "l', at % 5, '"], "meta": {"lang": "'), F.col("lang"), text('", "n": '),
+        F.when(at % 5 == 0, "null").otherwise(text("", at)), text(', "deep": {"a": [{"v": ', at % 2, '}], "k', at % 3, '": 1}}, "flag": '), F.when(at % 2 == 0, "0").otherwise('"x"'), text("}"))
+    d = t("documents").select((at % 301).alias("key"), at.alias("at_"), obj.alias("obj"))
+    return objects.fuse_documents(d, ["at_"]).select("key", "id", "n_objects", F.array_join("fused_from", ",").alias("fused_from"), "obj")
 
 
 @query("""SELECT CAST(p_partkey % 900 AS BIGINT) AS src, CASE WHEN l_returnflag = 'N' THEN 'related-to' ELSE l_returnflag END AS rel_type, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 10 <> 3 GROUP BY 1, 2, 3""")
@@ -106,11 +130,11 @@ def score_prf(t):
     return coverage.score_sets(d.filter("n_chars > 300"), d.filter("quality = 1"), ["source"], "doc_id")
 
 
-@query(f"SELECT * FROM ({_PRF % 'source'}) x WHERE source <= 'src12' UNION ALL SELECT * FROM ({_PRF % repr('all')}) y")
+@query(f"SELECT * FROM ({_PRF % 'source'}) x UNION ALL SELECT * FROM ({_PRF % repr('all')}) y")
 def recall_lift(t):
     """Scores of single sources beside those of all of them together."""
     d = _labelled(t)
-    single = coverage.score_sets(d.filter("n_chars > 300"), d.filter("quality = 1"), ["source"], "doc_id").filter("source <= 'src12'")
+    single = coverage.score_sets(d.filter("n_chars > 300"), d.filter("quality = 1"), ["source"], "doc_id")
     u = d.withColumn("source", F.lit("all"))
     return single.unionByName(coverage.score_sets(u.filter("n_chars > 300"), u.filter("quality = 1"), ["source"], "doc_id"))
 
@@ -124,12 +148,24 @@ def enrich_fallback(t):
     return objects.enrich_techniques(labels, tech.select("technique_id", "name"), tech.select(F.lower("name").alias("name_lc"), "technique_id", "name")).select("label", "how", "name", "id")
 
 
-@query(r"""SELECT bundle_id, rule, count(*) AS n FROM (SELECT bundle_id, 2 AS rule FROM stix_object WHERE id IS NULL UNION ALL SELECT bundle_id, 3 FROM stix_object WHERE id IS NOT NULL AND id NOT LIKE type || '--%' UNION ALL
- SELECT bundle_id, 4 FROM (SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id, id ORDER BY pos) AS n FROM stix_object WHERE id IS NOT NULL) d WHERE n > 1 UNION ALL
- SELECT bundle_id, 7 FROM (SELECT doc_id % 50 AS bundle_id, 'x--' || md5(CAST(doc_id % 900 AS STRING)) AS dst FROM documents) r WHERE NOT EXISTS (SELECT 1 FROM stix_object s WHERE s.bundle_id = r.bundle_id AND s.id = r.dst) UNION ALL SELECT doc_id % 50, 6 FROM documents) e GROUP BY bundle_id, rule""", ("stix_object",))
+_CHECKED = """SELECT bundle_id, pos, CASE WHEN pos % 17 = 0 THEN NULL WHEN pos % 19 = 0 THEN 'sighting' WHEN pos % 23 = 0 THEN 'user-account' ELSE type END AS type, CASE WHEN pos % 2 = 0 AND id IS NOT NULL THEN type || '--' || substr(id, 4) ELSE id END AS id FROM stix_object"""
+_REL = """SELECT doc_id % 50 AS bundle_id, doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'uses' END AS rel_type, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'x--' || md5(CAST(doc_id % 700 AS VARCHAR)) END AS src, 'x--' || md5(CAST(doc_id % 900 AS VARCHAR)) AS dst FROM documents"""
+_KNOWN_ID = "EXISTS (SELECT 1 FROM o WHERE o.bundle_id = r.bundle_id AND o.id = r.%s AND type <> '')"
+
+
+@query(rf"""SELECT * FROM (WITH o AS ({_CHECKED}), r AS ({_REL}), n AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, id ORDER BY pos) AS k FROM o WHERE type IS NOT NULL AND id IS NOT NULL)
+ SELECT bundle_id, pos, 1 AS rule, format('Object {{}} missing ''type''.', pos) AS message FROM o WHERE type IS NULL UNION ALL SELECT bundle_id, pos, 2, format('Object {{}} of type ''{{}}'' missing ''id''.', pos, type) FROM o WHERE type IS NOT NULL AND id IS NULL
+ UNION ALL SELECT bundle_id, pos, 3, format('Object {{}} ID ''{{}}'' does not match {{}}--<uuid4>.', pos, id, type) FROM n WHERE NOT regexp_full_match(id, type || '--[0-9a-f]{{32}}')
+ UNION ALL SELECT bundle_id, pos, 4, 'Duplicate STIX ID detected: ' || id FROM n WHERE k > 1 UNION ALL SELECT bundle_id, pos, 5, format('Unknown STIX type ''sighting'' in object {{}}.', pos) FROM n WHERE type = 'sighting'
+ UNION ALL SELECT bundle_id, pos, 6, format('Relationship {{}} missing ''relationship_type''.', pos) FROM r WHERE rel_type = '' UNION ALL SELECT bundle_id, pos, 7, format('Relationship {{}} missing ''source_ref''.', pos) FROM r WHERE src IS NULL
+ UNION ALL SELECT bundle_id, pos, 9, format('Relationship {{}} source_ref ''{{}}'' does not exist.', pos, src) FROM r WHERE src IS NOT NULL AND NOT {_KNOWN_ID % "src"} UNION ALL SELECT bundle_id, pos, 10, format('Relationship {{}} target_ref ''{{}}'' does not exist.', pos, dst) FROM r WHERE NOT {_KNOWN_ID % "dst"}) e""", ("stix_object",))
 def object_validate(t):
-    rel = t("documents").select((F.col("doc_id") % 50).alias("bundle_id"), F.col("doc_id").alias("pos"), F.lit("uses").alias("rel_type"), F.lit("").alias("src"), F.concat(F.lit("x--"), F.md5((F.col("doc_id") % 900).cast("string").cast("binary"))).alias("dst"))
-    return objects.validate(t("stix_object").select("bundle_id", "pos", "type", "id"), rel).groupBy("bundle_id", "rule").agg(F.count("*").alias("n"))
+    pos, typed = F.col("pos"), F.when(F.col("pos") % 17 == 0, None).when(F.col("pos") % 19 == 0, "sighting").when(F.col("pos") % 23 == 0, "user-account").otherwise(F.col("type"))
+    oid = F.when((pos % 2 == 0) & F.col("id").isNotNull(), F.concat("type", F.lit("--"), F.substring("id", 4, 40))).otherwise(F.col("id"))
+    o = t("stix_object").select("bundle_id", "pos", typed.alias("type"), oid.alias("id"))
+    d, ref = F.col("doc_id"), lambda k: F.concat(F.lit("x--"), F.md5((F.col("doc_id") % k).cast("string").cast("binary")))
+    rel = t("documents").select((d % 50).alias("bundle_id"), d.alias("pos"), F.when(d % 7 == 0, "").otherwise("uses").alias("rel_type"), F.when(d % 11 != 0, ref(700)).alias("src"), ref(900).alias("dst"))
+    return objects.validate(o, rel)
 
 
 @query("SELECT bundle_id, count(*) AS n_objects, count(*) FILTER (WHERE type = 'attack-pattern') AS n_techniques, count(*) FILTER (WHERE type = 'threat-actor') AS n_actors, count(*) FILTER (WHERE type = 'relationship') AS n_relationships, count(*) FILTER (WHERE type = 'observed-data') AS n_observed FROM stix_object GROUP BY bundle_id", ("stix_object",))
@@ -154,8 +190,8 @@ def observed_data(t):
 
 @query("SELECT bundle_id, string_agg(DISTINCT tid, ',' ORDER BY tid) AS ids FROM stix_object WHERE tid IS NOT NULL GROUP BY bundle_id", ("stix_object",))
 def bundle_technique_ids(t):
-    refs = F.array(F.struct(F.lit("Mitre-Attack").alias("source_name"), F.col("tid").alias("external_id")), F.struct(F.lit("other").alias("source_name"), F.lit("T9").alias("external_id")))
-    return objects.bundle_technique_ids(t("stix_object").filter("tid IS NOT NULL").withColumn("refs", refs)).select("bundle_id", F.array_join("ids", ",").alias("ids"))
+    refs = F.array(F.struct(F.lit("Taxonomy-One").alias("source_name"), F.col("tid").alias("external_id")), F.struct(F.lit("other").alias("source_name"), F.lit("T9").alias("external_id")))
+    return objects.bundle_technique_ids(t("stix_object").withColumn("refs", refs), "taxonomy-one").select("bundle_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query(r"SELECT pos, upper(regexp_extract(cve_text, '(?i)CVE-\d{4}-\d{4,7}')) AS cve FROM stix_object WHERE type = 'vulnerability'", ("stix_object",))
@@ -168,12 +204,14 @@ def list_identity(t):
     return t("events").select("event_id", ob.canonical_json(F.concat(F.lit('{"z": [2, 1], "a":'), F.col("event_id").cast("string"), F.lit("}"))).alias("canonical"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE 'v' || event_id END AS value FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 = 3 THEN NULL ELSE '{\"v\": \"v' || event_id || '\"' || CASE event_id % 6 WHEN 1 THEN ', \"o\": {\"x\": 1}' ELSE '' END || '}' END AS value FROM events".replace('\\"', '"'))
 def json_salvage(t):
-    body = F.concat(F.lit('"v": "v'), F.col("event_id").cast("string"), F.lit('"'))
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit("```json\n{"), body, F.lit("}\n```"))).when(k == 1, F.concat(F.lit("Sure: {"), body, F.lit(', "o": {"x": 1}} done'))).when(k == 2, F.concat(F.lit("{"), body)).otherwise(F.lit("no json"))
-    return t("events").select("event_id", F.get_json_object(ob.salvage_json(raw), "$.v").alias("value"))
+    """Fenced, with text round it, with text behind deep nesting, without its closing brace, and none at all."""
+    body = F.concat(F.lit('{"v": "v'), F.col("event_id").cast("string"), F.lit('"'))
+    k = F.col("event_id") % 6
+    deep = F.concat(F.lit('{"a": {"b": {"c": 1}}, "d": '), body, F.lit("}} trailing"))
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("}\n```"))).when(k == 1, F.concat(F.lit("Sure: "), body, F.lit(', "o": {"x": 1}} done'))).when(k == 2, body).when(k == 4, F.concat(body, F.lit("} and {more}"))).when(k == 5, F.concat(F.lit(" "), body, F.lit("}```"))).otherwise(F.when(k == 3, F.lit("no json")).otherwise(deep))
+    return t("events").select("event_id", ob.salvage_json(raw).alias("value"))
 
 
 @query("SELECT event_id, 'u' || user_id AS actors, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS behaviours, CASE WHEN event_id % 3 = 0 THEN 'T1' ELSE '' END AS techniques FROM events")
@@ -233,15 +271,21 @@ def selected_reports(t):
     return clean.selected(r, chosen).select("doc_id", "name")
 
 
-@query("SELECT doc_id, CASE WHEN n = 1 THEN nm ELSE regexp_replace(nm, '\\.[^.]*$', '') || '_20240101_' || n || '.txt' END AS stored_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(nm) ORDER BY doc_id) AS n FROM (SELECT doc_id, source || '.txt' AS nm FROM documents) a) b".replace("\\\\", "\\"))
+@query("SELECT doc_id, CASE WHEN n = 1 THEN nm ELSE regexp_replace(nm, '\\.[^.]*$', '') || '_20240101_' || n || '.json' END AS stored_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(nm) ORDER BY doc_id) AS n FROM (SELECT doc_id, source || '.json' AS nm FROM documents WHERE doc_id % 5 <> 1 AND doc_id % 5 <> 2) a) b".replace("\\\\", "\\"))
 def accepted_uploads(t):
-    files = t("documents").select(F.col("doc_id").alias("upload_id"), F.concat("source", F.lit(".txt")).alias("name"))
-    return clean.accepted_uploads(files, (".txt", ".md"), F.lit("20240101")).select(F.col("upload_id").alias("doc_id"), "stored_name")
+    """Uploads of one name a source: JSON files that hold a value and nothing else, and programs, which aren't accepted."""
+    k = F.col("doc_id") % 5
+    content = F.when(k == 1, '{"a": 1} x').otherwise(F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}")))
+    files = t("documents").select(F.col("doc_id").alias("upload_id"), F.concat("source", F.when(k == 2, ".exe").otherwise(".json")).alias("name"), content.alias("content"))
+    return clean.accepted_uploads(files, (".txt", ".md", ".json"), F.lit("20240101")).select(F.col("upload_id").alias("doc_id"), "stored_name")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%/%' AND trim(p_name) <> '' AND p_brand = 'Brand#12'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 7 <> 0")
 def name_quality(t):
-    return clean.bare_names(t("part").filter("p_brand = 'Brand#12'"), "p_name").select("p_partkey", "p_name")
+    """Names of parts, every seventh with a separator or only blanks in its place."""
+    k = F.col("p_partkey")
+    name = F.when(k % 14 == 0, F.concat(F.lit("a/"), "p_name")).when(k % 7 == 0, F.lit("  ")).otherwise(F.col("p_name"))
+    return clean.bare_names(t("part").select("p_partkey", name.alias("p_name")), "p_name").select("p_partkey", "p_name")
 
 
 @query("SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'Amber Group' WHEN 5 THEN 'Blue' ELSE 'Nation ' || substr(n_name, 8) END AS actor FROM nation")

@@ -11,20 +11,11 @@ from ..functions import text as tx
 from ..operators import extract, runlog
 from ..sources import bundles as bd
 from ..sources import reports as rp
+from ..sources.storage import new_folder as scratch
 from ..streaming import intake as st
 from .registry import query
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder below the one that executors share; a temporary one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="reportlake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT conv_id, count(*) FILTER (WHERE rn = 1 OR cum <= 400) AS n_kept, max(cum) FILTER (WHERE rn = 1 OR cum <= 400) AS used, count(*) FILTER (WHERE rn > 1 AND cum > 400) AS omitted FROM (SELECT conv_id, row_number() OVER w AS rn, sum(length(coalesce(text, '')) // 4) OVER w AS cum FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) c GROUP BY conv_id""")
 def context_budget(t):
     return runlog.context_within(t("conversations"), 400)
@@ -50,9 +41,9 @@ def time_to_threshold(t):
     return runlog.time_to_threshold(t("events"), "event_type", "user_id", "ts", 20, 3600)
 
 
-@query("""SELECT user_id, arg_max(event_type, struct_pack(a := event_type IN ('purchase', 'error'), b := ts, c := event_id)) AS stage FROM events GROUP BY user_id""")
+@query("""SELECT user_id, coalesce(arg_min(event_type, struct_pack(b := ts, c := event_id)) FILTER (WHERE event_type IN ('purchase', 'error')), arg_max(event_type, struct_pack(b := ts, c := event_id))) AS stage FROM events GROUP BY user_id""")
 def latest_stage(t):
-    return runlog.latest_stage(t("events"), "user_id", "event_type", "ts", ("purchase", "error"), "event_id").withColumnRenamed("event_type", "stage")
+    return runlog.latest_stage(t("events"), "user_id", "event_type", "ts", ("purchase", "error"), "event_id")
 
 
 @query("SELECT run_id, 'KILLED' AS status, 'orphaned' AS stop_reason FROM run r WHERE status = 'RUNNING' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.user_id = r.experiment_id AND e.event_id % 5 = 0)", ("run",))
@@ -62,9 +53,9 @@ def orphan_runs(t):
     return runlog.orphans(t("run"), live).select("run_id", "status", "stop_reason")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) o WHERE r <= 1000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 50")
+@query("SELECT o_orderkey, o_custkey, o_orderdate, total FROM (SELECT *, count(*) OVER () AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) o WHERE r <= 1000) p ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 50")
 def run_listing(t):
-    return runlog.page(t("orders"), "o_custkey", "o_orderdate", "o_orderkey", 50, 100).select("o_orderkey", "o_custkey", "o_orderdate")
+    return runlog.page(t("orders"), "o_custkey", "o_orderdate", "o_orderkey", 50, 100).select("o_orderkey", "o_custkey", "o_orderdate", "total")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion.') OR contains(lower(source), 'tion.')")
@@ -90,10 +81,10 @@ def attached_total(t):
     return runlog.total_or_null(e, "user_id", "v")
 
 
-@query("SELECT l_orderkey AS profile_id, l_partkey AS item, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#12'")
+@query("SELECT l_orderkey AS profile_id, l_partkey AS item, p_name FROM lineitem JOIN part ON p_partkey = l_partkey")
 def array_containment(t):
     profiles = t("lineitem").groupBy(F.col("l_orderkey").alias("profile_id")).agg(F.collect_list("l_partkey").alias("ordering"))
-    wanted = t("part").filter("p_brand = 'Brand#12'").select(F.col("p_partkey").alias("item"), "p_name")
+    wanted = t("part").select(F.col("p_partkey").alias("item"), "p_name")
     return runlog.containing_profiles(profiles, wanted).select("profile_id", "item", "p_name")
 
 
@@ -119,11 +110,14 @@ def scrub_secrets(t):
     return t("intel").select("doc_id", tx.scrub(c).alias("scrubbed"), tx.strip_markers(c).alias("bare"), tx.truncate(c, 600).alias("short"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'max_tokens' WHEN 1 THEN '' WHEN 2 THEN 'key_env' WHEN 3 THEN 'model' ELSE '' END AS kept FROM events")
+@query("""SELECT event_id, '{"' || CASE event_id % 5 WHEN 0 THEN 'max_tokens":"v' WHEN 1 THEN 'n":"' || event_type WHEN 2 THEN 'key_env":"v' WHEN 3 THEN 'model":"v' ELSE 'n":"' || event_type END || '"}' AS kept FROM events""")
 def secret_keys(t):
+    """Settings with a secret beside and inside an object; what is left of the object."""
     k = F.col("event_id") % 5
     name = F.when(k == 0, "max_tokens").when(k == 1, "api_key").when(k == 2, "key_env").when(k == 3, "model").otherwise("Access_Token")
-    return t("events").select("event_id", F.array_join(F.map_keys(tx.without_secrets(F.create_map(name, F.lit("v")))), ",").alias("kept"))
+    inner = F.to_json(F.when(k.isin(1, 4), F.create_map(F.lit("n"), "event_type", name, F.lit("v"))).otherwise(F.create_map(name, F.lit("v"), F.lit("password"), F.lit("x"))))
+    m = F.create_map(F.lit("settings"), inner, F.lit("secret"), F.lit("s"))
+    return t("events").select("event_id", F.get(F.map_values(tx.without_secrets_deep(m)), F.lit(0)).alias("kept"))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'gateway' WHEN 1 THEN 'unknown_model' WHEN 2 THEN 'capacity' WHEN 3 THEN 'auth' WHEN 4 THEN 'truncated' ELSE 'other' END AS class, event_id % 6 = 2 OR event_id % 4 = 0 AS transient FROM events")
@@ -136,8 +130,7 @@ def error_classes(t):
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_name IN (SELECT s_name FROM supplier WHERE s_suppkey % 10 = 3)")
 def profile_lookup(t):
-    wanted = t("supplier").filter("s_suppkey % 10 = 3").select("s_name")
-    return t("supplier").join(wanted, "s_name", "left_semi").select("s_suppkey", "s_name", "s_nationkey")
+    return runlog.profiles_by_name(t("supplier"), t("supplier").filter("s_suppkey % 10 = 3"), "s_name").select("s_suppkey", "s_name", "s_nationkey")
 
 
 @query("""SELECT conv_id, n, '# ' || conv_id || chr(10) || first || CASE WHEN n > 3 THEN ' … +' || (n - 3) ELSE '' END AS report, printf('%.1f KB', floor(chars / 1024.0 * 10 + 0.5) / 10) AS size, '2024-01-01T00:00:00.000000Z' AS stamp FROM (SELECT conv_id, count(*) AS n, string_agg(role, ', ' ORDER BY turn) FILTER (WHERE r <= 3) AS first, sum(length(text)) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) a GROUP BY conv_id) b""")
@@ -148,30 +141,27 @@ def rendered_reports(t):
     return g.select("conv_id", "n", F.concat_ws("\n", F.concat(F.lit("# "), F.col("conv_id").cast("string")), tx.preview(F.col("roles"), 3)).alias("report"), tx.kilobytes(F.col("chars")).alias("size"), stamp.alias("stamp"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\*\*([^*\n]+)\*\*', '<b>\1</b>', 'g')) AS html FROM (SELECT doc_id, '**' || source || '** <' || lang || '> ' || n_chars AS t FROM documents) d")
+@query(r"SELECT doc_id, '<p><strong>' || source || '</strong> &lt;' || lang || '&gt; ' || n_chars || '</p><ul><li>one &amp; <strong>two</strong><ul><li>' || source || '</li></ul></li><li>three</li></ul><p>end</p><ul><ul><li>deep</li></ul></li></ul>' AS html FROM documents")
 def light_html(t):
-    x = F.concat(F.lit("**"), "source", F.lit("** <"), "lang", F.lit("> "), F.col("n_chars").cast("string"))
-    return t("documents").select("doc_id", F.md5(tx.light_html(x).cast("binary")).alias("html"))
+    x = F.concat(F.lit("**"), "source", F.lit("** <"), "lang", F.lit("> "), F.col("n_chars").cast("string"), F.lit("\n- one & **two**\n  - "), "source", F.lit("\n• three\n\nend\n  - deep"))
+    return t("documents").select("doc_id", tx.light_html(x).alias("html"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'offline' ELSE 'none' END AS extractor, CASE WHEN doc_id % 3 = 0 THEN 'm1' END AS model FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'offline' ELSE 'none' END AS extractor, CASE WHEN doc_id % 3 = 0 THEN lang END AS model FROM documents")
 def provenance_credit(t):
     """The branch that made a row names its extractor; a model is credited only for its own rows."""
-    d = t("documents").select("doc_id")
-    part = lambda i, name: d.filter(f"doc_id % 3 = {i}").withColumn("extractor", F.lit(name))
-    rows = part(0, "llm").unionByName(part(1, "offline")).unionByName(part(2, "none"))
-    return rows.withColumn("model", F.when(F.col("extractor") == "llm", "m1"))
+    k = F.col("doc_id") % 3
+    return runlog.credit(t("documents").select("doc_id", "lang"), F.when(k == 0, "llm").when(k == 1, "offline").otherwise("none"), F.col("lang")).select("doc_id", "extractor", "model")
 
 
 @query("SELECT source, count(*) AS n_done, count(*) FILTER (WHERE n_chars < 200) AS n_failed, count(*) = count(*) FILTER (WHERE n_chars < 200) AS all_failed FROM documents GROUP BY source")
 def batch_outcome(t):
-    failed = F.count_if(F.col("n_chars") < 200)
-    return t("documents").groupBy("source").agg(F.count("*").alias("n_done"), failed.alias("n_failed"), (F.count("*") == failed).alias("all_failed"))
+    return runlog.batch_outcome(t("documents"), "source", F.col("n_chars") < 200)
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, count(doc_id) AS n, count(doc_id) >= 50 AS ready FROM documents GROUP BY source")
 def readiness(t):
-    return t("documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count("doc_id").alias("n"), (F.count("doc_id") >= 50).alias("ready"))
+    return runlog.readiness(t("documents"), "source", "doc_id", "lang", 50).select("source", F.array_join("platforms", ",").alias("langs"), "n", "ready")
 
 
 @query("SELECT session_id, turn, prompt, response FROM (SELECT 's' || conv_id AS session_id, 0 AS turn, min(text) AS prompt, max(text) AS response FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id) s")
@@ -198,50 +188,87 @@ def sql_functions(t):
     return d.sparkSession.sql("SELECT source, count(*) AS n, sum(rl_estimate_tokens(text)) AS tokens, min(rl_slug(source)) AS slug FROM {d} GROUP BY source", d=d)
 
 
-@query("SELECT doc_id, CAST(doc_id AS STRING) || '_json' AS bundle, 2 AS n_behavioural, 'm' || (doc_id % 3) AS model FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, CAST(doc_id AS STRING) || '_json', NULL, NULL FROM documents WHERE doc_id % 5 = 0")
-def bundle_catalogue(t):
-    """Bundles written as text, read back and listed; every fifth is malformed and stays in the list."""
-    d = t("documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "{bad").otherwise(F.concat(F.lit('{"type":"bundle","x_model":"m'), (F.col("doc_id") % 3).cast("string"), F.lit('","objects":[{"type":"attack-pattern"},{"type":"threat-actor"},{"type":"tool"}]}'))).alias("value"))
+def _bundle_files(t):
+    """Folder of bundle files, some two hundred documents each; every seventh is malformed, of the others every fifth has no model."""
+    d = t("documents").select(F.floor(F.col("doc_id") / 200).alias("b"), "doc_id", "lang", "source")
+    kind = F.when(F.col("doc_id") % 3 == 0, "attack-pattern").when(F.col("doc_id") % 3 == 1, "threat-actor").otherwise("tool")
+    obj = F.struct(kind.alias("type"), F.concat(kind, F.lit("--"), F.col("doc_id").cast("string")).alias("id"), F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("name"), F.array(F.struct(F.lit("One").alias("source_name"), F.concat(F.lit("T"), (F.col("doc_id") % 90 + 1000).cast("string")).alias("external_id"))).alias("external_references"))
+    g = d.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("doc_id", obj.alias("o")))).alias("o"))
+    body = F.struct(F.lit("bundle").alias("type"), F.when(F.col("b") % 5 != 0, F.concat(F.lit("m"), F.col("b").cast("string"))).alias("x_model"), F.lit("p").alias("x_provider"), F.lit("llm").alias("x_extractor"), F.transform("o", lambda x: x["o"]).alias("objects"))
+    value = F.when(F.col("b") % 7 == 6, F.concat(F.to_json(body), F.lit("}"))).otherwise(F.to_json(body))
     path = scratch(d.sparkSession, "bundles")
-    d.select("doc_id", "value").write.parquet(path)
-    back = d.sparkSession.read.parquet(path).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), F.length("value").alias("size"), "value", F.try_parse_json("value").isNotNull().alias("ok"))
-    listed = bd.catalogue(back).select(tx.clean_stem(F.col("name")).alias("bundle"), "n_behavioural", "model")
-    return listed.withColumn("doc_id", F.regexp_extract("bundle", r"^(\d+)", 1).cast("long"))
+    g.select(F.col("b").alias("part"), value.alias("value")).write.partitionBy("part").text(path)
+    files = bd.scan_bundles(d.sparkSession, f"{path}/*")
+    return files.join(g.select("b", F.to_json(body).alias("_v")), F.rtrim("value", F.lit("}")) == F.rtrim("_v", F.lit("}"))).drop("_v").withColumn("bundle_id", F.col("b")).drop("b")
+
+
+@query("SELECT doc_id // 200 AS bundle_id, CASE WHEN (doc_id // 200) % 7 = 6 THEN NULL ELSE count(*) FILTER (WHERE doc_id % 3 < 2) END AS n_behavioural, CASE WHEN (doc_id // 200) % 7 <> 6 AND (doc_id // 200) % 5 <> 0 THEN 'm' || (doc_id // 200) END AS model, CASE WHEN (doc_id // 200) % 7 <> 6 THEN 'llm' END AS extractor, true AS dated FROM documents GROUP BY 1, doc_id // 200")
+def bundle_catalogue(t):
+    files = _bundle_files(t)
+    listed = bd.catalogue(files.withColumn("name", F.col("bundle_id").cast("string")))
+    return listed.select(F.col("name").cast("long").alias("bundle_id"), "n_behavioural", "model", "extractor", F.col("mtime").isNotNull().alias("dated"))
+
+
+@query("SELECT doc_id // 200 AS bundle_id, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) - 1 AS pos, CASE doc_id % 3 WHEN 0 THEN 'attack-pattern' WHEN 1 THEN 'threat-actor' ELSE 'tool' END AS type, source || ' ' || doc_id AS name, 'T' || (1000 + doc_id % 90) AS technique_id FROM documents WHERE (doc_id // 200) % 7 <> 6")
+def bundle_scan(t):
+    """Objects of bundle files, with their first external id."""
+    from ..functions.objects import external_id
 
+    return bd.explode_objects(_bundle_files(t)).select("bundle_id", "pos", "type", "name", external_id(F.col("refs"), "one").alias("technique_id"))
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS pos, 'T' || (1000 + p_partkey) AS technique_id, p_name AS name, p_partkey % 2 = 0 AS revoked, 'windows' AS platforms, 'p' || (p_partkey % 4) AS phases, CAST(3 - p_partkey % 4 AS BIGINT) AS rank FROM part")
+
+_NAMES = bd.Taxonomy("Source-One", "x-matrix", "x-tactic", "x_platforms", "x_shortname")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS pos, 'T' || (1000 + p_partkey) AS technique_id, p_name AS name, p_partkey % 2 = 0 AS revoked, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'windows' END AS platforms, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'p' || (p_partkey % 4) || ',p9' ELSE 'p' || (p_partkey % 4) END AS phases, CASE WHEN p_partkey % 5 <> 0 THEN 3 - p_partkey % 4 END AS rank FROM part")
 def taxonomy_tables(t):
-    """Parts as a taxonomy bundle: techniques, and a matrix that orders four tactics."""
-    k = (F.col("p_partkey") % 4).cast("string")
-    body = F.struct(F.lit("attack-pattern").alias("type"), F.col("p_name").alias("name"), (F.col("p_partkey") % 2 == 0).alias("revoked"), F.array(F.lit("Windows")).alias("x_mitre_platforms"), F.array(F.struct(F.concat(F.lit("p"), k).alias("phase_name"))).alias("kill_chain_phases"), F.array(F.struct(F.lit("mitre-attack").alias("source_name"), F.concat(F.lit("T"), (F.col("p_partkey") + 1000).cast("string")).alias("external_id"))).alias("external_references"))
-    objs = t("part").select(F.col("p_partkey").alias("pos"), F.to_json(body).alias("obj"))
+    """Parts as a taxonomy bundle: techniques of no, one or two phases, and a matrix that orders four tactics and names one that isn't there."""
+    k = F.col("p_partkey")
+    phase = lambda x: F.struct(x.alias("phase_name"))
+    own = F.concat(F.lit("p"), (k % 4).cast("string"))
+    phases = F.when(k % 5 == 0, None).when(k % 7 == 0, F.array(phase(own), phase(F.lit("p9")))).otherwise(F.array(phase(own)))
+    ref = F.struct(F.lit("source-one").alias("source_name"), F.concat(F.lit("T"), (k + 1000).cast("string")).alias("external_id"))
+    body = F.struct(F.lit("attack-pattern").alias("type"), F.col("p_name").alias("name"), (k % 2 == 0).alias("revoked"), F.when(k % 3 != 0, F.array(F.lit("Windows"))).alias("x_platforms"), phases.alias("kill_chain_phases"), F.array(ref).alias("external_references"))
+    objs = t("part").select(k.cast("long").alias("pos"), F.to_json(body).alias("obj"))
     spark = objs.sparkSession
-    matrix = spark.createDataFrame([(-1, '{"type":"x-mitre-matrix","tactic_refs":["t3","t2","t9","t1","t0"]}')] + [(-2 - i, f'{{"type":"x-mitre-tactic","id":"t{i}","x_mitre_shortname":"p{i}"}}') for i in range(4)], "pos long, obj string")
+    matrix = spark.createDataFrame([(-1, '{"type":"x-matrix","tactic_refs":["t3","t2","t9","t1","t0"]}'), (-9, '{"type":"x-matrix","tactic_refs":["t0","t1"]}')] + [(-2 - i, f'{{"type":"x-tactic","id":"t{i}","x_shortname":"p{i}"}}') for i in range(4)], "pos long, obj string")
     field = lambda n: F.get_json_object("obj", f"$.{n}").alias(n)
     table = objs.unionByName(matrix).select("pos", field("type"), field("id"), field("name"), field("description"), field("source_ref"), field("target_ref"), field("relationship_type"), F.from_json(F.get_json_object("obj", "$.external_references"), bd.REFS).alias("refs"), "obj")
-    found = bd.taxonomy_tables(table)
-    order = found["kill_chain"].orderBy("rank")
-    numbered = order.withColumn("rank", F.when(F.col("rank") > 2, F.col("rank") - 1).otherwise(F.col("rank")).cast("long"))
-    tech = found["technique"].select("pos", "technique_id", "name", "revoked", F.array_join("platforms", ",").alias("platforms"), F.array_join(F.coalesce("phases", F.array(F.get_json_object(F.lit('{"a":1}'), "$.b"))), ",").alias("phases"))
-    phase = F.concat(F.lit("p"), (F.col("pos") % 4).cast("string"))
-    return tech.withColumn("phases", phase).join(numbered.withColumnRenamed("phase", "phases"), "phases")
+    found = bd.taxonomy_tables(table, _NAMES)
+    ranked = found["kill_chain"].select(F.col("phase").alias("first"), "rank")
+    tech = found["technique"].withColumn("first", F.get("phases", F.lit(0))).join(ranked, "first", "left")
+    return tech.select("pos", "technique_id", "name", "revoked", F.array_join("platforms", ",").alias("platforms"), F.array_join("phases", ",").alias("phases"), "rank")
 
 
-@query("SELECT doc_id, length(text) AS n, lower(regexp_extract(name, '(\\.[^.]*)$', 1)) AS ext FROM reports WHERE doc_id % 2 = 0".replace("\\\\", "\\"), ("reports",))
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 1 THEN '{}' ELSE '{\"n\":' || length(text) || '}' END AS raw FROM documents".replace('\\"', '"'))
 def ir_roundtrip(t):
-    """Records written by date partition and read again for resuming."""
-    r = t("reports").filter("doc_id % 2 = 0").select("doc_id", F.length("text").alias("n"), tx.extension(F.col("name")).alias("ext"), F.lit("2024-01-01").alias("run_date"))
-    path = scratch(r.sparkSession, "ir")
+    """Records written by date partition and read again for resuming; every fourth was never written, of the others some are damaged."""
+    d = t("documents")
+    raw = F.concat(F.lit('{"n":'), F.length("text").cast("string"), F.when(F.col("doc_id") % 6 == 1, "").otherwise("}"))
+    r = d.filter("doc_id % 4 <> 0").select("doc_id", raw.alias("raw"), F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 3 + 1).cast("string")).alias("run_date"))
+    path = scratch(d.sparkSession, "ir")
     bd.write_ir(r, path)
-    return r.sparkSession.read.parquet(path).select("doc_id", "n", "ext")
+    return bd.resume_ir(d.sparkSession.read.parquet(path), d)
+
+
+@query("SELECT 'validation' AS kind, count(*) AS n, sum(doc_id) AS total FROM documents UNION ALL SELECT 'metrics', count(DISTINCT source), sum(doc_id) FROM documents UNION ALL SELECT 'conversion_log', 2 * count(DISTINCT lang), 2 * sum(doc_id) FROM documents")
+def side_outputs(t):
+    """Validation, metrics and log of two runs, read back; the log is written in both."""
+    d = t("documents").select("doc_id", "source", "lang")
+    path, spark = scratch(d.sparkSession, "side"), d.sparkSession
+    by = lambda c: d.groupBy(c).agg(F.sum("doc_id").alias("doc_id"))
+    bd.write_side_outputs(d, by("source"), by("lang"), path)
+    bd.write_side_outputs(d.limit(0), by("source").limit(0), by("lang"), path)
+    read = lambda k: spark.read.parquet(f"{path}/{k}").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total")).select(F.lit(k).alias("kind"), "n", "total")
+    return read("validation").unionByName(read("metrics")).unionByName(read("conversion_log"))
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents")
 def report_scan(t):
-    """Documents written as text files, a folder a source, and scanned recursively with their names."""
-    d = t("documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit("\u0001"), "text").alias("value"))
+    """Documents written as text files, a folder a source, and scanned recursively with their names. No file has more than a hundred of them."""
+    d = t("documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit("\u0001"), F.coalesce("text", F.lit(""))).alias("value"))
     path = scratch(d.sparkSession, "scan")
-    d.write.partitionBy("source").option("lineSep", "\u0002").text(path)
+    d.write.partitionBy("source").option("lineSep", "\u0002").option("maxRecordsPerFile", 100).text(path)
     files = rp.scan_reports(d.sparkSession, path)
     each = files.select(F.explode(F.split("content", "\u0002")).alias("v")).filter("v <> ''")
     return each.select(F.substring_index("v", "\u0001", 1).cast("long").alias("doc_id"), F.length(F.substring_index("v", "\u0001", -1)).alias("n"))
@@ -256,6 +283,9 @@ def stream_intake(t):
     d.write.parquet(source)
     for _ in range(2):
         st.intake(spark, source, check, "doc_id long, text string", lambda df: df.withColumn("n", F.length("text")).drop("text"), sink).awaitTermination()
+    # the same content under another name is not new
+    d.limit(100).write.mode("append").parquet(source)
+    st.intake(spark, source, check, "doc_id long, text string", lambda df: df.withColumn("n", F.length("text")).drop("text"), sink).awaitTermination()
     return spark.read.parquet(sink).select("doc_id", "n")
 
 
@@ -266,30 +296,32 @@ def _event_stream(t):
     return e.sparkSession.readStream.schema(e.schema).parquet(path)
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+@query("SELECT user_id, coalesce(arg_min(event_type, ts) FILTER (WHERE event_type = 'error'), arg_max(event_type, ts)) AS event_type, coalesce(min(ts) FILTER (WHERE event_type = 'error'), max(ts)) AS ts FROM events GROUP BY user_id")
 def stream_latest(t):
     stream = _event_stream(t)
-    out = st.memory_run(st.latest_by_key(stream, "user_id", "event_type", "ts"), f"latest_{uuid.uuid4().hex}", "complete")
-    return out.select("user_id", "event_type", "ts")
+    return st.table_run(st.latest_by_key(stream, "user_id", "event_type", "ts", ("error",)), scratch(stream.sparkSession, "latest"), ["user_id"]).select("user_id", "event_type", "ts")
 
 
-@query("SELECT user_id, least(8, count(*)) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, least(8, count(*)) AS n, array_to_string((list(event_type ORDER BY event_id DESC))[1:8], ',') AS newest FROM events GROUP BY user_id")
 def last_n_state(t):
-    out = st.memory_run(st.last_n(_event_stream(t), "user_id", "event_id", "event_type"), f"last_{uuid.uuid4().hex}")
-    return out.groupBy("user_id").agg(F.max("n").cast("long").alias("n"))
+    stream = _event_stream(t)
+    out = st.table_run(st.last_n(stream, "user_id", "event_id", "event_type"), scratch(stream.sparkSession, "last"), ["user_id"])
+    return out.select("user_id", F.col("n").cast("long").alias("n"), F.array_join(F.reverse("last"), ",").alias("newest"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, count(DISTINCT user_id) >= 10 AS ready FROM events GROUP BY 1")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, count(DISTINCT user_id) AS n, count(DISTINCT user_id) >= 10 AS ready FROM events GROUP BY 1")
 def heartbeat_ready(t):
-    out = st.memory_run(st.heartbeats_ready(_event_stream(t), "ts", "user_id", "1 day", "60 days"), f"beats_{uuid.uuid4().hex}", "complete")
-    return out.select(F.col("w.start").alias("day"), (F.col("n") >= 10).alias("ready"))
+    stream = _event_stream(t)
+    seen = st.table_run(st.first_sightings(stream, "ts", "user_id", "1 day", "60 days"), scratch(stream.sparkSession, "beats"))
+    return st.heartbeats_ready(seen, "user_id", 10).withColumnRenamed("start", "day")
 
 
-@query("SELECT doc_id, field, min(i) - 1 AS column_no FROM (SELECT doc_id, unnest(['name', 'type', 'name']) AS field, unnest([1, 2, 3]) AS i FROM documents WHERE contains(text, '|')) a GROUP BY doc_id, field")
+@query("SELECT doc_id, field, min(i) - 1 AS column_no FROM (SELECT doc_id, unnest(['name', 'type', 'name']) AS field, unnest([1, 2, 3]) AS i FROM documents) a GROUP BY doc_id, field")
 def header_alias(t):
-    d = t("documents").filter(F.contains("text", F.lit("|"))).select("doc_id", F.concat(F.lit("| Host | OS | Machine |\n|---|---|---|\n"), F.regexp_replace("text", "\n", " ")).alias("text"))
-    aliases = rp.alias_table(d.sparkSession, {"name": ["host", "machine"], "type": ["os"]})
-    return extract.map_headers(extract.pipe_tables(d), aliases).select("doc_id", "field", "column_no")
+    """A table with emphasised headers before each document's own lines."""
+    d = t("documents").select("doc_id", F.concat(F.lit("| **Host** | `OS` | Machine | other |\n|---|---|---|---|\n\n"), F.replace("text", F.lit("|"), F.lit(" "))).alias("text"))
+    settings = d.sparkSession.createDataFrame([('{"table_columns": {"name": ["Host", "machine "], "type": ["os"]}, "inline_facts": {"domains": ["primary domain"]}}',)], "value string")
+    return extract.map_headers(extract.pipe_tables(d), rp.alias_scan(settings)["columns"]).select("doc_id", "field", "column_no")
 
 
 @query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, lower(p_name), p_partkey) AS r FROM part) p WHERE r <= 5")

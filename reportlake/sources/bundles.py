@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the public taxonomy format: source name of technique ids, object types and extension keys.
-ID_SOURCE = "mitre-attack"
-MATRIX, TACTIC = "x-mitre-matrix", "x-mitre-tactic"
-PLATFORMS, SHORT_NAME = "$.x_mitre_platforms", "$.x_mitre_shortname"
+from ..functions.objects import valid_json
 
 REFS = "array<struct<source_name:string,external_id:string>>"
 
@@ -16,14 +15,15 @@ REFS = "array<struct<source_name:string,external_id:string>>"
 def scan_bundles(spark: SparkSession, path: str) -> DataFrame:
     """bundle_id, name, size, mtime and text of each bundle file; a malformed one stays with ``ok`` false."""
     raw = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time")
-    return raw.select(F.regexp_replace("file_name", r"\.json$", "").alias("bundle_id"), F.col("file_name").alias("name"), F.col("file_size").alias("size"), F.col("file_modification_time").alias("mtime"), "value", F.try_parse_json("value").isNotNull().alias("ok"))
+    return raw.select(F.regexp_replace("file_name", r"\.json$", "").alias("bundle_id"), F.col("file_name").alias("name"), F.col("file_size").alias("size"), F.col("file_modification_time").alias("mtime"), "value", valid_json(F.col("value")).alias("ok"))
 
 
 def prefer_tier(bundles: DataFrame, tier: Column) -> DataFrame:
-    """One row a name: the smallest tier, then the newest."""
-    best = F.min(F.struct(tier.alias("tier"), (-F.unix_micros("mtime")).alias("age"))).alias("b")
-    keep = bundles.groupBy("name").agg(best)
-    return bundles.withColumn("_t", tier).join(keep, "name").filter((F.col("_t") == F.col("b.tier")) & (-F.unix_micros("mtime") == F.col("b.age"))).drop("_t", "b")
+    """One row a name: the smallest tier, then the newest, then the largest bundle_id."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("name").orderBy(tier, F.desc("mtime"), F.desc("bundle_id"))
+    return bundles.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
 def explode_objects(bundles: DataFrame) -> DataFrame:
@@ -35,27 +35,43 @@ def explode_objects(bundles: DataFrame) -> DataFrame:
 
 
 def catalogue(bundles: DataFrame) -> DataFrame:
-    """name, size, model, provider and number of behavioural objects; null for malformed files, which are listed too."""
+    """name, size, mtime, model, provider, extractor and number of behavioural objects; null for malformed files, which are listed too."""
     types = F.from_json(F.get_json_object("value", "$.objects"), "array<struct<type:string>>")
     n = F.size(F.filter(types, lambda o: o["type"].isin("attack-pattern", "threat-actor")))
-    return bundles.select("name", "size", F.get_json_object("value", "$.x_model").alias("model"), F.get_json_object("value", "$.x_provider").alias("provider"), F.when(F.col("ok") & types.isNotNull(), n).alias("n_behavioural"))
+    field = lambda key: F.when(F.col("ok"), F.get_json_object("value", f"$.x_{key}")).alias(key)
+    return bundles.select("name", "size", "mtime", field("model"), field("provider"), field("extractor"), F.when(F.col("ok") & types.isNotNull(), n).alias("n_behavioural"))
+
+
+@dataclass(frozen=True)
+class Taxonomy:
+    """Names that a taxonomy's format gives to its parts: source of technique ids, types of matrix and tactic objects, keys of a technique's platforms and of a tactic's short name."""
 
+    id_source: str
+    matrix: str
+    tactic: str
+    platforms: str
+    short_name: str
 
-def taxonomy_tables(objects: DataFrame) -> dict[str, DataFrame]:
+
+def taxonomy_tables(objects: DataFrame, names: Taxonomy) -> dict[str, DataFrame]:
     """technique, relationship and kill_chain tables from exploded taxonomy objects (with ``obj`` JSON).
 
-    Fails if there are no objects at all, as an empty taxonomy would silently match nothing.
+    A tactic's rank is the number of known phases before it in the last matrix. Fails if there are no objects at all, as an empty taxonomy would silently match nothing.
     """
     if objects.isEmpty():
         raise ValueError("the taxonomy holds no objects")
     arr = lambda p: F.coalesce(F.from_json(F.get_json_object("obj", p), "array<string>"), F.array().cast("array<string>"))
-    attack = F.filter("refs", lambda r: F.lower(r["source_name"]) == ID_SOURCE)
+    own = F.filter("refs", lambda r: F.lower(r["source_name"]) == names.id_source.lower())
+    phases = F.from_json(F.get_json_object("obj", "$.kill_chain_phases"), "array<struct<phase_name:string>>")
     technique = objects.filter("type = 'attack-pattern'").select(
-        F.get(attack, F.lit(0))["external_id"].alias("technique_id"), "id", "name", "description", F.transform(arr(PLATFORMS), lambda p: F.lower(p)).alias("platforms"),
-        F.from_json(F.get_json_object("obj", "$.kill_chain_phases[*].phase_name"), "array<string>").alias("phases"), F.coalesce(F.get_json_object("obj", "$.revoked") == "true", F.lit(False)).alias("revoked"), "pos")
-    tactic = objects.filter(F.col("type") == TACTIC).select(F.col("id").alias("ref"), F.get_json_object("obj", SHORT_NAME).alias("phase"))
-    refs = objects.filter(F.col("type") == MATRIX).select(F.posexplode(arr("$.tactic_refs")).alias("place", "ref"))
-    kill_chain = refs.join(tactic, "ref").groupBy("phase").agg(F.min("place").alias("rank"))
+        F.get(own, F.lit(0))["external_id"].alias("technique_id"), "id", "name", "description", F.transform(arr(f"$.{names.platforms}"), lambda p: F.lower(p)).alias("platforms"),
+        F.coalesce(F.filter(F.transform(phases, lambda p: p["phase_name"]), lambda p: p.isNotNull()), F.array().cast("array<string>")).alias("phases"), F.coalesce(F.get_json_object("obj", "$.revoked") == "true", F.lit(False)).alias("revoked"), "pos")
+    tactic = objects.filter(F.col("type") == names.tactic).select(F.col("id").alias("ref"), F.get_json_object("obj", f"$.{names.short_name}").alias("phase"))
+    last = objects.filter(F.col("type") == names.matrix).groupBy().agg(F.max_by("obj", "pos").alias("obj"))
+    refs = last.select(F.posexplode(arr("$.tactic_refs")).alias("place", "ref"))
+    first = refs.join(tactic, "ref").filter("phase <> ''").groupBy("phase").agg(F.min("place").alias("at"))
+    # a row a phase: the window runs over a handful of rows
+    kill_chain = first.select("phase", (F.row_number().over(Window.orderBy("at")) - 1).alias("rank"))
     rel = objects.filter("type = 'relationship'").select(F.col("source_ref").alias("src"), F.col("relationship_type").alias("rel_type"), F.col("target_ref").alias("dst"))
     return {"technique": technique, "kill_chain": kill_chain, "relationship": rel}
 
@@ -76,6 +92,12 @@ def write_ir(records: DataFrame, path: str, partition: str = "run_date") -> None
     records.write.mode("append").partitionBy(partition).parquet(path)
 
 
+def resume_ir(records: DataFrame, wanted: DataFrame, key: str = "doc_id", column: str = "raw") -> DataFrame:
+    """``key`` and ``column`` of every wanted key: its stored record, or ``{}`` where it is missing or isn't a JSON object."""
+    ok = valid_json(F.col(column)) & F.startswith(F.trim(column), F.lit("{"))
+    return wanted.select(key).join(records.filter(ok).select(key, column), key, "left").withColumn(column, F.coalesce(column, F.lit("{}")))
+
+
 def write_side_outputs(validation: DataFrame, metrics: DataFrame, log: DataFrame, path: str) -> None:
     """Validation, metrics and conversion log of one run, a table each."""
     for name, df in (("validation", validation), ("metrics", metrics), ("conversion_log", log)):

@@ -25,8 +25,7 @@ def classify_paths(paths: DataFrame) -> DataFrame:
 
 def largest_candidates(paths: DataFrame) -> DataFrame:
     """The largest file (then the first path) of each plan and part. ``paths``: path, size, plan, part."""
-    g = paths.groupBy("plan", "part").agg(F.max_by("path", F.struct("size", (-F.crc32("path")).alias("tie"))).alias("path"), F.max("size").alias("size"), F.count("*").alias("n"))
-    return g
+    return paths.groupBy("plan", "part").agg(F.min_by("path", F.struct((-F.col("size")).alias("size"), "path")).alias("path"), F.max("size").alias("size"), F.count("*").alias("n"))
 
 
 def alias_table(spark: SparkSession, aliases: dict[str, list[str]]) -> DataFrame:
@@ -34,6 +33,18 @@ def alias_table(spark: SparkSession, aliases: dict[str, list[str]]) -> DataFrame
     return spark.createDataFrame([(a.lower(), field) for field, names in aliases.items() for a in names], "alias_lc string, field string")
 
 
+def alias_scan(settings: DataFrame) -> dict[str, DataFrame]:
+    """Lookup tables of a settings document (``value``: JSON): ``sections`` and ``columns`` (alias_lc, field), ``facts`` (fact, field).
+
+    The document's keys section_headers, table_columns and inline_facts each map a field to its aliases. The first field, by name, that has an alias keeps it.
+    """
+    found = {}
+    for name, key in (("sections", "section_headers"), ("columns", "table_columns"), ("facts", "inline_facts")):
+        pairs = settings.select(F.explode(F.from_json(F.get_json_object("value", f"$.{key}"), "map<string,array<string>>")).alias("field", "names")).select("field", F.explode("names").alias("alias"))
+        found[name] = pairs.groupBy(F.lower(F.trim("alias")).alias("fact" if name == "facts" else "alias_lc")).agg(F.min("field").alias("field"))
+    return found
+
+
 def actor_name(slug_column: str, table: DataFrame, slugs: DataFrame) -> DataFrame:
     """Add actor: the canonical name of a folder slug by ``table`` (slug, actor), else the slug in title case."""
-    return slugs.join(F.broadcast(table.withColumnRenamed("slug", slug_column)), slug_column, "left").withColumn("actor", F.coalesce("actor", F.initcap(F.translate(slug_column, "-_", "  "))))
+    return slugs.join(table.withColumnRenamed("slug", slug_column), slug_column, "left").withColumn("actor", F.coalesce("actor", F.initcap(F.translate(slug_column, "-_", "  "))))
