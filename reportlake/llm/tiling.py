@@ -2,7 +2,7 @@
 
 Runs of words shared with benchmark items are found through hashed seeds; for
 each pair of document and item with enough seeds, the longest non-overlapping common runs are marked again and again
-(running Karp-Rabin), and the share of the item that is covered decides. Tiles may stand in any order.
+by running Karp-Rabin, and the share of the item that is covered decides. Tiles may stand in any order.
 """
 
 from __future__ import annotations
@@ -23,55 +23,62 @@ MIN_RUN = 5
 COVERAGE = 0.6
 #: The seed filter has a fixed size: 2^18 longs of 64 bits.
 SLOTS = 1 << 18
+#: Seeds of items, some 60 bytes each, that are broadcast; above that both sides are shuffled, documents dealt over ``SALTS``.
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
 
 def tiles(a: np.ndarray, b: np.ndarray, min_run: int = MIN_RUN) -> list[tuple[int, int, int]]:
     """(start in a, start in b, length) of the greedy tiling of two word sequences given as hashes.
 
-    Longest matches are marked first; among equal ones the first in ``b``, then in ``a``.
+    Longest matches are marked first; among equal ones the first in ``b``, then in ``a``. Search lengths fall: rolling hashes of the
+    runs of free words of one length are compared, so that memory stays in proportion to both sequences, however often they repeat.
     """
+    sums = prefix(a), prefix(b)
+    free = np.ones(len(a), bool), np.ones(len(b), bool)
     found: list[tuple[int, int, int]] = []
-    if min(len(a), len(b)) < min_run:
-        return found
-    keys_a, keys_b = _runs(a, min_run), _runs(b, min_run)
-    order = np.argsort(keys_b, kind="stable")
-    ranked = keys_b[order]
-    left, right = np.searchsorted(ranked, keys_a, "left"), np.searchsorted(ranked, keys_a, "right")
-    per = right - left
-    i = np.repeat(np.arange(len(keys_a)), per)
-    j = order[np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(left, per)]
-    # neighbours on a diagonal belong to one match: a run's length is the way to the end of its match
-    by = np.lexsort((i, j - i))
-    i, j = i[by], j[by]
-    ends = np.ones(len(i), bool)
-    ends[:-1] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
-    last = np.flatnonzero(ends)
-    size = last[np.searchsorted(last, np.arange(len(i)))] - np.arange(len(i)) + min_run
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    while len(i):
-        best = int(size.max())
-        first = np.flatnonzero(size == best)
-        at = first[np.lexsort((i[first], j[first]))[0]]
-        s, t = int(i[at]), int(j[at])
-        found.append((s, t, best))
-        free_a[s : s + best] = False
-        free_b[t : t + best] = False
-        size = np.minimum(size, np.minimum(_free(free_a)[i], _free(free_b)[j]))
-        lives = size >= min_run
-        i, j, size = i[lives], j[lives], size[lives]
+    size = min(len(a), len(b)) + 1
+    while (size := _longest(sums, free, min_run, size - 1)) >= min_run:
+        (at_a, keys_a), (at_b, keys_b) = (_grams(s, f, size) for s, f in zip(sums, free, strict=True))
+        places: dict[int, list[int]] = {}
+        common = np.isin(keys_a, keys_b)
+        for at, key in zip(at_a[common][::-1].tolist(), keys_a[common][::-1].tolist(), strict=True):
+            places.setdefault(key, []).append(at)
+        for t, key in zip(at_b.tolist(), keys_b.tolist(), strict=True):
+            where = places.get(key)
+            if not where or not free[1][t : t + size].all():
+                continue
+            # a place that is taken stays taken
+            while where and not free[0][where[-1] : where[-1] + size].all():
+                where.pop()
+            if where:
+                s = where.pop()
+                found.append((s, t, size))
+                free[0][s : s + size] = False
+                free[1][t : t + size] = False
     return found
 
 
-def _free(free: np.ndarray) -> np.ndarray:
-    """Number of free places from each one on to the next that is taken."""
+def _grams(sums: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the runs of ``size`` free words."""
     taken = np.append(np.flatnonzero(~free), len(free))
     at = np.arange(len(free))
-    return taken[np.searchsorted(taken, at)] - at
+    at = at[taken[np.searchsorted(taken, at)] - at >= size]
+    return at, spans(sums, at, at + size)
 
 
-def _runs(x: np.ndarray, k: int) -> np.ndarray:
-    at = np.arange(len(x) - k + 1)
-    return spans(prefix(x), at, at + k)
+def _longest(sums: tuple, free: tuple, low: int, high: int) -> int:
+    """Length from ``low`` to ``high`` of the longest run of free words that both sequences hold, 0 if none is so long."""
+    best = 0
+    while low <= high:
+        size = (low + high + 1) // 2
+        _, keys_a = _grams(sums[0], free[0], size)
+        _, keys_b = _grams(sums[1], free[1], size)
+        if np.isin(keys_b, keys_a).any():
+            best, low = size, size + 1
+        else:
+            high = size - 1
+    return best
 
 
 def _seed_rows(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +143,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN,
     widths = sorted(r.width for r in seeds.select("width").distinct().collect()) or [min_run]
     held = spark.sparkContext.broadcast(mask)
     near = stage(docs.select("doc_id", "text").mapInArrow(_masked(widths, held), "doc_id long, text string, seeds array<long>"))
-    pairs = near.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("n"), F.min("item_words").alias("m"))
+    pairs = _met(near.select("doc_id", F.explode("seeds").alias("seed")), seeds).groupBy("doc_id", "item_id").agg(F.sum("places").alias("n"), F.min("item_words").alias("m"))
     # every tile of l words holds l - min_run + 1 seed positions of the item, so covered words are at most min_run times the positions of shared seeds
     pairs = pairs.filter(F.col("n") * min_run >= F.col("m") * coverage)
     full = pairs.join(near.select("doc_id", "text"), "doc_id").join(benchmark.select("item_id", F.col("text").alias("item_text")), "item_id").select("doc_id", "item_id", "text", "item_text")
     return full.mapInArrow(partial(_tile_rows, min_run), "doc_id long, item_id long, n_tiles int, longest int, coverage double").filter(F.col("coverage") >= coverage)
 
 
+def _met(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seeds of documents with the items that hold them. A seed that many documents hold is dealt by a salt, unless the items' seeds are few enough to be broadcast."""
+    if seeds.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(seeds), "seed")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(seeds.withColumn("salt", salts), ["seed", "salt"]).drop("salt")
+
+
 def _masked(widths: list[int], held):
     return lambda batches: _with_seeds(widths, held.value, batches)
