@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.objects import stix_id, valid_json, valid_stix_id
-from ..functions.text import strip
+from ..functions.objects import external_id, object_key, stix_id, valid_json, valid_stix_id
+from ..functions.text import cve_key, strip
 from ..sources.storage import stage_rows
 
 #: Fixed list of object types that a bundle may hold.
@@ -169,6 +169,27 @@ def fuse_documents(objects: DataFrame, order: list[str] | None = None) -> DataFr
     return out.select("key", "id", "n_objects", F.when(F.col("n_objects") > 1, F.col("fused_from")).alias("fused_from"), F.coalesce("obj", F.lit("{}")).alias("obj"))
 
 
+def with_keys(objects: DataFrame, id_source: str) -> DataFrame:
+    """Add ``key`` to exploded objects: what makes objects of several bundles the same. ``objects``: type, id, name, description, refs, obj."""
+    ref = lambda source: external_id(F.col("refs"), source)
+    own = lambda n: F.get_json_object("obj", f"$.{n}")
+    cve = cve_key(ref("cve"), F.col("name"), F.col("description"))
+    return objects.withColumn("key", object_key(F.col("type"), ref(id_source), cve, own("cpe"), own("vendor"), F.col("name"), own("version"), F.col("id"), F.col("obj")))
+
+
+def fuse_bundles(objects: DataFrame, id_source: str) -> tuple[DataFrame, DataFrame]:
+    """(objects, edges) of several bundles fused: objects as by :func:`fuse_documents`, relationships between surviving ids as by :func:`remap_edges`.
+
+    ``objects``: exploded objects of all bundles (bundle_id, pos, type, id, name, description, source_ref, target_ref, relationship_type, refs, obj).
+    """
+    things, rels = objects.filter("coalesce(type, '') <> 'relationship'"), objects.filter("type = 'relationship'")
+    keyed = stage_rows(with_keys(things, id_source))
+    fused = stage_rows(fuse_documents(keyed))
+    ids = keyed.filter("coalesce(id, '') <> ''").select(F.col("id").alias("old_id"), "key").distinct().join(fused.select("key", F.col("id").alias("new_id")), "key").select("old_id", "new_id").filter("new_id IS NOT NULL")
+    edges = rels.select(F.col("source_ref").alias("src"), F.col("relationship_type").alias("rel_type"), F.col("target_ref").alias("dst"))
+    return fused, remap_edges(edges, ids)
+
+
 def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:
     """src, rel_type, dst, n: edges between surviving ids, equal ones merged; edges with an unknown end go.
 

@@ -217,6 +217,24 @@ def bundle_scan(t):
     return bd.explode_objects(_bundle_files(t)).select("bundle_id", "pos", "type", "name", external_id(F.col("refs"), "one").alias("technique_id"))
 
 
+@query("""SELECT key, arg_min(id, doc_id) AS id, count(*) AS n_objects, arg_min(name, doc_id) AS name FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'attack-pattern' WHEN 1 THEN 'threat-actor' ELSE 'tool' END || '--' || doc_id AS id, source || ' ' || doc_id AS name,
+ CASE doc_id % 3 WHEN 0 THEN 'attack-pattern:T' || (1000 + doc_id % 90) WHEN 1 THEN 'threat-actor:' || lower(source) || '-' || doc_id ELSE 'tool:' || lower(source) || '-' || doc_id END AS key FROM documents WHERE (doc_id // 200) % 7 <> 6) d GROUP BY key""")
+def bundle_fusion(t):
+    """Objects of bundle files fused by the step of that name."""
+    from .steps import run_step
+
+    return run_step("fuse", _bundle_files(t), id_source="one").select("key", "id", "n_objects", F.get_json_object("obj", "$.name").alias("name"))
+
+
+@query("SELECT bundle_id, sum(n_runnable) AS available FROM (SELECT w.bundle_id, w.technique_id, count(c.capability_id) AS n_runnable FROM wanted w LEFT JOIN capability c ON w.technique_id = c.technique_id OR (NOT contains(w.technique_id, '.') AND split_part(c.technique_id, '.', 1) = w.technique_id AND contains(c.technique_id, '.')) OR (contains(w.technique_id, '.') AND split_part(w.technique_id, '.', 1) = c.technique_id) GROUP BY 1, 2) x GROUP BY bundle_id", ("wanted", "capability"))
+def named_steps(t):
+    """The coverage step by its name, without platforms."""
+    from .steps import run_step
+
+    none = F.array().cast("array<string>")
+    return run_step("coverage", t("wanted").withColumn("attested", none), t("capability").withColumn("platforms", none)).select("bundle_id", "available")
+
+
 _NAMES = bd.Taxonomy("Source-One", "x-matrix", "x-tactic", "x_platforms", "x_shortname")
 
 
