@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
+
 #: A word is a run of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,12 +19,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only if that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="reportlake-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    """The folder that all executors share, ``spark.checkpoint.dir``; unset on a cluster it is an error."""
+    return shared_folder(spark)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -55,3 +52,15 @@ def word_count(text):
 def uniform(*parts):
     """A repeatable number in (0, 1) from the hash of the given columns."""
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def maybe_among(keys: DataFrame, columns: list[str], bits: int = 1 << 20) -> Column:
+    """True for rows whose ``columns`` are those of a row of ``keys``, and for few others, by a bitmap of fixed size; at most bits / 64 rows reach the driver."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    slots = keys.select(F.floor(place / 64).cast("int").alias("slot"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+    words = [0] * (bits // 64)
+    for r in slots.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")).collect():
+        words[r.slot] = r.set
+    held = F.from_json(F.lit(str(words)), "array<bigint>")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return F.get(held, F.floor(place / 64).cast("int")).bitwiseAND(bit) != 0

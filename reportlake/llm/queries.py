@@ -16,8 +16,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document, learnt from six sevenths of them."""
     docs = read(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    scored = ctxmix.score_documents(docs, docs.filter(~held))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    scored = ctxmix.score_documents(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "n_predicted")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document when recurring 35-word windows are removed."""
-    return phrases.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+    return phrases.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

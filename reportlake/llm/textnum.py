@@ -17,6 +17,8 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -66,12 +68,23 @@ class Words:
             last[edge - 1] = inside[edge - 1]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
-        self.hash = spans(prefix(_BYTE[data]), self.start, self.end)
+        self.hash = self._hashes()
         #: Word number at which each text starts; one more entry than texts.
         self.bounds = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.bounds)
         self.text = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
+    def _hashes(self) -> np.ndarray:
+        """Hashes of the words; some bytes at a time, so that a long text needs no array of numbers as long as itself."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PIECE, side="right")))
+            a = self.start[i]
+            out[i:j] = spans(prefix(_BYTE[self.data[a : self.end[j - 1]]]), self.start[i:j] - a, self.end[i:j] - a)
+            i = j
+        return out
+
     def windows(self, k: int) -> np.ndarray:
         """Starts of the windows of k words that lie within one text."""
         n = len(self.hash) - k + 1
@@ -103,9 +116,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         texts = batch.column(batch.schema.get_field_index(column))
         if texts.null_count:
             texts = texts.fill_null("")
-        if not pa.types.is_large_string(texts.type):
-            texts = texts.cast(pa.large_string())
-        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        at = np.frombuffer(texts.buffers()[1], kind, len(texts) + 1, texts.offset * kind().itemsize).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         i = 0
         while i < len(texts):
