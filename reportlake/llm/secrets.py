@@ -11,7 +11,7 @@ from __future__ import annotations
 import re._parser as regex_tree
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, lower_ascii, stage
@@ -30,8 +30,9 @@ class Rule:
 #: Fixed patterns of the base kinds, in their order.
 BASE_RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    # runs that are too short are no matches at all, so the least length stands in the pattern
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 #: Further public credential formats.
 MORE_RULES = (
@@ -108,17 +109,20 @@ def trigram_query(pattern: str) -> Query:
     return query
 
 
+ROW = ["doc_id", "text_hash"]
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """trigram, doc_id for those of ``trigrams`` that the lower-cased text holds."""
+    """trigram and the row's keys for those of ``trigrams`` that the lower-cased text holds."""
     low = lower_ascii(F.col("text"))
     held = F.filter(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]), lambda x: x.isNotNull())
-    return docs.select("doc_id", low.alias("low")).select("doc_id", F.explode(held).alias("trigram"))
+    return docs.select(*ROW, low.alias("low")).select(*ROW, F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and the kinds whose trigram query holds in it: postings intersected by document."""
+    """The row's keys and the kinds whose trigram query holds in it: postings intersected by document."""
     indexed = [(r, q) for r in rules if (q := trigram_query(r.pattern))]
-    by_doc = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("t"))
+    by_doc = index.groupBy(*ROW).agg(F.collect_set("trigram").alias("t"))
 
     def holds(clause: list[frozenset[str]]) -> Column:
         tests = [F.size(F.array_intersect("t", F.array(*map(F.lit, sorted(a))))) == len(a) for a in clause]
@@ -130,57 +134,51 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         for clause in query[1:]:
             test = test & holds(clause)
         kinds.append(F.when(test, F.lit(rule.kind)))
-    return by_doc.select("doc_id", F.filter(F.array(*kinds), lambda x: x.isNotNull()).alias("kinds")).filter(F.size("kinds") > 0)
+    return by_doc.select(*ROW, F.filter(F.array(*kinds), lambda x: x.isNotNull()).alias("kinds")).filter(F.size("kinds") > 0)
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end) of the rule's matches, code points, end exclusive.
-
-    The pieces between matches and the matches alternate, so their running lengths give the positions.
-    """
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x))
-    sized = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x)) if rule.group else found
-    rows = F.arrays_zip(gaps.alias("g"), found.alias("m"), sized.alias("n"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(s, x):
-        start = s["at"] + F.coalesce(x["g"], F.lit(0))
-        end = start + F.coalesce(x["m"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & (x["n"] >= rule.least), F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(empty)
+def _pieces(rows: DataFrame, rule: Rule, order: int) -> DataFrame:
+    """The row's keys, kind, and in order the lengths of the gap before each match, of the match and of its tested group."""
+    gaps = F.split("text", rule.pattern, -1)
+    found = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
+    tested = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))
+    sized = lambda x: F.transform(x, lambda v: F.length(v))
+    zipped = F.arrays_zip(sized(gaps).alias("g"), sized(found).alias("m"), sized(tested).alias("n"))
+    each = rows.filter(F.col("text").rlike(rule.pattern)).select(*ROW, F.lit(order).alias("kind"), F.posexplode(zipped).alias("i", "x"))
+    return each.select(*ROW, "kind", "i", "x.g", "x.m", "x.n", F.lit(rule.least).alias("least")).filter("m IS NOT NULL")
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """doc_id, found: every document with its matches as an array of (start, kind number, end), sorted.
 
-    ``docs``: doc_id (null: left out; repeated: a row each), text; other columns are ignored. A null or empty text has no matches.
+    ``docs``: doc_id (null: left out), text; other columns are ignored. Rows are told apart by doc_id and text; repeated rows have a row each. A null or empty text has no matches.
     Matches of one rule don't overlap, those of different rules may. Spans that tie in start come in the order
     of ``rules``. Documents of any length are scanned whole.
+
+    Gaps and matches alternate, so the running sum of their lengths gives the places; it runs over rows, however many matches a text has.
     """
-    docs = keyed(docs)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    base = keyed(docs).select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     number = {r.kind: i for i, r in enumerate(rules)}
-    indexed = [r for r in rules if trigram_query(r.pattern)]
-    trigrams = sorted({t for r in indexed for clause in trigram_query(r.pattern) for a in clause for t in a})
-    full = [_spans(F.col("text"), r, number[r.kind]) for r in rules if r not in indexed]
-    parts = []
-    if full:
-        parts.append(base.select("doc_id", F.concat(*full).alias("found")).filter(F.size("found") > 0))
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    indexed = [r for r in rules if queries[r.kind]]
+    parts = [_pieces(base, r, number[r.kind]) for r in rules if not queries[r.kind]]
     if indexed:
+        trigrams = sorted({t for r in indexed for clause in queries[r.kind] for a in clause for t in a})
         wanted = stage(candidates(postings(base, trigrams), rules))
-        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-        spans = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r, number[r.kind])).otherwise(none) for r in indexed]
-        parts.append(base.join(wanted, "doc_id").select("doc_id", F.concat(*spans).alias("found")).filter(F.size("found") > 0))
-    found = parts[0]
+        near = stage(base.join(wanted, ROW))
+        parts += [_pieces(near.filter(F.array_contains("kinds", r.kind)), r, number[r.kind]) for r in indexed]
+    pieces = parts[0]
     for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        pieces = pieces.unionByName(p)
+    # repeated rows have the same pieces
+    pieces = pieces.repartition(*ROW).dropDuplicates([*ROW, "kind", "i"])
+    until = Window.partitionBy(*ROW, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("g") + F.col("m")).over(until).cast("int")
+    spans = pieces.withColumn("end", end).filter("n >= least").select(*ROW, F.struct((F.col("end") - F.col("m")).alias("start"), "kind", "end").alias("s"))
+    found = spans.groupBy(*ROW).agg(F.array_sort(F.collect_list("s")).alias("found"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return docs.select("doc_id").join(found, "doc_id", "left").withColumn("found", F.coalesce("found", none))
+    return base.select(*ROW).join(found, ROW, "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
 def spans_text(found: Column, rules: tuple[Rule, ...], kinds: tuple[str, ...] | None = None) -> Column:
