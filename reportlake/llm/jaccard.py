@@ -1,12 +1,14 @@
 """N-gram Jaccard join by prefixes of shingles and combinations of frequent ones.
 
-Sets are ordered by shingle hash. Sets with Jaccard >= t share k shingles within their first
-n - ceil(t n) + k ones, for every k. Shingles that are rare in these prefixes are indexed alone; where two sets share only
-frequent ones, they share a pair of them, so frequent shingles are indexed as pairs (k = 2).
-Candidates are verified on their whole sets.
-
-Links matter through their components, so groups are joined to few members first: a posting
-whose sets are all in one component needs no further pair, and a pair within a component is not verified.
+Sets are ordered from rare to frequent shingles (:mod:`rarity`). Sets with Jaccard >= t share k shingles within their first
+n - ceil(t n) + k ones, for every k. Prefixes are extended for k = 2: shingles that are rare in these prefixes are indexed
+alone; where two sets share only frequent ones, they share a pair of them, so frequent shingles are indexed as pairs.
+Candidates are verified on their whole sets. A shingle of one document can be in no intersection, so sets are kept
+without these: most texts then have short lists.
+
+Links matter through their components. Each round links the members of a key to its hubs; a key
+whose sets are all in one component needs no further pair. What is left open is searched in full, a growing part of the keys at
+a time, where parity sketches (their distance is at most that of the sets) hold back pairs that can't link.
 """
 
 from __future__ import annotations
@@ -16,20 +18,27 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
+from . import rarity
 from .common import keyed, stage
-from .graph import components
+from .graph import merged
 from .textnum import Words, chunks, mix, prefix, signed, spans
 
 #: Sets of the index that may hold a shingle that is indexed alone.
 RARE = 24
-ROUNDS = 3
+#: Rounds of hubs, and hubs of a key in each.
+ROUNDS = 1
+HUBS = 3
+#: Parts of the keys that the full search takes one after the other, by hash: near sets have many keys in common,
+#: so the first parts join most of what is left and the others find little to pair.
+SLICES = ((0, 1), (1, 8), (8, 64), (64, 512))
 K = 2
-#: First places of a prefix that the rounds look at; the last search takes all.
-ROUND_PLACES = 8
+#: Longs of a parity sketch.
+SKETCH = 8
+#: Rows of one block of a key in the full search.
+KEY_BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,149 +59,142 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return text[new], hashes[new]
 
 
-def _prefixes(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for _, data, offsets in chunks(batches):
+        yield shingle_sets(data, offsets, k)[1]
+
+
+def _sets(k: int, num: int, den: int, held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of each text: size, 128-bit sum, sketch, how many shingles of several documents are in the prefix, and all these in order if any is."""
     for rows, data, offsets in chunks(batches):
         m = len(offsets) - 1
         text, hashes = shingle_sets(data, offsets, k)
         n = np.bincount(text, minlength=m)
         at = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(len(text)) - at[text]
-        keep = np.where(n > 0, np.minimum(n, n - -(-num * n // den) + K), 0)
-        chosen = place < keep[text]
         total = lambda x: np.add.reduceat(np.concatenate([x, np.zeros(1, np.uint64)]), np.minimum(at[:-1], len(x))) * (n > 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(signed(hashes[chosen])))
+        parity = np.bincount(text * (64 * SKETCH) + (mix(hashes) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=m * 64 * SKETCH) & 1
+        sketch = np.packbits(parity.astype(np.uint8).reshape(m, -1), axis=1).reshape(-1).view(np.int64)
+        klass = rarity.classes(held.value, hashes)
+        shared = np.flatnonzero(klass)
+        size = np.bincount(text[shared], minlength=m)
+        # what is left of the prefix after the shingles of this text alone; without that the set can't link
+        first = np.maximum(0, np.where(n > 0, np.minimum(n, n - -(-num * n // den) + K), 0) - (n - size))
+        size = np.where(first > 0, size, 0)
+        shared = shared[first[text[shared]] > 0]
+        order = shared[np.lexsort((hashes[shared], klass[shared], text[shared]))]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(signed(hashes[order])))
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(n, pa.int64()), pa.array(signed(total(mix(hashes)))), pa.array(signed(total(mix(hashes ^ np.uint64(0x5DEECE66D))))), lists],
-            names=["doc_id", "n", "f1", "f2", "prefix"],
-        )
-
-
-def _postings(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mask = held.value
-    for b in batches:
-        for i in range(0, len(b), 2000):
-            part = b.slice(i, 2000)
-            lists = part.column(2)
-            values = np.asarray(lists.flatten())
-            size = np.diff(np.asarray(lists.offsets))
-            row = np.repeat(np.arange(len(part)), size)
-            place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            hit = bloom.test(mask, values.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(values[hit]), part.column(0).take(pa.array(row[hit])), part.column(1).take(pa.array(row[hit])), pa.array(place[hit], pa.int32())], names=["token", "id", "n", "pos"])
-
-
-def _masked_texts(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = bloom.test(held.value, np.asarray(b.column(0)).view(np.uint64))
-        yield b.filter(pa.array(hit))
-
-
-def _verify(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (a, b, text of a, text of b) whose sets link."""
-    for b in batches:
-        for i in range(0, len(b), 200):
-            part = b.slice(i, 200)
-            raw = [x.encode() for c in (2, 3) for x in part.column(c).to_pylist()]
-            text, hashes = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), k)
-            at = np.searchsorted(text, np.arange(len(raw) + 1))
-            m = len(part)
-            ok = np.zeros(m, bool)
-            for r in range(m):
-                x, y = hashes[at[r] : at[r + 1]], hashes[at[m + r] : at[m + r + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[r] = den * both >= num * (len(x) + len(y) - both) and both > 0
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-
-def _possible(num: int, den: int):
+            [rows.column(0), pa.array(n, pa.int64()), pa.array(signed(total(mix(hashes)))), pa.array(signed(total(mix(hashes ^ np.uint64(0x5DEECE66D))))),
+             pa.array(first, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * SKETCH, pa.int32()), pa.array(sketch)), lists],
+            names=["doc_id", "n", "f1", "f2", "first", "sketch", "tokens"])
+
+
+def _possible(num: int, den: int) -> Column:
     """Sizes and places of a shared shingle leave room for enough shared ones."""
     most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
     return (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
 
 
-def _enough(rare, num: int, den: int):
-    """Shared shingles of the prefixes and what is left of the longer rest can reach the overlap that a link needs.
-
-    Shared shingles beyond both prefixes lie beyond the one that ends first, so they are at most the rest of one set.
-    """
-    rest = lambda n: n - F.least(n, n - F.ceil(F.lit(num) * n / F.lit(den)) + K)
-    most = rare + F.least("f_a", "f_b") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b")))
-    return most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+def _close(num: int, den: int) -> Column:
+    """The distance of two sketches is at most that of the sets, which a link bounds."""
+    apart = F.lit(0)
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i]))
+    return apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every document.
 
-    Two documents link when den * intersection >= num * union of their sets of k-word shingles, A-Z in lower case. class_id is
+    Two documents link when den * intersection >= num * union of their sets of k-word shingles, A-Z in lower case; ``num / den`` is above 1/2. class_id is
     the smallest doc_id with the same set, component_id the smallest reachable by links. ``docs``: doc_id
-    (null: left out; repeated: a row each), text; other columns are ignored. Null and empty texts have no shingles and are alone. Sets are compared by
+    (null: left out; repeated: a row each, and rows of one doc_id count as linked), text; other columns are ignored. Null and empty texts have no shingles and are alone. Sets are compared by
     128-bit sums of their hashes and shingles by 64-bit hashes. Copies of a set are one class from the start.
     """
-    spark, docs = docs.sparkSession, keyed(docs)
-    sets = stage(docs.select("doc_id", "text").mapInArrow(partial(_prefixes, k, num, den), "doc_id long, n long, f1 long, f2 long, prefix array<long>"))
-    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"))
-    classes = sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    members = sets.filter("n > 0").select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
-    members = stage(members.unionByName(alone))
-    reps = stage(sets.join(members.filter("n_shingles > 0 AND doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "prefix"))
-    # shingles that two sets share; a filter of fixed size spares the others the shuffle
-    shared = stage(reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    held = spark.sparkContext.broadcast(bloom.build(shared.select("token")))
-    index = stage(reps.mapInArrow(partial(_postings, held), "token long, id long, n long, pos int").join(shared, "token"))
-
-    def texts_of(ids: DataFrame, name: str, text: str) -> DataFrame:
-        """Texts of a column of pairs; the others are held back before the shuffle."""
-        mask = spark.sparkContext.broadcast(bloom.build(ids.distinct()))
-        return docs.select("doc_id", "text").mapInArrow(partial(_masked_texts, mask), "doc_id long, text string").select(F.col("doc_id").alias(name), F.col("text").alias(text))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs)
-        x, y = texts_of(pairs.select("a"), "a", "x"), texts_of(pairs.select("b"), "b", "y")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(partial(_verify, k, num, den), "a long, b long")
-
-    links, label = None, None
-    few = stage(index.filter(F.col("pos") < ROUND_PLACES))
-    open_index = few.withColumn("c", F.col("id"))
-    for r in range(ROUNDS):
-        # the hub of a posting is the set with the smallest hash of this round: groups share their hubs
-        rank = F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "pos", "c")
-        hubs = open_index.groupBy("token").agg(F.min(rank).alias("hub"))
-        spokes = open_index.join(hubs, "token").filter("c <> hub.c").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("hub.pos").alias("pos_b"))
-        votes = spokes.filter(_possible(num, den)).groupBy("a", "b").agg(F.count("*").alias("v"))
-        pairs = votes.groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b"))
-        found = stage(verified(pairs))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        if found.isEmpty() or r == ROUNDS - 1:
-            break
-        open_index = _open(few, label)
-    rest = _open(index, label)
-    many = rest.filter(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("f"))
-    rest = stage(rest.join(many, "id", "left").fillna(0, ["f"]))
-    rare = rest.filter(F.col("df") <= RARE).withColumn("key", F.col("token"))
-    held_by = rest.filter(F.col("df") > RARE).groupBy("id", "n", "c", "f").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as key, x.pos as pos))))")
-    combos = held_by.select("id", "n", "c", "f", F.explode(two).alias("p")).select(F.col("p.key").alias("key"), "id", "n", F.col("p.pos").alias("pos"), "c", "f")
-
-    def met(listed: DataFrame) -> DataFrame:
-        """Pairs of different components under one key whose sizes and places allow a link."""
-        left = listed.select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "pos", "c", "f")])
-        right = listed.select("key", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "pos", "c", "f")])
-        return left.join(right, "key").filter("c_a < c_b").filter(_possible(num, den))
-
-    # shingles that a pair shares in its prefixes: rare ones are counted, frequent ones are at most those of either set
-    both = ["id_a", "id_b", "n_a", "n_b", "f_a", "f_b"]
-    by_rare = met(rare).groupBy(*both).agg(F.count("*").alias("r")).filter(_enough(F.col("r"), num, den))
-    by_two = met(combos).filter(_enough(F.lit(0), num, den)).select(*both)
-    pairs = by_rare.select(*both).unionByName(by_two).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    last = stage(verified(pairs))
-    label = components(links.unionByName(last))
+    if num * 2 <= den:
+        raise ValueError("the threshold must be above 1/2")
+    spark, docs = docs.sparkSession, keyed(docs).select("doc_id", "text")
+    held = spark.sparkContext.broadcast(rarity.frequency_table(docs, partial(_hashes, k), rarity.total_bytes(docs)))
+    schema = "doc_id long, n long, f1 long, f2 long, first int, sketch array<long>, tokens array<long>"
+    sets = stage(docs.mapInArrow(lambda batches: _sets(k, num, den, held, batches), schema))
+    sized = sets.filter("n > 0").select("doc_id", "n", "f1", "f2")
+    classes = sized.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
+    members = sized.join(classes, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
+    members = stage(members.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"))))
+    reps = members.filter("n_shingles > 0 AND doc_id = class_id").select("doc_id", F.col("n_shingles").alias("n")).distinct()
+    reps = stage(sets.filter("first > 0").join(reps, ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", "first", "sketch", "tokens"))
+
+    keys = _index(reps)
+    label = merged(None, _one_document(members))
+    for r in range(ROUNDS + len(SLICES)):
+        last = SLICES[r - ROUNDS] if r >= ROUNDS else None
+        pairs = _spokes(keys, r, num, den) if last is None else _met(_slice(keys, last), reps, num, den)
+        label = merged(label, stage(_verified(pairs, reps, num, den)))
+        if last is None or last != SLICES[-1]:
+            keys = _open(keys, label)
     joined = members.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
-def _open(index: DataFrame, label: DataFrame) -> DataFrame:
-    """Postings whose sets are in more than one component, with the component of each set."""
-    with_c = index.join(label.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    several = with_c.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    return stage(with_c.join(several, "token", "left_semi"))
+def _one_document(members: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id."""
+    several = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("hi")).filter("b < hi").select("doc_id", "b")
+    return stage(members.join(several, "doc_id").filter("class_id > b").select(F.col("class_id").alias("a"), "b").distinct())
+
+
+def _index(reps: DataFrame) -> DataFrame:
+    """key, id, n, pos, c: prefixes by rare shingles and by pairs of frequent ones; keys of one set are left out."""
+    places = reps.select("id", "n", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "token"))
+    places = stage(places.select("token", "id", "n", (F.col("alone") + F.col("i")).cast("int").alias("pos")))
+    df = stage(places.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    listed = stage(places.join(df, "token"))
+    rare = listed.filter(F.col("df") <= RARE).select(F.col("token").alias("key"), "id", "n", "pos")
+    held_by = listed.filter(F.col("df") > RARE).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as key, x.pos as pos))))")
+    combos = held_by.select("id", "n", F.explode(two).alias("p")).select(F.col("p.key").alias("key"), "id", "n", F.col("p.pos").alias("pos"))
+    return stage(rare.unionByName(combos).withColumn("c", F.col("id")))
+
+
+def _spokes(keys: DataFrame, r: int, num: int, den: int) -> DataFrame:
+    """Pairs of sets with the hubs of their keys. The hubs of a key are its sets with the smallest hashes of this round."""
+    hub = lambda i: F.min(F.struct(F.xxhash64("id", F.lit(r * HUBS + i)).alias("h"), "id", "n", "pos", "c"))
+    hubs = keys.groupBy("key").agg(F.array(*map(hub, range(HUBS))).alias("hubs"), F.max("c").alias("hi"), F.min("c").alias("lo")).filter("lo < hi")
+    spokes = keys.join(hubs.select("key", F.explode("hubs").alias("hub")), "key").filter("c <> hub.c")
+    spokes = spokes.select(F.col("id").alias("id_a"), F.col("hub.id").alias("id_b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("hub.pos").alias("pos_b"))
+    return spokes.filter(_possible(num, den)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _slice(keys: DataFrame, part: tuple[int, int]) -> DataFrame:
+    place = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SLICES[-1][1]))
+    return keys.filter((place >= part[0]) & (place < part[1]))
+
+
+def _met(keys: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components under one key that may link. A key of many sets is cut into blocks, and each pair of blocks is a key of its own."""
+    size = keys.groupBy("key").agg(F.ceil(F.count("*") / F.lit(KEY_BLOCK)).cast("int").alias("blocks"))
+    rows = keys.join(size, "key").join(reps.select("id", F.col("sketch").alias("s")), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = F.col("block")
+    left = rows.withColumn("x", own).withColumn("y", F.explode(F.sequence(own, F.col("blocks") - 1)))
+    right = rows.withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), own)))
+    named = lambda d, side: d.select("key", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "c", "s")])
+    pairs = named(left, "a").join(named(right, "b"), ["key", "x", "y"]).filter("c_a <> c_b AND (x < y OR id_a < id_b)").filter(_possible(num, den) & _close(num, den))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b) that link, by their whole sets. Sketches hold back most others, so that few sets are moved."""
+    light = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    near = stage(pairs.join(light("a"), "a").join(light("b"), "b").filter(_close(num, den)).select("a", "b", "n_a", "n_b"))
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    need = stage(reps.join(ids, "id", "left_semi").select("id", "tokens"))
+    both = F.size(F.array_intersect("t_a", "t_b"))
+    side = lambda x: need.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
+    linked = near.join(side("a"), "a").join(side("b"), "b").filter((both > 0) & (both * den >= (F.col("n_a") + F.col("n_b") - both) * num))
+    return linked.select("a", "b").distinct()
+
+
+def _open(keys: DataFrame, label: DataFrame) -> DataFrame:
+    """Keys whose sets are in more than one component, with the component of each set."""
+    with_c = keys.drop("c").join(label.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    several = with_c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return stage(with_c.join(several, "key", "left_semi"))
