@@ -21,35 +21,51 @@ ANCHORS = (
     "au aux avec dans de du en est et la le les par pas pour qui que un une "
     "con del el las los no por se su y"
 ).split()
-#: After so many common words in a row the next word counts as a content word.
-MAX_GAP = 40
-#: doc_id range of one block in :func:`next_documents`.
+#: Rows of one block in :func:`next_documents`, about, blocks of one group, and parts of the ids that have blocks of their own width.
 BLOCK = 256
+GROUP = 4096
+PARTS = 64
 #: Bits of the filter that holds back rows before the join of :func:`next_documents`; its size is fixed.
 FILTER_BITS = 1 << 18
 
 
-def marked_text(text: Column, anchors: list[str] = ANCHORS) -> Column:
-    """Lower-case words without punctuation at their ends, a blank after each; common words start with a mark."""
+def words_of(text: Column) -> Column:
+    """Lower-case words without ASCII punctuation at their ends."""
     edge = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*"
-    words = F.split(F.regexp_replace(F.lower(text), rf"{edge}[\x01\x20\x09-\x0D]+{edge}", " "), " ")
-    return F.concat(F.array_join(F.transform(words, lambda w: F.when(w.isin(anchors), F.concat(F.lit("\x01"), w)).otherwise(w)), " "), F.lit(" "))
+    return F.filter(F.split(F.regexp_replace(F.lower(text), rf"{edge}[\x01\x02\x20\x09-\x0D]+{edge}", " "), " "), lambda w: w != "")
+
+
+def _chains(words: Column, common) -> Column:
+    """Hashes of each common word with the two content words after it, common words between them skipped."""
+    # pieces end with a content word, after the common words before it
+    joined = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(common(w), " ").otherwise("\x02"))), "")
+    pairs = lambda p: F.arrays_zip(p.alias("a"), F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))).alias("b"))
+
+    def of(x):
+        parts = F.split(x["a"], " ")
+        first, second = F.element_at(parts, -1), F.substring_index(x["b"], " ", -1)
+        return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda w: F.xxhash64(w, first, second))
+
+    # an array of one holds the pieces, so that they are made once
+    return F.flatten(F.flatten(F.transform(F.array(F.split(joined, "\x02")), lambda p: F.transform(F.filter(pairs(p), lambda x: x["b"].isNotNull()), of))))
 
 
 def signature_set(text: Column, anchors: list[str] = ANCHORS) -> Column:
-    """Sorted distinct 32-bit hashes of the signatures; of the whole text if it has none."""
-    gap = rf"(?:\x01[^ ]+ ){{0,{MAX_GAP}}}+"
-    found = F.regexp_extract_all(marked_text(text, anchors), F.lit(rf"\x01(?=([^ ]+ {gap}[^ ]+ {gap}[^ ]+ ))"), F.lit(1))
-    # the anchor stays, common words after it go
-    bare = F.transform(found, lambda x: F.regexp_replace(x, "\x01[^ ]+ ", ""))
-    digest = lambda x: (F.crc32(x.cast("binary")) - F.lit(1 << 31)).cast("int")
-    sigs = F.array_sort(F.array_distinct(F.transform(bare, digest)))
-    return F.when(F.size(sigs) > 0, sigs).otherwise(F.array(digest(text)))
+    """Sorted distinct 64-bit hashes of the signatures.
+
+    A text without common words takes one in four of its words, by hash, in their place; one that has no signature even so, the hash of the whole text.
+    """
+    def made(words):
+        usual = _chains(words, lambda w: w.isin(anchors))
+        return F.when(F.size(usual) > 0, usual).otherwise(_chains(words, lambda w: F.pmod(F.xxhash64(w), F.lit(4)) == 0))
+
+    sigs = F.get(F.transform(F.array(words_of(text)), made), F.lit(0))
+    return F.get(F.transform(F.array(sigs), lambda s: F.when(F.size(s) > 0, F.sort_array(F.array_distinct(s))).otherwise(F.array(F.xxhash64(text)))), F.lit(0))
 
 
 def fingerprint_text(sigs: Column) -> Column:
-    """A set as text: its hashes in 8 hexadecimal digits each."""
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + F.lit(1 << 31))), 8, "0")), " ")
+    """A set as text: its hashes in 16 hexadecimal digits each."""
+    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -70,21 +86,39 @@ def _maybe_in(keys: DataFrame, column: str) -> Column:
     return F.get(held, slot).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
 
 
+def _blocks(docs: DataFrame, block: int) -> Column:
+    """Block number of a doc_id, in its order: ids are cut at quantiles, and each part into equal ranges of about ``block`` ids."""
+    q = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.percentile_approx("doc_id", [i / PARTS for i in range(1, PARTS + 1)], 1000).alias("cuts")).first()
+    if not q.n:
+        return F.lit(0).cast("long")
+    cuts = sorted({q.lo - 1, *q.cuts})
+    per = max(1, q.n // PARTS // block)
+    number = F.lit(len(cuts) * (per + 1)).cast("long")
+    for i in reversed(range(len(cuts) - 1)):
+        a, b = cuts[i], cuts[i + 1]
+        inside = F.floor((F.col("doc_id").cast("double") - float(a)) / float(max(1, b - a)) * per)
+        number = F.when(F.col("doc_id") <= b, F.lit(i * (per + 1)) + F.greatest(F.lit(0), F.least(F.lit(per), inside))).otherwise(number)
+    return number.cast("long")
+
+
 def next_documents(docs: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
     """Each row with ``next_<column>`` of the row with the next smaller doc_id (after the smallest: the largest).
 
     doc_ids are dealt to blocks of a range each, so that a block's rows are few; the largest row of a
-    block is also sent to the next block above as its last row. Only one row a block is ordered globally.
+    block is also sent to the next block above as its last row. Blocks are ordered in groups, and only one row a group globally.
     """
-    key = F.floor(F.col("doc_id") / F.lit(block))
-    d = docs.withColumn("_b", key)
-    tops = d.groupBy("_b").agg(F.max("doc_id").alias("doc_id"))
-    above = Window.orderBy("_b")
-    to = tops.withColumn("_to", F.coalesce(F.lead("_b").over(above), F.first("_b").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    d = docs.withColumn("_b", _blocks(docs, block))
+    tops = d.groupBy("_b").agg(F.max("doc_id").alias("doc_id")).withColumn("_g", F.floor(F.col("_b") / F.lit(GROUP)))
+    tops = stage(tops)
+    firsts = tops.groupBy("_g").agg(F.min("_b").alias("_first"))
+    above = Window.orderBy("_g")
+    wrap = F.first("_first").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = firsts.select("_g", F.coalesce(F.lead("_first").over(above), wrap).alias("_after"))
+    to = tops.withColumn("_to", F.lead("_b").over(Window.partitionBy("_g").orderBy("_b"))).join(firsts, "_g").select("doc_id", F.coalesce("_to", "_after").alias("_to"))
     to = stage(to)
-    guests = d.filter(_maybe_in(to, "doc_id")).join(to.select("doc_id", "_to"), "doc_id").withColumn("_b", F.col("_to")).drop("_to").withColumn("_guest", F.lit(True))
+    guests = d.filter(_maybe_in(to, "doc_id")).join(to, "doc_id").withColumn("_b", F.col("_to")).drop("_to").withColumn("_guest", F.lit(True))
     both = d.withColumn("_guest", F.lit(False)).unionByName(guests)
-    w = Window.partitionBy("_b").orderBy(F.col("_guest"), F.col("doc_id").desc())
+    w = Window.partitionBy("_b").orderBy(F.col("_guest"), F.col("doc_id").desc(), *[F.xxhash64(c) for c in columns])
     out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return out.filter(~F.col("_guest")).drop("_guest", "_b")
 
@@ -125,7 +159,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third of code points replaced by as many first ones of the next document
     in descending doc_id. ``docs``: doc_id (null: left out), text; null texts count as empty. The only document of a table is its
-    own next one. An empty table gives no rows.
+    own next one; of rows that share a doc_id one follows the other in the order of their text's hash, and any of them may follow a larger doc_id. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     base = keyed(docs).select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), signature_set(text).alias("sigs"))

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from reportlake.llm import bloom, ctxmix, graph, jaccard, mixing, nbsvm, phrases, secrets, sharding, spotsigs, textnum, tiling, warc
@@ -64,23 +65,66 @@ def test_word_hashes_do_not_depend_on_place():
     assert [w.word_bytes(*w.bounds[i : i + 2]).decode() for i in range(4)] == ["a bb a", "", "bb ccé", "a"]
 
 
-def test_substring_dedup(docs, empty, rows):
-    width = 12
-    seqs = {r[0]: words(r[1]) for r in rows}
-    count = Counter(tuple(w[i : i + width]) for w in seqs.values() for i in range(len(w) - width + 1))
-    got = {r.doc_id: r for r in phrases.remove_repeats(docs, width, 5).collect()}
-    assert set(got) == set(seqs)
-    for d, w in seqs.items():
-        gone = set()
-        for i in range(len(w) - width + 1):
-            if count[tuple(w[i : i + width])] > 1:
-                gone.update(range(i, i + width))
-        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        assert (got[d].n_words, got[d].n_removed, got[d].kept_text) == (len(w), len(gone), kept)
-        assert got[d].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+def test_word_hashes_of_long_texts(monkeypatch):
+    rng = random.Random(1)
+    raw = " ".join("x" * rng.randrange(1, 9) + str(i % 13) for i in range(2000)).encode() + b" " + b"y" * 300
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, 700, 700, len(raw)])
+    whole = textnum.Words(data, offsets)
+    monkeypatch.setattr(textnum, "PIECE", 64)
+    parts = textnum.Words(data, offsets)
+    assert (whole.hash == parts.hash).all() and len(set(whole.hash.tolist())) == len(set(whole.word_bytes(i, i + 1) for i in range(len(whole.hash))))
+
+
+def without_repeats(rows, width):
+    """(doc_id, words, words removed, kept text) of each row, by definition."""
+    seqs = [(r[0], words(r[1])) for r in rows]
+    count = Counter(tuple(w[i : i + width]) for _, w in seqs for i in range(len(w) - width + 1))
+    out = []
+    for d, w in seqs:
+        gone = {j for i in range(len(w) - width + 1) if count[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [phrases.BLOCK_BYTES, 400])
+def test_substring_dedup(docs, empty, rows, block, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", block)
+    got = phrases.remove_repeats(docs, 12, 5).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == without_repeats(rows, 12)
+    assert all(r.kept_sha256 == hashlib.sha256(r.kept_text.encode()).hexdigest() for r in got)
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(f"v{rng.randrange(900)}" for _ in range(n)) for n in (42, 40))
+    rows = [(1, a), (1, "short text"), (2, b + " " + a), (2, None), (3, b), (4, "x " * 90), (5, b), (5, b), (6, "y z " * 40 + a[:80])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = phrases.remove_repeats(d).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == without_repeats(rows, 35)
+    bare = phrases.remove_repeats(d, keep_text=False)
+    assert bare.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and bare.count() == len(rows)
+
+
+def test_substring_dedup_marks_only_what_the_automata_match(monkeypatch):
+    """Without its matches nothing is marked: the patterns come from other pieces than those that they are found in."""
+    raw = ["a b c d e f", "z a b c d e f", "b c d e y"]
+    w = textnum.Words(np.frombuffer("".join(raw).encode(), np.uint8), np.cumsum([0, *map(len, raw)]))
+    patterns = phrases._confirmed(w, 4, np.zeros(3, np.int64), np.ones(3, np.int64))
+    assert sorted(patterns.tolist()) == [0, 1, 2]
+    assert phrases._matches(w, 4, patterns, np.arange(3)) == [(0, [0], [6]), (1, [1], [7]), (2, [0], [4])]
+
+    class Silent:
+        def __len__(self):
+            return 1
+
+        add_word = make_automaton = lambda *_: None
+        iter = lambda *_: iter(())
+
+    monkeypatch.setattr(phrases.ahocorasick, "Automaton", Silent)
+    assert phrases._matches(w, 4, patterns, np.arange(3)) == []
+
+
 def shingles(text, k):
     w = words((text or "").translate(LOW))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
@@ -115,6 +159,27 @@ def test_components(spark):
     assert {r.id: r.component for r in graph.components(links).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 7: 7, 8: 7, 9: 7}
 
 
+def test_components_are_merged_by_further_links(spark):
+    rng = random.Random(3)
+    edges, label, parent = [], None, {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _ in range(4):
+        new = [(rng.randrange(60), rng.randrange(60)) for _ in range(12)]
+        edges += new
+        for a, b in new:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        label = graph.merged(label, spark.createDataFrame([e for e in new if e[0] != e[1]], "a long, b long"))
+        got = {r.id: r.component for r in label.collect()}
+        assert all(got[v] == find(v) for v in got) and {v for e in edges if e[0] != e[1] for v in e} == set(got)
+    assert {r.id: r.component for r in graph.merged(label, spark.createDataFrame([], "a long, b long")).collect()} == got
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("k"))
     mask = bloom.build(keys, 1024)
@@ -166,13 +231,74 @@ def test_decontamination_of_items_with_repeats_and_of_short_items(spark):
     assert got == [(1, 1, 1, 60, 1.0), (2, 2, 1, 2, 1.0)]
 
 
+def plain_tiles(a, b, k):
+    """Greedy string tiling by comparing all places."""
+    free_a, free_b, found = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (k - 1, 0, 0)
+        for t in range(len(b)):
+            for s in range(len(a)):
+                n = 0
+                while s + n < len(a) and t + n < len(b) and a[s + n] == b[t + n] and free_a[s + n] and free_b[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, s, t)
+        n, s, t = best
+        if n < k:
+            return found
+        found.append((s, t, n))
+        free_a[s : s + n] = [False] * n
+        free_b[t : t + n] = [False] * n
+
+
+def test_tiling_against_brute_force():
+    rng = np.random.default_rng(7)
+    for i in range(150):
+        letters, k = 1 + i % 5, 1 + i % 4
+        a, b = rng.integers(0, letters, rng.integers(0, 30)), rng.integers(0, letters, rng.integers(0, 22))
+        if i % 3 == 0:
+            a, b = np.tile(np.arange(letters), 8), np.tile(np.arange(letters), 5)[i % 4 :]
+        want = plain_tiles(a.tolist(), b.tolist(), k)
+        assert tiling.tiles(textnum.mix(a.astype(np.uint64)), textnum.mix(b.astype(np.uint64)), k) == want
+
+
 def test_tiling_of_long_repeats():
     a, b = np.tile(np.arange(3, dtype=np.uint64), 1000), np.tile(np.arange(3, dtype=np.uint64), 20)
     assert tiling.tiles(a, b) == [(0, 0, 60)]
+    # 20,000 equal words against 5,001, twice broken
+    one = np.ones(20_000, np.uint64)
+    item = np.ones(5001, np.uint64)
+    item[[1000, 3000]] = 5
+    assert tiling.tiles(one, item) == [(0, 3001, 2000), (2000, 1001, 1999), (3999, 0, 1000)]
+
+
+@pytest.mark.parametrize("rows", [0, tiling.BROADCAST_ROWS])
+def test_decontamination_against_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(tiling, "BROADCAST_ROWS", rows)
+    rng = random.Random(11)
+    item = lambda n, m: [f"t{rng.randrange(m)}" for _ in range(n)]
+    items = [item(30, 500), item(25, 4), item(40, 3), item(12, 500), ["a", "b", "c"], item(60, 2)]
+    docs = []
+    for i in range(60):
+        w = [x for part in rng.sample(items, 2) for x in part[rng.randrange(6) : rng.randrange(8, 50)]] + item(rng.randrange(20), 6)
+        docs.append((i, " ".join(w)))
+    docs.append((99, "repeat " * 20_000))
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+    bench.append((50, "repeat " * 30))
+    want = set()
+    for d, text in docs[:-1]:
+        for i, x in bench:
+            a, b = text.split(), x.split()
+            tiles = plain_tiles(a, b, min(5, len(b)))
+            if sum(n for *_, n in tiles) >= 0.6 * len(b):
+                want.add((d, i, len(tiles)))
+    got = {(r.doc_id, r.item_id, r.n_tiles) for r in tiling.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want | {(99, 50, 1)} and len(want) > 20
 
 
 def test_trigram_queries():
-    assert secrets.trigram_query(r"[0-9a-f]+") == []
+    assert secrets.trigram_query(r"[0-9a-f]{24,}") == []
+    assert secrets.trigram_query(secrets.BASE_RULES[1].pattern) == [[frozenset({"aki", "kia"})]]
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
     for rule, sample in ((secrets.BASE_RULES[0], "PassWd='abcdef'"), (secrets.MORE_RULES[0], "ghp_" + "a" * 36), (secrets.MORE_RULES[1], "-----BEGIN RSA PRIVATE KEY-----")):
         low = sample.lower()
@@ -200,9 +326,19 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_rows_that_share_a_doc_id(spark, empty):
+    h = "0123456789abcdef" * 2
+    many = " ".join(f"token=abc{i:06d}" for i in range(3000))
+    texts = [(1, f"hex {h}"), (1, "nothing"), (1, None), (2, many), (2, many), (3, f"{h} AKIA{'B' * 15} AKIA{'C' * 16}")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, [tuple(x) for x in r.found]) for r in secrets.scan_secrets(d).collect())
+    tokens = [(i * 16, 0, i * 16 + 15) for i in range(3000)]
+    assert got == sorted([(1, [(4, 2, 36)]), (1, []), (1, []), (2, tokens), (2, tokens), (3, [(0, 2, 32), (53, 1, 73)])])
+
+
 def test_lm_base_and_score(docs, empty, rows):
-    train = docs.filter("doc_id % 2 = 1")
-    got = {r.doc_id: r for r in ctxmix.score_documents(docs, train, fit_rows=20).collect()}
+    learn = F.col("doc_id") % 2 == 1
+    got = {r.doc_id: r for r in ctxmix.score_documents(docs, learn).collect()}
     seqs = {r[0]: words((r[1] or "").translate(LOW)) + ["\0end"] for r in rows}
     c = Counter(x for d, w in seqs.items() if d % 2 for x in w)
     n, v = sum(c.values()), len(c)
@@ -213,10 +349,10 @@ def test_lm_base_and_score(docs, empty, rows):
         assert -10 * (len(w) + 1) * 5 < got[d].score < 0
     long = max(seqs, key=lambda d: len(seqs[d]))
     assert got[long].bits_per_byte < 8
-    small = ctxmix.score_documents(docs, train, max_words=5, fit_rows=20)
+    small = ctxmix.score_documents(docs, learn, max_words=5)
     for r in small.select("doc_id", "base_score", "n_known").collect():
         assert math.isclose(r.base_score, got[r.doc_id].base_score, abs_tol=1e-6) and r.n_known == got[r.doc_id].n_known
-    assert ctxmix.score_documents(empty, empty).count() == 0
+    assert ctxmix.score_documents(empty, learn).count() == 0
 
 
 def test_lm_bits_are_a_code():
@@ -227,20 +363,84 @@ def test_lm_bits_are_a_code():
     assert len(seen) == 256 and not any(a != b and b.startswith(a) for a in seen for b in seen)
 
 
+def plain_mix(e, tables, weights, texts):
+    """Costs of texts bit by bit, with Python numbers."""
+    cost = [float(x) for x in np.pad(e.raw, (0, texts - len(e.raw)))]
+    for t in range(texts):
+        w = {g: [float(x) for x in weights[g]] for g in range(ctxmix.GATES)}
+        cells, seen = {}, Counter()
+        mine = np.flatnonzero(e.text == t)
+        for at in range(0, len(mine), ctxmix.STEP):
+            step = []
+            for i in mine[at : at + ctxmix.STEP]:
+                g, y = int(e.gate[i]), int(e.bit[i])
+                x = [float(tables[k][e.slots[k][i]]) for k in range(ctxmix.CONTEXTS)]
+                z = sum(a * b for a, b in zip(w[g], x, strict=True))
+                cell = (g, min(32, max(0, round(z * 2) + 16)))
+                q = 1 / (1 + math.exp(-max(-20, min(20, z))))
+                m = cells.setdefault(cell, 1 / (1 + math.exp(-(cell[1] - 16) / 2)))
+                p = min(1 - 1e-6, max(1e-6, (q + m) / 2))
+                cost[t] -= math.log2(p if y else 1 - p)
+                step.append((g, y, x, q, cell, m))
+            for g, y, x, q, cell, _ in step:
+                seen[cell] += 1
+                for k in range(ctxmix.CONTEXTS):
+                    w[g][k] += ctxmix.RATE * (y - q) * x[k]
+            for _, y, _, _, cell, m in step:
+                cells[cell] += (y - m) / (ctxmix.MAP_PRIOR + seen[cell])
+    return cost
+
+
+def random_events(rng, sizes):
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(text)
+    gate = rng.integers(0, ctxmix.GATES, n).astype(np.int32)
+    bit = (rng.random(n) < 0.2 + 0.6 * (gate % 2)).astype(np.uint8)
+    return ctxmix.Events(bit, [rng.integers(0, 50, n).astype(np.int32) for _ in range(ctxmix.CONTEXTS)], gate, text, np.arange(len(sizes), dtype=float))
+
+
+def test_lm_mixing_against_plain_python():
+    rng = np.random.default_rng(2)
+    tables = [rng.normal(0, 1, 50).astype(np.float32) for _ in range(ctxmix.CONTEXTS)]
+    weights = rng.normal(0.4, 0.1, (ctxmix.GATES, ctxmix.CONTEXTS)).astype(np.float32)
+    e = random_events(rng, [0, 5, 64, 700, 1, 130])
+    got = ctxmix.Learner(ctxmix.Model(tables, weights), 6).cost(e)
+    assert np.allclose(got, plain_mix(e, tables, weights, 6), rtol=1e-3, atol=0.05)
+
+
 def test_lm_learns_within_short_texts():
     """A text of few bits that go against the model costs less a bit the longer it is, whatever is scored beside it."""
-    flat = ctxmix._squash((np.arange(33) - 16) / 2)
-    model = ctxmix.Model([np.full(4, 1.0, np.float32)] * ctxmix.CONTEXTS, np.full((ctxmix.GATES, ctxmix.CONTEXTS), 0.4, np.float32), np.tile(flat, ctxmix.GATES))
+    model = ctxmix.Model([np.full(4, 1.0, np.float32)] * ctxmix.CONTEXTS, np.full((ctxmix.GATES, ctxmix.CONTEXTS), 0.4, np.float32))
 
     def cost(sizes):
         text = np.repeat(np.arange(len(sizes)), sizes)
         n = len(text)
-        return model.bits(ctxmix.Events(np.zeros(n, np.uint8), [np.zeros(n, np.int32)] * ctxmix.CONTEXTS, np.zeros(n, np.int64), text, np.zeros(len(sizes))), len(sizes))
+        return ctxmix.Learner(model, len(sizes)).cost(ctxmix.Events(np.zeros(n, np.uint8), [np.zeros(n, np.int32)] * ctxmix.CONTEXTS, np.zeros(n, np.int32), text, np.zeros(len(sizes))))
 
     short, double = cost([64])[0], cost([128])[0]
     assert double < 1.9 * short
     many = cost([64, 128] * 400)
-    assert np.allclose(many[::2], short) and np.allclose(many[1::2], double)
+    assert np.allclose(many[::2], short, rtol=1e-4) and np.allclose(many[1::2], double, rtol=1e-4)
+
+
+def test_lm_uses_all_documents_and_predicts_repeats(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, text(400)) for i in range(60)]
+    rows += [(100, rows[1][1]), (101, rows[3][1] + " " + text(50)), (200, rows[2][1]), (3, "short"), (3, None), (7, rows[7][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ctxmix.score_documents(d, F.col("doc_id") < 200).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.n_tokens): r for r in got}
+    # 100 and 1 predict each other, as do 101 and 3; 200 isn't learnt from, so 2 has nothing to be told by
+    for key in ((100, 401), (1, 401), (101, 451), (3, 401), (200, 401)):
+        assert by[key].n_predicted > 250 and by[key].bits_per_byte < 0.6 * by[(5, 401)].bits_per_byte, key
+    assert by[(2, 401)].n_predicted == by[(5, 401)].n_predicted == by[(7, 401)].n_predicted == 0
+    assert by[(3, 2)].n_tokens == 2 and by[(3, 1)].n_known == 1
+    # long texts are cut into segments at fixed places: neighbours do not matter
+    alone = {r.doc_id: r.score for r in ctxmix.score_documents(d.coalesce(1), F.col("doc_id") < 200).collect() if r.n_tokens == 401}
+    assert all(math.isclose(r.score, alone[r.doc_id], rel_tol=1e-3) for r in got if r.n_tokens == 401)
 
 
 def test_targets(spark):
@@ -269,6 +469,61 @@ def test_pivotal_sum_is_kept(spark):
     assert len(chosen) == len(set(chosen)) and abs(len(chosen) - 300) <= 1
 
 
+def plain_pivotal(units, block, seed):
+    """Chosen ids of {stratum: [(id, size, p)]}, fold by fold."""
+    chosen, live, level = [], [(s, math.floor(math.log2(z + 1) * 2), i, z, p) for s, rows in units.items() for i, z, p in rows], 0
+    while True:
+        n = Counter((s, c) for s, c, *_ in live)
+        if level:
+            n = Counter(s for s, *_ in live)
+            if max(n.values()) <= 1:
+                break
+        blocks = {}
+        for s, c, i, z, p in live:
+            key, k = ((s, c), c) if not level else (s, 0)
+            blocks.setdefault((s, k, xx(i, seed + level) % -(-n[key] // block)), []).append((z, i, p))
+        live = []
+        for (s, _, _), rows in blocks.items():
+            rows.sort()
+            size, at, a = rows[0]
+            for z, i, p in rows[1:]:
+                u = (xx(at, i, seed + level, wide=True) % (1 << 52) + 0.5) / (1 << 52)
+                if a + p < 1:
+                    (at, size), a = ((at, size) if u * (a + p) < a else (i, z)), a + p
+                elif u * (2 - a - p) < 1 - p:
+                    chosen.append(at)
+                    (at, size), a = (i, z), a + p - 1
+                else:
+                    chosen.append(i)
+                    a = a + p - 1
+            live.append((s, 0, at, size, a))
+        level += 1
+    return chosen + [i for _, _, i, _, p in live if (xx(i, seed) % (1 << 52) + 0.5) / (1 << 52) < p]
+
+
+def xx(*parts, wide=False):
+    """Spark's xxhash64 of ids and of a seed, which is an int beside a column and a long in an expression."""
+    h = 42
+    for k, p in enumerate(parts):
+        is_int = k == len(parts) - 1 and not wide
+        h = int_hash(p, h) if is_int else xxhash.xxh64(p.to_bytes(8, "little", signed=True), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def int_hash(p, seed):
+    return xxhash.xxh64(p.to_bytes(4, "little", signed=True), seed=seed).intdigest()
+
+
+def test_pivotal_rounding_against_plain_python(spark):
+    rng = random.Random(12)
+    units = {s: [(i, rng.randrange(1, 300), round(rng.uniform(0.05, 0.95), 3)) for i in range(a, b)] for s, a, b in (("x", 0, 700), ("y", 700, 760), ("z", 760, 761))}
+    df = spark.createDataFrame([(i, s, z, p) for s, rows in units.items() for i, z, p in rows], "id long, stratum string, size long, p double").repartition(5)
+    got = sorted(r.id for r in mixing.pivotal_round(df, 8, 7).collect())
+    assert got == sorted(plain_pivotal(units, 8, 7))
+    for rows in units.values():
+        assert abs(len(set(got) & {i for i, *_ in rows}) - sum(p for *_, p in rows)) < 1
+
+
 def test_sharding(docs, empty, rows):
     got = sharding.shard_documents(docs, 5).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
@@ -342,6 +597,49 @@ def test_spotsigs(docs, empty, rows):
     assert spotsigs.fingerprint_edits(empty).count() == 0
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of texts and longs."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_signatures(text):
+    edge = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*"
+    w = [x for x in re.sub(rf"{edge}[\x01\x02\x20\x09-\x0D]+{edge}", " ", text.lower()).split(" ") if x]
+    for common in (lambda x: x in spotsigs.ANCHORS, lambda x: spark_hash(x) % 4 == 0):
+        content = [x for x in w if not common(x)]
+        before, found = 0, set()
+        for x in w:
+            if not common(x):
+                before += 1
+            elif before + 1 < len(content):
+                found.add(spark_hash(x, content[before], content[before + 1]))
+        if found:
+            return sorted(found)
+    return [spark_hash(text)]
+
+
+def test_spotsigs_signatures(spark):
+    texts = ["", "The cat, and the dog ran to a far land.", "the " * 5000 + "end of it all now", "the the", "xq zz yy ww vv uu tt ss", "xq zz yy ww vv uu tt ss rr", "\u6f22\u5b57 only", "a b", "To be, or not to be! that is (the) question asked 'twice'", "no\x01mark the\x02end of words here"]
+    rng = random.Random(8)
+    texts += [" ".join(rng.choice(["the", "of", "Une", "x1", "y2.", "(z3", "w4", "--"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in spotsigs.fingerprints(d).collect():
+        assert list(r.sigs) == plain_signatures(texts[r.doc_id]), texts[r.doc_id]
+
+
+@pytest.mark.parametrize("ids", [list(range(50)), [0, 1, 2, 3, 1 << 62], [i * 10**15 for i in range(-20, 20)], [7], [5, 5, 9], [*range(1000), 10**18]])
+def test_next_documents(spark, ids, monkeypatch):
+    monkeypatch.setattr(spotsigs, "GROUP", 4)
+    d = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    got = spotsigs.next_documents(d, ["doc_id"], 3).collect()
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    order = sorted(ids, reverse=True)
+    assert sorted((r.doc_id, r.next_doc_id) for r in got) == sorted(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_spotsigs_pairs(docs):
     prints = spotsigs.fingerprints(docs.filter("doc_id is not null").select("doc_id", "text"))
     sets = {}
@@ -377,6 +675,27 @@ def test_quality(spark, empty):
     assert nbsvm.score(empty, none).count() == 0 and {r.score for r in nbsvm.score(d, none).collect()} == {0.5}
 
 
+def test_warc_of_pages_that_share_an_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 64)
+    rows = [(1, "u", "alpha"), (1, "u", "beta"), (2, "v", "beta"), (2, "v", "beta"), (3, "w", "alpha"), (3, "w", None), (1, "u", "alpha"), (9, "z", "x" * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.dedup_archive(df, f"file://{tmp_path}/w").collect())
+    want = [(1, 5, "response", 0), (1, 5, "response", 0), (1, 4, "response", 0), (2, 4, "revisit", 1), (2, 4, "revisit", 1), (3, 5, "revisit", 1), (3, 0, "response", 0), (9, 100_000, "response", 0)]
+    assert got == sorted(want)
+
+
+def test_warc_members_are_read_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 32)
+    record = lambda body: f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    bodies = ["", "a" * 5000, "x\r\n\r\ny", "z"]
+    packed = lambda raw: (lambda c: c.compress(raw) + c.flush())(zlib.compressobj(9, zlib.DEFLATED, 31))
+    one = packed(b"".join(map(record, bodies)))
+    each = b"".join(packed(record(b)) for b in bodies)
+    for raw in (one, each, one + each):
+        assert [b.decode() for _, b in warc._parse(raw)] == bodies * (2 if raw == one + each else 1)
+    assert list(warc._parse(b"")) == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(5, "http://a/5", "same\r\n\r\nWARC/1.1"), (2, None, "same\r\n\r\nWARC/1.1"), (3, "u\r\nX: y", None), (4, "v", ""), (9, "é", "é" * 5000), (7, "w", "one")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, refers_to string")
