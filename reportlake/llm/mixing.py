@@ -17,6 +17,8 @@ from .common import keyed, stage, uniform, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BLOCK = 32
+#: Counts, some 50 bytes each, that are broadcast; more are joined by a shuffle.
+FEW = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -87,7 +89,8 @@ def pivotal_round(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFr
                 break
             dealt = live.join(n, "s").withColumn("c", F.lit(0))
         else:
-            dealt = live.join(n, ["s", "c"])
+            # a row a source and size class; a plan hint only where it is known to be small
+            dealt = live.join(F.broadcast(n) if n.count() <= FEW else n, ["s", "c"])
         blocks = dealt.withColumn("b", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.ceil(F.col("n") / F.lit(block))))
         folded = (
             blocks.groupBy("s", "c", "b")
