@@ -22,6 +22,11 @@ from .textnum import Words, chunks, mix
 DIM = 1 << 17
 #: At most so many labelled rows are fitted; the sample is the rows with the smallest hashes.
 MAX_ROWS = 16_000
+#: And at most so many features of them, 12 bytes each: rows in the order of their hashes until these are full.
+MAX_FEATURES = 48_000_000
+#: Texts whose features are marked at a time, 128 KB each, and bytes of text that are in memory as numbers.
+TOGETHER = 64
+CHUNK = 1 << 18
 _ALNUM = np.zeros(256, bool)
 _ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _ALNUM[128:] = True
@@ -34,7 +39,14 @@ def _slot(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of the distinct features of each text, in order."""
+    """(text number, feature) of the distinct features of each text, in order; some texts at a time, so that short ones don't add up."""
+    parts = [_features(data[offsets[i] : offsets[min(i + TOGETHER, len(offsets) - 1)]], offsets[i : i + TOGETHER + 1] - offsets[i]) for i in range(0, len(offsets) - 1, TOGETHER)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([t + i * TOGETHER for i, (t, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     seen = np.zeros(n * DIM, bool)
     if len(data) >= 3:
@@ -80,7 +92,7 @@ class Model:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in chunks(batches, limit=1 << 20):
+    for rows, data, offsets in chunks(batches, limit=CHUNK):
         doc, feat = features(data, offsets)
         at = np.searchsorted(doc, np.arange(len(offsets)))
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feat, pa.int32()))
@@ -138,7 +150,14 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[floa
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((d, label, f) for b in batches for d, label, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.asarray(v.values) for v in b.column(2)), strict=True))
+    rows, left = [], MAX_FEATURES
+    for b in batches:
+        for d, label, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            left -= len(f.values)
+            if left >= 0:
+                # a copy, so that the batch can go
+                rows.append((d, label, np.array(f.values, np.int32)))
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
     m = fit_rows([f for _, _, f in rows], np.array([label for _, label, _ in rows], float)) if rows else Model(np.zeros(DIM), 0.0, 0.0, 0.0)
     yield pa.RecordBatch.from_pydict({"weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
@@ -146,18 +165,20 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` rows of ``labels`` (doc_id, quality) with text in ``docs``.
 
-    Rows with a null label are left out; a doc_id with several labels counts once with its smallest. The sample is broadcast
-    (its size is bounded), so documents are not shuffled; fitting takes the sample's features in one task.
+    Rows with a null label are left out; a doc_id with several labels counts once with its smallest, and rows that share a doc_id share its label. The sample is broadcast
+    (its size is bounded), so documents are not shuffled; fitting takes the sample's features, at most ``MAX_FEATURES``, in one task. Without rows the model scores one half.
     """
     sample = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    found = chosen.mapInArrow(_featurize, "doc_id long, label int, features array<int>").repartition(1)
+    found = chosen.mapInArrow(_featurize, "doc_id long, label int, features array<int>").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     row = found.mapInArrow(_fit, "weights binary, bias double, slope double, shift double").first()
+    if row is None:
+        return Model(np.zeros(DIM), 0.0, 0.0, 0.0)
     return Model(np.frombuffer(row.weights, np.float64).copy(), row.bias, row.slope, row.shift)
 
 
 def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in chunks(batches, limit=1 << 20):
+    for rows, data, offsets in chunks(batches, limit=CHUNK):
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.score(data, offsets))], names=["doc_id", "score"])
 
 
@@ -167,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _keep(model: Model, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in chunks(batches, limit=1 << 20):
+    for rows, data, offsets in chunks(batches, limit=CHUNK):
         yield rows.filter(pa.array(model.score(data, offsets) >= threshold))
 
 

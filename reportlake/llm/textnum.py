@@ -110,7 +110,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of pieces of at most ``limit`` bytes of text, or one row; nulls count as empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
