@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import keyed, stage
+from .common import keyed, maybe_among, stage
 from .textnum import Words, chunks, mix, prefix, signed, sliding_min, spans
 
 WIDTH = 35
@@ -213,20 +213,6 @@ def _kept(keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*out, pa.array(kept_texts)] if keep_text else out, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text])
 
 
-def _known_row(held, wanted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (doc_id, text_hash, text) that a filter may hold, or the others."""
-    for b in batches:
-        doc, text = (np.asarray(b.column(i)) for i in (0, 1))
-        hit = bloom.test(held.value, _occurrence(doc, text, np.zeros(len(b), np.int64)))
-        yield b.filter(pa.array(hit == wanted))
-
-
-def _row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        doc, text = (np.asarray(b.column(i)) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(_occurrence(doc, text, np.zeros(len(b), np.int64))))], names=["key"])
-
-
 def _blocked(emitted: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
     """Rows for :func:`_locate`: seeds of usual size in one block; the pieces of others in several, with their patterns found by a shuffle of windows."""
     usual = emitted.withColumns({"p": F.lit(0), "q": F.lit(0), "leads": F.lit(None).cast("array<int>"), "own": F.lit(True)})
@@ -283,10 +269,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed_words: int = SEED,
     spots = stage(occurrences(docs, width, seed_words))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     # only documents that may lose words are shuffled to their ranges
-    held = docs.sparkSession.sparkContext.broadcast(bloom.build(spots.select("doc_id", "text_hash").mapInArrow(_row_keys, "key long")))
-    same = docs.schema
-    touched = docs.mapInArrow(lambda b: _known_row(held, True, b), same).join(spots, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts", "ends")
+    near = maybe_among(spots, ["doc_id", "text_hash"])
+    touched = docs.filter(near).join(spots, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts", "ends")
     none = F.lit(None).cast("array<int>")
-    others = docs.mapInArrow(lambda b: _known_row(held, False, b), same).select("doc_id", "text", none.alias("starts"), none.alias("ends"))
+    others = docs.filter(~near).select("doc_id", "text", none.alias("starts"), none.alias("ends"))
     kept = partial(_kept, keep_text)
     return touched.mapInArrow(kept, schema).unionByName(others.mapInArrow(kept, schema))
