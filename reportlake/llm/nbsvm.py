@@ -23,7 +23,7 @@ DIM = 1 << 17
 #: At most so many labelled rows are fitted; the sample is the rows with the smallest hashes.
 MAX_ROWS = 16_000
 #: And at most so many features of them, 12 bytes each: rows in the order of their hashes until these are full.
-MAX_FEATURES = 48_000_000
+MAX_FEATURES = 24_000_000
 #: Texts whose features are marked at a time, 128 KB each, and bytes of text that are in memory as numbers.
 TOGETHER = 64
 CHUNK = 1 << 18
@@ -105,14 +105,15 @@ def fit_rows(x: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, c: float =
     n0 = len(y) - n1
     if not n0 or not n1:
         return Model(np.zeros(DIM), 0.0, 0.0, float(np.log((n1 + 1) / (n0 + 1))))
-    flat, rows = np.concatenate(x), np.repeat(np.arange(len(x)), [len(f) for f in x])
-    pos = alpha + np.bincount(flat, y[rows], DIM)
-    neg = alpha + np.bincount(flat, 1 - y[rows], DIM)
+    # one class after the other: nothing but the features themselves is as long as all of them
+    count = lambda label: alpha + np.bincount(np.concatenate([f for f, v in zip(x, y, strict=True) if v == label]), minlength=DIM)
+    pos, neg = count(1), count(0)
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     # dual coordinate descent of the hinge loss; each row is scaled to its number of features
     w, bias, dual = np.zeros(DIM), 0.0, np.zeros(len(x))
-    values = [ratio[f] / np.sqrt(max(1, len(f))) for f in x]
-    square = np.array([v @ v + 1 for v in values])
+    small = ratio.astype(np.float32)
+    values = [small[f] / np.float32(np.sqrt(max(1, len(f)))) for f in x]
+    square = np.array([float(v @ v) + 1 for v in values])
     sign = np.where(y == 1, 1.0, -1.0)
     cost = c * np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
     order = np.random.default_rng(seed)
