@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctxmix, jaccard, mixing, nbsvm, phrases, secrets, sharding, spotsigs, tiling, warc
+from . import ctxmix, jaccard, mixing, nbsvm, packing, phrases, ranked, secrets, sharding, spotsigs, tiling, warc
 from .common import read, shared_dir
 
 
@@ -80,6 +80,16 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.fingerprint_text(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -91,6 +101,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spotsigs": op8_spotsigs,
     "op9_quality": op9_quality,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+ORACLE: dict[str, str] = {
+    "op11_ranked_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+ held AS (SELECT r, {_TERMS} AS term FROM docs),
+ tf AS (SELECT r, term, count(*) AS tf FROM held GROUP BY ALL),
+ sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+ total AS (SELECT count(*) AS documents, sum(n)::BIGINT AS terms FROM sizes),
+ asked AS (SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark WHERE item_id IS NOT NULL),
+ weights AS (SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+ scores AS (
+   SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // terms))))::BIGINT AS score
+   FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (r) JOIN docs USING (r), total GROUP BY item_id, doc_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+""",
+}
