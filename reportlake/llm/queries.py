@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctxmix, jaccard, mixing, nbsvm, packing, phrases, ranked, secrets, sharding, spotsigs, tiling, warc
+from . import align, ctxmix, jaccard, mixing, nbsvm, packing, phrases, ranked, secrets, sharding, spotsigs, tiling, warc
 from .common import read, shared_dir
 
 
@@ -90,6 +90,11 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document."""
+    return align.align_documents(read(spark, sf_dir, "documents"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_revisits": op10_warc_revisits,
     "op11_ranked_search": op11_ranked_search,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
