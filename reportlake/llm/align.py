@@ -13,12 +13,13 @@ documents that hold it, and gets the pair's corpus-wide count back.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, partial
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,17 @@ PIECE_VOCABULARY = "piece_bpe_32k.model"
 #: Bytes of a range; longer texts are composed of fragments.
 RANGE = 1 << 16
 #: Bytes of texts that are looked at together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Distinct pairs of documents in a pack, words that a worker keeps, fragments that one step of the tree composes.
-PACK_PAIRS = 1 << 22
-KEPT = 300_000
+PACK_PAIRS = 1 << 19
+KEPT = 120_000
 FAN = 8
+#: Words that are encoded as one text.
+JOINED = 256
 #: Between visible characters, before one blank: both tokenizers have an end there.
 CUT = re.compile(r"(?<=\S)(?=\x20\S)")
+#: White space beside a blank or at an end: not every blank of such a text is a cut.
+CARELESS = re.compile(r"\A\s|\s\Z|\x20\s|\s\x20")
 
 SHORT = (
     "pack long, key array<long>, held array<int>, size array<int>, at binary, times binary, "
@@ -86,13 +91,32 @@ class Aligned:
             found.append((np.full(len(x) * len(y), g), (x[:, None] << 32 | y).ravel(), (nx[:, None] * ny).ravel()))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def texts(self, first: int, last: int) -> list[str]:
-        """Groups ``first`` to ``last`` - 1 as ``a1,a2|b1``."""
-        groups = np.arange(first, last + 1)
-        at, bt = np.searchsorted(self.group_a, groups).tolist(), np.searchsorted(self.group_b, groups).tolist()
-        i, k = at[0], bt[0]
-        a, b = list(map(str, self.a[i : at[-1]].tolist())), list(map(str, self.b[k : bt[-1]].tolist()))
-        return [",".join(a[at[g] - i : at[g + 1] - i]) + "|" + ",".join(b[bt[g] - k : bt[g + 1] - k]) for g in range(last - first)]
+    def texts(self, bounds: np.ndarray) -> list[str]:
+        """Groups ``bounds[i]`` to ``bounds[i + 1]`` - 1 as ``a1,a2|b1;a3|b2``, for each i."""
+        i, j = np.searchsorted(self.group_a, bounds[[0, -1]])
+        k, m = np.searchsorted(self.group_b, bounds[[0, -1]])
+        ids, group = np.concatenate([self.a[i:j], self.b[k:m]]), np.concatenate([self.group_a[i:j], self.group_b[k:m]])
+        side = np.repeat([0, 1], [j - i, m - k])
+        order = np.argsort(2 * group + side, kind="stable")
+        ids, group, side = ids[order], group[order], side[order]
+        # a comma within a side, a bar between sides, a semicolon between groups
+        mark = np.full(len(ids), 2)
+        mark[:-1] = np.where(group[1:] != group[:-1], 2, side[1:] != side[:-1])
+        names = id_names(int(ids.max()) + 1 if len(ids) else 0)
+        pieces = list(map(names.__getitem__, (3 * ids + mark).tolist()))
+        ends = np.concatenate([[0], np.cumsum(list(map(len, pieces)))]).astype(np.int64)[np.searchsorted(group, bounds)].tolist()
+        whole = "".join(pieces)
+        return [whole[x : y - 1] if x < y else "" for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_NAMES: list[str] = []
+
+
+def id_names(n: int) -> list[str]:
+    """Numbers below ``n``, and some more, each with a comma, a bar and a semicolon behind it."""
+    if len(_NAMES) < 3 * n:
+        _NAMES.extend(f"{i}{mark}" for i in range(len(_NAMES) // 3, max(n, 1 << 16)) for mark in ",|;")
+    return _NAMES
 
 
 class Aligner:
@@ -118,54 +142,76 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        #: Numbers of words, and of pairs.
+        self.words: defaultdict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
         self.numbers: defaultdict[int, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
         self.text: list[str] = []
-        # by word: start and number of its links, tokens and groups
+        # by word: start of its links, how many it has (distinct ones, tokens, groups, all), and whether its bytes come back
         self.start, self.links, self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(0, np.int64) for _ in range(6))
-        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fine = np.zeros(0, bool)
+        self.pair, self.times = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def keys(self) -> np.ndarray:
         """Pairs by their number in this worker."""
         return np.fromiter(self.numbers, np.int64, len(self.numbers))
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids of both sides, and whether both give back the bytes of each word."""
-        if not words:
-            return [], [], []
-        a = [e.ids for e in self.first.encode_batch_fast(words, add_special_tokens=False)]
-        b = self.second.encode([w[1:] for w in words], num_threads=1)
-        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        return a, b, [b"".join(map(of_a, x)) == (raw := w.encode()) and b"".join(map(of_b, y)) == raw for w, x, y in zip(words, a, b, strict=True)]
-
-    def aligned(self, a: list[list[int]], b: list[list[int]]) -> Aligned:
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        if not texts:
+            return [], []
+        return [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)], self.second.encode([t[1:] for t in texts], num_threads=1)
+
+    def _comes_back(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+
+    def encode(self, words: list[str]) -> tuple[Aligned, np.ndarray]:
+        """The tokens of ``words``, each with the blank before it, as one row of tokens, and the end of each word; a word that a side doesn't give back has no tokens.
+
+        Words between which both tokenizers have ends are encoded as one text.
+        """
+        joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        whole = ["".join(g) for g in joined]
+        a, b, sizes = [], [], []
+        # encodings are large, so only some are there at a time
+        each = chain.from_iterable(zip(*self._ids(whole[i : i + 16]), strict=True) for i in range(0, len(whole), 16))
+        for group, text, (x, y) in zip(joined, whole, each, strict=True):
+            size = [len(w.encode()) for w in group]
+            ends = np.cumsum(size)
+            apart = self._comes_back(text.encode(), x, y) and all(np.isin(ends, np.cumsum(n[i]), assume_unique=False).all() for n, i in ((self.length_a, x), (self.length_b, y)))
+            if not apart or any(w[1:2].isspace() or w[-1].isspace() for w in group):
+                x, y = [], []
+                for k, (w, p, q) in enumerate(zip(group, *self._ids(group), strict=True)):
+                    fine = self._comes_back(w.encode(), p, q)
+                    size[k] *= fine
+                    x += p if fine else []
+                    y += q if fine else []
+            a.append(x)
+            b.append(y)
+            sizes += size
         ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
-        return Aligned(ids_a, ids_b, np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b]))
+        return Aligned(ids_a, ids_b, np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])), np.cumsum(np.array(sizes, np.int64))
 
-    def learn(self, words: list[str]) -> None:
-        """Know ``words``; those whose bytes are lost get -2."""
-        a, b, fine = self.encode(words)
-        self.known.update((w, -2) for w, f in zip(words, fine, strict=True) if not f)
-        words, a, b = ([x for x, f in zip(c, fine, strict=True) if f] for c in (words, a, b))
+    def learn(self) -> None:
+        """Know the words that have got numbers since last time."""
+        words = list(islice(self.words, len(self.text), None))
         if not words:
             return
-        both = self.aligned(a, b)
-        ends = np.cumsum([len(w.encode()) for w in words])
-        last = np.searchsorted(both.cuts, ends) + 1
-        n = np.diff(last, prepend=0)
+        both, ends = self.encode([w if w[0] == " " else " " + w for w in words])
+        # groups, tokens and links of each word
+        bounds = np.concatenate([[0], np.searchsorted(both.cuts, ends, side="right")])
+        tokens = lambda e: np.diff(np.searchsorted(e, ends, side="right"), prepend=0)
         group, key, times = both.pairs(0, len(both.cuts))
         order = np.argsort(group, kind="stable")
-        word = np.repeat(np.arange(len(words)), n)[group[order]]
+        word = np.repeat(np.arange(len(words)), np.diff(bounds))[group[order]]
         links = np.bincount(word, minlength=len(words))
-        texts = both.texts(0, len(both.cuts))
-        self.known.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
-        self.text += [";".join(texts[j - k : j]) for j, k in zip(last.tolist(), n.tolist(), strict=True)]
-        join = lambda old, new: np.concatenate([old, np.asarray(new, np.int64)])
+        self.text += both.texts(bounds)
+        join = lambda old, new: np.concatenate([old, np.asarray(new, old.dtype)])
         self.start = join(self.start, len(self.pair) + np.cumsum(links) - links)
-        self.links, self.n_groups = join(self.links, links), join(self.n_groups, n)
-        self.n_a, self.n_b = join(self.n_a, list(map(len, a))), join(self.n_b, list(map(len, b)))
+        self.links, self.n_groups = join(self.links, links), join(self.n_groups, np.diff(bounds))
+        self.n_a, self.n_b = join(self.n_a, tokens(both.end_a)), join(self.n_b, tokens(both.end_b))
         self.n_links = join(self.n_links, np.bincount(word, times[order], len(words)))
+        self.fine = join(self.fine, np.diff(ends, prepend=0) > 0)
         self.pair = join(self.pair, list(map(self.numbers.__getitem__, key[order].tolist())))
         self.times = join(self.times, times[order])
 
@@ -180,17 +226,11 @@ def _aligner(paths: tuple[str | None, str | None]) -> Aligner:
     return aligner(paths[0] or public_path(BYTE_VOCABULARY), paths[1] or public_path(PIECE_VOCABULARY))
 
 
-def _careless(word: str) -> bool:
-    """Whether the blanks around a word need not be ends."""
-    return not word or word[0].isspace() or word[-1].isspace()
-
-
 def words_of(text: str) -> list[str]:
-    """The blank and ``text``, cut where both tokenizers have an end."""
+    """The blank and ``text``, cut where both tokenizers have an end; a word without the blank before it if that isn't its first character."""
     if not text:
         return []
-    plain = text.split(" ")
-    return CUT.split(" " + text) if any(map(_careless, set(plain))) else [" " + w for w in plain]
+    return CUT.split(" " + text) if CARELESS.search(text) else text.split(" ")
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -238,15 +278,20 @@ def _short(paths: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for rows, data, offsets in chunks(batches, limit=BATCH):
         ids = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
         raw, at = data.tobytes(), offsets.tolist()
-        words = [words_of(raw[i:j].decode()) for i, j in zip(at[:-1], at[1:], strict=True)]
-        wanted = set().union(*words)
-        if len(known.known) + len(wanted) > KEPT and pack.n:
-            yield pack.flush(known.keys())
-        if len(known.known) + len(wanted) > KEPT:
+        if len(known.words) > KEPT:
+            if pack.n:
+                yield pack.flush(known.keys())
             known.forget()
-        known.learn(list(wanted - known.known.keys()))
-        found = [list(map(known.known.__getitem__, w)) for w in words]
-        found = [[] if -2 in f else f for f in found]
+        # nothing here is cyclic, and the collector would go through all kept words again and again
+        gc.disable()
+        try:
+            number = known.words.__getitem__
+            found = [list(map(number, words_of(raw[i:j].decode()))) for i, j in zip(at[:-1], at[1:], strict=True)]
+            known.learn()
+        finally:
+            gc.enable()
+        if not known.fine.all():
+            found = [f if known.fine[f].all() else [] for f in found]
         word = np.fromiter(chain.from_iterable(found), np.int64)
         doc = np.repeat(np.arange(len(found)), list(map(len, found)))
         total = lambda x: np.bincount(doc, x[word], len(found)).astype(np.int64).tolist()
@@ -261,7 +306,7 @@ def _short(paths: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             key, times = np.unique(key, return_counts=True)
         texts = [";".join(map(known.text.__getitem__, f)) for f in found]
         sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
-        pack.add(key & 0xFFFFFFFF, times, np.bincount(key >> 32, minlength=len(found)), (ids, total(known.n_a), total(known.n_b), total(known.n_groups), total(known.n_links), sha))
+        pack.add((key & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32), np.bincount(key >> 32, minlength=len(found)), (ids, total(known.n_a), total(known.n_b), total(known.n_groups), total(known.n_links), sha))
         if pack.n >= PACK_PAIRS:
             yield pack.flush(known.keys())
     if pack.docs:
@@ -293,7 +338,7 @@ def _closed(both: Aligned, first: int, last: int) -> tuple:
     _, key, times = both.pairs(first, last)
     key, inverse = np.unique(key, return_inverse=True)
     n_a, n_b = (int(np.diff(np.searchsorted(g, [first, last]))[0]) for g in (both.group_a, both.group_b))
-    return True, ";".join(both.texts(first, last)), n_a, n_b, last - first, int(times.sum()), key, np.bincount(inverse, times, len(key)).astype(np.int64)
+    return True, both.texts(np.array([first, last]))[0], n_a, n_b, last - first, int(times.sum()), key, np.bincount(inverse, times, len(key)).astype(np.int64)
 
 
 def _fragments(paths: tuple, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +347,12 @@ def _fragments(paths: tuple, width: int, batches: Iterator[pa.RecordBatch]) -> I
     schema = pa.schema([*_FRAGMENT, *_CLOSED])
     for rows in batches:
         for row, doc_id, at, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            a, b, fine = known.encode(CUT.split(text))
-            if not all(fine):
+            words = CUT.split(text)
+            both, ends = known.encode(words)
+            if not (np.diff(ends, prepend=0) > 0).all():
                 out = [[row], [doc_id], [at], [False], [[]], [[]], [[]], [[]], [False], [""], [0], [0], [0], [0], [[]], [[]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
                 continue
-            both = known.aligned(a, b)
             for r in range(at // width, (at + int(both.end_a[-1]) - 1) // width + 1):
                 ends = [r * width - at, (r + 1) * width - at]
                 (i, j), (k, m), (x, y) = (np.searchsorted(e, ends, side="right").tolist() for e in (both.end_a, both.end_b, both.cuts))
