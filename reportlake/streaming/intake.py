@@ -58,26 +58,6 @@ def latest_by_key(stream: DataFrame, key: str, value: str, ts: str, terminal: tu
     return stream.groupBy(key).agg(F.coalesce(end, F.max_by(value, ts)).alias(value), F.coalesce(F.min(F.when(ended, F.col(ts))), F.max(ts)).alias(ts))
 
 
-def last_n(stream: DataFrame, key: str, order: str, value: str, n: int = 8) -> DataFrame:
-    """n and the n last values of each key in order, kept as bounded state."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    kind = stream.schema[key].dataType.simpleString()
-
-    def step(k, batches, state: GroupState):
-        items = list(state.get[0]) if state.exists else []
-        orders = list(state.get[1]) if state.exists else []
-        for pdf in batches:
-            items += pdf[value].tolist()
-            orders += [int(x) for x in pdf[order]]
-        kept = sorted(zip(orders, items, strict=True))[-n:]
-        state.update(([v for _, v in kept], [o for o, _ in kept]))
-        yield pd.DataFrame({key: [k[0]], "n": [len(kept)], "last": [[v for _, v in kept]]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n int, last array<string>", "items array<string>, orders array<bigint>", "update", GroupStateTimeout.NoTimeout)
-
-
 def table_run(stream: DataFrame, path: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there into a Parquet table at ``path`` and read it; with ``keys`` the last row of each key.
 
