@@ -187,21 +187,32 @@ def secret_key(name: Column) -> Column:
 
 
 def without_secrets(m: Column) -> Column:
+    """A map without the settings that are named like secrets; for nested values see :func:`operators.jsontree.without_secrets`."""
     return F.map_filter(m, lambda k, v: ~secret_key(k))
 
 
-def without_secrets_deep(m: Column, levels: int = 3) -> Column:
-    """A map of names to JSON values without secret names, inside nested objects too, down to ``levels`` of them; values keep their JSON."""
-    m = without_secrets(m)
-    if levels <= 0:
-        return m
-    inner = lambda v: F.from_json(v, "map<string,string>")
+#: Endings of inflected verbs and what may stand in their place in the base form.
+VERB_ENDINGS = (("ies", "y"), ("ied", "y"), ("es", ""), ("s", ""), ("ed", ""), ("d", ""), ("ing", ""), ("ing", "e"))
+#: Forms that no rule gives.
+IRREGULAR_VERBS = {
+    "am": "be", "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have", "did": "do", "done": "do", "went": "go", "gone": "go", "ran": "run", "wrote": "write", "written": "write",
+    "saw": "see", "seen": "see", "said": "say", "made": "make", "took": "take", "taken": "take", "got": "get", "gave": "give", "given": "give", "found": "find", "sent": "send", "stole": "steal", "stolen": "steal",
+    "hid": "hide", "hidden": "hide", "began": "begin", "begun": "begin", "built": "build", "led": "lead", "left": "leave", "kept": "keep", "lost": "lose", "met": "meet", "told": "tell", "thought": "think",
+}
 
-    def clean(k, v):
-        nested = F.startswith(F.coalesce(v, F.lit("")), F.lit("{"))
-        return F.when(nested, F.to_json(without_secrets_deep(inner(v), levels - 1))).otherwise(v)
 
-    return F.transform_values(m, clean)
+def base_forms(word: Column) -> Column:
+    """What the base form of an English verb may be: the word itself, what the rules of endings give (with a doubled last letter halved), and its irregular base."""
+    w = F.lower(word)
+    cut = [F.when(F.endswith(w, F.lit(e)) & (F.length(w) > len(e) + 1), F.concat(F.substring(w, F.lit(1), F.length(w) - len(e)), F.lit(r))) for e, r in VERB_ENDINGS]
+    halved = [F.regexp_replace(c, r"([b-df-hj-np-tv-z])\1$", "$1") for c in cut[4:7]]
+    irregular = F.create_map(*[F.lit(x) for kv in IRREGULAR_VERBS.items() for x in kv])[w]
+    return F.array_distinct(F.array_compact(F.array(w, *cut, *halved, irregular)))
+
+
+def form_of(word: Column, verbs: tuple[str, ...]) -> Column:
+    """Whether a word is a form of one of the verbs (base forms)."""
+    return F.arrays_overlap(base_forms(word), F.array(*map(F.lit, verbs)))
 
 
 def sentences(x: Column) -> Column:

@@ -88,27 +88,30 @@ def pipe_tables(docs: DataFrame) -> DataFrame:
 
     Lines with two pipes make runs. Inside a run the first line before a separator is the header of what follows in the run.
     A separator of fewer pipes ends its run: its header is the run's last line and its table the next run, unless that line is a row itself.
+    Texts without a pipe are left where they are. Rows that share a doc_id are texts of their own, equal ones count once.
     """
+    key = ["doc_id", "_text"]
+    docs = docs.filter(F.contains("text", F.lit("|"))).select("doc_id", "text", F.xxhash64("text").alias("_text")).dropDuplicates(key)
     line = F.regexp_replace("raw", r"^\s*>\s?", "")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "raw")).select("doc_id", "line_no", line.alias("line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+    lines = docs.select(*key, F.posexplode(F.split("text", r"\R")).alias("line_no", "raw")).select(*key, "line_no", line.alias("line"))
+    w = Window.partitionBy(*key).orderBy("line_no")
     wide = F.length("line") - F.length(F.replace("line", F.lit("|"), F.lit(""))) >= 2
     marked = lines.withColumn("wide", wide).withColumn("sep", F.col("line").rlike(SEPARATOR_ROW))
     marked = marked.withColumn("run", F.sum((~F.col("wide")).cast("int")).over(w)).withColumn("head", F.coalesce(F.lead("sep").over(w), F.lit(False))).withColumn("next_wide", F.coalesce(F.lead("wide").over(w), F.lit(False))).filter("wide")
-    runs = marked.groupBy("doc_id", "run").agg(F.min(F.when(F.col("head") & F.col("next_wide"), F.col("line_no"))).alias("first"), F.max(F.when(F.col("head") & ~F.col("next_wide"), F.col("line_no"))).alias("last"))
+    runs = marked.groupBy(*key, "run").agg(F.min(F.when(F.col("head") & F.col("next_wide"), F.col("line_no"))).alias("first"), F.max(F.when(F.col("head") & ~F.col("next_wide"), F.col("line_no"))).alias("last"))
     # runs that follow each other and whose last lines would be headers: every other one is a row of the one before
-    ends = runs.filter("first IS NULL AND last IS NOT NULL").withColumn("chain", F.col("run") - F.row_number().over(Window.partitionBy("doc_id").orderBy("run")))
-    ends = ends.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "chain").orderBy("run"))).filter("k % 2 = 1").select("doc_id", "run", "last")
-    before = ends.select("doc_id", (F.col("run") + 1).alias("run"), F.col("last").alias("above"))
-    heads = runs.select("doc_id", "run", "first").join(before, ["doc_id", "run"], "left").join(ends, ["doc_id", "run"], "left")
-    j = marked.join(heads, ["doc_id", "run"])
+    ends = runs.filter("first IS NULL AND last IS NOT NULL").withColumn("chain", F.col("run") - F.row_number().over(Window.partitionBy(*key).orderBy("run")))
+    ends = ends.withColumn("k", F.row_number().over(Window.partitionBy(*key, "chain").orderBy("run"))).filter("k % 2 = 1").select(*key, "run", "last")
+    before = ends.select(*key, (F.col("run") + 1).alias("run"), F.col("last").alias("above"))
+    heads = runs.select(*key, "run", "first").join(before, [*key, "run"], "left").join(ends, [*key, "run"], "left")
+    j = marked.join(heads, [*key, "run"])
     table = F.when(F.col("above").isNotNull(), F.col("above")).when(F.col("line_no") >= F.col("first"), F.col("first")).when(F.col("line_no") == F.col("last"), F.col("last"))
     inside = j.withColumn("table", table).filter("table IS NOT NULL AND (line_no = table OR NOT sep)")
     cells = F.transform(F.split("line", r"\|"), lambda c: tx.strip(c))
     cells = F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, 2, F.size(cells))).otherwise(cells)
     cells = F.when(F.element_at(cells, -1) == "", F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
-    n = F.row_number().over(Window.partitionBy("doc_id", "table").orderBy("line_no")) - 1
-    number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("table"))
+    n = F.row_number().over(Window.partitionBy(*key, "table").orderBy("line_no")) - 1
+    number = F.dense_rank().over(Window.partitionBy(*key).orderBy("table"))
     return inside.select("doc_id", number.alias("table_no"), n.alias("row_no"), cells.alias("cells"))
 
 
@@ -200,23 +203,36 @@ def explicit_techniques(docs: DataFrame, techniques: DataFrame) -> DataFrame:
     return found.join(techniques.select("technique_id").distinct(), "technique_id", "left_semi")
 
 
-def gazetteer(docs: DataFrame, names: DataFrame, most_words: int = 3) -> DataFrame:
-    """doc_id, entity_id, name_key, n: whole-word occurrences of entity names and aliases (name_key, entity_id) of three letters and at most ``most_words`` words.
+def name_prefixes(names: DataFrame) -> DataFrame:
+    """prefix: the nodes of the token trie of ``name_key``, each as its words from the root with single blanks."""
+    words = F.split("name_key", " ")
+    return names.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("prefix")).distinct()
 
-    Each place of a text that starts with the first word of a name is kept with its next words, and meets the names of that first word in a hash join; the other
-    places are dropped by a filter of fixed size, so cost doesn't grow with the number of names.
+
+def gazetteer(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, entity_id, name_key, n: whole-word occurrences of entity names and aliases (name_key, entity_id) of three letters or more and any number of words.
+
+    From each place of a text whose word starts a name, the trie of the names is walked word by word as long as it has a node, by a filter of fixed size
+    over its nodes; the nodes on the way meet the names in a hash join. So cost grows with the text and its hits, not with the number or length of names.
     """
-    short = names.filter(F.length("name_key") >= 3).select("name_key", "entity_id").distinct().withColumn("first", F.substring_index("name_key", " ", 1))
-    mask = _word_mask(short.select("first"))
-    toks = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: _in_mask(mask, F.get("w", i)))
-    here = F.transform(at, lambda i: F.struct(F.get("w", i).alias("first"), F.array_join(F.slice("w", i + 1, most_words), " ").alias("here")))
-    each = toks.filter(F.size("w") > 0).select("doc_id", F.inline(here))
-    hit = each.join(short, "first").filter(F.startswith(F.concat("here", F.lit(" ")), F.concat("name_key", F.lit(" "))))
-    return hit.groupBy("doc_id", "entity_id", "name_key").agg(F.count("*").alias("n"))
+    known = names.filter(F.length("name_key") >= 3).select("name_key", "entity_id").distinct()
+    mask = _word_mask(name_prefixes(known))
+    most = F.coalesce(known.agg(F.max(F.size(F.split("name_key", " ")))).scalar(), F.lit(1))
+    toks = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"), most.alias("most")).filter(F.size("w") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: _in_mask(mask, F.get("w", i)))
+    root = F.struct(F.lit("").alias("node"), F.lit(True).alias("on"), F.array().cast("array<string>").alias("met"))
+
+    def step(s, word):
+        node = F.when(s["node"] == "", word).otherwise(F.concat(s["node"], F.lit(" "), word))
+        on = s["on"] & _in_mask(mask, node)
+        return F.struct(F.when(on, node).otherwise("").alias("node"), on.alias("on"), F.when(on, F.array_append(s["met"], node)).otherwise(s["met"]).alias("met"))
+
+    walk = lambda i: F.aggregate(F.slice("w", i + 1, F.col("most")), root, step, lambda s: s["met"])
+    each = toks.select("doc_id", F.explode(F.flatten(F.transform(starts, walk))).alias("name_key"))
+    return each.join(known, "name_key").groupBy("doc_id", "entity_id", "name_key").agg(F.count("*").alias("n"))
 
 
-#: Bits of the filter of first words.
+#: Bits of the filter of trie nodes.
 MASK_BITS = 1 << 16
 
 
@@ -227,7 +243,7 @@ def _word_mask(words: DataFrame) -> Column:
     held = [0] * (MASK_BITS // 64)
     for r in bits.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect():
         held[r.slot] = r.bits
-    return F.from_json(F.lit(str(held)), "array<bigint>")
+    return F.array(*[F.lit(x).cast("long") for x in held])
 
 
 def _in_mask(mask: Column, word: Column) -> Column:

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as tx
-from ..functions.objects import cosine
 from .extract import top_per
 
 
+#: Characters of the parts that texts are looked up by.
+GRAM = 3
+
+
 def held_by(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of ``inner`` and ``outer`` where text ``a`` (not empty) stands inside text ``b``.
 
-    The first three characters of ``a``, or all of a shorter one, are looked up among the parts of that length of ``b`` by a hash join, so no pair without a common part is built.
+    A hash join on one part of each ``a``: of its parts of three characters (a shorter one is its own part) the one that fewest ``b`` have, so that common parts are never joined.
+    An ``a`` of which a part stands in no ``b`` at all goes before the join.
     """
-    size = F.least(F.lit(3), F.length(a))
-    parts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - k + 1, F.lit(1))), lambda i: F.substring(F.col(b), i, F.lit(k)))
-    left = inner.filter(F.length(a) > 0).withColumn("_part", F.substring(F.col(a), F.lit(1), size))
-    right = outer.withColumn("_part", F.explode(F.array_distinct(F.concat(parts(1), parts(2), parts(3)))))
+    parts = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(k)))
+    texts = inner.filter(F.length(a) > 0).select(F.col(a).alias("_a")).distinct()
+    wanted = texts.select("_a", F.explode(F.array_distinct(F.when(F.length("_a") < GRAM, F.array("_a")).otherwise(parts("_a", GRAM)))).alias("_part"))
+    right = outer.withColumn("_part", F.explode(F.array_distinct(F.concat(*[parts(b, k) for k in range(1, GRAM + 1)]))))
+    right = right.join(wanted.select("_part").distinct(), "_part", "left_semi")
+    held = wanted.join(right.groupBy("_part").agg(F.count("*").alias("_n")), "_part", "left").groupBy("_a").agg(F.min_by("_part", F.struct("_n", "_part")).alias("_part"), F.every(F.col("_n").isNotNull()).alias("_all"))
+    left = inner.join(held.filter("_all").select(F.col("_a").alias(a), F.col("_part")), a)
     return left.join(right, "_part").filter(F.contains(b, F.col(a))).drop("_part")
 
 
@@ -35,28 +46,72 @@ def resolve_fragments(fragments: DataFrame, techniques: DataFrame) -> DataFrame:
     return top_per(hit, ["fragment"], order, 1).select("fragment", "technique_id")
 
 
-#: Patterns of a taxonomy's anchors, at most; they become expressions of the plan.
-MOST_ANCHORS = 1000
+_PARTS = re.compile(
+    r"\\Q(?P<quoted>.*?)\\E|\\(?P<escaped>[^A-Za-z0-9])|(?P<code>\\(?:[pP]\{[^}]*\}|x..|u....|c.|.))|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<flags>\(\?[a-zA-Z]+\))"
+    r"|(?P<open>\()|(?P<close>\))|(?P<or>\|)|(?P<repeat>(?:[*+?]|\{\d+(?:,\d*)?\})[?+]?)|(?P<edge>[\^$])|(?P<any>\.)|(?P<plain>.)", re.S)
 
 
-def anchor_hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, anchor_id, fragment, confidence, evidence: first match of each anchor (anchor_id, pattern, fragment, confidence).
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a regular expression holds, lower-cased; empty if none is sure.
 
-    ``anchors`` is a dimension of at most ``MOST_ANCHORS`` rows, more are an error: each pattern is compiled once, and a text is scanned where it is.
+    Only what stands outside groups, classes and repeats is read; alternatives outside groups have no literal in common.
+    """
+    parts = [(m.lastgroup, m[m.lastgroup]) for m in _PARTS.finditer(pattern)]
+    best, run, depth = "", "", 0
+    for (kind, text), (after, repeat) in zip(parts, [*parts, ("", "")][1:], strict=True):
+        if kind == "or" and depth == 0 or kind == "flags" and "x" in text:
+            return ""
+        if kind in ("flags", "edge") or text in ("\\b", "\\B"):
+            continue
+        depth += (kind == "open") - (kind == "close")
+        if depth == 0 and kind in ("plain", "escaped", "quoted"):
+            run += text[:-1] if after == "repeat" and repeat[0] != "+" else text
+            best = max(best, run, key=len)
+            if after != "repeat":
+                continue
+        run = ""
+    return best.lower() if best.isascii() else ""
+
+
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Distinct parts of ``n`` characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def anchor_index(anchors: DataFrame) -> tuple[Column, Column]:
+    """(gram to anchors, anchors without a literal), as scalar subqueries: a dimension of any number of anchors.
+
+    An anchor stands under one gram of its literal, the one that fewest literals of the table hold.
     """
-    rows = anchors.select("anchor_id", "pattern", "fragment", "confidence").limit(MOST_ANCHORS + 1).collect()
-    if len(rows) > MOST_ANCHORS:
-        raise ValueError(f"more than {MOST_ANCHORS} anchors")
-    t = F.col("text")
 
-    def hit(r):
-        length = F.length(F.regexp_extract(t, r.pattern, 0))
-        found = F.struct(F.lit(r.anchor_id).alias("anchor_id"), F.lit(r.fragment).alias("fragment"), F.lit(r.confidence).cast("double").alias("confidence"), tx.evidence_window(t, F.regexp_instr(t, F.lit(r.pattern)), length).alias("evidence"))
-        return F.when(t.rlike(r.pattern), found)
+    @F.pandas_udf(StringType())
+    def literal(patterns: pd.Series) -> pd.Series:
+        return patterns.map(required_literal)
 
-    if not rows:
-        return docs.select("doc_id").limit(0).join(anchors.select("anchor_id", "fragment", "confidence").limit(0)).withColumn("evidence", F.lit(""))
-    return docs.select("doc_id", F.inline(F.filter(F.array(*map(hit, rows)), lambda h: h.isNotNull())))
+    rows = anchors.select("anchor_id", "pattern", "fragment", F.col("confidence").cast("double").alias("confidence")).withColumn("literal", literal("pattern"))
+    anchor = F.struct("anchor_id", "pattern", "fragment", "confidence", "literal").alias("anchor")
+    each = rows.filter(F.length("literal") >= GRAM).select(anchor, F.explode(grams(F.col("literal"))).alias("gram"))
+    common = each.groupBy("gram").agg(F.count("*").alias("n"))
+    chosen = each.join(common, "gram").groupBy("anchor").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    by_gram = chosen.groupBy("gram").agg(F.collect_list("anchor").alias("anchors"))
+    index = by_gram.agg(F.map_from_entries(F.collect_list(F.struct("gram", "anchors")))).scalar()
+    return index, rows.filter(F.length("literal") < GRAM).select(anchor).agg(F.collect_list("anchor")).scalar()
+
+
+def anchor_hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """doc_id, anchor_id, fragment, confidence, evidence: first match of each anchor (anchor_id, pattern, fragment, confidence).
+
+    A regular expression runs on a text only if the text holds its literal: the text's parts of three characters are looked up in the index of the anchors
+    where the text is. Anchors without a literal are tried on all texts. Null texts have no hits.
+    """
+    index, others = anchor_index(anchors)
+    low = docs.select("doc_id", "text", F.lower("text").alias("_l")).withColumn("_m", index).withColumn("_o", others)
+    met = F.array_intersect(grams(F.col("_l")), F.map_keys("_m"))
+    near = F.concat(F.coalesce(F.flatten(F.transform(met, lambda g: F.col("_m")[g])), F.array().cast(low.schema["_o"].dataType)), "_o")
+    candidates = low.filter("text IS NOT NULL").select("doc_id", "text", F.filter(near, lambda a: F.contains("_l", a["literal"]) & F.call_function("rlike", F.col("text"), a["pattern"])).alias("_a"))
+    found = candidates.select("doc_id", "text", F.explode("_a").alias("a"))
+    length = F.length(F.regexp_substr("text", F.col("a.pattern")))
+    return found.select("doc_id", "a.anchor_id", "a.fragment", "a.confidence", tx.evidence_window(F.col("text"), F.regexp_instr("text", F.col("a.pattern")), length).alias("evidence"))
 
 
 def grounded(hits: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -84,10 +139,19 @@ def collapse_parents(found: DataFrame) -> DataFrame:
 
 
 def attested_platforms(docs: DataFrame, techniques: DataFrame) -> DataFrame:
-    """doc_id, attested: platforms of the taxonomy that stand in the text as whole words, sorted."""
-    words = techniques.select(F.explode("platforms").alias("p")).select(F.lower("p").alias("p")).distinct()
-    j = docs.select("doc_id", "text").join(words, F.expr(r"lower(text) rlike concat('\\b\\Q', p, '\\E\\b')"), "left")
-    return j.groupBy("doc_id").agg(F.array_sort(F.collect_set("p")).alias("attested"))
+    """doc_id, attested: platforms of the taxonomy that stand in the text as whole words, sorted.
+
+    Each run of word characters in a platform's name is one of the text's, so the longest of them is looked up among the text's words before the name is
+    searched; the platforms are a scalar subquery. A name without word characters is searched in every text.
+    """
+    names = techniques.select(F.explode("platforms").alias("p")).select(F.lower("p").alias("p")).distinct()
+    runs = F.regexp_extract_all("p", F.lit(r"\w+"), F.lit(0))
+    longest = F.coalesce(F.max_by("w", F.length("w")), F.lit("")).alias("w")
+    platforms = names.select("p", F.explode_outer(runs).alias("w")).groupBy("p").agg(longest).agg(F.array_sort(F.collect_list(F.struct("p", "w")))).scalar()
+    low = docs.select("doc_id", F.lower("text").alias("_t"), platforms.alias("_all")).withColumn("_w", F.array_distinct(F.regexp_extract_all("_t", F.lit(r"\w+"), F.lit(0))))
+    holds = lambda x: ((x["w"] == "") | F.array_contains("_w", x["w"])) & F.call_function("rlike", F.col("_t"), F.concat(F.lit(r"\b\Q"), x["p"], F.lit(r"\E\b")))
+    each = low.select("doc_id", F.transform(F.filter("_all", holds), lambda x: x["p"]).alias("_p"))
+    return each.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("attested"))
 
 
 def platform_ok(platforms: Column, attested: Column) -> Column:
@@ -119,8 +183,8 @@ def behaviour_quality(behaviours: DataFrame, stop_words: list[str], verbs: list[
 
 
 def acting(behaviours: DataFrame, verb: str) -> DataFrame:
-    """Behaviours whose main verb (column ``verb``) isn't one of a report's author."""
-    return behaviours.filter(~F.coalesce(F.lower(verb).isin(*tx.REPORTER_VERBS), F.lit(False)))
+    """Behaviours whose main verb (column ``verb``), in any of its forms, isn't one of a report's author."""
+    return behaviours.filter(~F.coalesce(tx.form_of(F.col(verb), tx.REPORTER_VERBS), F.lit(False)))
 
 
 def distinct_behaviours(behaviours: DataFrame, key: str, order: list[str], text: str, most: int = 20) -> DataFrame:
@@ -136,12 +200,34 @@ def similarity_term(sim: Column) -> Column:
     return sim * 3 * band
 
 
-def technique_score(name_tokens: Column, behaviour_tokens: Column, document_tokens: Column, sim: Column | None = None) -> Column:
-    """6 for a name token in the behaviour, 2 for one in the document, 0.5 for a behaviour token that starts with a
-    name token's first four letters, and the similarity term."""
-    stem = F.exists(name_tokens, lambda t: F.exists(behaviour_tokens, lambda b: F.startswith(b, F.substring(t, 1, 4))))
-    score = 6.0 * F.arrays_overlap(name_tokens, behaviour_tokens).cast("double") + 2.0 * F.arrays_overlap(name_tokens, document_tokens).cast("double") + 0.5 * stem.cast("double")
-    return score if sim is None else score + similarity_term(sim)
+def unit(vector: Column) -> Column:
+    """The vector at length 1; null for a null or zero vector. The dot product of two such vectors is their cosine."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products; 0 if a side is null."""
+    return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
+#: What the similarity term is at least and at most.
+SIMILARITY_RANGE = (-0.3, 3.0)
+
+
+def document_marks(docs: DataFrame, techniques: DataFrame, behaviours: DataFrame) -> DataFrame:
+    """doc_id, named (techniques with a name token in the text), seen (single platforms that stand in it), doc_phases: what pairs ask of a document, found once.
+
+    ``seen`` is looked up in the distinct single platforms of the taxonomy, a scalar subquery.
+    """
+    single = F.when(F.size("platforms") == 1, F.lower(F.get("platforms", F.lit(0)))).alias("p")
+    platforms = techniques.select(single).filter("p IS NOT NULL").agg(F.collect_set("p")).scalar()
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("tok"))
+    index = techniques.select("technique_id", F.explode(F.array_distinct("tokens")).alias("tok"))
+    named = tokens.join(index, "tok").groupBy("doc_id").agg(F.collect_set("technique_id").alias("named"))
+    seen = docs.select("doc_id", F.lower("text").alias("low"), platforms.alias("all")).select("doc_id", F.filter("all", lambda p: F.contains("low", p)).alias("seen"))
+    phases = behaviours.groupBy("doc_id").agg(F.collect_set(F.lower("phase")).alias("doc_phases"))
+    return seen.join(named, "doc_id", "left").join(phases, "doc_id", "left")
 
 
 def infer(behaviours: DataFrame, docs: DataFrame, techniques: DataFrame, verbs: list[str], stop_words: list[str], least: float = 3.0, per_behaviour: int = 2, per_document: int = 15) -> DataFrame:
@@ -149,22 +235,30 @@ def infer(behaviours: DataFrame, docs: DataFrame, techniques: DataFrame, verbs:
 
     ``behaviours``: doc_id, seq, text, phase (null if unknown), vector (null if none); ``docs``: doc_id, text; ``techniques``: technique_id, tokens, platforms, phases, vector.
     Behaviours with a reject reason go, words that only report are not compared, a technique of one platform that the document doesn't name goes.
-    The score is halved if none of the document's known phases is one of the technique's, and multiplied by the text's specificity. Candidates share a name
-    token: both sides are exploded and joined on it, so no pair is built without one.
+    The score is 6 for a name token in the behaviour, 2 for one in the document, 0.5 for a behaviour token that starts with a name token's first four letters, and the similarity term;
+    it is halved if none of the document's known phases is one of the technique's, and multiplied by the text's specificity.
+
+    Candidates share a name token: behaviours are joined to an index of name tokens, and a pair carries its ids and its score without vectors alone, which bounds the score.
+    Only candidates whose upper bound reaches the lower bound of the behaviour's last place get their vectors, which are joined last.
     """
     ok = behaviour_quality(behaviours, stop_words, verbs).filter("reject_reason IS NULL").withColumn("specificity", specificity(F.col("tokens"), verbs, stop_words))
-    ok = ok.withColumn("words", F.array_distinct(F.filter("tokens", lambda w: ~w.isin(*tx.REPORT_WORDS))))
-    phases = behaviours.groupBy("doc_id").agg(F.collect_set(F.lower("phase")).alias("doc_phases"))
-    b = ok.select("doc_id", "seq", F.explode("words").alias("tok"))
-    t = techniques.select("technique_id", F.explode(F.array_distinct("tokens")).alias("tok"))
-    pairs = b.join(t, "tok").select("doc_id", "seq", "technique_id").distinct()
-    tech = techniques.select("technique_id", F.col("tokens").alias("name_tokens"), F.col("vector").alias("t_vector"), "platforms", F.col("phases").alias("t_phases"))
-    full = pairs.join(ok.select("doc_id", "seq", "words", "vector", "specificity"), ["doc_id", "seq"]).join(tech, "technique_id")
-    full = full.join(docs.select("doc_id", "text"), "doc_id").filter(single_platform_ok(F.col("platforms"), F.col("text"))).join(phases, "doc_id")
-    implausible = (F.size("doc_phases") > 0) & (F.size("t_phases") > 0) & ~F.exists("doc_phases", lambda p: F.exists("t_phases", lambda x: F.contains(F.lower(x), p)))
-    raw = technique_score(F.col("name_tokens"), F.col("words"), tx.tokens(F.col("text")), cosine(F.col("vector"), F.col("t_vector")))
-    score = F.round(raw * F.when(implausible, 0.5).otherwise(1.0) * F.col("specificity"), 6)
-    scored = full.select("doc_id", "seq", "technique_id", score.alias("score")).filter(F.col("score") >= least)
+    words = F.array_distinct(F.filter("tokens", lambda w: ~w.isin(*tx.REPORT_WORDS)))
+    b = ok.select("doc_id", "seq", "specificity", words.alias("words")).join(document_marks(docs, techniques, behaviours), "doc_id").withColumn("tok", F.explode("words"))
+    index = techniques.select("technique_id", "platforms", "phases", F.explode(F.array_distinct("tokens")).alias("tok"))
+    elsewhere = (F.size("platforms") == 1) & ~F.array_contains("seen", F.lower(F.get("platforms", F.lit(0))))
+    implausible = (F.size("doc_phases") > 0) & (F.size("phases") > 0) & ~F.exists("doc_phases", lambda p: F.exists("phases", lambda x: F.contains(F.lower(x), p)))
+    # a shared token is a name token in the behaviour and starts with its own first letters
+    base = 6.5 + 2.0 * F.coalesce(F.array_contains("named", F.col("technique_id")), F.lit(False)).cast("double")
+    pairs = b.join(index, "tok").filter(~F.coalesce(elsewhere, F.lit(False))).select("doc_id", "seq", "technique_id", base.alias("base"), F.when(implausible, 0.5).otherwise(1.0).alias("phase_factor"), "specificity")
+    pairs = pairs.repartition("doc_id", "seq").dropDuplicates(["doc_id", "seq", "technique_id"])
+    bound = lambda term: F.round((F.col("base") + term) * F.col("phase_factor") * F.col("specificity"), 6)
+    low = Window.partitionBy("doc_id", "seq").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = pairs.withColumn("low", bound(SIMILARITY_RANGE[0])).withColumn("floor", F.coalesce(F.nth_value("low", per_behaviour).over(low), F.lit(least)))
+    pairs = pairs.filter(bound(SIMILARITY_RANGE[1]) >= F.greatest("floor", F.lit(least)))
+    own, theirs = ok.select("doc_id", "seq", unit(F.col("vector")).alias("v")), techniques.select("technique_id", unit(F.col("vector")).alias("t_v"))
+    full = pairs.join(own, ["doc_id", "seq"]).join(theirs, "technique_id")
+    sim = F.when(F.col("v").isNotNull() & F.col("t_v").isNotNull(), dot(F.col("v"), F.col("t_v"))).otherwise(0.0)
+    scored = full.withColumn("sim", sim).select("doc_id", "seq", "technique_id", bound(similarity_term(F.col("sim"))).alias("score")).filter(F.col("score") >= least)
     best = top_per(scored, ["doc_id", "seq"], [F.desc("score"), "technique_id"], per_behaviour)
     return top_per(best, ["doc_id"], [F.desc("score"), "seq", "technique_id"], per_document)
 

@@ -118,7 +118,7 @@ def fuse(objects: DataFrame, scalars: list[str], lists: list[str], order: list[s
 
 
 def fuse_documents(objects: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """key, id, n_objects, fused_from, obj: JSON objects of one ``key`` merged in depth, in order of ``order`` (bundle_id, pos).
+    """key, id, n_objects, fused_from, obj, first_at: JSON objects of one ``key`` merged in depth, in order of ``order`` (bundle_id, pos).
 
     ``objects``: key, the order columns, obj (JSON text; null or no object: left out). Key by key: of values that aren't empty (null, "", [], {}) the first counts;
     if it is a list, items of later lists follow that are not there yet, told apart by their canonical JSON; if it is an object, the objects
@@ -131,7 +131,7 @@ def fuse_documents(objects: DataFrame, order: list[str] | None = None) -> DataFr
     base = objects.filter(valid_json(F.col("obj")) & F.startswith(strip(F.col("obj")), F.lit("{"))).select("key", at, "obj")
     spark = objects.sparkSession
     ids = base.select("key", "at", F.get_json_object("obj", "$.id").alias("id"))
-    heads = ids.groupBy("key").agg(F.min(F.struct("at", "id"))["id"].alias("id"), F.count("*").alias("n_objects"))
+    heads = ids.groupBy("key").agg(F.min(F.struct("at", "id"))["id"].alias("id"), F.count("*").alias("n_objects"), F.min("at").alias("first_at"))
     first = ids.filter("coalesce(id, '') <> ''").groupBy("key", "id").agg(F.min("at").alias("at"))
     heads = heads.join(first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda s: s["id"]).alias("fused_from")), "key", "left")
     open_rows = base.select("key", F.array().cast("array<string>").alias("path"), "at", "obj")
@@ -166,7 +166,7 @@ def fuse_documents(objects: DataFrame, order: list[str] | None = None) -> DataFr
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("k"), entry.alias("e")))), lambda s: s["e"]), ",")
         below = rows.groupBy("key", up.alias("path")).agg(F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
     out = heads.join(below.select("key", F.col("json").alias("obj")), "key", "left")
-    return out.select("key", "id", "n_objects", F.when(F.col("n_objects") > 1, F.col("fused_from")).alias("fused_from"), F.coalesce("obj", F.lit("{}")).alias("obj"))
+    return out.select("key", "id", "n_objects", F.when(F.col("n_objects") > 1, F.col("fused_from")).alias("fused_from"), F.coalesce("obj", F.lit("{}")).alias("obj"), "first_at")
 
 
 def with_keys(objects: DataFrame, id_source: str) -> DataFrame:
@@ -177,21 +177,43 @@ def with_keys(objects: DataFrame, id_source: str) -> DataFrame:
     return objects.withColumn("key", object_key(F.col("type"), ref(id_source), cve, own("cpe"), own("vendor"), F.col("name"), own("version"), F.col("id"), F.col("obj")))
 
 
-def fuse_bundles(objects: DataFrame, id_source: str) -> tuple[DataFrame, DataFrame]:
-    """(objects, edges) of several bundles fused: objects as by :func:`fuse_documents`, relationships between surviving ids as by :func:`remap_edges`.
+def fuse_bundles(objects: DataFrame, id_source: str, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(objects, relationships) of several bundles fused, both as by :func:`fuse_documents`; ``by`` names a column whose values are fused apart from each other.
 
     ``objects``: exploded objects of all bundles (bundle_id, pos, type, id, name, description, source_ref, target_ref, relationship_type, refs, obj).
+    Objects come first, by their keys. Relationships then are documents too: their ends become the surviving ids and (source, type, target) their key, so that descriptions, references and
+    all other values merge; those with an unknown end go. They also have src, rel_type and dst.
     """
+    by_columns = [by] if by else []
+    part = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\n")) if by else F.lit("")
     things, rels = objects.filter("coalesce(type, '') <> 'relationship'"), objects.filter("type = 'relationship'")
-    keyed = stage_rows(with_keys(things, id_source))
+    keyed = stage_rows(with_keys(things, id_source).withColumn("key", F.concat(part, "key")))
     fused = stage_rows(fuse_documents(keyed))
-    ids = keyed.filter("coalesce(id, '') <> ''").select(F.col("id").alias("old_id"), "key").distinct().join(fused.select("key", F.col("id").alias("new_id")), "key").select("old_id", "new_id").filter("new_id IS NOT NULL")
-    edges = rels.select(F.col("source_ref").alias("src"), F.col("relationship_type").alias("rel_type"), F.col("target_ref").alias("dst"))
-    return fused, remap_edges(edges, ids)
+    ids = keyed.filter("coalesce(id, '') <> ''").select(*by_columns, F.col("id").alias("old_id"), "key").distinct().join(fused.select("key", F.col("id").alias("new_id")), "key").filter("new_id IS NOT NULL").drop("key")
+    ends = surviving_ends(rels, ids, by_columns)
+    linked = stage_rows(ends.withColumn("key", F.concat(part, F.to_json(F.array("src", "rel_type", "dst")))))
+    names = linked.groupBy("key").agg(*[F.first(c).alias(c) for c in (*by_columns, "src", "rel_type", "dst")])
+    edges = fuse_documents(linked).join(names, "key")
+    if by:
+        fused = fused.join(keyed.groupBy("key").agg(F.first(by).alias(by)), "key").withColumn("key", F.substring_index("key", "\n", -1))
+    return fused, edges.withColumnRenamed("n_objects", "n")
+
+
+def surviving_ends(rels: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
+    """Relationships with src, dst (surviving ids, also in ``obj``) and rel_type; those with an unknown end go. ``ids``: old_id, new_id and the columns ``by``.
+
+    A missing type is ``related-to``, though the object stays as it is.
+    """
+    end = lambda old, new: ids.select(*by, F.col("old_id").alias(old), F.col("new_id").alias(new))
+    kind = F.coalesce(F.nullif("relationship_type", F.lit("")), F.lit("related-to")).alias("rel_type")
+    joined = rels.join(end("source_ref", "src"), [*by, "source_ref"]).join(end("target_ref", "dst"), [*by, "target_ref"])
+    remapped = F.expr("""to_json(map_concat(map_filter(CAST(parse_json(obj) AS MAP<STRING, VARIANT>), (k, v) -> k NOT IN ('source_ref', 'target_ref')),
+        map('source_ref', CAST(src AS VARIANT), 'target_ref', CAST(dst AS VARIANT))))""")
+    return joined.select(*by, "bundle_id", "pos", "src", kind, "dst", remapped.alias("obj"))
 
 
 def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:
-    """src, rel_type, dst, n: edges between surviving ids, equal ones merged; edges with an unknown end go.
+    """src, rel_type, dst, n: edges without further values between surviving ids, equal ones merged; edges with an unknown end go.
 
     ``id_map``: old_id, new_id over all bundles, so edges across bundles resolve; a missing type is ``related-to``.
     """
@@ -200,6 +222,24 @@ def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:
     return edges.withColumn("rel_type", kind).join(a, "src").join(b, "dst").groupBy(F.col("src_new").alias("src"), "rel_type", F.col("dst_new").alias("dst")).agg(F.count("*").alias("n"))
 
 
+def fused_documents(fused: DataFrame, edges: DataFrame, sources: DataFrame, by: str) -> DataFrame:
+    """One JSON bundle of each value of ``by``: id, object_count, source_bundle_count, document.
+
+    Objects are in order of their first appearance, then relationships; ``x_fused_from`` lists the ids of those that merged. ``sources``: ``by``, bundle_id.
+    A document is one row; what is too large for that is better written as the rows of :func:`fuse_bundles`.
+    """
+    text = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    inner = F.substring("obj", F.lit(2), F.length("obj") - 2)
+    fields = F.array_compact(F.array(F.when(F.col("id").isNotNull(), F.concat(F.lit('"id":'), text("id"))), F.nullif(inner, F.lit("")), F.when(F.col("fused_from").isNotNull(), F.concat(F.lit('"x_fused_from":'), F.to_json("fused_from")))))
+    item = lambda df, place: df.select(by, F.struct(F.lit(place).alias("place"), "first_at", F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("item")).alias("o"))
+    g = item(fused, 0).unionByName(item(edges, 1)).groupBy(by).agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["item"]).alias("items"), F.count("*").alias("object_count"))
+    g = g.join(sources.groupBy(by).agg(F.count_distinct("bundle_id").alias("source_bundle_count")), by)
+    bid = stix_id("bundle", F.concat(F.lit("fused:"), F.coalesce(F.col(by).cast("string"), F.lit(""))))
+    counts = F.concat(F.lit('{"source_bundle_count":'), F.col("source_bundle_count").cast("string"), F.lit(',"object_count":'), F.col("object_count").cast("string"), F.lit("}"))
+    document = F.concat(F.lit('{"type":"bundle","id":"'), bid, F.lit('","objects":['), F.array_join("items", ","), F.lit('],"x_fusion":'), counts, F.lit("}"))
+    return g.select(by, bid.alias("id"), "object_count", "source_bundle_count", document.alias("document"))
+
+
 def bundle_documents(objects: DataFrame, model: str, provider: str) -> DataFrame:
     """bundle_id, id, n_objects, document: the JSON bundle of each report; its objects (pos, obj JSON) in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "obj"))), lambda s: s["obj"])

@@ -25,6 +25,12 @@ INPUTS = {
     "wanted": """SELECT DISTINCT c_custkey % 40 AS bundle_id, 'T' || CAST(1000 + c_custkey % 53 AS STRING) || CASE WHEN c_custkey % 2 = 0 THEN '.00' || CAST(c_custkey % 4 AS STRING) ELSE '' END AS technique_id FROM customer""",
     "stix_object": """SELECT doc_id % 50 AS bundle_id, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN 'attack-pattern' WHEN 1 THEN 'tool' WHEN 2 THEN 'threat-actor' WHEN 3 THEN 'vulnerability' ELSE 'note' END AS type, CASE WHEN doc_id % 31 = 0 THEN NULL ELSE 'x--' || md5(CAST(doc_id % 700 AS STRING)) END AS id,
         substr(text, 1, 12) AS name, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS description, CASE WHEN doc_id % 5 = 0 THEN 'T' || CAST(1000 + doc_id % 90 AS STRING) END AS tid, CASE WHEN doc_id % 5 = 3 THEN 'about cve-2020-' || CAST(1000 + doc_id % 60 AS STRING) END AS cve_text, lang AS label FROM documents""",
+    # documents as files of plan folders
+    "plan_file": """SELECT doc_id, length(text) AS size, CASE WHEN p % 7 = 3 THEN '.lib/' ELSE 'lib/' END || 'plan' || CAST(p AS STRING) || '/' || CASE k WHEN 0 THEN CASE WHEN p % 4 = 0 THEN 'Scenario.md' ELSE 'notes.md' END
+        WHEN 1 THEN CASE WHEN p % 3 <> 1 THEN 'Emulation_Plan/Day1/Big_Scenario_' || CAST(doc_id AS STRING) || '.md' ELSE 'Emulation_Plan/YAML/x_scenario.md' END WHEN 2 THEN CASE WHEN p % 3 <> 1 THEN 'Emulation_Plan/Phase_' || CAST(doc_id AS STRING) || '.md' ELSE 'Emulation_Plan/README_scenario.md' END
+        WHEN 3 THEN CASE WHEN p % 2 = 0 THEN 'Emulation_Plan/README.md' ELSE 'a.md' END WHEN 4 THEN 'README.md' WHEN 5 THEN CASE WHEN p % 3 = 0 THEN 'CTI_Emulation_Resources/Some_Overview.md' ELSE 'CTI_Emulation_Resources/ReadMe.md' END
+        WHEN 6 THEN CASE WHEN p % 2 = 0 THEN 'CTI_Emulation_Resources/n' || CAST(doc_id AS STRING) || '.md' ELSE 'CTI_Emulation_Resources/n.txt' END WHEN 7 THEN CASE WHEN p % 5 < 3 THEN 'Intelligence_Summary/s.md' ELSE 'b.md' END WHEN 8 THEN 'Intelligence_Summary.md'
+        WHEN 9 THEN 'Emulation_Plan/S2/Infrastructure_' || CAST(doc_id AS STRING) || '.md' WHEN 10 THEN 'Infrastructure.md' ELSE 'Emulation_Plan/a/b/phase_deep.md' END AS path FROM (SELECT doc_id, text, doc_id % 60 AS p, CAST(floor(doc_id / 60) AS BIGINT) % 12 AS k FROM documents) d""",
     "run": """SELECT event_id AS run_id, user_id AS experiment_id, CASE event_type WHEN 'signup' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'FINISHED' END AS status, ts AS start_time, event_type AS stage, value, props FROM events""",
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import clean, extract, ground
+from ..operators import clean, extract, ground, markup
 from ..sources import reports as rp
 from .registry import query
 
@@ -58,8 +58,13 @@ def prose_gate(t):
     return clean.prose_columns(t("documents")).select("doc_id", "n_sentences", "n_tokens", "n_alpha", "n_verbs", "dominant")
 
 
-def _blocks(tag: str) -> str:
-    return rf"list_filter(list_transform(regexp_extract_all(bare, '(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '')"
+_DECODED = "x"
+for _entity, _char in markup.ENTITIES.items():
+    _DECODED = f"replace({_DECODED}, '{_entity.replace(chr(39), chr(39) * 2)}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+def _blocks(tag: str, bare: str = "bare") -> str:
+    return rf"list_filter(list_transform(list_transform(regexp_extract_all({bare}, '(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>', 1), lambda x: regexp_replace(x, '(?s)<[^>]*>', '', 'g')), lambda x: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))), lambda x: x <> '')"
 
 
 _BARE = "html"
@@ -67,9 +72,40 @@ for _tag in ("script", "style", "nav", "footer", "header", "aside"):
     _BARE = rf"regexp_replace({_BARE}, '(?is)<{_tag}\b.*?</{_tag}\s*>', '', 'g')"
 
 
-@query(rf"SELECT page_id, array_to_string(list_concat({_blocks('p')}, list_transform({_blocks('li')}, lambda x: '• ' || x)), chr(10)) AS text FROM (SELECT page_id, {_BARE} AS bare FROM pages) p")
+# a paragraph ends where the next one begins
+_PARAGRAPHS = r"regexp_replace(bare, '(?i)<p\b', '</p><p', 'g')"
+
+
+@query(rf"SELECT page_id, array_to_string(list_concat({_blocks('p', _PARAGRAPHS)}, list_transform({_blocks('li')}, lambda x: '• ' || x)), chr(10)) AS text FROM (SELECT page_id, {_BARE} AS bare FROM pages) p")
 def page_text(t):
-    return t("pages").select("page_id", clean.html_text(F.col("html")).alias("text"))
+    return markup.html_texts(t("pages").select("page_id", "html")).select("page_id", "text")
+
+
+@query(r"""SELECT doc_id, concat_ws(chr(10), a || ' & ' || b, '• ' || a || b || ' ' || c, '• ' || b, '• ' || c, '[Table]', a || ' | ' || b || c || a || ' | ' || c || ' | ' || a, c || ' | ' || a, b || ' | ' || b, '[Table]', c || ' | ' || a) AS text
+ FROM (SELECT doc_id, coalesce(w[1], 'x') AS a, coalesce(w[2], 'y') AS b, coalesce(w[3], 'z') AS c FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+') AS w FROM documents) d) e""")
+def nested_markup(t):
+    """Lists in lists and a table in a table, with end tags left out, around the first words of each document."""
+    w = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    a, b, c = (F.coalesce(F.get(w, F.lit(i)), F.lit(x)) for i, x in enumerate("xyz"))
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    html = text(
+        "<!-- <p>no</p> --><nav><ul><li>no<nav>no</nav><li>no</ul></nav><p class='x'>", a, " &amp; ", b, "<p>&nbsp;<ul><li>", a, "<ol><LI>", b, "</LI><li> ", c, "</ol></li></ul><table><tr><th>", a, "<td>", b,
+        "<table><tr><td>", c, "</td><td>", a, "</table></td></tr><tr><td>", b, "</td><td>", b, "</table>")
+    docs = t("documents").select("doc_id", html.alias("html"))
+    return markup.html_texts(docs).select("doc_id", "text")
+
+
+@query(rf"""SELECT doc_id, CASE WHEN ext = '.html' THEN '[HTML]' WHEN ext = '.pdf' THEN '[PDF]' ELSE '[TEXT]' END AS status, CASE WHEN ext = '.html' THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE text END AS text FROM (
+ SELECT r.*, {_EXT} AS ext, coalesce(e.entropy > 4.8, false) AS code, coalesce(p.dominant, false) AS prose FROM reports r LEFT JOIN ({_PROSE % "reports"}) p USING (doc_id) LEFT JOIN (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM
+ (SELECT doc_id, ch, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM reports) a WHERE ch <> '' GROUP BY doc_id, ch) b GROUP BY doc_id) e USING (doc_id)) q
+ WHERE regexp_matches(coalesce(text, ''), '[^\s]') AND ext IN ('.txt', '.md', '.html', '.pdf') AND (ext NOT IN ('.txt', '.md') OR NOT (code AND NOT prose) AND regexp_matches(regexp_replace(name, '\.[^.]*$', ''), '[a-zA-Z]{{3,}}'))""", ("reports",))
+def ingested(t):
+    """Report files that pass the gates, by the step of that name; those of web pages have their text in a paragraph."""
+    from .steps import run_step
+
+    html = F.concat(F.lit("<html><header>no</header><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></html>"))
+    files = t("reports").withColumn("text", F.when(F.endswith("name", F.lit(".html")), html).otherwise(F.col("text")))
+    return run_step("ingest", files).select("doc_id", "status", "text")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b((?:\d{1,3}\.){3}\d{1,3}/\d{1,2})\b', 1), list_transform(list_filter(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1),
@@ -158,6 +194,18 @@ def gazetteer_hits(t):
     return extract.gazetteer(t("intel"), _names(t))
 
 
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), n AS (SELECT item_id AS entity_id, v[1:k] AS v, array_to_string(v[1:k], ' ') AS name_key FROM (SELECT item_id, {_WORDS} AS v FROM benchmark) b, (SELECT unnest([1, 4, 6, 12]) AS k) k WHERE len(v) >= k)
+ SELECT doc_id, entity_id, name_key, count(*) AS n FROM (SELECT doc_id, entity_id, name_key FROM (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM w) d JOIN (SELECT DISTINCT * FROM n) n ON length(name_key) >= 3 AND contains(s, ' ' || name_key || ' '), unnest(range(1, len(w) - len(v) + 2)) AS u(i) WHERE w[i:i + len(v) - 1] = v) h GROUP BY ALL""")
+def long_names(t):
+    """Names of one, four, six and twelve words, the beginnings of benchmark items, in all documents."""
+    w = tx.tokens(F.col("text"))
+    heads = t("benchmark").select("item_id", w.alias("w")).withColumn("k", F.explode(F.array(*map(F.lit, (1, 4, 6, 12))))).filter("size(w) >= k")
+    return extract.gazetteer(t("documents"), heads.select(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("name_key"), F.col("item_id").alias("entity_id")))
+
+
 @query(rf"""SELECT doc_id, entity_id, salience FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY salience DESC, entity_id) AS r FROM (SELECT h.doc_id, entity_id, n
  + 3 * CAST(contains(' ' || trim(regexp_replace(lower(regexp_extract(text, '^([^\n]*)', 1)), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || name_key || ' ') AS INT)
  + CAST(contains(' ' || trim(regexp_replace(lower(CASE WHEN contains(text, chr(10) || chr(10)) THEN split_part(text, chr(10) || chr(10), 1) ELSE substr(text, 1, 500) END), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || name_key || ' ') AS INT) AS salience
@@ -303,6 +351,18 @@ def corpus_discovery(t):
     return rp.largest_candidates(listed).select("plan", "part", "path", "size", "n")
 
 
+@query(r"""SELECT * FROM (WITH f AS (SELECT *, regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS plan, regexp_replace(path, '^[^/]+/[^/]+/', '') AS rest, split_part(path, '/', -1) AS file FROM plan_file WHERE NOT starts_with(path, '.')),
+ t AS (SELECT *, CASE WHEN rest = 'Scenario.md' THEN 0 WHEN regexp_matches(rest, '^(Emulation_Plan/([^/]+/)?)?[^/]+\.md$') AND NOT starts_with(lower(rest), 'emulation_plan/yaml/') AND (contains(lower(file), 'scenario') AND NOT contains(file, 'README') OR starts_with(lower(file), 'phase')) THEN 1
+  WHEN rest = 'Emulation_Plan/README.md' THEN 2 WHEN rest = 'README.md' THEN 3 END AS scenario,
+  CASE WHEN regexp_matches(rest, '^CTI_Emulation_Resources/[^/]*\.md$') THEN CASE WHEN contains(file, 'Overview') THEN 0 WHEN lower(file) <> 'readme.md' THEN 1 END WHEN regexp_matches(rest, '^Intelligence_Summary/[^/]*\.md$') THEN 2 WHEN rest = 'Intelligence_Summary.md' THEN 3 END AS overview,
+  CASE WHEN regexp_matches(rest, '^(Emulation_Plan/([^/]+/)?)?Infrastructure[^/]*\.md$') THEN 0 END AS infrastructure FROM f WHERE plan IN (SELECT plan FROM f WHERE regexp_matches(rest, '^(Emulation_Plan|CTI_Emulation_Resources|Resources|Intelligence_Summary|Operations_Flow)/'))),
+ p AS (SELECT plan, 'scenario' AS part, scenario AS tier, path, size FROM t UNION ALL SELECT plan, 'overview', overview, path, size FROM t UNION ALL SELECT plan, 'infrastructure', infrastructure, path, size FROM t)
+ SELECT plan, part, path, size, tier, n FROM (SELECT *, count(*) OVER (PARTITION BY plan, part, tier) AS n, row_number() OVER (PARTITION BY plan, part ORDER BY tier, CASE WHEN part = 'infrastructure' OR part = 'scenario' AND tier = 1 THEN -size ELSE 0 END, path, -size) AS r FROM p WHERE tier IS NOT NULL) q WHERE r = 1) y""", ("plan_file",))
+def plan_discovery(t):
+    """Scenario, overview and infrastructure file of each plan folder, by tiers of rules and size."""
+    return rp.plan_files(t("plan_file").select("path", "size"))
+
+
 @query(r"""SELECT n_nationkey, actor, valid FROM (SELECT n_nationkey, trim(replace(replace(regexp_replace(raw, '''s$', ''), 'operator', ''), 'team', '')) AS actor, len(string_split(raw, ' ')) <= 5 AND (regexp_matches(lower(raw), 'group|apt|team|gang|operator|raas') OR (length(raw) <= 25 AND regexp_matches(raw, '^[\p{L}\p{N}\s-]+$'))) AS valid
  FROM (SELECT n_nationkey, n_name || CASE n_nationkey % 4 WHEN 0 THEN ' team''s' WHEN 1 THEN ' operator' WHEN 2 THEN '-9' ELSE ' a b c d e f' END AS raw FROM nation) a) b""")
 def actor_cleanup(t):
@@ -314,10 +374,19 @@ def actor_cleanup(t):
 _SENTENCES = r"SELECT conv_id, turn, unnest(a) AS p, generate_subscripts(a, 1) - 1 AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(13) || chr(9))), lambda s: s <> '') AS a FROM conversations) x"
 
 
-@query(f"SELECT conv_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS r FROM (SELECT conv_id, min_by(p, turn * 100000 + i) AS phrase, min(turn * 100000 + i) AS k, count(*) AS n FROM ({_SENTENCES}) y WHERE lower(split_part(p, ' ', 1)) NOT IN ({_Q(tx.REPORTER_VERBS)}) GROUP BY conv_id, lower(p)) z) q WHERE r <= 20")
+# forms of each reporter's verb, by hand
+_REPORTING = [v + e for v in ("report", "document") for e in ("", "s", "ed", "ing")] + [v[:-1] + e for v in ("describe", "note", "observe", "analyze", "state") for e in ("e", "es", "ed", "ing")]
+_REPORTING += "identify identifies identified identifying assess assesses assessed assessing publish publishes published publishing".split()
+_FORMS = "reported describes observing identified analyzed assesses publishing stating moved downloads".split()
+
+
+@query(f"""SELECT conv_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS r FROM (SELECT conv_id, min_by(p, turn * 100000 + i) AS phrase, min(turn * 100000 + i) AS k, count(*) AS n FROM (
+ SELECT conv_id, turn, i, [{_Q(_FORMS)}][1 + (turn + i) % {len(_FORMS)}] || ' ' || p AS p FROM ({_SENTENCES}) y) x WHERE lower(split_part(p, ' ', 1)) NOT IN ({_Q(_REPORTING)}) GROUP BY conv_id, lower(p)) z) q WHERE r <= 20""")
 def behaviour_cleanup(t):
-    """Distinct sentences of a conversation that don't begin with a reporter's verb, any case, first spelling kept, twenty at most."""
-    each = t("conversations").select("conv_id", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("i", "phrase")).withColumn("verb", F.substring_index("phrase", " ", 1))
+    """Distinct sentences of a conversation, each with a verb before it, without those whose verb is a form of a reporter's; any case, first spelling kept, twenty at most."""
+    each = t("conversations").select("conv_id", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("i", "phrase"))
+    verb = F.get(F.array(*map(F.lit, _FORMS)), ((F.col("turn") + F.col("i")) % len(_FORMS)).cast("int"))
+    each = each.withColumn("phrase", F.concat(verb, F.lit(" "), "phrase")).withColumn("verb", F.substring_index("phrase", " ", 1))
     return ground.distinct_behaviours(ground.acting(each, "verb"), "conv_id", ["turn", "i"], "phrase").select("conv_id", "phrase", "n")
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sqlf
 from ..functions import text as tx
-from ..operators import extract, runlog
+from ..operators import extract, jsontree, objects, runlog
 from ..sources import bundles as bd
 from ..sources import reports as rp
 from ..sources.storage import new_folder as scratch
 from ..streaming import intake as st
+from ..streaming import state
 from .registry import query
 
 
@@ -116,8 +117,21 @@ def secret_keys(t):
     k = F.col("event_id") % 5
     name = F.when(k == 0, "max_tokens").when(k == 1, "api_key").when(k == 2, "key_env").when(k == 3, "model").otherwise("Access_Token")
     inner = F.to_json(F.when(k.isin(1, 4), F.create_map(F.lit("n"), "event_type", name, F.lit("v"))).otherwise(F.create_map(name, F.lit("v"), F.lit("password"), F.lit("x"))))
-    m = F.create_map(F.lit("settings"), inner, F.lit("secret"), F.lit("s"))
-    return t("events").select("event_id", F.get(F.map_values(tx.without_secrets_deep(m)), F.lit(0)).alias("kept"))
+    doc = F.concat(F.lit('{"settings": '), inner, F.lit(', "secret": "s"}'))
+    clean = jsontree.without_secrets(t("events").select("event_id", doc.alias("doc")), "event_id", "doc")
+    return clean.select("event_id", F.to_json(F.from_json("doc", "map<string,variant>")["settings"]).alias("kept"))
+
+
+@query("""SELECT event_id, '{"id":' || event_id || ',"steps":[{"args":{"deep":[' || CASE event_id % 3 WHEN 0 THEN '{}' WHEN 1 THEN '{"env":{"key_env":"v"}}' ELSE '{"n":"' || event_type || '","tags":[]}' END || ',1],"name":"' || event_type || '"}},"s",[]]'
+ || CASE WHEN event_id % 5 = 0 THEN ',"text":"a \\"password\\": b"' ELSE '' END || '}' AS kept FROM events""")
+def secret_depths(t):
+    """Secrets five objects and two lists deep; strings that only look like names stay."""
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    k = F.col("event_id") % 3
+    inner = F.when(k == 0, F.lit('{"api_key": [1, {"a": 2}]}')).when(k == 1, F.lit('{"env": {"key_env": "v", "password": {"x": 1}}}')).otherwise(text('{"n": "', F.col("event_type"), '", "tags": [], "Secret": null}'))
+    said = F.when(F.col("event_id") % 5 == 0, F.lit(', "text": "a \\"password\\": b"')).otherwise("")
+    doc = text('{"steps": [{"args": {"name": "', F.col("event_type"), '", "token": "t", "deep": [', inner, ', 1]}}, "s", []], "id": ', F.col("event_id"), said, ', "client_secret": {}}')
+    return jsontree.without_secrets(t("events").select("event_id", doc.alias("kept")), "event_id", "kept")
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'gateway' WHEN 1 THEN 'unknown_model' WHEN 2 THEN 'capacity' WHEN 3 THEN 'auth' WHEN 4 THEN 'truncated' ELSE 'other' END AS class, event_id % 6 = 2 OR event_id % 4 = 0 AS transient FROM events")
@@ -220,10 +234,41 @@ def bundle_scan(t):
 @query("""SELECT key, arg_min(id, doc_id) AS id, count(*) AS n_objects, arg_min(name, doc_id) AS name FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'attack-pattern' WHEN 1 THEN 'threat-actor' ELSE 'tool' END || '--' || doc_id AS id, source || ' ' || doc_id AS name,
  CASE doc_id % 3 WHEN 0 THEN 'attack-pattern:T' || (1000 + doc_id % 90) WHEN 1 THEN 'threat-actor:' || lower(source) || '-' || doc_id ELSE 'tool:' || lower(source) || '-' || doc_id END AS key FROM documents WHERE (doc_id // 200) % 7 <> 6) d GROUP BY key""")
 def bundle_fusion(t):
-    """Objects of bundle files fused by the step of that name."""
+    """Objects of bundle files fused."""
+    fused, _ = objects.fuse_bundles(bd.explode_objects(_bundle_files(t)), "one")
+    return fused.select("key", "id", "n_objects", F.get_json_object("obj", "$.name").alias("name"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 13 AS c, CAST(floor(doc_id / 13) AS BIGINT) % 37 AS m, lang FROM documents),
+ t AS (SELECT c, m, min(doc_id) AS f, count(*) AS n, string_agg('"tool--' || doc_id || '"', ',' ORDER BY doc_id) AS ids FROM d GROUP BY c, m),
+ tl AS (SELECT c, m, string_agg('"' || lang || '"', ',' ORDER BY a) AS labels FROM (SELECT c, m, lang, min(doc_id) AS a FROM d GROUP BY c, m, lang) x GROUP BY c, m),
+ r AS (SELECT d.doc_id, d.c, a.f AS src, b.f AS dst, d.doc_id % 2 = 1 AS uses FROM d JOIN t a ON a.c = d.c AND a.m = d.m JOIN d p ON p.doc_id = d.doc_id - 13 JOIN t b ON b.c = p.c AND b.m = p.m WHERE d.doc_id % 3 <> 0 AND d.doc_id % 7 <> 0),
+ rl AS (SELECT c, src, uses, dst, string_agg('"l' || l || '"', ',' ORDER BY a) AS labels FROM (SELECT c, src, uses, dst, doc_id % 4 AS l, min(doc_id) AS a FROM r GROUP BY ALL) x GROUP BY ALL),
+ rg AS (SELECT c, src, uses, dst, min(doc_id) AS f, count(*) AS n, string_agg('"relationship--' || doc_id || '"', ',' ORDER BY doc_id) AS ids, coalesce(arg_min('d' || doc_id % 5, doc_id) FILTER (WHERE doc_id % 5 <> 0), '') AS description FROM r GROUP BY ALL),
+ items AS (SELECT c, 0 AS place, f, '{"id":"tool--' || f || '","labels":[' || labels || '],"name":"n' || m || '","type":"tool"' || CASE WHEN n > 1 THEN ',"x_fused_from":[' || ids || ']' ELSE '' END || '}' AS item FROM t JOIN tl USING (c, m)
+  UNION ALL SELECT c, 1, f, '{"id":"relationship--' || f || '","description":"' || description || '","labels":[' || labels || ']' || CASE WHEN uses THEN ',"relationship_type":"uses"' ELSE '' END || ',"source_ref":"tool--' || src || '","target_ref":"tool--' || dst || '","type":"relationship"'
+  || CASE WHEN n > 1 THEN ',"x_fused_from":[' || ids || ']' ELSE '' END || '}' FROM rg JOIN rl USING (c, src, uses, dst))
+ SELECT c AS case_id, count(*) AS object_count, (SELECT count(DISTINCT CAST(floor(doc_id / 1000) AS BIGINT)) FROM d e WHERE e.c = items.c) AS source_bundle_count, string_agg(item, ',' ORDER BY place, f) AS objects FROM items GROUP BY c""")
+def fused_bundles(t):
+    """Bundle files with relationships, of several cases, fused to one document a case by the step of that name."""
     from .steps import run_step
 
-    return run_step("fuse", _bundle_files(t), id_source="one").select("key", "id", "n_objects", F.get_json_object("obj", "$.name").alias("name"))
+    d = t("documents").select("doc_id", "lang", (F.col("doc_id") % 13).alias("case_id"))
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    at = F.col("doc_id")
+    thing = text('{"type": "tool", "id": "tool--', at, '", "name": "n', F.floor(at / 13) % 37, '", "labels": ["', F.col("lang"), '"]}')
+    target = F.when(at % 7 == 0, "tool--none").otherwise(text("tool--", at - 13))
+    kind = F.when(at % 2 == 1, ', "relationship_type": "uses"').otherwise("")
+    rel = text('{"type": "relationship", "id": "relationship--', at, '", "source_ref": "tool--', at, '", "target_ref": "', target, '"', kind, ', "description": "', F.when(at % 5 == 0, "").otherwise(text("d", at % 5)), '", "labels": ["l', at % 4, '"]}')
+    items = d.withColumn("item", F.when(at % 3 == 0, thing).otherwise(F.concat_ws(",", thing, rel))).withColumn("part", F.col("case_id") * 100000 + F.floor(at / 1000))
+    g = items.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda s: s["item"]), ",").alias("items"))
+    path = scratch(d.sparkSession, "cases")
+    g.select("part", text('{"type": "bundle", "id": "bundle--', F.col("part"), '", "objects": [', F.col("items"), "]}").alias("value")).write.partitionBy("part").text(path)
+    number = F.regexp_extract("value", r"bundle--(\d+)", 1).cast("long")
+    files = bd.scan_bundles(d.sparkSession, f"{path}/*").withColumn("bundle_id", number).withColumn("case_id", F.floor(number / 100000).cast("long"))
+    fused = run_step("fuse", files, id_source="one", by="case_id")
+    body = F.regexp_extract("document", r'(?s)^\{"type":"bundle","id":"bundle--[0-9a-f-]{36}","objects":\[(.*)\],"x_fusion":', 1)
+    return fused.select("case_id", "object_count", "source_bundle_count", body.alias("objects"))
 
 
 @query("SELECT bundle_id, sum(n_runnable) AS available FROM (SELECT w.bundle_id, w.technique_id, count(c.capability_id) AS n_runnable FROM wanted w LEFT JOIN capability c ON w.technique_id = c.technique_id OR (NOT contains(w.technique_id, '.') AND split_part(c.technique_id, '.', 1) = w.technique_id AND contains(c.technique_id, '.')) OR (contains(w.technique_id, '.') AND split_part(w.technique_id, '.', 1) = c.technique_id) GROUP BY 1, 2) x GROUP BY bundle_id", ("wanted", "capability"))
@@ -323,7 +368,7 @@ def stream_latest(t):
 @query("SELECT user_id, least(8, count(*)) AS n, array_to_string((list(event_type ORDER BY event_id DESC))[1:8], ',') AS newest FROM events GROUP BY user_id")
 def last_n_state(t):
     stream = _event_stream(t)
-    out = st.table_run(st.last_n(stream, "user_id", "event_id", "event_type"), scratch(stream.sparkSession, "last"), ["user_id"])
+    out = st.table_run(state.last_n(stream, "user_id", "event_id", "event_type"), scratch(stream.sparkSession, "last"), ["user_id"])
     return out.select("user_id", F.col("n").cast("long").alias("n"), F.array_join(F.reverse("last"), ",").alias("newest"))
 
 
@@ -334,6 +379,17 @@ def heartbeat_ready(t):
     return st.heartbeats_ready(seen, "user_id", 10).withColumnRenamed("start", "day")
 
 
+@query("""WITH s AS (SELECT user_id, event_type, min(epoch_us(ts) // 1000) AS seen FROM events GROUP BY ALL), f AS (SELECT user_id, min(seen) AS began FROM s GROUP BY user_id),
+ n AS (SELECT user_id, began, seen, row_number() OVER (PARTITION BY user_id ORDER BY seen) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM s JOIN f USING (user_id) WHERE seen <= began + 43200000),
+ ready AS (SELECT user_id, 3 AS n, seen - began AS elapsed_ms, false AS timed_out FROM n WHERE k = 3)
+ SELECT * FROM ready UNION ALL SELECT user_id, max(n)::INT, 43200000, true FROM n WHERE user_id NOT IN (SELECT user_id FROM ready) AND began + 43200001 <= (SELECT max(epoch_us(ts) // 1000) - 2 * 86400000 FROM events) GROUP BY user_id""")
+def ready_by_deadline(t):
+    """Users with three kinds of events within twelve hours of their first one; those that waited in vain when the watermark passed."""
+    stream = _event_stream(t)
+    waits = state.ready_by_deadline(stream, "user_id", "event_type", "ts", 3, 43200, "2 days")
+    return st.table_run(waits, scratch(stream.sparkSession, "deadline"))
+
+
 @query("SELECT doc_id, field, min(i) - 1 AS column_no FROM (SELECT doc_id, unnest(['name', 'type', 'name']) AS field, unnest([1, 2, 3]) AS i FROM documents) a GROUP BY doc_id, field")
 def header_alias(t):
     """A table with emphasised headers before each document's own lines."""

@@ -7,20 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, coverage, objects
+from ..operators import clean, coverage, markup, objects
 from ..sources import bundles as bd
 
 
 def ingest(files: DataFrame) -> DataFrame:
     """Cleaned text of the files (name, text) that pass the gates, with stem and status; HTML becomes plain text first."""
-    is_html = F.lower("name").rlike(r"\.html?$")
-    plain = files.withColumn("text", F.when(is_html, clean.html_text(F.col("text"))).otherwise(F.col("text")))
+    is_html = F.coalesce(F.lower("name").rlike(r"\.html?$"), F.lit(False))
+    pages = markup.html_texts(files.filter(is_html), "text", "text")
+    plain = files.filter(~is_html).unionByName(pages)
     return clean.route(plain).filter("status IN ('[TEXT]', '[HTML]', '[PDF]')").drop("skip_reason")
 
 
-def fuse(bundles: DataFrame, id_source: str) -> DataFrame:
-    """Fused objects of bundle documents (bundle_id, value, ok)."""
-    return objects.fuse_bundles(bd.explode_objects(bundles), id_source)[0]
+def fuse(bundles: DataFrame, id_source: str, by: str) -> DataFrame:
+    """The fused bundle of each value of ``by`` of bundle documents (bundle_id, value, ok and the column ``by``); see :func:`objects.fused_documents`."""
+    named = bd.explode_objects(bundles).join(bundles.select("bundle_id", by).distinct(), "bundle_id")
+    return objects.fused_documents(*objects.fuse_bundles(named, id_source, by), bundles.filter("ok").select(by, "bundle_id"), by)
 
 
 def cover(wanted: DataFrame, capabilities: DataFrame) -> DataFrame:
