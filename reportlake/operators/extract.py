@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.storage import stage_rows
 
 
 def hash_evidence(docs: DataFrame) -> DataFrame:
@@ -215,11 +216,11 @@ def gazetteer(docs: DataFrame, names: DataFrame) -> DataFrame:
     From each place of a text whose word starts a name, the trie of the names is walked word by word as long as it has a node, by a filter of fixed size
     over its nodes; the nodes on the way meet the names in a hash join. So cost grows with the text and its hits, not with the number or length of names.
     """
-    known = names.filter(F.length("name_key") >= 3).select("name_key", "entity_id").distinct()
+    known = stage_rows(names.filter(F.length("name_key") >= 3).select("name_key", "entity_id").distinct())
     mask = _word_mask(name_prefixes(known))
     most = F.coalesce(known.agg(F.max(F.size(F.split("name_key", " ")))).scalar(), F.lit(1))
-    toks = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"), most.alias("most")).filter(F.size("w") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: _in_mask(mask, F.get("w", i)))
+    toks = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"), most.alias("most"))
+    starts = F.filter(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)), lambda i: _in_mask(mask, F.get("w", i)))
     root = F.struct(F.lit("").alias("node"), F.lit(True).alias("on"), F.array().cast("array<string>").alias("met"))
 
     def step(s, word):
@@ -228,7 +229,8 @@ def gazetteer(docs: DataFrame, names: DataFrame) -> DataFrame:
         return F.struct(F.when(on, node).otherwise("").alias("node"), on.alias("on"), F.when(on, F.array_append(s["met"], node)).otherwise(s["met"]).alias("met"))
 
     walk = lambda i: F.aggregate(F.slice("w", i + 1, F.col("most")), root, step, lambda s: s["met"])
-    each = toks.select("doc_id", F.explode(F.flatten(F.transform(starts, walk))).alias("name_key"))
+    # the outer form, as the inner one would walk twice to drop texts without hits
+    each = toks.select("doc_id", F.explode_outer(F.flatten(F.transform(starts, walk))).alias("name_key"))
     return each.join(known, "name_key").groupBy("doc_id", "entity_id", "name_key").agg(F.count("*").alias("n"))
 
 

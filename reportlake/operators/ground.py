@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as tx
+from ..sources.storage import stage_rows
 from .extract import top_per
 
 
@@ -73,43 +74,21 @@ def required_literal(pattern: str) -> str:
     return best.lower() if best.isascii() else ""
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Distinct parts of ``n`` characters of a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
-
-
-def anchor_index(anchors: DataFrame) -> tuple[Column, Column]:
-    """(gram to anchors, anchors without a literal), as scalar subqueries: a dimension of any number of anchors.
+def anchor_hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """doc_id, anchor_id, fragment, confidence, evidence: first match of each anchor (anchor_id, pattern, fragment, confidence).
 
-    An anchor stands under one gram of its literal, the one that fewest literals of the table hold.
+    A regular expression runs on a text only if the text holds its literal, which is a plain search where the text is. The anchors are a scalar subquery, of any number; those without a
+    literal are tried on all texts. Null texts have no hits.
     """
-
     @F.pandas_udf(StringType())
     def literal(patterns: pd.Series) -> pd.Series:
         return patterns.map(required_literal)
 
-    rows = anchors.select("anchor_id", "pattern", "fragment", F.col("confidence").cast("double").alias("confidence")).withColumn("literal", literal("pattern"))
-    anchor = F.struct("anchor_id", "pattern", "fragment", "confidence", "literal").alias("anchor")
-    each = rows.filter(F.length("literal") >= GRAM).select(anchor, F.explode(grams(F.col("literal"))).alias("gram"))
-    common = each.groupBy("gram").agg(F.count("*").alias("n"))
-    chosen = each.join(common, "gram").groupBy("anchor").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    by_gram = chosen.groupBy("gram").agg(F.collect_list("anchor").alias("anchors"))
-    index = by_gram.agg(F.map_from_entries(F.collect_list(F.struct("gram", "anchors")))).scalar()
-    return index, rows.filter(F.length("literal") < GRAM).select(anchor).agg(F.collect_list("anchor")).scalar()
-
-
-def anchor_hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc_id, anchor_id, fragment, confidence, evidence: first match of each anchor (anchor_id, pattern, fragment, confidence).
-
-    A regular expression runs on a text only if the text holds its literal: the text's parts of three characters are looked up in the index of the anchors
-    where the text is. Anchors without a literal are tried on all texts. Null texts have no hits.
-    """
-    index, others = anchor_index(anchors)
-    low = docs.select("doc_id", "text", F.lower("text").alias("_l")).withColumn("_m", index).withColumn("_o", others)
-    met = F.array_intersect(grams(F.col("_l")), F.map_keys("_m"))
-    near = F.concat(F.coalesce(F.flatten(F.transform(met, lambda g: F.col("_m")[g])), F.array().cast(low.schema["_o"].dataType)), "_o")
-    candidates = low.filter("text IS NOT NULL").select("doc_id", "text", F.filter(near, lambda a: F.contains("_l", a["literal"]) & F.call_function("rlike", F.col("text"), a["pattern"])).alias("_a"))
-    found = candidates.select("doc_id", "text", F.explode("_a").alias("a"))
+    anchor = F.struct("anchor_id", "pattern", "fragment", F.col("confidence").cast("double").alias("confidence"), literal("pattern").alias("literal"))
+    every = anchors.select(anchor.alias("anchor")).agg(F.collect_list("anchor")).scalar()
+    low = docs.select("doc_id", "text", F.lower("text").alias("_l"), every.alias("_all"))
+    # the outer form, as the inner one would search twice to drop texts without hits
+    found = low.select("doc_id", "text", F.explode_outer(F.filter("_all", lambda a: F.contains("_l", a["literal"]) & F.call_function("rlike", F.col("text"), a["pattern"]))).alias("a")).filter("a IS NOT NULL")
     length = F.length(F.regexp_substr("text", F.col("a.pattern")))
     return found.select("doc_id", "a.anchor_id", "a.fragment", "a.confidence", tx.evidence_window(F.col("text"), F.regexp_instr("text", F.col("a.pattern")), length).alias("evidence"))
 
@@ -174,7 +153,7 @@ def has_object(tokens: Column, verbs: list[str], stop_words: list[str]) -> Colum
 
 def behaviour_quality(behaviours: DataFrame, stop_words: list[str], verbs: list[str] | None = None) -> DataFrame:
     """Add tokens and reject_reason: missing text, no verb with an object (if ``verbs`` are given), fewer than 4 tokens, or three quarters of stop words."""
-    out = behaviours.withColumn("tokens", tx.tokens(F.coalesce("text", F.lit(""))))
+    out = behaviours if "tokens" in behaviours.columns else behaviours.withColumn("tokens", tx.tokens(F.coalesce("text", F.lit(""))))
     stops = F.size(F.filter("tokens", lambda w: w.isin(stop_words)))
     reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "missing")
     if verbs is not None:
@@ -241,9 +220,12 @@ def infer(behaviours: DataFrame, docs: DataFrame, techniques: DataFrame, verbs:
     Candidates share a name token: behaviours are joined to an index of name tokens, and a pair carries its ids and its score without vectors alone, which bounds the score.
     Only candidates whose upper bound reaches the lower bound of the behaviour's last place get their vectors, which are joined last.
     """
-    ok = behaviour_quality(behaviours, stop_words, verbs).filter("reject_reason IS NULL").withColumn("specificity", specificity(F.col("tokens"), verbs, stop_words))
+    # read again, so that no filter repeats the search for words inside of them
+    split = stage_rows(behaviours.select("doc_id", "seq", "text", "vector", tx.tokens(F.coalesce("text", F.lit(""))).alias("tokens")))
+    ok = behaviour_quality(split, stop_words, verbs).filter("reject_reason IS NULL").withColumn("specificity", specificity(F.col("tokens"), verbs, stop_words))
     words = F.array_distinct(F.filter("tokens", lambda w: ~w.isin(*tx.REPORT_WORDS)))
-    b = ok.select("doc_id", "seq", "specificity", words.alias("words")).join(document_marks(docs, techniques, behaviours), "doc_id").withColumn("tok", F.explode("words"))
+    ok = stage_rows(ok.select("doc_id", "seq", "specificity", words.alias("words"), unit(F.col("vector")).alias("v")))
+    b = ok.select("doc_id", "seq", "specificity", "words").join(document_marks(docs, techniques, behaviours), "doc_id").withColumn("tok", F.explode("words"))
     index = techniques.select("technique_id", "platforms", "phases", F.explode(F.array_distinct("tokens")).alias("tok"))
     elsewhere = (F.size("platforms") == 1) & ~F.array_contains("seen", F.lower(F.get("platforms", F.lit(0))))
     implausible = (F.size("doc_phases") > 0) & (F.size("phases") > 0) & ~F.exists("doc_phases", lambda p: F.exists("phases", lambda x: F.contains(F.lower(x), p)))
@@ -255,7 +237,7 @@ def infer(behaviours: DataFrame, docs: DataFrame, techniques: DataFrame, verbs:
     low = Window.partitionBy("doc_id", "seq").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pairs = pairs.withColumn("low", bound(SIMILARITY_RANGE[0])).withColumn("floor", F.coalesce(F.nth_value("low", per_behaviour).over(low), F.lit(least)))
     pairs = pairs.filter(bound(SIMILARITY_RANGE[1]) >= F.greatest("floor", F.lit(least)))
-    own, theirs = ok.select("doc_id", "seq", unit(F.col("vector")).alias("v")), techniques.select("technique_id", unit(F.col("vector")).alias("t_v"))
+    own, theirs = ok.select("doc_id", "seq", "v"), techniques.select("technique_id", unit(F.col("vector")).alias("t_v"))
     full = pairs.join(own, ["doc_id", "seq"]).join(theirs, "technique_id")
     sim = F.when(F.col("v").isNotNull() & F.col("t_v").isNotNull(), dot(F.col("v"), F.col("t_v"))).otherwise(0.0)
     scored = full.withColumn("sim", sim).select("doc_id", "seq", "technique_id", bound(similarity_term(F.col("sim"))).alias("score")).filter(F.col("score") >= least)
