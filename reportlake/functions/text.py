@@ -18,7 +18,8 @@ PATHS = (r"(?i)%[A-Za-z]+%\\[\w.\\$-]+", r"(?i)[A-Z]:\\[\w\\$. -]+", r"(?<![\w/]
 TECHNIQUE_ID = r"\bT\d{4}(?:\.\d{3})?\b"
 CVE = r"(?i)CVE-\d{4}-\d{4,7}"
 FILENAME = r"(?i)\b([A-Za-z][\w.-]{2,30})\.(ps1|exe|bat|sh|py|dll|jar)\b"
-NAME_VERSION = r"\b([A-Za-z][\w-]{2,30})\s+v?(\d+\.\d+(?:\.\d+(?:\.\d+)?)?)\b"
+# words are letters and digits of any script here; \b and \w know them in some Java versions only
+NAME_VERSION = r"(?<![\p{L}\p{N}_])([A-Za-z][\p{L}\p{N}_-]{2,30})[\t-\r\x1c-\x20\x85\xa0\p{Z}]+v?([0-9]+\.[0-9]+(?:\.[0-9]+(?:\.[0-9]+)?)?)(?![\p{L}\p{N}_])"
 TOOL_TRIGGER = r"(?i)(?:download|execute|use|run|invoke|leverage|deploy|via)\s+(?:[a-z]+\s+){0,3}`?\*?\*?([A-Z][\w-]{2,30}(?:\.[a-z]{2,4})?)"
 HOST_IP = r"(?i)`?([a-z][a-z0-9-]{1,30})`?\s*\(\s*((?:\d{1,3}\.){3}\d{1,3})\s*\)"
 DOMAIN_USER = r"\b([A-Z][A-Z0-9_-]{1,30})\\([A-Za-z][A-Za-z0-9._-]+)\b"

@@ -115,8 +115,15 @@ def subnets(t):
     return t("intel").select("doc_id", F.array_join(tx.subnets(F.col("text")), ",").alias("subnets"))
 
 
-@query(r"""SELECT doc_id, lower(n) AS key, min_by(n, i) AS name, min_by(v, i) AS version FROM (SELECT doc_id, unnest(a) AS n, unnest(b) AS v, generate_subscripts(a, 1) AS i FROM (SELECT doc_id,
- regexp_extract_all(text, '\b([A-Za-z][\w-]{2,30})\s+v?(\d+\.\d+(?:\.\d+(?:\.\d+)?)?)\b', 1) AS a, regexp_extract_all(text, '\b([A-Za-z][\w-]{2,30})\s+v?(\d+\.\d+(?:\.\d+(?:\.\d+)?)?)\b', 2) AS b FROM intel) x) y GROUP BY doc_id, lower(n)""", ("intel",))
+# RE2 knows ASCII words only: matches are found in a copy of the text that has one ASCII sign for each other one (blank, mark or letter), and names are cut from the text at their place
+_ASCII = r"regexp_replace(regexp_replace(regexp_replace(text, '[\t-\r\x1c-\x20\x85\xa0\p{Z}]', ' ', 'g'), '[^\x00-\x7F\p{L}\p{N}]', '!', 'g'), '[^\x00-\x7F]', '_', 'g')"
+_VERSIONED = r"\b([A-Za-z][\w-]{2,30}) +v?([0-9]+\.[0-9]+(?:\.[0-9]+(?:\.[0-9]+)?)?)\b"
+_NAMED_VERSIONS = f"""SELECT doc_id, substr(text, CAST(1 + sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT), length(a)) AS n, b AS v, i
+ FROM (SELECT doc_id, text, unnest(string_split_regex(s, '{_VERSIONED}')) AS gap, unnest(regexp_extract_all(s, '{_VERSIONED}')) AS w, unnest(regexp_extract_all(s, '{_VERSIONED}', 1)) AS a, unnest(regexp_extract_all(s, '{_VERSIONED}', 2)) AS b, generate_subscripts(string_split_regex(s, '{_VERSIONED}'), 1) AS i
+ FROM (SELECT doc_id, text, {_ASCII} AS s FROM intel) z) x QUALIFY a IS NOT NULL"""
+
+
+@query(f"SELECT doc_id, lower(n) AS key, min_by(n, i) AS name, min_by(v, i) AS version FROM ({_NAMED_VERSIONS}) y GROUP BY doc_id, lower(n)", ("intel",))
 def name_versions(t):
     return extract.name_versions(t("intel"))
 
@@ -330,7 +337,7 @@ def software_split(t):
 
 
 @query(rf"""SELECT doc_id, min_by(name, p || name) AS name, max(version) AS version, min_by(how, p || name) AS how FROM (SELECT doc_id, name, how, NULL AS version, CASE how WHEN 'file' THEN '0' ELSE '2' END AS p FROM ({_SOFTWARE}) f UNION ALL
- SELECT doc_id, min_by(n, i), 'version', min_by(v, i), '1' FROM (SELECT doc_id, unnest(a) AS n, unnest(b) AS v, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{tx.NAME_VERSION}', 1) AS a, regexp_extract_all(text, '{tx.NAME_VERSION}', 2) AS b FROM intel) x) y GROUP BY doc_id, lower(n)) z
+ SELECT doc_id, min_by(n, i), 'version', min_by(v, i), '1' FROM ({_NAMED_VERSIONS}) y GROUP BY doc_id, lower(n)) z
  WHERE length(trim(name, '`*.')) BETWEEN 3 AND 40 GROUP BY doc_id, lower(trim(name, '`*.'))""", ("intel",))
 def software_rows(t):
     names = t("documents").limit(1).select(F.lit("rclone").alias("name_key"))

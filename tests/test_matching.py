@@ -213,3 +213,20 @@ def test_plan_folders(spark):
     got = reports.plan_files(spark.createDataFrame(list(files.items()), "path string, size long")).collect()
     assert sorted((r.plan, r.part, r.path, r.tier, r.n) for r in got) == [
         ("l/p1", "scenario", "l/p1/Emulation_Plan/Phase1.md", 1, 2), ("l/p2", "infrastructure", "l/p2/Infrastructure.md", 0, 1), ("l/p2", "scenario", "l/p2/README.md", 3, 1), ("l/p5", "scenario", "l/p5/Scenario.md", 0, 1)]
+
+
+def test_versions_after_words_of_any_script(spark):
+    from oracle import rows
+
+    texts = ["Précieux 3.7 and préfeux 3.76.85.226, éabc 1.2", "Ab 1.2 Foo 1.2.3é Bar 2.0 x-Qux\x0bv3.1", "Foo 1.2-Bar 3.4.Baz 5.6", "Náme 1.0 naïve_ü 2.1.3.4.5 日本Abc 1.1 Abc日本 1.1", "a" * 31 + " 1.0 " + "b" * 32 + " 1.0", None, ""]
+    got = {(r.doc_id, r.name, r.version) for r in extract.name_versions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    word = r"(?<![^\W])([A-Za-z][\w-]{2,30})\s+v?([0-9]+\.[0-9]+(?:\.[0-9]+(?:\.[0-9]+)?)?)\b"
+    assert got == {(i, *m) for i, t in enumerate(texts) if t for m in re.findall(word, t)}
+
+    import duckdb
+    import pandas as pd
+
+    from reportlake.plans.queries_extract import _NAMED_VERSIONS
+
+    intel = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    assert rows(duckdb.sql(f"SELECT doc_id, n, v FROM ({_NAMED_VERSIONS}) x").df()) == rows(pd.DataFrame(sorted(got), columns=["doc_id", "n", "v"]))
