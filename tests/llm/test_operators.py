@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -363,6 +364,21 @@ def test_lm_bits_are_a_code():
     assert len(seen) == 256 and not any(a != b and b.startswith(a) for a in seen for b in seen)
 
 
+def test_lm_models_every_bit_of_a_word(spark):
+    vocab = [f"w{i}" for i in range(300)]
+    text = " ".join(w for i, w in enumerate(vocab) for _ in range(2 + i % 5))
+    docs = spark.createDataFrame([(text,)], "text string")
+    v, _ = ctxmix.vocabulary(docs.mapInArrow(ctxmix._count_words, "kind int, key long, n long"))
+    rows = pa.RecordBatch.from_arrays([pa.array([" ".join([*vocab, text])]), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.binary()))], names=["text", "at", "ahead"])
+    raw = rows.column(0)[0].as_py().encode()
+    x = ctxmix._texts(v, rows, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    each = [ctxmix._events(v, x, np.array([i])) for i in range(len(vocab))]
+    assert not any(e.raw.any() for e in each)
+    # the modelled bits alone tell words apart
+    codes = {"".join(map(str, e.bit.tolist())) for e in each}
+    assert len(codes) == len(vocab) and not any(a != b and b.startswith(a) for a in codes for b in codes)
+
+
 def plain_mix(e, tables, weights, texts):
     """Costs of texts bit by bit, with Python numbers."""
     cost = [float(x) for x in np.pad(e.raw, (0, texts - len(e.raw)))]
