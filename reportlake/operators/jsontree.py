@@ -1,12 +1,16 @@
-"""JSON values of any depth as rows: members leave, and what is left is put together again."""
+"""JSON texts of any depth without the members that are named like secrets."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import secret_key
-from ..sources.storage import stage_rows
+from ..functions.text import SECRET_KEY, secret_key
 
 
 def names_in(json: Column) -> Column:
@@ -21,35 +25,66 @@ def holds_secrets(json: Column) -> Column:
     return F.exists(names_in(json), lambda n: secret_key(n) | F.contains(n, F.lit("\u0001")))
 
 
+#: Strings and signs of a compact JSON text; what is between them are numbers, true, false and null.
+_PARTS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],]', re.S)
+_SECRET = re.compile(SECRET_KEY, re.A)
+
+
+def _is_secret(name: str) -> bool:
+    """The rule of :func:`functions.text.secret_key`."""
+    return _SECRET.search(name) is not None and not name.lower().endswith("_env")
+
+
+def _cut(text: str) -> str:
+    """A compact JSON text without its secret members, in one pass; what stays keeps its spelling."""
+    out: list[str] = []
+    # depth; depth of the object whose member is being left out; place up to which the text is written or left out
+    depth, skip, at = 0, -1, 0
+    for m in _PARTS.finditer(text):
+        sign, end = m[0], m.end()
+        if sign[0] == '"':
+            # a string before a colon is a member's name
+            if skip < 0 and text[end : end + 1] == ":" and _is_secret(json.loads(sign)):
+                out.append(text[at : m.start()])
+                skip = depth
+        elif sign in "{[":
+            depth += 1
+        elif sign == ",":
+            if skip == depth:
+                # the comma goes with the member
+                skip, at = -1, end
+        else:
+            if skip == depth:
+                # of the last member the comma before it goes, if one was written
+                skip, at = -1, m.start()
+                _drop_comma(out)
+            depth -= 1
+    out.append(text[at:])
+    return "".join(out)
+
+
+def _drop_comma(out: list[str]) -> None:
+    while out and not out[-1]:
+        out.pop()
+    if out and out[-1].endswith(","):
+        out[-1] = out[-1][:-1]
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        held, texts = b.column(2).to_pylist(), b.column(1).to_pylist()
+        clean = [_cut(t) if h else t for t, h in zip(texts, held, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], names=b.schema.names[:2])
+
+
 def without_secrets(df: DataFrame, key: str, column: str) -> DataFrame:
     """``key`` and ``column`` of ``df``: JSON texts without the members that are named like secrets, in objects and lists of any depth.
 
-    ``key`` is unique. Texts come back compact, with the keys of objects sorted; a null or malformed text gives null. Only values that hold such a name are taken apart: one pass of rows
-    a level, and back from the deepest level up.
+    Texts come back compact, with the keys of objects sorted; a null or malformed text gives null. Nothing is shuffled: Spark's parser makes the text compact, and one pass over
+    it cuts the members out, whatever its depth; texts that hold no such name are left as they are.
     """
-    spark = df.sparkSession
-    base = stage_rows(df.select(F.col(key).alias("k"), F.to_json(F.try_parse_json(F.col(column))).alias("json")))
-    holders = base.filter(holds_secrets(F.col("json"))).select("k", F.array().cast("array<int>").alias("path"), "json")
-    levels = []
-    while True:
-        members = spark.sql("SELECT o.k, o.path AS up, e.pos AS pos, e.key AS name, to_json(e.value) AS json FROM {o} o, LATERAL variant_explode(parse_json(o.json)) e", o=holders)
-        kept = members.filter(F.col("name").isNull() | ~secret_key(F.col("name")))
-        kept = stage_rows(kept.withColumn("json", F.coalesce("json", F.lit("null"))).withColumn("deeper", F.col("json").rlike(r"^[\[{]") & holds_secrets(F.col("json"))))
-        levels.append((holders.select("k", "path", F.startswith("json", F.lit("{")).alias("is_object")), kept))
-        holders = kept.filter("deeper").select("k", F.concat("up", F.array("pos")).alias("path"), "json")
-        if holders.isEmpty():
-            break
-    done = None
-    for above, kept in reversed(levels):
-        rows = kept.filter("NOT deeper").select("k", "up", "pos", "name", "json")
-        if done is not None:
-            again = done.withColumn("pos", F.element_at("path", -1)).withColumn("up", F.slice("path", F.lit(1), F.size("path") - 1))
-            names = kept.filter("deeper").select("k", "up", "pos", "name")
-            rows = rows.unionByName(names.join(again.select("k", "up", "pos", "json"), ["k", "up", "pos"]))
-        name = F.to_json(F.array("name"))
-        item = F.when(F.col("name").isNull(), F.col("json")).otherwise(F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), "json"))
-        body = rows.groupBy("k", F.col("up").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda s: s["item"]), ",").alias("body"))
-        left = above.join(body, ["k", "path"], "left").withColumn("body", F.coalesce("body", F.lit("")))
-        done = left.select("k", "path", F.when(F.col("is_object"), F.concat(F.lit("{"), "body", F.lit("}"))).otherwise(F.concat(F.lit("["), "body", F.lit("]"))).alias("json"))
-    clean = done.select("k", F.col("json").alias("clean"))
-    return base.join(clean, "k", "left").select(F.col("k").alias(key), F.coalesce("clean", "json").alias(column))
+    kind = df.schema[key].dataType.simpleString()
+    base = df.select(key, F.to_json(F.try_parse_json(F.col(column))).alias(column))
+    # the text or an escape may spell such a name; the pass over it tells
+    base = base.withColumn("_held", F.coalesce(F.col(column).rlike(SECRET_KEY + r"|\\"), F.lit(False)))
+    return base.mapInArrow(_cut_batches, f"`{key}` {kind}, `{column}` string")

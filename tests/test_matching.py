@@ -158,6 +158,13 @@ def test_secrets_of_any_depth(spark):
     assert [got[i] for i in (91, 92, 93, 94, 95)] == [None, None, "3", "[]", '{"b":2}']
 
 
+def test_secrets_leave_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, '{"a":[{"token":{"b":[1]},"c":"x, \\"}"}],"zz_secret":1}'), (2, '{"token":1,"Secret":[{}]}'), (3, '[1.50,"password"]')], "k int, doc string")
+    out = jsontree.without_secrets(df, "k", "doc")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.doc for r in out.collect()} == {1: '{"a":[{"c":"x, \\"}"}]}', 2: "{}", 3: '[1.5,"password"]'}
+
+
 def test_forms_of_verbs(spark):
     words = "reported reports reporting identifies identified publishes stating noted Describes analyzing assessed be ran planned planning moved observation statement reporter note".split()
     df = spark.createDataFrame([(w,) for w in words], "w string")
