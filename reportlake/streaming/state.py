@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Entities of a key that are in memory before they go to the state.
+HELD = 10_000
+
 
 def with_state_store(spark: SparkSession) -> None:
     """State of this kind is kept in RocksDB, on disk and by key."""
@@ -27,6 +30,12 @@ class _Deadline(StatefulProcessor):
         self.seen = handle.getMapState("seen", "entity string", "at long")
         self.first = handle.getValueState("first", "at long, settled boolean")
 
+    def _note(self, fresh: dict[str, int]) -> None:
+        for entity, at in fresh.items():
+            if not self.seen.containsKey((entity,)) or at < self.seen.getValue((entity,))[0]:
+                self.seen.updateValue((entity,), (at,))
+        fresh.clear()
+
     def _in_time(self, first: int) -> list[int]:
         """Times of the entities that came by the deadline, in order."""
         return sorted(at[0] for at in self.seen.values() if at[0] <= first + self.timeout)
@@ -40,11 +49,16 @@ class _Deadline(StatefulProcessor):
         if known is not None and known[1]:
             return
         first = known[0] if known is not None else None
+        # a visit to the state is a call to the executor: one for each entity, not for each row
+        fresh: dict[str, int] = {}
         for r in rows:
-            at, entity = r["at_ms"], (str(r[self.entity]),)
-            if not self.seen.containsKey(entity) or at < self.seen.getValue(entity)[0]:
-                self.seen.updateValue(entity, (at,))
+            at, entity = r["at_ms"], str(r[self.entity])
             first = at if first is None or at < first else first
+            if at < fresh.get(entity, at + 1):
+                fresh[entity] = at
+                if len(fresh) >= HELD:
+                    self._note(fresh)
+        self._note(fresh)
         if known is None or first < known[0]:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)

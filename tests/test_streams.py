@@ -85,3 +85,33 @@ def test_latest_of_a_stream_is_kept(spark, folders):
     stream = spark.readStream.schema("k string, v string, at int").parquet(source)
     got = intake.table_run(intake.latest_by_key(stream, "k", "v", "at", ("DONE",)), out, ["k"])
     assert [(r.k, r.v) for r in got.select("k", F.col("v")).collect()] == [("a", "DONE")]
+
+
+def test_state_is_visited_once_for_each_entity():
+    class Fake(dict):
+        visits = 0
+
+        def containsKey(self, k):
+            Fake.visits += 1
+            return k in self
+
+        getValue, updateValue = dict.__getitem__, dict.__setitem__
+
+    class Cell:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = lambda self, x: setattr(self, "held", x)
+
+    class Handle:
+        listTimers = lambda self: []
+        registerTimer = lambda self, at: None
+
+    p = state._Deadline("k", "e", 3, 1000)
+    p.handle, p.seen, p.first = Handle(), Fake(), Cell()
+    rows = [{"at_ms": 5000 - i, "e": "ab"[i % 2]} for i in range(4000)]
+    assert list(p.handleInputRows((7,), iter(rows), None)) == []
+    assert dict(p.seen) == {("a",): (1002,), ("b",): (1001,)} and p.first.held == (1001, False)
+    assert Fake.visits <= 4
+    (row,) = p.handleInputRows((7,), iter([{"at_ms": 1500, "e": "c"}]), None)
+    assert (row.n, row.elapsed_ms, row.timed_out) == (3, 499, False)
