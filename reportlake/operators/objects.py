@@ -86,8 +86,10 @@ def validate_bundles(bundles: DataFrame) -> DataFrame:
     listed = b.filter(F.startswith(objs, F.lit("["))).select("bundle_id", F.posexplode(F.from_json(objs, "array<string>")).alias("pos", "obj"))
     is_object = F.startswith(F.coalesce("obj", F.lit("")), F.lit("{"))
     get = lambda n, alias: F.get_json_object("obj", f"$.{n}").alias(alias)
-    each = listed.filter(is_object).select("bundle_id", "pos", get("type", "type"), get("id", "id"), get("relationship_type", "rel_type"), get("source_ref", "src"), get("target_ref", "dst"))
-    strange = listed.filter(~is_object).select("bundle_id", "pos", F.lit(0).alias("rule"), F.concat(F.lit("Object "), F.col("pos").cast("string"), F.lit(" is not a JSON object.")).alias("message"))
+    # every rule asks for the objects' fields: documents are parsed once, and the fields alone read again
+    fields = stage_rows(listed.select("bundle_id", "pos", is_object.alias("is_object"), get("type", "type"), get("id", "id"), get("relationship_type", "rel_type"), get("source_ref", "src"), get("target_ref", "dst")))
+    each = fields.filter("is_object")
+    strange = fields.filter("NOT is_object").select("bundle_id", "pos", F.lit(0).alias("rule"), F.concat(F.lit("Object "), F.col("pos").cast("string"), F.lit(" is not a JSON object.")).alias("message"))
     found = validate(each.select("bundle_id", "pos", "type", "id"), each.filter("type = 'relationship'").select("bundle_id", "pos", "rel_type", "src", "dst")).unionByName(strange)
     order = F.struct((F.col("rule") > 5).alias("late"), "pos", F.when(F.col("rule") > 8, F.col("rule") + 2).otherwise(F.col("rule")).alias("rule"), "message")
     rolled = found.groupBy("bundle_id").agg(F.array_sort(F.collect_list(order)).alias("e"))

@@ -237,3 +237,12 @@ def test_versions_after_words_of_any_script(spark):
 
     intel = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
     assert rows(duckdb.sql(f"SELECT doc_id, n, v FROM ({_NAMED_VERSIONS}) x").df()) == rows(pd.DataFrame(sorted(got), columns=["doc_id", "n", "v"]))
+
+
+def test_bundles_are_taken_apart_once(spark):
+    text = '{"type": "bundle", "id": "bundle--zz", "objects": [5, {"type": "tool"}, {"type": "relationship", "id": "r", "source_ref": "x"}]}'
+    out = objects.validate_bundles(spark.createDataFrame([(1, text), (2, "no")], "bundle_id int, value string"))
+    # the rules read the objects' fields again, not the documents
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.bundle_id: r.errors for r in out.collect()}
+    assert got[2] == ["Bundle is not a JSON object."] and len(got[1]) == 7
