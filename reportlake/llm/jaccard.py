@@ -7,8 +7,9 @@ Candidates are verified on their whole sets. A shingle of one document can be in
 without these: most texts then have short lists.
 
 Links matter through their components. Each round links the members of a key to its hubs; a key
-whose sets are all in one component needs no further pair. What is left open is searched in full, a growing part of the keys at
-a time, where parity sketches (their distance is at most that of the sets) hold back pairs that can't link.
+whose sets are all in one component needs no further pair. What is left open is searched in full, first a small part of the keys.
+There two sets are paired under the first key that they share: if they share nothing before a key, its places leave room for a link
+only near the start of both sets. Parity sketches (their distance is at most that of the sets) hold back further pairs that can't link.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ RARE = 24
 #: Rounds of hubs, and hubs of a key in each.
 ROUNDS = 1
 HUBS = 3
-#: Parts of the keys that the full search takes one after the other, by hash: near sets have many keys in common,
-#: so the first parts join most of what is left and the others find little to pair.
-SLICES = ((0, 1), (1, 8), (8, 64), (64, 512))
+#: Parts of the keys that the full search takes one after the other, by hash: what one joins needs no pairs in the next.
+SLICES = ((0, 8), (8, 64), (64, 512))
 K = 2
 #: Longs of a parity sketch.
 SKETCH = 8
@@ -89,9 +89,16 @@ def _sets(k: int, num: int, den: int, held, batches: Iterator[pa.RecordBatch]) -
             names=["doc_id", "n", "f1", "f2", "first", "sketch", "tokens"])
 
 
-def _possible(num: int, den: int) -> Column:
-    """Sizes and places of a shared shingle leave room for enough shared ones."""
-    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+def _possible(num: int, den: int, first: bool = False) -> Column:
+    """Sizes of two sets and their places of a shared key leave room for enough shared shingles.
+
+    ``first``: True at least under the first key that linking sets share. It is a shingle that is indexed alone, if they share one; else
+    it is the pair of their first two shared shingles, and they share none before it and between the two.
+    """
+    rest = lambda x, pos: F.col(f"n_{x}") - F.col(f"{pos}_{x}") - 1
+    most = F.least("i_a", "i_b") + 1 + F.least(rest("a", "pos"), rest("b", "pos"))
+    if first:
+        most = F.when(F.col("single_a") | F.col("single_b"), most).otherwise(2 + F.least(rest("a", "last"), rest("b", "last")))
     return (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
 
 
@@ -117,6 +124,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     held = spark.sparkContext.broadcast(rarity.frequency_table(docs, partial(_hashes, k), rarity.total_bytes(docs)))
     schema = "doc_id long, n long, f1 long, f2 long, first int, sketch array<long>, tokens array<long>"
     sets = stage(docs.mapInArrow(lambda batches: _sets(k, num, den, held, batches), schema))
+    held.destroy()
     sized = sets.filter("n > 0").select("doc_id", "n", "f1", "f2")
     classes = sized.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     members = sized.join(classes, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
@@ -143,24 +151,27 @@ def _one_document(members: DataFrame) -> DataFrame:
 
 
 def _index(reps: DataFrame) -> DataFrame:
-    """key, id, n, pos, c: prefixes by rare shingles and by pairs of frequent ones; keys of one set are left out."""
-    places = reps.select("id", "n", (F.col("n") - F.size("tokens")).alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "token"))
-    places = stage(places.select("token", "id", "n", (F.col("alone") + F.col("i")).cast("int").alias("pos")))
+    """key, id, n, i, pos, last, single, c: prefixes by rare shingles and by pairs of frequent ones; keys of one set are left out.
+
+    ``pos`` and ``last`` are the places of a key's first and last shingle in the set, ``i`` that of the first among those of several documents.
+    """
+    places = reps.select("id", "n", (F.col("n") - F.size("tokens")).alias("own"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "token"))
+    places = stage(places.select("token", "id", "n", "i", (F.col("own") + F.col("i")).cast("int").alias("pos")))
     df = stage(places.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     listed = stage(places.join(df, "token"))
-    rare = listed.filter(F.col("df") <= RARE).select(F.col("token").alias("key"), "id", "n", "pos")
-    held_by = listed.filter(F.col("df") > RARE).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    two = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as key, x.pos as pos))))")
-    combos = held_by.select("id", "n", F.explode(two).alias("p")).select(F.col("p.key").alias("key"), "id", "n", F.col("p.pos").alias("pos"))
+    rare = listed.filter(F.col("df") <= RARE).select(F.col("token").alias("key"), "id", "n", "i", "pos", F.col("pos").alias("last"), F.lit(True).alias("single"))
+    held_by = listed.filter(F.col("df") > RARE).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "i", "token"))).alias("t"))
+    two = F.expr("flatten(transform(t, (x, j) -> transform(slice(t, j + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as key, x.i as i, x.pos as pos, y.pos as last))))")
+    combos = held_by.select("id", "n", F.explode(two).alias("p")).select("p.key", "id", "n", "p.i", "p.pos", "p.last", F.lit(False).alias("single"))
     return stage(rare.unionByName(combos).withColumn("c", F.col("id")))
 
 
 def _spokes(keys: DataFrame, r: int, num: int, den: int) -> DataFrame:
     """Pairs of sets with the hubs of their keys. The hubs of a key are its sets with the smallest hashes of this round."""
-    hub = lambda i: F.min(F.struct(F.xxhash64("id", F.lit(r * HUBS + i)).alias("h"), "id", "n", "pos", "c"))
+    hub = lambda i: F.min(F.struct(F.xxhash64("id", F.lit(r * HUBS + i)).alias("h"), "id", "n", "i", "pos", "c"))
     hubs = keys.groupBy("key").agg(F.array(*map(hub, range(HUBS))).alias("hubs"), F.max("c").alias("hi"), F.min("c").alias("lo")).filter("lo < hi")
     spokes = keys.join(hubs.select("key", F.explode("hubs").alias("hub")), "key").filter("c <> hub.c")
-    spokes = spokes.select(F.col("id").alias("id_a"), F.col("hub.id").alias("id_b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("hub.pos").alias("pos_b"))
+    spokes = spokes.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "i", "pos")], *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("id", "n", "i", "pos")])
     return spokes.filter(_possible(num, den)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -170,14 +181,14 @@ def _slice(keys: DataFrame, part: tuple[int, int]) -> DataFrame:
 
 
 def _met(keys: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components under one key that may link. A key of many sets is cut into blocks, and each pair of blocks is a key of its own."""
+    """Pairs of different components that may link, under the first key that they share. A key of many sets is cut into blocks, and each pair of blocks is a key of its own."""
     size = keys.groupBy("key").agg(F.ceil(F.count("*") / F.lit(KEY_BLOCK)).cast("int").alias("blocks"))
     rows = keys.join(size, "key").join(reps.select("id", F.col("sketch").alias("s")), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = F.col("block")
     left = rows.withColumn("x", own).withColumn("y", F.explode(F.sequence(own, F.col("blocks") - 1)))
     right = rows.withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), own)))
-    named = lambda d, side: d.select("key", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "c", "s")])
-    pairs = named(left, "a").join(named(right, "b"), ["key", "x", "y"]).filter("c_a <> c_b AND (x < y OR id_a < id_b)").filter(_possible(num, den) & _close(num, den))
+    named = lambda d, side: d.select("key", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "i", "pos", "last", "single", "c", "s")])
+    pairs = named(left, "a").join(named(right, "b"), ["key", "x", "y"]).filter("c_a <> c_b AND (x < y OR id_a < id_b)").filter(_possible(num, den, first=True) & _close(num, den))
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 

@@ -155,6 +155,21 @@ def test_jaccard_components(docs, empty, rows, rare, monkeypatch):
         assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_sets_are_paired_where_their_places_leave_room(spark, monkeypatch):
+    """Texts with 128 of 1,500 shingles of their own share nearly all others, but no two link: none of their keys is near the start of two sets."""
+    rng, base, seen = random.Random(3), [f"w{i}" for i in range(1503)], []
+    texts = [list(base) for _ in range(40)]
+    for d, t in enumerate(texts):
+        for at in rng.sample(range(1, 375), 32):
+            t[4 * at] = f"own{d}x{at}"
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: (seen.append(pairs.count()), verified(pairs, *a))[1])
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == {d: d for d in range(40)}
+    assert sum(seen) < 40
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 8), (2, 5)], "a long, b long")
     assert {r.id: r.component for r in graph.components(links).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 7: 7, 8: 7, 9: 7}
