@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.objects import valid_json
+from ..functions.text import strip
 from .extract import top_per
 
 
@@ -137,35 +138,53 @@ def page(runs: DataFrame, group: str, start: str, tie: str, offset: int = 0, lim
 
 def steps(runs: DataFrame) -> DataFrame:
     """run_id, idx and the fields thought, tool_name, tool_args, observation of the numbered keys of ``params``, in numeric order."""
-    each = runs.select("run_id", F.explode("params").alias("k", "v")).withColumn("field", F.regexp_extract("k", r"^(thought|tool_name|tool_args|observation)_\d+$", 1)).filter("field <> ''")
+    # the outer form, as Spark filters the rows of the other one by the size of the map, which makes each map twice
+    each = runs.select("run_id", F.explode_outer("params").alias("k", "v")).withColumn("field", F.regexp_extract("k", r"^(thought|tool_name|tool_args|observation)_\d+$", 1)).filter("field <> ''")
     each = each.withColumn("idx", F.regexp_extract("k", r"(\d+)$", 1).cast("int"))
     return each.groupBy("run_id", "idx").pivot("field", ["thought", "tool_name", "tool_args", "observation"]).agg(F.first("v"))
 
 
-def created_entity(runs: DataFrame, tool: str, id_key: str) -> DataFrame:
-    """run_id, name, entity_id, members: what the first call of ``tool`` made, from its arguments and observation; runs without such a call, or whose
-    arguments hold no list ``atomic_ordering``, have no row. Members are ids in order."""
-    s = steps(runs).filter(F.col("tool_name") == tool)
-    first = s.groupBy("run_id").agg(F.min_by(F.struct("tool_args", "observation"), "idx").alias("c")).select("run_id", "c.*")
-    order = F.get_json_object("tool_args", "$.atomic_ordering")
-    ok = valid_json(F.col("tool_args")) & F.startswith(order, F.lit("["))
-    name = F.coalesce(F.nullif(F.get_json_object("tool_args", "$.name"), F.lit("")), F.lit("Unnamed"))
-    made = F.coalesce(F.when(valid_json(F.col("observation")), F.get_json_object("observation", f"$.{id_key}")), F.lit("unknown"))
-    return first.filter(F.coalesce(ok, F.lit(False))).select("run_id", name.alias("name"), made.alias("entity_id"), F.from_json(order, "array<string>").alias("members"))
+def created_entity(runs: DataFrame, tool: str, id_key: str, item_key: str) -> DataFrame:
+    """run_id, name, entity_id, members, names: what the first call of ``tool`` made, from its arguments and observation; runs without such a call, or whose
+    arguments hold no list ``atomic_ordering``, have no row. Members are ids in order, names those of members that observations of the run name by ``item_key``, in the
+    same order; the last name of an id counts. Unknown ids have no name, and runs without any name no row. ``runs`` has a row a run.
 
+    All work is inside a run's row, so nothing is shuffled. What several expressions read is generated as a list of one first, or Spark would write its expression into each of them.
+    """
+    once = lambda df, **c: df.select("run_id", F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))).alias("x")).select("run_id", "x.*")
+    number = lambda k: F.substring_index(k, "_", -1)
+    numbered = F.filter(F.map_entries("params"), lambda e: e["key"].rlike(r"^(tool_name|tool_args|observation)_\d+$") & e["value"].isNotNull())
+    fields = F.transform(numbered, lambda e: F.struct(number(e["key"]).cast("int").alias("idx"), F.substring(e["key"], F.lit(1), F.length(e["key"]) - F.length(number(e["key"])) - 1).alias("field"), e["value"].alias("v")))
+    s = once(runs, fields=fields)
+    of = lambda field: F.filter("fields", lambda x: x["field"] == field)
+    calls = F.transform(F.filter(of("tool_name"), lambda x: x["v"] == tool), lambda x: x["idx"])
+    seen = F.transform(of("observation"), lambda x: named_items(x["v"], item_key, x["idx"]))
+    s = once(s, fields=F.col("fields"), call=F.array_min(calls), known=F.sort_array(F.flatten(F.array_compact(seen))))
+    value = lambda field: F.get(F.filter("fields", lambda x: (x["field"] == field) & (x["idx"] == F.col("call"))), F.lit(0))["v"]
+    s = once(s.filter("call IS NOT NULL AND size(known) > 0"), tool_args=value("tool_args"), observation=value("observation"), known=F.col("known"))
+    args = F.when(valid_json(F.col("tool_args")) & F.startswith(strip(F.col("tool_args")), F.lit("{")), F.from_json("tool_args", "name string, atomic_ordering string"))
+    s = once(s, args=args, observation=F.col("observation"), known=F.col("known")).filter("startswith(args.atomic_ordering, '[')")
+    name = F.coalesce(F.nullif("args.name", F.lit("")), F.lit("Unnamed"))
+    made = F.coalesce(F.when(valid_json(F.col("observation")), F.get_json_object("observation", f"$.{id_key}")), F.lit("unknown"))
+    s = once(s, name=name, entity_id=made, members=F.from_json("args.atomic_ordering", "array<string>"), known=F.col("known"))
+    of_member = lambda m: F.try_element_at(F.filter("known", lambda x: x["id"] == m), F.lit(-1))["name"]
+    return once(s, name=F.col("name"), entity_id=F.col("entity_id"), members=F.col("members"), names=F.array_compact(F.transform("members", of_member))).filter("size(names) > 0")
 
-def observed_names(runs: DataFrame, id_key: str) -> DataFrame:
-    """run_id, id, name: entities named in observations, single objects, lists of objects or of JSON texts; the last of an id counts."""
-    o = steps(runs).filter(valid_json(F.col("observation"))).select("run_id", "idx", "observation")
-    many = F.when(F.startswith(F.trim("observation"), F.lit("[")), F.from_json("observation", "array<string>")).otherwise(F.array("observation"))
-    each = o.select("run_id", "idx", F.posexplode(many).alias("place", "x")).select("run_id", "idx", "place", F.get_json_object("x", f"$.{id_key}").alias("id"), F.get_json_object("x", "$.name").alias("name"))
-    return each.filter("id <> '' AND name <> ''").groupBy("run_id", "id").agg(F.max_by("name", F.struct("idx", "place")).alias("name"))
 
+def named_items(observation: Column, id_key: str, idx: Column) -> Column:
+    """(idx, place, id, name) of the entities that an observation names: a single object, a list of objects or of JSON texts; null for other texts.
 
-def entity_members(created: DataFrame, names: DataFrame) -> DataFrame:
-    """run_id, names: names of a created entity's members in its order; unknown ids go."""
-    each = created.select("run_id", F.posexplode("members").alias("pos", "id")).join(names, ["run_id", "id"])
-    return each.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
+    Objects are read in one parse of the observation; lists that hold anything else are read value by value.
+    """
+    row = lambda i, key, name: F.struct(idx.alias("idx"), i.alias("place"), key.alias("id"), name.alias("name"))
+    objects = F.from_json(observation, f"array<struct<`{id_key}`:string,name:string>>")
+    several = F.when(F.startswith(strip(observation), F.lit("[")), F.from_json(observation, "array<string>")).otherwise(F.array(observation))
+    each = F.transform(several, lambda x, i: row(i, F.get_json_object(x, f"$.{id_key}"), F.get_json_object(x, "$.name")))
+    # a list of one, so that the observation is parsed once
+    read = F.get(F.transform(F.array(objects), lambda o: F.when(o.isNull() | F.exists(o, lambda x: x.isNull()), each).otherwise(F.transform(o, lambda x, i: row(i, x[id_key], x["name"])))), F.lit(0))
+    # a text without the letters of both keys names nothing, unless escapes spell them
+    may = F.contains(observation, F.lit("\\u")) | (F.contains(observation, F.lit(id_key)) & F.contains(observation, F.lit("name")))
+    return F.when(may & valid_json(observation), F.filter(read, lambda x: (x["id"] != "") & (x["name"] != "")))
 
 
 #: What a sentence that only repeats a panel beside it holds.

@@ -89,10 +89,8 @@ def _trajectories(t):
 @query("""SELECT l_orderkey AS run_id, 'set ' || l_orderkey AS name, CASE WHEN l_orderkey % 7 = 0 THEN 'unknown' ELSE 'e' || l_orderkey END AS entity_id, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS members, string_agg(p_name, '/' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS names
  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey""")
 def created_entities(t):
-    runs = _trajectories(t)
-    made = runlog.created_entity(runs, "make_set", "set_id")
-    names = runlog.entity_members(made, runlog.observed_names(runs, "item_id"))
-    return made.join(names, "run_id").select("run_id", "name", "entity_id", F.array_join("members", ",").alias("members"), F.array_join("names", "/").alias("names"))
+    made = runlog.created_entity(_trajectories(t), "make_set", "set_id", "item_id")
+    return made.select("run_id", "name", "entity_id", F.array_join("members", ",").alias("members"), F.array_join("names", "/").alias("names"))
 
 
 @query(r"SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(text || '. I have successfully created the abilities. Next! I have successfully created a plan. ', '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(13) || chr(9))), lambda s: s <> '' AND NOT (contains(s, 'I have successfully created') AND (contains(s, 'abilities') OR contains(s, 'adversary')))), '|') AS said FROM conversations")

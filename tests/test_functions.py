@@ -134,6 +134,21 @@ def test_step_order(spark):
     assert [(r.idx, r.thought) for r in runlog.steps(df).orderBy("idx").collect()] == [(2, "a"), (10, "b")]
 
 
+def test_created_entities_inside_runs(spark):
+    """One pass without a shuffle; names from objects, lists of objects, of JSON texts and of both, the last name of an id."""
+    args = lambda *ids, **k: json.dumps({"atomic_ordering": ids, **k})
+    said = {"observation_1": json.dumps([{"item": "a", "name": "A"}, {"item": 7, "name": "seven"}]), "observation_3": json.dumps({"item": "a", "name": "A2"}), "observation_4": json.dumps(['{"item": "b", "name": "B"}', {"item": "c", "name": "C"}, 5, None]),
+            "observation_5": '[{"item": "d", "name": "D"}] x', "observation_6": '{"item": "e", "\\u006eame": "E"}', "observation_7": json.dumps({"item": "f", "name": ""}), "thought_1": "name item"}
+    call = {"tool_name_10": "make", "tool_args_10": args("x"), "observation_10": "no", "tool_name_9": "make", "tool_args_9": args("c", "a", "z", "7", "b", "a", "d", "e", "f"), "observation_9": json.dumps({"made": "m1"})}
+    rows = [(1, {**said, **call}), (2, {**said, "tool_name_2": "make", "tool_args_2": args("a", name="n"), "observation_2": "no"}), (3, {**said, "tool_name_2": "other", "tool_args_2": args("a")}), (4, {**said, "tool_name_2": "make", "tool_args_2": '{"name": "x"}'}),
+            (5, {**said, "tool_name_2": "make", "tool_args_2": args("z")}), (6, {}), (7, {**said, "tool_name_2": "make", "tool_args_2": "[" + args("a") + "]"})]
+    df = spark.createDataFrame(rows, "run_id int, params map<string,string>")
+    made = runlog.created_entity(df, "make", "made", "item")
+    assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    got = {r.run_id: (r.name, r.entity_id, r.members, r.names) for r in made.collect()}
+    assert got == {1: ("Unnamed", "m1", list("caz7badef"), ["C", "A2", "seven", "B", "A2", "E"]), 2: ("n", "unknown", ["a"], ["A2"])}
+
+
 def test_greedy_and_min_id_dedupe(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.95, 0.31]), (1, 3, [0.8, 0.6]), (2, 4, [1.0, 0.0])], "g int, vec_id long, embedding array<float>")
     assert sorted(r.vec_id for r in similarity.greedy_kept(df, "g", 0.92).collect()) == [1, 3, 4]
