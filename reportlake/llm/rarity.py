@@ -2,8 +2,9 @@
 
 Shingles that occur once are told from the others exactly where the table is not full, and are never taken for rarer
 than they are: a class is the smallest of four cells, each of which holds the largest class of its shingles. The table serves to *order* shingles,
-so a full one costs time and no results. It is counted by Spark: shingles are dealt by their leading bits,
-a bucket holds a bounded number of them on average, and only the finished table of 32 MB reaches the driver.
+so a full one costs time and no results. It is counted by Spark: shingles are dealt by their leading bits to
+2,048 buckets, to more once a bucket would hold more than some 10 million of them. A task sends its shingles in large blocks, a row a block and bucket, so that
+rows grow with the input and not with the number of buckets too; only the finished table of 32 MB reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ BLOCK_BITS = 20
 BLOCK_BYTES = 32
 #: Blocks in one row of the table on its way to the driver.
 ROW_BITS = 10
-#: Bits that are sent of a shingle beside its bucket, and shingles in a bucket, about.
+#: Bits that are sent of a shingle beside its bucket, shingles in a bucket at most, about, and bits of the least number of buckets.
 SENT_BITS = 40
-BUCKET = 1 << 18
+BUCKET = 1 << 23
+BUCKET_BITS = 11
+#: Shingles that are sent together, about.
+BLOCK = 1 << 20
 #: A chunk of texts sends a shingle so often at most; enough to order shingles by frequency.
 REPEATS = 4
 
@@ -44,11 +48,23 @@ def classes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def _packed(source: Callable, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, 5 bytes a shingle) of each chunk of texts."""
+def _blocks(source: Callable, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Sorted leading bits of the shingles of about ``BLOCK`` rows, of several chunks of texts."""
+    held, size = [], 0
     for hashes in source(batches):
         u, n = np.unique(hashes, return_counts=True)
-        value = np.repeat(u, np.minimum(n, REPEATS)) >> np.uint64(64 - bucket_bits - SENT_BITS)
+        held.append(np.repeat(u, np.minimum(n, REPEATS)) >> np.uint64(64 - bucket_bits - SENT_BITS))
+        size += len(held[-1])
+        if size >= BLOCK:
+            yield np.sort(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield np.sort(np.concatenate(held))
+
+
+def _packed(source: Callable, bucket_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, 5 bytes a shingle) of each block of shingles."""
+    for value in _blocks(source, bucket_bits, batches):
         bucket = (value >> np.uint64(SENT_BITS)).astype(np.int64)
         keys, at = np.unique(bucket, return_index=True)
         raw = np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, : SENT_BITS // 8])
@@ -114,7 +130,7 @@ def frequency_table(texts: DataFrame, source: Callable, n_bytes: int) -> np.ndar
 
     ``n_bytes``: bytes of all texts, which the number of buckets follows.
     """
-    bucket_bits = max(4, (n_bytes // (5 * BUCKET)).bit_length())
+    bucket_bits = max(BUCKET_BITS, (n_bytes // (5 * BUCKET)).bit_length())
     packed = texts.mapInArrow(partial(_packed, source, bucket_bits), "bucket long, packed binary")
     parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_tables, bucket_bits), "row int, at int, cells binary")
     table = np.zeros(BLOCK_BYTES << BLOCK_BITS, np.uint8)

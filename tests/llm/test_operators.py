@@ -743,3 +743,17 @@ def test_warc_round_trip(spark, tmp_path):
     large = {r.page_id: r.record_type for r in warc.dedup_archive(df, f"file://{tmp_path}/x", 1).collect()}
     assert large[3] == large[4] == "response" and large[5] == "revisit"
     assert warc.dedup_archive(df.limit(0), f"file://{tmp_path}/y").count() == 0
+
+
+def test_rows_of_the_frequency_table_follow_the_input():
+    """Chunks of texts share their rows: a row a bucket and block, not a chunk."""
+    from reportlake.llm import rarity
+
+    rng = np.random.default_rng(3)
+    chunks = [rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) for _ in range(40)]
+    out = list(rarity._packed(lambda _: iter(chunks), rarity.BUCKET_BITS, iter(())))
+    assert sum(b.num_rows for b in out) <= 1 << rarity.BUCKET_BITS
+    assert sum(len(v) for b in out for v in b.column(1).to_pylist()) == 5 * 40 * 3000
+    want = np.sort(np.concatenate(chunks)) >> np.uint64(64 - rarity.BUCKET_BITS - rarity.SENT_BITS)
+    got = [int.from_bytes(v[i : i + 5], "little") | k << 40 for b in out for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True) for i in range(0, len(v), 5)]
+    assert got == want.tolist()
