@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts are linked with nothing and stay. Rows that share a doc_id are one document: they stay or go together. An empty table gives no rows.
     """
     first = jaccard.jaccard_components(docs, 5, 80, 100).filter("component_id = doc_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi")
+    return docs.join(first.hint("merge"), "doc_id", "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

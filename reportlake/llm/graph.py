@@ -1,4 +1,7 @@
-"""Connected components by joins."""
+"""Connected components by joins.
+
+Joins whose sides grow with the links are merge joins in every round: a broadcast relation would be gathered and kept by the driver, once more in each of many rounds.
+"""
 
 from __future__ import annotations
 
@@ -19,23 +22,25 @@ def components(links: DataFrame) -> DataFrame:
     while not labels.filter("changed").isEmpty():
         known = labels.select("id", "label")
         # the smallest label of the neighbours, and a label is an id too: its own label is one step ahead
-        near = both.join(known, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        low = known.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("low"))
+        near = both.join(known.hint("merge"), F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
+        low = known.join(near.hint("merge"), "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("low"))
         jump = known.select(F.col("id").alias("low"), F.col("label").alias("next"))
-        labels = stage(low.join(jump, "low").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("old")).alias("changed")))
+        labels = stage(low.join(jump.hint("merge"), "low").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("old")).alias("changed")))
     return labels.select("id", F.col("label").alias("component"))
 
 
 def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """id, component after further ``links`` (a, b) between ids, of which some have a component in ``label`` already.
 
-    Components are points here: only those that the links join are looked at, so a round costs what is new in it.
+    Components are points here: only those that the links join are looked at, so a round costs what is new in it, and nothing without links.
     """
     if label is None:
         return components(links)
-    of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    if links.isEmpty():
+        return label
+    of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")).hint("merge")
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
     joined = components(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     step = joined.select(F.col("id").alias("component"), F.col("component").alias("next"))
-    old = label.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    return stage(old.unionByName(joined.join(label.select("id"), "id", "left_anti")))
+    old = label.join(step.hint("merge"), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    return stage(old.unionByName(joined.join(label.select("id").hint("merge"), "id", "left_anti")))

@@ -127,27 +127,31 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     held.destroy()
     sized = sets.filter("n > 0").select("doc_id", "n", "f1", "f2")
     classes = sized.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    members = sized.join(classes, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
+    members = sized.join(classes.hint("merge"), ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     members = stage(members.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"))))
     reps = members.filter("n_shingles > 0 AND doc_id = class_id").select("doc_id", F.col("n_shingles").alias("n")).distinct()
-    reps = stage(sets.filter("first > 0").join(reps, ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", "first", "sketch", "tokens"))
+    reps = stage(sets.filter("first > 0").join(reps.hint("merge"), ["doc_id", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", "first", "sketch", "tokens"))
 
     keys = _index(reps)
     label = merged(None, _one_document(members))
     for r in range(ROUNDS + len(SLICES)):
         last = SLICES[r - ROUNDS] if r >= ROUNDS else None
         pairs = _spokes(keys, r, num, den) if last is None else _met(_slice(keys, last), reps, num, den)
-        label = merged(label, stage(_verified(pairs, reps, num, den)))
-        if last is None or last != SLICES[-1]:
+        linked = _verified(pairs, reps, num, den)
+        if linked is not None:
+            label = merged(label, linked)
+        if last is None or (linked is not None and last != SLICES[-1]):
             keys = _open(keys, label)
-    joined = members.join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
+            if keys.isEmpty():
+                break
+    joined = members.join(label.withColumnRenamed("id", "class_id").hint("merge"), "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def _one_document(members: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a doc_id."""
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("hi")).filter("b < hi").select("doc_id", "b")
-    return stage(members.join(several, "doc_id").filter("class_id > b").select(F.col("class_id").alias("a"), "b").distinct())
+    return stage(members.join(several.hint("merge"), "doc_id").filter("class_id > b").select(F.col("class_id").alias("a"), "b").distinct())
 
 
 def _index(reps: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def _index(reps: DataFrame) -> DataFrame:
     places = reps.select("id", "n", (F.col("n") - F.size("tokens")).alias("own"), F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "token"))
     places = stage(places.select("token", "id", "n", "i", (F.col("own") + F.col("i")).cast("int").alias("pos")))
     df = stage(places.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    listed = stage(places.join(df, "token"))
+    listed = stage(places.join(df.hint("merge"), "token"))
     rare = listed.filter(F.col("df") <= RARE).select(F.col("token").alias("key"), "id", "n", "i", "pos", F.col("pos").alias("last"), F.lit(True).alias("single"))
     held_by = listed.filter(F.col("df") > RARE).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "i", "token"))).alias("t"))
     two = F.expr("flatten(transform(t, (x, j) -> transform(slice(t, j + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as key, x.i as i, x.pos as pos, y.pos as last))))")
@@ -170,7 +174,7 @@ def _spokes(keys: DataFrame, r: int, num: int, den: int) -> DataFrame:
     """Pairs of sets with the hubs of their keys. The hubs of a key are its sets with the smallest hashes of this round."""
     hub = lambda i: F.min(F.struct(F.xxhash64("id", F.lit(r * HUBS + i)).alias("h"), "id", "n", "i", "pos", "c"))
     hubs = keys.groupBy("key").agg(F.array(*map(hub, range(HUBS))).alias("hubs"), F.max("c").alias("hi"), F.min("c").alias("lo")).filter("lo < hi")
-    spokes = keys.join(hubs.select("key", F.explode("hubs").alias("hub")), "key").filter("c <> hub.c")
+    spokes = keys.join(hubs.select("key", F.explode("hubs").alias("hub")).hint("merge"), "key").filter("c <> hub.c")
     spokes = spokes.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "i", "pos")], *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("id", "n", "i", "pos")])
     return spokes.filter(_possible(num, den)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
@@ -183,29 +187,31 @@ def _slice(keys: DataFrame, part: tuple[int, int]) -> DataFrame:
 def _met(keys: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that may link, under the first key that they share. A key of many sets is cut into blocks, and each pair of blocks is a key of its own."""
     size = keys.groupBy("key").agg(F.ceil(F.count("*") / F.lit(KEY_BLOCK)).cast("int").alias("blocks"))
-    rows = keys.join(size, "key").join(reps.select("id", F.col("sketch").alias("s")), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = keys.join(size.hint("merge"), "key").join(reps.select("id", F.col("sketch").alias("s")).hint("merge"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = F.col("block")
     left = rows.withColumn("x", own).withColumn("y", F.explode(F.sequence(own, F.col("blocks") - 1)))
     right = rows.withColumn("y", own).withColumn("x", F.explode(F.sequence(F.lit(0), own)))
     named = lambda d, side: d.select("key", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "i", "pos", "last", "single", "c", "s")])
-    pairs = named(left, "a").join(named(right, "b"), ["key", "x", "y"]).filter("c_a <> c_b AND (x < y OR id_a < id_b)").filter(_possible(num, den, first=True) & _close(num, den))
+    pairs = named(left, "a").join(named(right, "b").hint("merge"), ["key", "x", "y"]).filter("c_a <> c_b AND (x < y OR id_a < id_b)").filter(_possible(num, den, first=True) & _close(num, den))
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``pairs`` (a, b) that link, by their whole sets. Sketches hold back most others, so that few sets are moved."""
-    light = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+def _verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame | None:
+    """The ``pairs`` (a, b) that link, by their whole sets; None if their sketches hold back all. They hold back most others, so that few sets are moved."""
+    light = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")).hint("merge")
     near = stage(pairs.join(light("a"), "a").join(light("b"), "b").filter(_close(num, den)).select("a", "b", "n_a", "n_b"))
+    if near.isEmpty():
+        return None
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    need = stage(reps.join(ids, "id", "left_semi").select("id", "tokens"))
+    need = stage(reps.join(ids.hint("merge"), "id", "left_semi").select("id", "tokens"))
     both = F.size(F.array_intersect("t_a", "t_b"))
-    side = lambda x: need.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
+    side = lambda x: need.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}")).hint("merge")
     linked = near.join(side("a"), "a").join(side("b"), "b").filter((both > 0) & (both * den >= (F.col("n_a") + F.col("n_b") - both) * num))
-    return linked.select("a", "b").distinct()
+    return stage(linked.select("a", "b").distinct())
 
 
 def _open(keys: DataFrame, label: DataFrame) -> DataFrame:
     """Keys whose sets are in more than one component, with the component of each set."""
-    with_c = keys.drop("c").join(label.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    with_c = keys.drop("c").join(label.withColumnRenamed("component", "c").hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     several = with_c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return stage(with_c.join(several, "key", "left_semi"))
+    return stage(with_c.join(several.hint("merge"), "key", "left_semi"))

@@ -80,15 +80,15 @@ def pivotal_round(units: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFr
     live = units.select("id", "size", F.struct("stratum").alias("s"), size_class.alias("c"), "p")
     chosen, level = None, 0
     while True:
-        n = live.groupBy("s", "c").agg(F.count("*").alias("n"))
         if level:
             # later levels join the classes of a stratum
-            n = live.groupBy("s").agg(F.count("*").alias("n"))
+            n = stage(live.groupBy("s").agg(F.count("*").alias("n")))
             most = n.agg(F.max("n")).first()[0] or 0
             if most <= 1:
                 break
             dealt = live.join(n, "s").withColumn("c", F.lit(0))
         else:
+            n = stage(live.groupBy("s", "c").agg(F.count("*").alias("n")))
             # a row a source and size class; a plan hint only where it is known to be small
             dealt = live.join(F.broadcast(n) if n.count() <= FEW else n, ["s", "c"])
         blocks = dealt.withColumn("b", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.ceil(F.col("n") / F.lit(block))))
@@ -114,11 +114,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
     source all have the same expected number of copies, at most ``cap``; reruns give the same copies.
     """
     sized = stage(keyed(docs).select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    targets = source_targets(sized, weights, cap)
+    # a row a source, which four plans read: their windows run once
+    targets = stage(source_targets(sized, weights, cap))
     f = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     t = targets.select(F.struct("source").alias("s"), "source_size", "target", f.alias("f"))
     t = t.withColumn("whole", F.floor(F.col("f") + F.lit(1e-12))).withColumn("p", F.greatest(F.lit(0.0), F.col("f") - F.col("whole")))
-    wanted = sized.withColumn("s", F.struct("source")).join(t, "s")
+    wanted = stage(sized.withColumn("s", F.struct("source")).join(t, "s"))
     units = wanted.filter("p > 1e-12").select(F.col("doc_id").alias("id"), F.col("source").alias("stratum"), "size", "p")
     up = pivotal_round(units, seed=seed).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("up"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))

@@ -482,6 +482,21 @@ def test_targets(spark):
     assert math.isclose(got["b"], 118 * 2 / 3) and math.isclose(got["c"], 118 / 3)
 
 
+def test_mixing_plans_targets_once(docs):
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1
+
+
+def test_components_leave_nothing_with_the_driver(spark, monkeypatch):
+    plans, real = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    label = graph.merged(None, spark.createDataFrame([(1, 2), (3, 4)], "a long, b long"))
+    more = graph.merged(label, spark.createDataFrame([(2, 3), (4, 9)], "a long, b long"))
+    assert sorted(map(tuple, more.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (9, 1)]
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert graph.merged(label, spark.createDataFrame([], "a long, b long")) is label
+
+
 def test_mixing(spark, docs, empty, rows):
     got = mixing.mix_sources(docs).collect()
     again = {(r.doc_id, r.taken) for r in mixing.mix_sources(docs.repartition(2)).collect()}
