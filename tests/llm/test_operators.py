@@ -430,6 +430,16 @@ def random_events(rng, sizes):
     return ctxmix.Events(bit, [rng.integers(0, 50, n).astype(np.int32) for _ in range(ctxmix.CONTEXTS)], gate, text, np.arange(len(sizes), dtype=float))
 
 
+def test_lm_texts_of_like_length_are_scored_together(monkeypatch):
+    monkeypatch.setattr(ctxmix, "CHUNK", 100)
+    texts = ["x" * (i * 37 % 120) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = [[(len(t), d) for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True)] for b in ctxmix._alike([batch])]
+    assert [x for p in parts for x in p] == sorted((len(t), d) for d, t in enumerate(texts))
+    assert all(len(p) == 1 or sum(n for n, _ in p) <= 100 for p in parts)
+    assert list(ctxmix._alike([batch.slice(0, 0)])) == []
+
+
 def test_lm_mixing_against_plain_python():
     rng = np.random.default_rng(2)
     tables = [rng.normal(0, 1, 50).astype(np.float32) for _ in range(ctxmix.CONTEXTS)]
